@@ -137,7 +137,10 @@ def snap(x, bits: int = 20) -> Column:
     decimal rounding there are no ties on values such as 0.1234565.
     """
     c = col(x)
-    scale = F.pow(F.lit(2.0), F.lit(float(bits)) - F.floor(F.log2(F.abs(c))))
+    # relative grid of ``bits`` bits, but never finer than 2^-30 absolute, so
+    # values that are zero up to float noise (e.g. the skew of a symmetric
+    # sample) snap to exactly 0 in both engines.
+    scale = F.pow(F.lit(2.0), F.least(F.lit(float(bits)) - F.floor(F.log2(F.abs(c))), F.lit(30.0)))
     return F.when((c == 0) | c.isNull(), c).otherwise(F.round(c * scale) / scale)
 
 

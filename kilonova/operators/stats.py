@@ -60,7 +60,7 @@ def object_stats_aggs(spec=OBJECT_SPEC, detected_variant: bool = True,
         aggs.append((F.max(F.when(det, F.col("mjd"))) - F.min(F.when(det, F.col("mjd"))))
                     .alias("diff_mjd_maxmin_detected1"))
     if detected_variant:
-        aggs += compile_aggs(spec, cond=det, suffix="_detected1", drop=drop)
+        aggs += compile_aggs(spec, cond=det, suffix="_detected1", drop=set(drop) & {"detected_mean_detected1"})
     return aggs
 
 

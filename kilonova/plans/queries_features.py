@@ -1,35 +1,33 @@
-"""Registered feature queries on the lineitem / part adapters."""
+"""Registered feature queries on the lineitem / part adapters."""
 from __future__ import annotations
 
 from ..functions.core import BANDS
-from ..operators import stats
+from ..operators import peaks, scaling, stats
 from ..sources.adapters import lc_lineitem, meta_part, with_ctes
 from .catalog import register
-from .sqlgen import RATIO_COLS_SQL, agg_sql, div, ratio_sql, rounded
+from .sqlgen import RATIO_COLS_SQL, agg_sql, ratio_sql, rounded
+
+# ---------------------------------------------------------------- SQL builders (oracle side)
+
+
+def object_stats_sql(src: str, spec=stats.OBJECT_SPEC, detected_variant=True, detected_span=False,
+                     drop=()) -> str:
+    """Per-object stats over CTE ``src`` restored onto ``meta``."""
+    aggs = agg_sql(spec)
+    if detected_span:
+        aggs.append("max(mjd) FILTER (WHERE detected = 1) - min(mjd) FILTER (WHERE detected = 1) "
+                    "AS diff_mjd_maxmin_detected1")
+    if detected_variant:
+        aggs += agg_sql(spec, where="detected = 1", suffix="_detected1",
+                        drop=set(drop) & {"detected_mean_detected1"})
+    ratios = ratio_sql("") + (ratio_sql("_detected1") if detected_variant else [])
+    inner = (f"SELECT object_id, {', '.join(aggs)} FROM (SELECT *, {RATIO_COLS_SQL} FROM {src}) "
+             f"GROUP BY object_id")
+    body = f"SELECT *, {', '.join(ratios)} FROM ({inner})"
+    kept = [d for d in drop if not d.endswith("_detected1") or detected_variant]
+    excl = ", ".join(["object_id"] + [d for d in kept if d not in ("detected_mean_detected1",)])
+    return f"SELECT m.object_id, f.* EXCLUDE ({excl}) FROM meta m LEFT JOIN ({body}) f ON f.object_id = m.object_id"
 
-# ---------------------------------------------------------------- basic_ts (flagship)
-
-_BASIC_TS_SQL = rounded(with_ctes(
-    "SELECT m.object_id, a.* EXCLUDE (object_id), "
-    + ", ".join(ratio_sql("") + ratio_sql("_detected1"))
-    + " FROM meta m LEFT JOIN ("
-    + "SELECT object_id, "
-    + ", ".join(agg_sql(stats.OBJECT_SPEC)
-                + ["max(mjd) FILTER (WHERE detected = 1) - min(mjd) FILTER (WHERE detected = 1) "
-                   "AS diff_mjd_maxmin_detected1"]
-                + agg_sql(stats.OBJECT_SPEC, where="detected = 1", suffix="_detected1",
-                          drop=["detected_mean_detected1"]))
-    + f" FROM (SELECT *, {RATIO_COLS_SQL} FROM lc) GROUP BY object_id) a ON a.object_id = m.object_id",
-    lc="lineitem", meta=True))
-
-
-@register("basic_ts", _BASIC_TS_SQL)
-def q_basic_ts(spark, sf_dir):
-    """G5 + J3: per-object stats, detected-row stats, detected span, ratios."""
-    return stats.basic_ts(lc_lineitem(spark, sf_dir), meta_part(spark, sf_dir))
-
-
-# ---------------------------------------------------------------- basic_ts_passband
 
 def _band_agg_sql() -> list[str]:
     out = []
@@ -50,29 +48,137 @@ def _contrast_sql(stats_list=("max", "min", "mean", "diff", "dif2", "w_mean", "d
     return [f"flux_{s}_{base} - flux_{s}_{t} AS flux_{s}_diff_{base}_{t}" for t in targets for s in stats_list]
 
 
-def _band_features_sql(lc_source: str, contrasts: bool = True, drop_stats=("min", "max", "mean", "diff"),
-                       spec_sql: list[str] | None = None) -> str:
-    """Body over CTE ``lc_src`` (already with ratio columns) and ``meta``."""
+def band_features_sql(src: str, contrasts: bool = True, drop_stats=("min", "max", "mean", "diff")) -> str:
+    """Per-band stats over CTE ``src`` (raw lc columns) restored onto ``meta``."""
     dropped = [f"flux_{s}_{b}" for s in drop_stats for b in BANDS]
-    inner = ("SELECT object_id, " + ", ".join(spec_sql or _band_agg_sql())
-             + f" FROM {lc_source} GROUP BY object_id")
+    inner = (f"SELECT object_id, {', '.join(_band_agg_sql())} FROM (SELECT *, {RATIO_COLS_SQL} FROM {src}) "
+             f"GROUP BY object_id")
     step1 = f"SELECT *, {', '.join(_band_ratio_sql())} FROM ({inner})"
-    # ratio columns of the same SELECT can not be referenced: nest once more for contrasts
     step2 = f"SELECT *{', ' + ', '.join(_contrast_sql()) if contrasts else ''} FROM ({step1})"
-    excl = f" EXCLUDE ({', '.join(dropped)})" if dropped else ""
-    return (f"SELECT m.object_id, f.*{excl.replace('EXCLUDE (', 'EXCLUDE (object_id, ') if dropped else ' EXCLUDE (object_id)'}"
-            f" FROM meta m LEFT JOIN ({step2}) f ON f.object_id = m.object_id")
+    excl = ", ".join(["object_id"] + dropped)
+    return f"SELECT m.object_id, f.* EXCLUDE ({excl}) FROM meta m LEFT JOIN ({step2}) f ON f.object_id = m.object_id"
+
+
+PHOTOZ2_SQL = ("SELECT lc.object_id, lc.mjd, lc.passband, lc.flux * d.dist AS flux, lc.flux_err * d.dist AS flux_err, "
+               "lc.detected FROM {src} lc JOIN (SELECT object_id, nullif(power(hostgal_photoz, 2), 0) AS dist "
+               "FROM meta WHERE hostgal_photoz != 0) d ON d.object_id = lc.object_id")
+DISTMOD_SQL = ("SELECT lc.object_id, lc.mjd, lc.passband, lc.flux * power(10, d.dm / 2.5) AS flux, "
+               "lc.flux_err * power(10, d.dm / 2.5) AS flux_err, lc.detected FROM {src} lc JOIN "
+               "(SELECT object_id, distmod AS dm FROM meta WHERE hostgal_photoz != 0) d ON d.object_id = lc.object_id")
+
+
+def gap_segment_sql(src: str = "lc", gap: float = 100.0) -> list[tuple[str, str]]:
+    """CTEs ending in ``peak_rows``: rows of the gap segment holding the max flux."""
+    return [
+        ("seg0", f"SELECT *, CASE WHEN mjd - lag(mjd) OVER (PARTITION BY object_id ORDER BY mjd, passband) > {gap} "
+                 f"THEN 1 ELSE 0 END AS new_seg FROM {src}"),
+        ("seg1", "SELECT *, sum(new_seg) OVER (PARTITION BY object_id ORDER BY mjd, passband "
+                 "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS segment FROM seg0"),
+        ("seg2", "SELECT *, coalesce(max(flux) OVER (PARTITION BY object_id, segment), 0) AS segmax FROM seg1"),
+        ("seg3", "SELECT *, max(segmax) OVER (PARTITION BY object_id) AS objmax FROM seg2"),
+        ("seg4", "SELECT *, min(CASE WHEN segmax = objmax THEN segment END) OVER (PARTITION BY object_id) AS best "
+                 "FROM seg3"),
+        ("peak_rows", "SELECT object_id, mjd, passband, flux, flux_err, detected FROM seg4 WHERE segment = best"),
+    ]
 
 
-_BASIC_TS_PASSBAND_SQL = rounded(with_ctes(
-    _band_features_sql("lc_r"), lc="lineitem", meta=True,
-    ctes=[("lc_r", f"SELECT *, {RATIO_COLS_SQL} FROM lc")]))
+def peak_window_sql(src: str = "lc", w: float = 100.0) -> list[tuple[str, str]]:
+    return [
+        ("pw0", f"SELECT *, first_value(mjd) OVER (PARTITION BY object_id ORDER BY flux DESC, mjd ASC) AS peak FROM {src}"),
+        ("peak_rows", f"SELECT object_id, mjd, passband, flux, flux_err, detected FROM pw0 "
+                      f"WHERE mjd >= peak - {w} AND mjd < peak + {w}"),
+    ]
+
+
+def _q(body: str, ctes=None) -> str:
+    return rounded(with_ctes(body, lc="lineitem", meta=True, ctes=ctes))
+
+
+def _lc_meta(spark, sf_dir):
+    return lc_lineitem(spark, sf_dir), meta_part(spark, sf_dir)
+
+
+NO_DET = stats.OBJECT_SPEC_NO_DETECTED
+
+# ---------------------------------------------------------------- registrations
+
+
+@register("basic_ts", _q(object_stats_sql("lc", detected_span=True, drop=("detected_mean_detected1",))))
+def q_basic_ts(spark, sf_dir):
+    """G5 + J3 (flagship): per-object stats, detected-row stats, detected span, ratios."""
+    return stats.basic_ts(*_lc_meta(spark, sf_dir))
 
 
-@register("basic_ts_passband", _BASIC_TS_PASSBAND_SQL)
+@register("basic_ts_passband", _q(band_features_sql("lc")))
 def q_basic_ts_passband(spark, sf_dir):
-    """Per-band stats pivoted to columns, ratios and band-5 contrasts."""
-    return stats.basic_ts_passband(lc_lineitem(spark, sf_dir), meta_part(spark, sf_dir))
+    """Per-band stats as columns, ratios, band-5 contrasts."""
+    return stats.basic_ts_passband(*_lc_meta(spark, sf_dir))
+
+
+@register("fluxfactor", _q(object_stats_sql("ff", NO_DET, drop=scaling.FLUXFACTOR_DROP),
+                           [("ff", PHOTOZ2_SQL.format(src="lc"))]))
+def q_fluxfactor(spark, sf_dir):
+    """G10 + G11: stats of photoz^2-scaled flux of extragalactic objects."""
+    return scaling.fluxfactor(*_lc_meta(spark, sf_dir))
+
+
+@register("fluxfactor_passband", _q(band_features_sql("ff", drop_stats=()), [("ff", PHOTOZ2_SQL.format(src="lc"))]))
+def q_fluxfactor_passband(spark, sf_dir):
+    """Band features of photoz^2-scaled flux."""
+    return scaling.fluxfactor_passband(*_lc_meta(spark, sf_dir))
+
+
+@register("scale_by_distmod", _q(object_stats_sql("dm", NO_DET, drop=scaling.FLUXFACTOR_DROP),
+                                 [("dm", DISTMOD_SQL.format(src="lc"))]))
+def q_scale_by_distmod(spark, sf_dir):
+    """G13 + G14: stats of distance-modulus-scaled flux (sign kept)."""
+    return scaling.fluxfactor_v2(*_lc_meta(spark, sf_dir))
+
+
+@register("fluxfactor_passband_v2", _q(band_features_sql("dm"), [("dm", DISTMOD_SQL.format(src="lc"))]))
+def q_fluxfactor_passband_v2(spark, sf_dir):
+    """G14 (band form)."""
+    return scaling.fluxfactor_passband_v2(*_lc_meta(spark, sf_dir))
+
+
+@register("maxpoint_gap", _q(object_stats_sql("peak_rows", NO_DET), gap_segment_sql()))
+def q_maxpoint_gap(spark, sf_dir):
+    """G15 + G17: stats on the 100-day gap segment holding the peak."""
+    return peaks.maxpoint(*_lc_meta(spark, sf_dir), mode="gap", width=100.0)
+
+
+@register("maxpoint_window", _q(object_stats_sql("peak_rows", NO_DET), peak_window_sql(w=200.0)))
+def q_maxpoint_window(spark, sf_dir):
+    """G16 + G17: stats on rows within 200 days of the peak."""
+    return peaks.maxpoint(*_lc_meta(spark, sf_dir), mode="window", width=200.0)
+
+
+@register("maxpoint_passband", _q(band_features_sql("peak_rows", contrasts=False, drop_stats=()), gap_segment_sql()))
+def q_maxpoint_passband(spark, sf_dir):
+    """Band stats on the gap segment of the peak."""
+    return peaks.maxpoint_passband(*_lc_meta(spark, sf_dir))
+
+
+_PM_SQL = ("SELECT p.object_id, p.mjd, p.passband, (CASE WHEN p.flux < 1 THEN 2.5 * log10(2 - p.flux) "
+           "ELSE -2.5 * log10(p.flux) END) - m.distmod AS flux, p.flux_err, p.detected "
+           "FROM peak_rows p JOIN meta m ON m.object_id = p.object_id WHERE p.detected = 1")
+
+
+@register("maxpoint_passband_v2", _q(band_features_sql("pm", drop_stats=()), peak_window_sql(w=100.0) + [("pm", _PM_SQL)]))
+def q_maxpoint_passband_v2(spark, sf_dir):
+    """Detected peak-window rows as pure magnitude, band features."""
+    return peaks.maxpoint_passband_v2(*_lc_meta(spark, sf_dir), half_width=100.0)
+
+
+@register("fluxfactor_maxpoint", _q(object_stats_sql("ffp", NO_DET),
+                                    gap_segment_sql() + [("ffp", PHOTOZ2_SQL.format(src="peak_rows"))]))
+def q_fluxfactor_maxpoint(spark, sf_dir):
+    """photoz^2 scaling on the peak segment, object stats."""
+    return peaks.fluxfactor_maxpoint(*_lc_meta(spark, sf_dir))
 
 
-__all__ = ["div"]
+@register("fluxfactor_maxpoint_passband", _q(band_features_sql("ffp", contrasts=False, drop_stats=()),
+                                             gap_segment_sql() + [("ffp", PHOTOZ2_SQL.format(src="peak_rows"))]))
+def q_fluxfactor_maxpoint_passband(spark, sf_dir):
+    """G20 (band form)."""
+    return peaks.fluxfactor_maxpoint_passband(*_lc_meta(spark, sf_dir))
