@@ -129,35 +129,55 @@ def distmod_flat_lcdm(z, h0: float = 70.0, om0: float = 0.3, steps: int = 256) -
     return F.when(zc > 0, F.lit(5.0) * F.log10(dl_mpc) + F.lit(25.0))
 
 
+def _snap_expr(c: Column, bits: int) -> Column:
+    # relative grid of ``bits`` bits, but never finer than 2^-30 absolute, so
+    # values that are zero up to float noise (e.g. the skew of a symmetric
+    # sample) snap to exactly 0 in both engines.
+    scale = F.pow(F.lit(2.0), F.least(F.lit(float(bits)) - F.floor(F.log2(F.abs(c))), F.lit(30.0)))
+    return F.when((c == 0) | c.isNull(), c).otherwise(F.round(c * scale) / scale)
+
+
 def snap(x, bits: int = 20) -> Column:
     """Round a double to ``bits`` significant binary digits (about 6 decimal).
 
     Scaling by a power of two is exact, so two engines whose results differ
     only by float noise (summation order) give bit-identical outputs; unlike
     decimal rounding there are no ties on values such as 0.1234565.
+    The input is referenced once (through a one-element lambda) so that wide
+    result projections stay small for the optimizer.
     """
-    c = col(x)
-    # relative grid of ``bits`` bits, but never finer than 2^-30 absolute, so
-    # values that are zero up to float noise (e.g. the skew of a symmetric
-    # sample) snap to exactly 0 in both engines.
-    scale = F.pow(F.lit(2.0), F.least(F.lit(float(bits)) - F.floor(F.log2(F.abs(c))), F.lit(30.0)))
-    return F.when((c == 0) | c.isNull(), c).otherwise(F.round(c * scale) / scale)
+    return F.element_at(F.transform(F.array(col(x)), lambda v: _snap_expr(v, bits)), 1)
+
+
+def snap_sql_spark(name: str, bits: int = 20) -> str:
+    """Spark SQL text of :func:`snap` for column ``name`` (one parse per column)."""
+    c = f"`{name}`"
+    scale = f"pow(2D, least({bits}D - floor(log2(abs({c}))), 30D))"
+    return f"CASE WHEN {c} = 0 OR {c} IS NULL THEN {c} ELSE round({c} * {scale}) / {scale} END AS {c}"
 
 
 def round_all(df, bits: int = 20, exclude: tuple[str, ...] = ()):
     """Snap every double column (and arrays of doubles) to ``bits`` significant bits.
 
     Used by registered queries so that the DuckDB oracle comparison is exact.
+    Built as SQL text in one ``selectExpr`` so that wide results (hundreds of
+    columns) cost one analysis pass, not one Python round trip per function.
     """
     out = []
     for f in df.schema.fields:
         t = f.dataType.typeName()
+        c = f"`{f.name}`"
         if f.name in exclude:
-            out.append(F.col(f.name))
-        elif t in ("double", "float"):
-            out.append(snap(F.col(f.name).cast("double"), bits).alias(f.name))
+            out.append(c)
+        elif t == "double":
+            out.append(snap_sql_spark(f.name, bits))
+        elif t == "float":
+            out.append(snap_sql_spark(f.name, bits).replace(f"`{f.name}`", f"CAST(`{f.name}` AS DOUBLE)")
+                       .rsplit(" AS ", 1)[0] + f" AS {c}")
         elif t == "array" and f.dataType.elementType.typeName() == "double":
-            out.append(F.transform(F.col(f.name), lambda e: snap(e, bits)).alias(f.name))
+            scale = f"pow(2D, least({bits}D - floor(log2(abs(v))), 30D))"
+            out.append(f"transform({c}, v -> CASE WHEN v = 0 OR v IS NULL THEN v ELSE round(v * {scale}) / {scale} END)"
+                       f" AS {c}")
         else:
-            out.append(F.col(f.name))
-    return df.select(*out)
+            out.append(c)
+    return df.selectExpr(*out)
