@@ -51,4 +51,6 @@ def oracles() -> dict[str, str]:
 
 def _load() -> None:
     # Importing the modules registers their queries.
-    from . import queries_eval, queries_features, queries_research, queries_series, queries_time  # noqa: F401
+    from . import (  # noqa: F401
+        queries_eval, queries_features, queries_research, queries_series, queries_stream, queries_time,
+    )
