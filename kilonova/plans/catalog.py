@@ -52,6 +52,7 @@ def oracles() -> dict[str, str]:
 def _load() -> None:
     # Importing the modules registers their queries.
     from . import (  # noqa: F401
-        queries_eval, queries_features, queries_research, queries_sequences, queries_series, queries_stream,
+        queries_eval, queries_features, queries_research, queries_sequences, queries_series, queries_spectral,
+        queries_stream,
         queries_time,
     )
