@@ -134,7 +134,9 @@ def _snap_expr(c: Column, bits: int) -> Column:
     # values that are zero up to float noise (e.g. the skew of a symmetric
     # sample) snap to exactly 0 in both engines.
     scale = F.pow(F.lit(2.0), F.least(F.lit(float(bits)) - F.floor(F.log2(F.abs(c))), F.lit(30.0)))
-    return F.when((c == 0) | c.isNull(), c).otherwise(F.round(c * scale) / scale)
+    # -0.0 is written as 0.0 so that both engines hash zeros alike
+    r = F.round(c * scale)
+    return F.when((c == 0) | (r == 0), F.lit(0.0)).when(c.isNull(), c).otherwise(r / scale)
 
 
 def snap(x, bits: int = 20) -> Column:
@@ -153,7 +155,8 @@ def snap_sql_spark(name: str, bits: int = 20) -> str:
     """Spark SQL text of :func:`snap` for column ``name`` (one parse per column)."""
     c = f"`{name}`"
     scale = f"pow(2D, least({bits}D - floor(log2(abs({c}))), 30D))"
-    return f"CASE WHEN {c} = 0 OR {c} IS NULL THEN {c} ELSE round({c} * {scale}) / {scale} END AS {c}"
+    return (f"CASE WHEN {c} = 0 OR round({c} * {scale}) = 0 THEN 0D WHEN {c} IS NULL THEN {c} "
+            f"ELSE round({c} * {scale}) / {scale} END AS {c}")
 
 
 def round_all(df, bits: int = 20, exclude: tuple[str, ...] = ()):
@@ -176,7 +179,8 @@ def round_all(df, bits: int = 20, exclude: tuple[str, ...] = ()):
                        .rsplit(" AS ", 1)[0] + f" AS {c}")
         elif t == "array" and f.dataType.elementType.typeName() == "double":
             scale = f"pow(2D, least({bits}D - floor(log2(abs(v))), 30D))"
-            out.append(f"transform({c}, v -> CASE WHEN v = 0 OR v IS NULL THEN v ELSE round(v * {scale}) / {scale} END)"
+            out.append(f"transform({c}, v -> CASE WHEN v = 0 OR round(v * {scale}) = 0 THEN 0D WHEN v IS NULL THEN v "
+                       f"ELSE round(v * {scale}) / {scale} END)"
                        f" AS {c}")
         else:
             out.append(c)

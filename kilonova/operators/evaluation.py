@@ -28,26 +28,27 @@ def order_key(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")))
 
 
-def distributed_rank(df: DataFrame, order: str, group: str | None = None, partitions: int | None = None) -> DataFrame:
+def distributed_rank(df: DataFrame, order: str, group: str | None = None, hex_digits: int = 3) -> DataFrame:
     """0-based rank of each row by ``order`` within ``group`` without a per-group task.
 
-    Rows are range-partitioned on (group, order) -- a hot group is spread over
-    many partitions -- then each partition counts its rows per group; the
-    prefix sums of those counts (a table of partitions x groups rows) give each
-    partition's starting rank, added to the local row number.
+    ``order`` is a hex hash string (``order_key``), so its first ``hex_digits``
+    characters split every group into 16^hex_digits ordered, evenly filled
+    buckets: a hot group is spread over thousands of tasks.  Each bucket
+    counts its rows; the prefix sums of those counts (a table of groups x
+    buckets rows, bounded by the bucket count) give each bucket's first rank,
+    added to the row number inside the bucket.  Everything is a deterministic
+    function of the data, so a recomputed partition gets the same ranks.
     """
-    keys = ([group] if group else []) + [order]
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
     gcol = [group] if group else []
-    counts = ranged.groupBy("_pid", *gcol).agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(*gcol).orderBy("_pid") if gcol else Window.orderBy("_pid")
+    keyed = df.withColumn("_b", F.substring(F.col(order), 1, hex_digits))
+    counts = keyed.groupBy(*gcol, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    w = Window.partitionBy(*gcol).orderBy("_b") if gcol else Window.orderBy("_b")
     offsets = counts.withColumn("_off", F.sum("_cnt").over(w) - F.col("_cnt")).drop("_cnt")
-    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_pid", *gcol).orderBy(order)) - 1)
-    # offsets has (#partitions x #groups) rows: bounded by the partition count, broadcast.
-    return (local.join(F.broadcast(offsets), ["_pid", *gcol], "inner")
+    local = keyed.withColumn("_local", F.row_number().over(Window.partitionBy(*gcol, "_b").orderBy(order)) - 1)
+    # offsets: at most #groups x 16^hex_digits rows -> broadcast
+    return (local.join(F.broadcast(offsets), [*gcol, "_b"], "inner")
             .withColumn("rank", (F.col("_off") + F.col("_local")).cast("long"))
-            .drop("_pid", "_off", "_local"))
+            .drop("_b", "_off", "_local"))
 
 
 def stratified_folds(df: DataFrame, id_col: str = "object_id", label: str = "target", k: int = 5,

@@ -56,7 +56,8 @@ RATIO_COLS_SQL = ("power(flux / nullif(flux_err, 0), 2) AS flux_ratio_sq, "
 def snap_sql(x: str, bits: int = 20) -> str:
     """DuckDB twin of ``functions.core.snap`` (``bits`` significant binary digits)."""
     scale = f"pow(2, least({bits} - floor(log2(abs({x}))), 30))"
-    return f"CASE WHEN {x} = 0 OR {x} IS NULL THEN {x} ELSE round({x} * {scale}) / {scale} END"
+    return (f"CASE WHEN {x} = 0 OR round({x} * {scale}) = 0 THEN 0.0::DOUBLE WHEN {x} IS NULL THEN {x} "
+            f"ELSE round({x} * {scale}) / {scale} END")
 
 
 def rounded(query: str, keys: Iterable[str] = ("object_id",), bits: int = 20) -> str:
