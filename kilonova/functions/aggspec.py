@@ -1,9 +1,14 @@
-"""Declarative aggregate spec ``{column: [agg, ...]}`` compiled to Spark Columns.
+"""Declarative aggregate spec ``{column: [agg, ...]}`` compiled to Spark aggregate
+expressions.
 
-Names follow ``<column>_<agg>[<suffix>]``.  A condition turns every aggregate
-into a conditional one (``agg(CASE WHEN cond THEN x END)``) so that several
-row subsets (all rows, detected rows, one band, ...) are aggregated in the
-same ``groupBy`` -- one shuffle instead of one per subset plus a join.
+Names follow ``<column>_<agg>[<suffix>]``.  A condition (SQL text) turns every
+aggregate into a conditional one (``agg(CASE WHEN cond THEN x END)``) so that
+several row subsets (all rows, detected rows, one band, ...) are aggregated in
+the same ``groupBy`` -- one shuffle instead of one per subset plus a join.
+
+Expressions are emitted as SQL text (``F.expr``): a wide feature set is a few
+hundred expressions, and text is parsed once in the JVM instead of being
+assembled from thousands of Python-to-JVM calls.
 """
 from __future__ import annotations
 
@@ -12,44 +17,42 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import col, skew_adj
-
-
-def _agg(name: str, x: Column) -> Column:
-    if name == "min":
-        return F.min(x)
-    if name == "max":
-        return F.max(x)
-    if name == "mean":
-        return F.avg(x)
-    if name == "sum":
-        return F.sum(x)
-    if name == "median":
-        return F.median(x)
-    if name == "std":
-        return F.stddev_samp(x)
-    if name == "std_pop":
-        return F.stddev_pop(x)
-    if name == "skew":
-        return skew_adj(x)
-    if name in ("count", "size"):
-        return F.count(x)
-    raise ValueError(f"unknown aggregate {name!r}")
+_AGG_SQL = {
+    "min": "min({x})",
+    "max": "max({x})",
+    "mean": "avg({x})",
+    "sum": "sum({x})",
+    "median": "median({x})",
+    "std": "stddev_samp({x})",
+    "std_pop": "stddev_pop({x})",
+    # bias-adjusted sample skewness (pandas): g1 * sqrt(n(n-1)) / (n-2); NULL for n < 3
+    "skew": ("CASE WHEN count({x}) >= 3 THEN skewness({x}) * sqrt(CAST(count({x}) AS DOUBLE) * (count({x}) - 1)) "
+             "/ (count({x}) - 2) END"),
+    "count": "count({x})",
+    "size": "count({x})",
+}
+
+
+def agg_text(name: str, x: str) -> str:
+    if name not in _AGG_SQL:
+        raise ValueError(f"unknown aggregate {name!r}")
+    return _AGG_SQL[name].format(x=x)
 
 
 def flat_name(column: str, agg: str, suffix: str = "") -> str:
     return f"{column}_{agg}{suffix}"
 
 
-def compile_aggs(spec: Mapping[str, Iterable[str]], cond: Column | None = None,
+def compile_aggs(spec: Mapping[str, Iterable[str]], cond: str | None = None,
                  suffix: str = "", drop: Iterable[str] = ()) -> list[Column]:
+    """``cond`` is a SQL boolean expression (e.g. ``"detected = 1"``)."""
     drop = set(drop)
     out = []
     for c, aggs in spec.items():
+        x = f"`{c}`" if cond is None else f"CASE WHEN {cond} THEN `{c}` END"
         for a in aggs:
             name = flat_name(c, a, suffix)
             if name in drop:
                 continue
-            x = col(c) if cond is None else F.when(cond, col(c))
-            out.append(_agg(a, x).alias(name))
+            out.append(F.expr(f"{agg_text(a, x)} AS `{name}`"))
     return out

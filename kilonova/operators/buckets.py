@@ -33,20 +33,19 @@ def bucket_pivot(lc: DataFrame, width_days: float = 14.0, origin: float = 0.0) -
     """One row per (object, bucket) with mean flux / flux_err per band as columns."""
     aggs = []
     for b in BANDS:
-        aggs.append(F.avg(F.when(F.col("passband") == b, F.col("flux"))).alias(f"flux_{b}"))
-        aggs.append(F.avg(F.when(F.col("passband") == b, F.col("flux_err"))).alias(f"flux_err_{b}"))
+        aggs.append(F.expr(f"avg(CASE WHEN passband = {b} THEN flux END) AS flux_{b}"))
+        aggs.append(F.expr(f"avg(CASE WHEN passband = {b} THEN flux_err END) AS flux_err_{b}"))
     return lc.groupBy("object_id", bucket_index(width_days, origin).alias("bucket")).agg(*aggs)
 
 
 def bucket_band_diff_long(pivot: DataFrame) -> DataFrame:
     """G27 in long form: one row per (object, bucket, pair) with flux difference,
     quadrature error, ratio_sq and flux*ratio_sq."""
-    structs = []
-    for (b, t), name in zip(BAND_PAIRS, PAIR_NAMES):
-        diff = F.col(f"flux_{t}") - F.col(f"flux_{b}")
-        err = F.sqrt(F.pow(F.col(f"flux_err_{t}"), 2) + F.pow(F.col(f"flux_err_{b}"), 2))
-        structs.append(F.struct(F.lit(name).alias("pair"), diff.alias("flux"), err.alias("flux_err")))
-    long = pivot.select("object_id", "bucket", F.inline(F.array(*structs)))
+    structs = ", ".join(
+        f"named_struct('pair', '{name}', 'flux', flux_{t} - flux_{b}, "
+        f"'flux_err', sqrt(pow(flux_err_{t}, 2) + pow(flux_err_{b}, 2)))"
+        for (b, t), name in zip(BAND_PAIRS, PAIR_NAMES))
+    long = pivot.selectExpr("object_id", "bucket", f"inline(array({structs}))")
     r2 = F.pow(safe_div("flux", "flux_err"), 2.0)
     return long.withColumns({"flux_ratio_sq": r2, "flux_by_flux_ratio_sq": F.col("flux") * r2})
 

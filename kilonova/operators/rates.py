@@ -47,15 +47,14 @@ def flux_curvature(lc: DataFrame, max_gap: float = 100.0) -> DataFrame:
 
 
 def _diff_exprs(col: str, suffix: str) -> dict:
-    mx, mn, mean = (F.col(f"{col}_{a}{suffix}") for a in ("max", "min", "mean"))
-    return {f"{col}_diff{suffix}": mx - mn, f"{col}_dif2{suffix}": safe_div(mx - mn, mean)}
+    mx, mn, mean = (f"{col}_{a}{suffix}" for a in ("max", "min", "mean"))
+    return {f"{col}_diff{suffix}": F.expr(f"{mx} - {mn}"), f"{col}_dif2{suffix}": F.expr(f"try_divide({mx} - {mn}, {mean})")}
 
 
 def rate_object_features(rows: DataFrame, col: str, ids: DataFrame | None = None) -> DataFrame:
     """G22 shape: 6 stats of ``col`` on all and on detected rows, diff and dif2 (16 columns)."""
     spec = {col: RATE_AGGS}
-    det = F.col("detected") == 1
-    agg = rows.groupBy("object_id").agg(*compile_aggs(spec), *compile_aggs(spec, cond=det, suffix="_detected1"))
+    agg = rows.groupBy("object_id").agg(*compile_aggs(spec), *compile_aggs(spec, cond="detected = 1", suffix="_detected1"))
     out = agg.withColumns(_diff_exprs(col, "")).withColumns(_diff_exprs(col, "_detected1"))
     return restore_objects(out, ids)
 
@@ -66,13 +65,13 @@ def rate_band_features(rows: DataFrame, col: str, ids: DataFrame | None = None,
     spec = {col: RATE_AGGS}
     aggs = []
     for b in BANDS:
-        aggs += compile_aggs(spec, cond=F.col("passband") == b, suffix=f"_{b}")
+        aggs += compile_aggs(spec, cond=f"passband = {b}", suffix=f"_{b}")
     out = rows.groupBy("object_id").agg(*aggs)
     for b in BANDS:
         out = out.withColumns(_diff_exprs(col, f"_{b}"))
     if contrasts:
         out = out.withColumns({
-            f"{col}_{s}_diff_{base}_{t}": F.col(f"{col}_{s}_{base}") - F.col(f"{col}_{s}_{t}")
+            f"{col}_{s}_diff_{base}_{t}": F.expr(f"{col}_{s}_{base} - {col}_{s}_{t}")
             for t in targets for s in ("max", "min", "mean", "median", "diff", "dif2")})
     return restore_objects(out, ids)
 

@@ -150,18 +150,16 @@ def lightcurve_summary(lc: DataFrame, ids: DataFrame | None = None) -> DataFrame
     })
     aggs = []
     for b, name in zip(BANDS, BAND_LETTERS):
-        inb = F.col("passband") == b
-        aggs += [
-            F.max(F.when(inb, F.col("_m"))).alias(f"{name}Mean"),
-            F.stddev_samp(F.when(inb, safe_div("flux", "flux_err"))).alias(f"{name}Std"),
-            safe_div(F.max(F.when(inb, F.col("flux"))) - F.min(F.when(inb, F.col("flux"))),
-                     F.max(F.when(inb, F.col("_m")))).alias(f"{name}Amp"),
-            F.median(F.when(inb, F.abs(safe_div(F.col("flux") - F.col("_med"), F.col("_m"))))).alias(f"{name}MAD"),
-            F.avg(F.when(inb, F.when(F.abs(F.col("flux") - F.col("_m")) > F.col("_std"), 1.0).otherwise(0.0)))
-            .alias(f"{name}Beyond"),
-            F.when(F.count(F.when(inb, F.col("flux"))) >= 3, F.skewness(F.when(inb, F.col("flux"))))
-            .alias(f"{name}Skew"),
-        ]
+        def on(x, b=b):
+            return f"CASE WHEN passband = {b} THEN {x} END"
+        aggs += [F.expr(e) for e in (
+            f"max({on('_m')}) AS {name}Mean",
+            f"stddev_samp({on('try_divide(flux, flux_err)')}) AS {name}Std",
+            f"try_divide(max({on('flux')}) - min({on('flux')}), max({on('_m')})) AS {name}Amp",
+            f"median({on('abs(try_divide(flux - _med, _m))')}) AS {name}MAD",
+            f"avg({on('CASE WHEN abs(flux - _m) > _std THEN 1D ELSE 0D END')}) AS {name}Beyond",
+            f"CASE WHEN count({on('flux')}) >= 3 THEN skewness({on('flux')}) END AS {name}Skew",
+        )]
     agg = rows.groupBy("object_id").agg(*aggs)
     colours = {}
     for a, b in zip(BAND_LETTERS[:-1], BAND_LETTERS[1:]):

@@ -38,7 +38,7 @@ CADENCE = (["avg_double_to_single_step", "avg_err", "avgt"] + [f"cad_probs_{m}"
 def _pivot_bands(long: DataFrame, names: list[str]) -> DataFrame:
     """(object_id, passband, f1..fn) -> object_id, f1_u .. fn_y (one aggregate, no shuffle
     when the input is already partitioned by object_id)."""
-    aggs = [F.first(F.when(F.col("passband") == b, F.col(n)), ignorenulls=True).alias(f"{n}_{letter}")
+    aggs = [F.expr(f"first(CASE WHEN passband = {b} THEN {n} END, true) AS {n}_{letter}")
             for n in names for b, letter in zip(BANDS, BAND_LETTERS)]
     return long.groupBy("object_id").agg(*aggs)
 

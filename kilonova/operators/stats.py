@@ -40,25 +40,24 @@ def with_ratio_columns(lc: DataFrame) -> DataFrame:
 
 
 def ratio_exprs(suffix: str = "") -> dict[str, Column]:
-    """Diff, dif2, w_mean, dif3 from already aggregated columns."""
-    mx, mn, mean = (F.col(f"flux_{a}{suffix}") for a in ("max", "min", "mean"))
-    diff = mx - mn
-    w_mean = safe_div(F.col(f"flux_by_flux_ratio_sq_sum{suffix}"), F.col(f"flux_ratio_sq_sum{suffix}"))
+    """Diff, dif2, w_mean, dif3 from already aggregated columns (SQL text)."""
+    mx, mn, mean = (f"flux_{a}{suffix}" for a in ("max", "min", "mean"))
+    w_mean = f"try_divide(flux_by_flux_ratio_sq_sum{suffix}, flux_ratio_sq_sum{suffix})"
     return {
-        f"flux_diff{suffix}": diff,
-        f"flux_dif2{suffix}": safe_div(diff, mean),
-        f"flux_w_mean{suffix}": w_mean,
-        f"flux_dif3{suffix}": safe_div(diff, w_mean),
+        f"flux_diff{suffix}": F.expr(f"{mx} - {mn}"),
+        f"flux_dif2{suffix}": F.expr(f"try_divide({mx} - {mn}, {mean})"),
+        f"flux_w_mean{suffix}": F.expr(w_mean),
+        f"flux_dif3{suffix}": F.expr(f"try_divide({mx} - {mn}, {w_mean})"),
     }
 
 
 def object_stats_aggs(spec=OBJECT_SPEC, detected_variant: bool = True,
                       detected_span: bool = True, drop=("detected_mean_detected1",)) -> list[Column]:
-    det = F.col("detected") == 1
+    det = "detected = 1"
     aggs = compile_aggs(spec)
     if detected_span:
-        aggs.append((F.max(F.when(det, F.col("mjd"))) - F.min(F.when(det, F.col("mjd"))))
-                    .alias("diff_mjd_maxmin_detected1"))
+        aggs.append(F.expr("max(CASE WHEN detected = 1 THEN mjd END) - min(CASE WHEN detected = 1 THEN mjd END) "
+                           "AS diff_mjd_maxmin_detected1"))
     if detected_variant:
         aggs += compile_aggs(spec, cond=det, suffix="_detected1", drop=set(drop) & {"detected_mean_detected1"})
     return aggs
@@ -100,7 +99,7 @@ def object_stats(lc: DataFrame, meta: DataFrame | None = None, detected: bool =
 def band_stats_aggs(spec=BAND_SPEC, bands=BANDS) -> list[Column]:
     aggs = []
     for b in bands:
-        aggs += compile_aggs(spec, cond=F.col("passband") == b, suffix=f"_{b}")
+        aggs += compile_aggs(spec, cond=f"passband = {b}", suffix=f"_{b}")
     return aggs
 
 
@@ -117,7 +116,7 @@ def band_contrast_exprs(stats=("max", "min", "mean", "diff", "dif2", "w_mean", "
     out = {}
     for t in targets:
         for s in stats:
-            out[f"flux_{s}_diff_{base}_{t}"] = F.col(f"flux_{s}_{base}") - F.col(f"flux_{s}_{t}")
+            out[f"flux_{s}_diff_{base}_{t}"] = F.expr(f"flux_{s}_{base} - flux_{s}_{t}")
     return out
 
 

@@ -32,11 +32,8 @@ def time_above_quantile(lc: DataFrame, ids: DataFrame | None = None, q_list=QUAN
     lc = lc.repartition("object_id")
     qs = F.percentile(F.col("flux"), F.array(*[F.lit(float(q)) for q in q_list]))
     rows = lc.withColumn("_q", qs.over(Window.partitionBy("object_id")))
-    aggs = []
-    for i, q in enumerate(q_list):
-        above = F.col("flux") > F.col("_q")[i]
-        aggs.append((F.max(F.when(above, F.col("mjd"))) - F.min(F.when(above, F.col("mjd"))))
-                    .alias(f"mjd_diff_{_num(q)}"))
+    aggs = [F.expr(f"max(CASE WHEN flux > _q[{i}] THEN mjd END) - min(CASE WHEN flux > _q[{i}] THEN mjd END) "
+                   f"AS mjd_diff_{_num(q)}") for i, q in enumerate(q_list)]
     return restore_objects(rows.groupBy("object_id").agg(*aggs), ids)
 
 
@@ -45,11 +42,8 @@ def time_above_amplitude(lc: DataFrame, ids: DataFrame | None = None, fractions=
     lc = lc.repartition("object_id")
     w = Window.partitionBy("object_id")
     rows = lc.withColumn("_amp", F.max("flux").over(w) - F.min("flux").over(w))
-    aggs = []
-    for f in fractions:
-        above = F.col("flux") > F.col("_amp") * f
-        aggs.append((F.max(F.when(above, F.col("mjd"))) - F.min(F.when(above, F.col("mjd"))))
-                    .alias(f"mjd_diff_amp_{_num(f)}"))
+    aggs = [F.expr(f"max(CASE WHEN flux > _amp * {f!r} THEN mjd END) - min(CASE WHEN flux > _amp * {f!r} THEN mjd END) "
+                   f"AS mjd_diff_amp_{_num(f)}") for f in fractions]
     return restore_objects(rows.groupBy("object_id").agg(*aggs), ids)
 
 
@@ -65,28 +59,22 @@ def time_from_peak(lc: DataFrame, ids: DataFrame | None = None, levels=PEAK_LEVE
         "_fmax": F.max("flux").over(w),
         "_fmin": F.min("flux").over(w),
     })
-    aggs = []
+    aggs, out = [], ["object_id"]
     for b in BANDS:
-        in_band = F.col("passband") == b
-        aggs.append(F.max(F.when(in_band, F.col("_peak"))).alias(f"_peak_{b}"))
+        aggs.append(F.expr(f"max(CASE WHEN passband = {b} THEN _peak END) AS _peak_{b}"))
         for which in ("after", "before"):
             for p in levels:
-                thr = F.col("_fmin") + (F.col("_fmax") - F.col("_fmin")) * p
-                low = in_band & (F.col("flux") < thr)
+                low = f"passband = {b} AND flux < _fmin + (_fmax - _fmin) * {p!r}"
+                n = f"_{which}_{_num(p)}_{b}"
+                name = f"time_from_peak_{which}_thres{_num(p)}_pass{b}"
                 if which == "after":
-                    e = F.min(F.when(low & (F.col("mjd") > F.col("_peak")), F.col("mjd")))
+                    aggs.append(F.expr(f"min(CASE WHEN {low} AND mjd > _peak THEN mjd END) AS {n}"))
+                    out.append(f"{n} - _peak_{b} AS {name}")
                 else:
-                    e = F.max(F.when(low & (F.col("mjd") < F.col("_peak")), F.col("mjd")))
-                aggs.append(e.alias(f"_{which}_{_num(p)}_{b}"))
+                    aggs.append(F.expr(f"max(CASE WHEN {low} AND mjd < _peak THEN mjd END) AS {n}"))
+                    out.append(f"_peak_{b} - {n} AS {name}")
     agg = rows.groupBy("object_id").agg(*aggs)
-    out = [F.col("object_id")]
-    for b in BANDS:
-        for which in ("after", "before"):
-            for p in levels:
-                v = F.col(f"_{which}_{_num(p)}_{b}")
-                d = v - F.col(f"_peak_{b}") if which == "after" else F.col(f"_peak_{b}") - v
-                out.append(d.alias(f"time_from_peak_{which}_thres{_num(p)}_pass{b}"))
-    return restore_objects(agg.select(*out), ids)
+    return restore_objects(agg.selectExpr(*out), ids)
 
 
 def diff_peak(lc: DataFrame, ids: DataFrame | None = None) -> DataFrame:
