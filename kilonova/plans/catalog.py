@@ -17,6 +17,7 @@ from ..functions.core import round_all
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, QueryFn] = {}
+_RAW: dict[str, QueryFn] = {}
 _ORACLES: dict[str, str] = {}
 
 
@@ -32,6 +33,7 @@ def register(name: str, oracle: str | None = None, bits: int | None = 20):
             wrapped.__name__ = fn.__name__
             wrapped.__doc__ = fn.__doc__
         _QUERIES[name] = wrapped
+        _RAW[name] = fn
         if oracle is not None:
             _ORACLES[name] = oracle
         return fn
@@ -44,6 +46,13 @@ def queries() -> dict[str, QueryFn]:
     return dict(_QUERIES)
 
 
+def raw_queries() -> dict[str, QueryFn]:
+    """The same queries without the output snapping used for the oracle check
+    (what a pipeline would run; used by the benchmark)."""
+    _load()
+    return dict(_RAW)
+
+
 def oracles() -> dict[str, str]:
     _load()
     return dict(_ORACLES)
