@@ -58,10 +58,18 @@ def oracles() -> dict[str, str]:
     return dict(_ORACLES)
 
 
+_LOADING = False
+
+
 def _load() -> None:
+    global _LOADING
+    if _LOADING:
+        return
+    _LOADING = True
     # Importing the modules registers their queries.
     from . import (  # noqa: F401
         queries_eval, queries_features, queries_research, queries_sequences, queries_series, queries_spectral,
         queries_stream,
         queries_time,
     )
+    from . import queries_prep  # noqa: F401  (embeds other queries' oracle text)
