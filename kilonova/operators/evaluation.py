@@ -91,7 +91,12 @@ def centroid_probabilities(features: DataFrame, label: str, cols: list[str], cla
     The fitted model is (k x) at most 14 centroid rows collected into a
     scalar-subquery array, so scoring is a per-row array transform, not a join.
     Returns long form (object_id, class, p).
+
+    The per-object feature table is read by several scalar subqueries and by
+    the scoring pass, so it is checkpointed once into the shared
+    ``spark.checkpoint.dir`` (reliable: computed once, lineage cut for retries).
     """
+    features = features.checkpoint(eager=True)
     st = features.agg(F.struct(*[F.avg(c).alias(f"{c}_m") for c in cols],
                                *[F.stddev_pop(c).alias(f"{c}_s") for c in cols])).scalar()
     z = {c: F.coalesce(safe_div(F.col(c) - st[f"{c}_m"], st[f"{c}_s"]), F.lit(0.0)) for c in cols}
@@ -126,6 +131,7 @@ def centroid_ensemble(features: DataFrame, label: str, cols: list[str], fold_col
     """M12 with the centroid models of M7: every row is scored by all k fold
     models (each fitted without its fold) and the class probabilities are
     averaged over the models.  Long form (object_id, class, p)."""
+    features = features.checkpoint(eager=True)
     st = features.agg(F.struct(*[F.avg(c).alias(f"{c}_m") for c in cols],
                                *[F.stddev_pop(c).alias(f"{c}_s") for c in cols])).scalar()
     zf = features.select(id_col, label, fold_col, *[

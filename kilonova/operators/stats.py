@@ -14,6 +14,30 @@ from pyspark.sql import functions as F
 
 from ..functions.aggspec import compile_aggs
 from ..functions.core import BANDS, safe_div
+from ..functions.quantiles import median_by_key
+
+HOT_ROWS_CONF = "kilonova.hotKeyRows"
+
+
+def hot_rows_setting(df: DataFrame, hot_rows: int | None) -> int | None:
+    """Explicit argument, else the session setting ``kilonova.hotKeyRows`` (unset: off)."""
+    if hot_rows is not None:
+        return hot_rows
+    v = df.sparkSession.conf.get(HOT_ROWS_CONF, None)
+    return int(v) if v else None
+
+
+def with_skew_safe_medians(agg: DataFrame, rows: DataFrame, medians: dict[str, tuple[str, str | None]],
+                           hot_rows: int) -> DataFrame:
+    """Replace median columns of ``agg`` by ``median_by_key`` results (exact, hot keys
+    refined with mergeable aggregates).  ``medians``: output name -> (column, SQL condition)."""
+    out = agg.drop(*medians.keys())
+    for name, (c, cond) in medians.items():
+        src = rows if cond is None else rows.filter(F.expr(cond))
+        m = median_by_key(src.select("object_id", c), "object_id", c, hot_rows).withColumnRenamed("median", name)
+        out = out.join(m, "object_id", "left")
+    return out
+
 
 # Aggregate specs (fixed feature definitions).
 OBJECT_SPEC = {
@@ -75,9 +99,28 @@ def restore_objects(features: DataFrame, ids: DataFrame | None) -> DataFrame:
     return ids.select("object_id").join(features, "object_id", "left")
 
 
-def basic_ts(lc: DataFrame, meta: DataFrame | None = None) -> DataFrame:
-    """G5 = G1 + G2 + G3 + G4 (42 feature columns)."""
-    agg = with_ratio_columns(lc).groupBy("object_id").agg(*object_stats_aggs())
+def _median_specs(spec, detected_variant: bool) -> dict[str, tuple[str, str | None]]:
+    out = {}
+    for c, aggs in spec.items():
+        if "median" in aggs:
+            out[f"{c}_median"] = (c, None)
+            if detected_variant:
+                out[f"{c}_median_detected1"] = (c, "detected = 1")
+    return out
+
+
+def basic_ts(lc: DataFrame, meta: DataFrame | None = None, hot_rows: int | None = None) -> DataFrame:
+    """G5 = G1 + G2 + G3 + G4 (42 feature columns).
+
+    With ``hot_rows`` (or the session setting ``kilonova.hotKeyRows``) the exact
+    medians of objects above that many rows are computed by mergeable refinement
+    instead of a one-task value map (see ``functions.quantiles``)."""
+    rows = with_ratio_columns(lc)
+    agg = rows.groupBy("object_id").agg(*object_stats_aggs())
+    hot = hot_rows_setting(lc, hot_rows)
+    if hot:
+        cols = agg.columns
+        agg = with_skew_safe_medians(agg, rows, _median_specs(OBJECT_SPEC, True), hot).select(*cols)
     out = agg.withColumns(ratio_exprs("")).withColumns(ratio_exprs("_detected1"))
     return restore_objects(out, meta)
 
@@ -88,7 +131,12 @@ def object_stats(lc: DataFrame, meta: DataFrame | None = None, detected: bool =
     """G1/G2/G4 family with switches (used by the fluxfactor / maxpoint sets)."""
     spec = OBJECT_SPEC if detected else OBJECT_SPEC_NO_DETECTED
     aggs = object_stats_aggs(spec, detected_variant=detected_variant, detected_span=detected_span, drop=drop)
-    agg = with_ratio_columns(lc).groupBy("object_id").agg(*aggs)
+    rows = with_ratio_columns(lc)
+    agg = rows.groupBy("object_id").agg(*aggs)
+    hot = hot_rows_setting(lc, None)
+    if hot:
+        cols = agg.columns
+        agg = with_skew_safe_medians(agg, rows, _median_specs(spec, detected_variant), hot).select(*cols)
     out = agg.withColumns(ratio_exprs(""))
     if detected_variant:
         out = out.withColumns(ratio_exprs("_detected1"))
