@@ -69,8 +69,7 @@ def _load() -> None:
     # Importing the modules registers their queries.
     from . import (  # noqa: F401
         queries_eval, queries_features, queries_models, queries_research, queries_sequences, queries_series,
-        queries_spectral,
-        queries_stream,
+        queries_spectral, queries_stream, queries_template,
         queries_time,
     )
     from . import queries_prep  # noqa: F401  (embeds other queries' oracle text)

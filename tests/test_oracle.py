@@ -32,9 +32,10 @@ def test_every_query_has_oracle_or_is_declared_rows_only():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_duckdb(spark, con, name):
-    spd = QUERIES[name](spark, SF).toPandas()
+    sdf = QUERIES[name](spark, SF)
+    spd = sdf.toPandas()
     dpd = con.execute(ORACLES[name]).df()
-    res = compare(spd, dpd)
+    res = compare(spd, dpd, dict(sdf.dtypes))
     assert res["columns_match"], res
     assert res["rows_spark"] == res["rows_duckdb"], res
     assert not res["dtype_diff"], res
