@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.aggspec import compile_aggs
 from ..functions.core import BANDS, safe_div
-from .stats import restore_objects
+from ..functions.windows import lag_columns
+from .stats import hot_rows_setting, restore_objects
 
 RATE_AGGS = ["min", "max", "mean", "median", "std", "skew"]
 
@@ -28,10 +29,17 @@ def flux_rate(lc: DataFrame, max_gap: float = 100.0, value: str = "flux", out: s
     ``max_gap`` days are kept; a zero time step gives NULL (not inf).
     Adds ``<out>`` and ``mjddiff``.
     """
-    w = _series_window()
-    dt = F.col("mjd") - F.lag("mjd").over(w)
-    dv = F.col(value) - F.lag(value).over(w)
-    return (lc.withColumns({"mjddiff": dt, "_dv": dv})
+    hot = hot_rows_setting(lc, None)
+    if hot:   # series above `hot` rows are cut into time slices (functions.windows)
+        lagged = lag_columns(lc, ["object_id", "passband"], "mjd", ["mjd", value], "_prev_", hot_rows=hot)
+        dt = F.col("mjd") - F.col("_prev_mjd")
+        dv = F.col(value) - F.col(f"_prev_{value}")
+        lc = lagged
+    else:
+        w = _series_window()
+        dt = F.col("mjd") - F.lag("mjd").over(w)
+        dv = F.col(value) - F.lag(value).over(w)
+    return (lc.withColumns({"mjddiff": dt, "_dv": dv}).drop("_prev_mjd", f"_prev_{value}")
             .filter(F.col("mjddiff").isNotNull() & F.col("_dv").isNotNull() & (F.col("mjddiff") < max_gap))
             .withColumn(out, safe_div("_dv", "mjddiff")).drop("_dv"))
 
@@ -46,6 +54,13 @@ def flux_curvature(lc: DataFrame, max_gap: float = 100.0) -> DataFrame:
             .filter(~F.col("_first")).drop("_first"))
 
 
+def _by_object(lc: DataFrame) -> DataFrame:
+    """One exchange on object_id shared by the series windows and the per-object
+    aggregate -- except in hot-key mode, where hot series must be spread over
+    (object, band, time-slice) partitions instead."""
+    return lc if hot_rows_setting(lc, None) else lc.repartition("object_id")
+
+
 def _diff_exprs(col: str, suffix: str) -> dict:
     mx, mn, mean = (f"{col}_{a}{suffix}" for a in ("max", "min", "mean"))
     return {f"{col}_diff{suffix}": F.expr(f"{mx} - {mn}"), f"{col}_dif2{suffix}": F.expr(f"try_divide({mx} - {mn}, {mean})")}
@@ -78,25 +93,25 @@ def rate_band_features(rows: DataFrame, col: str, ids: DataFrame | None = None,
 
 def fluxdiff(lc: DataFrame, ids: DataFrame | None = None, max_gap: float = 100.0) -> DataFrame:
     """G22."""
-    return rate_object_features(flux_rate(lc.repartition("object_id"), max_gap), "fluxdiff", ids)
+    return rate_object_features(flux_rate(_by_object(lc), max_gap), "fluxdiff", ids)
 
 
 def fluxdiff_passband(lc: DataFrame, ids: DataFrame | None = None, max_gap: float = 100.0) -> DataFrame:
     """G23 (78 columns)."""
-    return rate_band_features(flux_rate(lc.repartition("object_id"), max_gap), "fluxdiff", ids)
+    return rate_band_features(flux_rate(_by_object(lc), max_gap), "fluxdiff", ids)
 
 
 def fluxdiffdiff(lc: DataFrame, ids: DataFrame | None = None, max_gap: float = 100.0) -> DataFrame:
     """G25 (object form, 16 columns)."""
-    return rate_object_features(flux_curvature(lc.repartition("object_id"), max_gap), "fluxdiffdiff", ids)
+    return rate_object_features(flux_curvature(_by_object(lc), max_gap), "fluxdiffdiff", ids)
 
 
 def fluxdiffdiff_passband(lc: DataFrame, ids: DataFrame | None = None, max_gap: float = 100.0) -> DataFrame:
     """G25 (band form, 48 columns, no contrasts)."""
-    return rate_band_features(flux_curvature(lc.repartition("object_id"), max_gap), "fluxdiffdiff", ids,
+    return rate_band_features(flux_curvature(_by_object(lc), max_gap), "fluxdiffdiff", ids,
                               contrasts=False)
 
 
 def mjddiff_passband(lc: DataFrame, ids: DataFrame | None = None, max_gap: float = 100.0) -> DataFrame:
     """Band stats of the rate without contrasts (48 columns)."""
-    return rate_band_features(flux_rate(lc.repartition("object_id"), max_gap), "fluxdiff", ids, contrasts=False)
+    return rate_band_features(flux_rate(_by_object(lc), max_gap), "fluxdiff", ids, contrasts=False)
