@@ -162,3 +162,24 @@ def pseudo_label(test_pred: DataFrame, threshold: float = 0.9, id_col: str = "ob
     top = test_pred.groupBy(id_col).agg(F.max_by("class", F.struct("p", -F.col("class"))).alias("target"),
                                         F.max("p").alias("p_max"))
     return top.filter(F.col("p_max") > threshold).select(id_col, "target")
+
+
+def train_dense(df: DataFrame, features: list[str], label: str = "target", hidden: tuple[int, ...] = (32,),
+                classes: list[int] | None = None, seed: int = 71, max_iter: int = 100):
+    """M18 (re-aimed dense head): multilayer perceptron on standardised features.
+
+    The estimator has no weight column, so classes are balanced by resampling
+    each class to the size of the largest (M5 by replication, seeded)."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.feature import StandardScaler
+
+    classes = classes or [r[0] for r in df.select(label).distinct().collect()]   # <= number of classes
+    data = _assemble(df, features).withColumn("_label", class_index(label, classes))
+    counts = data.groupBy("_label").agg(F.count(F.lit(1)).alias("_n"))
+    biggest = counts.agg(F.max("_n")).scalar()
+    reps = data.join(F.broadcast(counts), "_label").withColumn(
+        "_rep", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(biggest / F.col("_n")).cast("int")))))
+    scaled = StandardScaler(inputCol="features", outputCol="zfeatures", withMean=True, withStd=True).fit(reps)
+    mlp = MultilayerPerceptronClassifier(featuresCol="zfeatures", labelCol="_label", seed=seed, maxIter=max_iter,
+                                         layers=[len(features), *hidden, len(classes)])
+    return scaled, mlp.fit(scaled.transform(reps))

@@ -67,3 +67,15 @@ def q_encode_sequences(spark, sf_dir):
     """16-component PCA encoding of each object's scaled multiband sequences."""
     seq = sequences.scaled_sequences(lc_events(spark, sf_dir), None)
     return models.encode_sequences(seq, k=16)
+
+
+@register("dense_classifier")
+def q_dense_classifier(spark, sf_dir):
+    """Class-balanced multilayer perceptron trained on folds 1-2, probabilities of fold 0."""
+    m, feats, folds, _ = _matrix(spark, sf_dir)
+    data = m.join(folds.select("object_id", "fold"), "object_id").checkpoint(eager=True)
+    scaler, mlp = models.train_dense(data.filter(F.col("fold") != 0), feats, classes=ALL_CLASSES)
+    held = scaler.transform(models._assemble(data.filter(F.col("fold") == 0), feats))
+    pr = mlp.transform(held).select("object_id", models.vector_to_array("probability").alias("_p"))
+    return pr.select("object_id", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("class"), F.col("_p")[i].alias("p")) for i, c in enumerate(sorted(ALL_CLASSES))])))

@@ -147,3 +147,27 @@ def test_missing_meta_inner_drops_restore_keeps(make_lc, spark):
     out = scaling.fluxfactor(lc, meta)
     assert sorted(r["object_id"] for r in out.collect()) == [1, 2]
     assert row(out, 2)["flux_mean"] is None
+
+
+def test_registry_build_and_user_hook(make_lc, spark):
+    from kilonova.plans import registry
+    lc = make_lc([(1, 1.0, 0, 2.0, 1.0, 1), (1, 2.0, 0, 4.0, 1.0, 0), (2, 1.0, 1, 3.0, 1.0, 0)])
+    meta = spark.createDataFrame([(1, 0.0), (2, 0.5), (3, 0.2)], "object_id long, hostgal_photoz double")
+    out = registry.build(lc, meta, ["basic_ts", "fluxdiff"])
+    assert out.count() == 3 and "fluxdiff_mean" in out.columns
+
+    def span(pdf):
+        import pandas as pd
+        return pd.DataFrame({"object_id": [pdf.object_id.iloc[0]], "span": [pdf.mjd.max() - pdf.mjd.min()]})
+    got = {r[0]: r[1] for r in registry.per_object(lc, span, "object_id long, span double").collect()}
+    assert got == {1: 1.0, 2: 0.0}
+
+
+def test_prediction_csv_and_json_sinks(spark, tmp_path):
+    from kilonova.sources import io
+    pred = spark.createDataFrame([(1, 0.1234567891, 0.5)], "object_id long, class_6 double, class_99 double")
+    io.write_predictions_csv(pred, str(tmp_path / "pred"))
+    back = spark.read.csv(str(tmp_path / "pred"), header=True, inferSchema=True).first()
+    assert back["class_6"] == 0.123457
+    io.write_result_json(spark, pred.select("class_99"), str(tmp_path / "res"))
+    assert '"class_99":0.5' in spark.read.text(str(tmp_path / "res")).first()[0]
