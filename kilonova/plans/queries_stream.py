@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.core import timestamp_to_mjd
 from ..sources.adapters import lc_events, with_ctes
 from ..streaming import stream_ops as st
 from .catalog import register
@@ -38,7 +37,7 @@ def q_stream_buckets(spark, sf_dir):
     """ST2: 1-day tumbling-window band means with a watermark."""
     out = st.run_to_table(st.stream_bucket_means(_stream(spark, sf_dir)), "buckets", "update",
                           key=["object_id", "w", "passband"])
-    return out.select("object_id", timestamp_to_mjd(F.col("w.start")).alias("bucket_start_mjd"), "passband",
+    return out.select("object_id", st.instant_to_mjd(F.col("w.start")).alias("bucket_start_mjd"), "passband",
                       "flux_mean", "flux_err_mean", "n")
 
 

@@ -17,7 +17,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.core import mjd_to_timestamp, safe_div
+from ..functions.core import safe_div
+
+MJD_UNIX_EPOCH = 40587.0  # MJD of 1970-01-01T00:00:00Z
+
+
+def mjd_to_instant(mjd) -> F.Column:
+    """MJD -> TIMESTAMP instant (UTC), independent of the session time zone."""
+    return F.timestamp_micros(F.round((F.col(mjd) - F.lit(MJD_UNIX_EPOCH)) * F.lit(86400e6)).cast("long"))
+
+
+def instant_to_mjd(ts) -> F.Column:
+    """TIMESTAMP instant -> MJD (UTC), independent of the session time zone."""
+    c = F.col(ts) if isinstance(ts, str) else ts
+    return F.unix_micros(c) / F.lit(86400e6) + F.lit(MJD_UNIX_EPOCH)
 from ..session import ensure_checkpoint_dir
 
 LC_STREAM_SCHEMA = T.StructType([
@@ -38,7 +51,7 @@ def stage_observations(lc: DataFrame, n_files: int = 8, path: str | None = None,
     """Write observations as ``n_files`` time-ordered parquet files under the
     shared checkpoint folder (the landing zone a stream reads), one file per
     time slice, written in time order so that file arrival order is event-time
-    order.  Returns the path.  Event time ``ts`` is a TIMESTAMP (session zone UTC).
+    order.  Returns the path.  Event time ``ts`` is the UTC instant of ``mjd``.
 
     ``end_marker`` appends one control row (object_id -1, far in the future) as
     a last file: it moves the watermark past every real event so that
@@ -49,7 +62,7 @@ def stage_observations(lc: DataFrame, n_files: int = 8, path: str | None = None,
     lo, hi = lc.agg(F.min("mjd"), F.max("mjd")).first()  # two numbers
     width = (hi - lo) / n_files if hi > lo else 1.0
     sliced = lc.withColumns({
-        "ts": mjd_to_timestamp("mjd").cast("timestamp"),
+        "ts": mjd_to_instant("mjd"),
         "_slice": F.least(F.floor((F.col("mjd") - F.lit(lo)) / F.lit(width)), F.lit(n_files - 1)).cast("int"),
     })
     for i in range(n_files):
@@ -60,7 +73,7 @@ def stage_observations(lc: DataFrame, n_files: int = 8, path: str | None = None,
             F.lit(END_MARKER_ID).cast("long").alias("object_id"), F.lit(hi + 1000.0).alias("mjd"),
             F.lit(0).alias("passband"), F.lit(0.0).alias("flux"), F.lit(1.0).alias("flux_err"),
             F.lit(0).alias("detected"))
-        marker.withColumn("ts", mjd_to_timestamp("mjd").cast("timestamp")).coalesce(1) \
+        marker.withColumn("ts", mjd_to_instant("mjd")).coalesce(1) \
               .write.mode("append").parquet(base)
     return base
 
