@@ -101,3 +101,24 @@ def stack_splits(train: DataFrame, test: DataFrame) -> DataFrame:
 def union_all(dfs: list[DataFrame]) -> DataFrame:
     """U1."""
     return reduce(lambda a, b: a.unionByName(b), dfs)
+
+
+def head_per_group(df: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
+    """First ``n`` rows of every group (a per-group top-n: the limit is the feature).
+    ``row_number() <= n`` lets Spark insert a window group limit below the
+    shuffle, so a large group ships only n rows per map task."""
+    from pyspark.sql import Window
+    w = Window.partitionBy(group).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+
+def row_audit(lc: DataFrame, meta: DataFrame) -> DataFrame:
+    """W3 / S4 check: rows, objects, objects only in lc or only in meta -- one row,
+    from one full outer join of per-object counts (both keyed by object_id)."""
+    per = lc.groupBy("object_id").agg(F.count(F.lit(1)).alias("n"))
+    j = per.join(meta.select("object_id", F.lit(1).alias("_m")), "object_id", "full_outer")
+    return j.agg(F.sum("n").alias("n_rows"), F.count("n").alias("n_objects_lc"),
+                 F.count("_m").alias("n_objects_meta"),
+                 F.count(F.when(F.col("_m").isNull(), 1)).alias("only_in_lc"),
+                 F.count(F.when(F.col("n").isNull(), 1)).alias("only_in_meta"),
+                 F.countDistinct("object_id").alias("n_objects_total"))

@@ -129,3 +129,25 @@ def q_feature_store_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "features-basic_ts")
     write_features(stats.basic_ts(lc_lineitem(spark, sf_dir), meta_part(spark, sf_dir)), path)
     return read_features(spark, path)
+
+
+@register("row_audit", with_ctes(
+    "SELECT CAST(sum(p.n) AS BIGINT) AS n_rows, count(p.n) AS n_objects_lc, count(m.object_id) AS n_objects_meta, "
+    "count(*) FILTER (WHERE m.object_id IS NULL) AS only_in_lc, count(*) FILTER (WHERE p.n IS NULL) AS only_in_meta, "
+    "count(DISTINCT coalesce(p.object_id, m.object_id)) AS n_objects_total FROM (SELECT object_id, count(*) AS n "
+    "FROM lc GROUP BY 1) p FULL OUTER JOIN meta m ON m.object_id = p.object_id", lc="events", meta=False,
+    ctes=[("meta", "SELECT c_custkey AS object_id FROM customer")]))
+def q_row_audit(spark, sf_dir):
+    """S4 / W3 / A8 audit: rows and objects of the events lc against a metadata key set
+    (all customer keys as object ids: each side has objects the other lacks)."""
+    from ..sources.adapters import lc_events, table
+    meta = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("object_id"))
+    return prep.row_audit(lc_events(spark, sf_dir), meta)
+
+
+@register("head_per_class", with_ctes(
+    "SELECT object_id, target FROM (SELECT object_id, target, row_number() OVER (PARTITION BY target ORDER BY "
+    "object_id) AS rn FROM meta) WHERE rn <= 3", lc=None, meta=True))
+def q_head_per_class(spark, sf_dir):
+    """The first three objects of every class."""
+    return prep.head_per_group(meta_part(spark, sf_dir).select("object_id", "target"), "target", ["object_id"], 3)
