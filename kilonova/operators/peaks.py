@@ -42,9 +42,20 @@ def peak_mjd_expr() -> F.Column:
 
 
 def window_around_peak(lc: DataFrame, half_width: float = 100.0) -> DataFrame:
-    """Rows with peak - w <= mjd < peak + w (lower bound in, upper bound out)."""
-    peak = peak_mjd_expr().over(Window.partitionBy("object_id"))
-    return (lc.withColumn("_peak", peak)
+    """Rows with peak - w <= mjd < peak + w (lower bound in, upper bound out).
+
+    Default: the peak is a window aggregate (one exchange shared with the
+    following per-object aggregate).  In hot-key mode (``kilonova.hotKeyRows``)
+    the peak is a mergeable ``max_by`` aggregate joined back on object_id, so a
+    huge object is pre-reduced map-side and AQE's skew-join split spreads its
+    rows over several tasks."""
+    from .stats import hot_rows_setting
+    if hot_rows_setting(lc, None):
+        anchor = lc.groupBy("object_id").agg(peak_mjd_expr().alias("_peak"))
+        with_peak = lc.join(anchor, "object_id", "inner")
+    else:
+        with_peak = lc.withColumn("_peak", peak_mjd_expr().over(Window.partitionBy("object_id")))
+    return (with_peak
             .filter((F.col("mjd") >= F.col("_peak") - half_width) & (F.col("mjd") < F.col("_peak") + half_width))
             .drop("_peak"))
 

@@ -52,13 +52,21 @@ def time_from_peak(lc: DataFrame, ids: DataFrame | None = None, levels=PEAK_LEVE
     (earliest on ties) and level thr = min + (max - min) * p: time from the peak
     to the first later point with flux < thr (``after``) and from the last
     earlier such point to the peak (``before``).  108 columns."""
-    det = lc.filter(F.col("detected") == 1).repartition("object_id")
-    w = Window.partitionBy("object_id", "passband")
-    rows = det.withColumns({
-        "_peak": F.max_by("mjd", F.struct(F.col("flux"), -F.col("mjd"))).over(w),
-        "_fmax": F.max("flux").over(w),
-        "_fmin": F.min("flux").over(w),
-    })
+    from .stats import hot_rows_setting
+    det = lc.filter(F.col("detected") == 1)
+    anchors = {
+        "_peak": F.max_by("mjd", F.struct(F.col("flux"), -F.col("mjd"))),
+        "_fmax": F.max("flux"),
+        "_fmin": F.min("flux"),
+    }
+    if hot_rows_setting(lc, None):
+        # hot-key mode: mergeable per-(object, band) anchors joined back (AQE splits skewed join partitions)
+        a = det.groupBy("object_id", "passband").agg(*[e.alias(n) for n, e in anchors.items()])
+        rows = det.join(a, ["object_id", "passband"], "inner")
+    else:
+        det = det.repartition("object_id")
+        w = Window.partitionBy("object_id", "passband")
+        rows = det.withColumns({n: e.over(w) for n, e in anchors.items()})
     aggs, out = [], ["object_id"]
     for b in BANDS:
         aggs.append(F.expr(f"max(CASE WHEN passband = {b} THEN _peak END) AS _peak_{b}"))

@@ -32,3 +32,26 @@ def test_rates_hot_setting_equal(spark):
     finally:
         spark.conf.unset("kilonova.hotKeyRows")
     assert plain == hot
+
+
+def test_peak_anchors_hot_mode_equal(spark):
+    from kilonova.functions.core import round_all
+    from kilonova.operators import peaks, timing
+    rnd = random.Random(9)
+    rows = [(1, float(i), i % 6, rnd.gauss(0, 5), 1.0, rnd.randint(0, 1)) for i in range(1500)]
+    rows += [(k, float(i * 3), i % 6, rnd.gauss(0, 5), 1.0, 1) for k in range(2, 8) for i in range(30)]
+    lc = spark.createDataFrame(rows, "object_id long, mjd double, passband int, flux double, flux_err double, "
+                                     "detected int")
+
+    def both():
+        a = sorted(peaks.window_around_peak(lc, 100.0).collect())
+        b = round_all(timing.time_from_peak(lc)).toPandas().sort_values("object_id").reset_index(drop=True)
+        return a, b
+    a1, b1 = both()
+    spark.conf.set("kilonova.hotKeyRows", "100")
+    try:
+        a2, b2 = both()
+    finally:
+        spark.conf.unset("kilonova.hotKeyRows")
+    assert a1 == a2
+    assert b1.equals(b2[b1.columns])
