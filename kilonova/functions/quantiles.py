@@ -50,16 +50,42 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("_cnt")).filter(F.col("_cnt") > hot_rows).select(key)
 
 
-def exact_median_hot(df: DataFrame, key: str, value: str, bins: int = 4096, rounds: int = 2) -> DataFrame:
-    """Exact median (linear interpolation, like ``median``) per key, by refinement."""
+def exact_quantile_hot(df: DataFrame, key: str, value: str, q: float = 0.5, bins: int = 4096,
+                       rounds: int = 2, out: str = "median") -> DataFrame:
+    """Exact quantile q (linear interpolation between the ranks around (n-1)q, like
+    ``percentile``) per key, by refinement."""
     vals = df.select(key, F.col(value).alias("v")).filter(F.col("v").isNotNull())
     n = vals.groupBy(key).agg(F.count(F.lit(1)).alias("_cnt"))
-    ranks = n.select(key, F.floor((F.col("_cnt") - 1) / 2).alias("_rlo"), F.ceil((F.col("_cnt") - 1) / 2).alias("_rhi"),
-                     (((F.col("_cnt") - 1) / 2) - F.floor((F.col("_cnt") - 1) / 2)).alias("_frac"))
+    pos = (F.col("_cnt") - 1) * F.lit(float(q))
+    ranks = n.select(key, F.floor(pos).alias("_rlo"), F.ceil(pos).alias("_rhi"), pos.alias("_pos"))
     lo = _select_rank(vals.join(ranks.select(key, F.col("_rlo").alias("rk")), key), key, "rk", bins, rounds)
     hi = _select_rank(vals.join(ranks.select(key, F.col("_rhi").alias("rk")), key), key, "rk", bins, rounds)
     return (ranks.join(lo.withColumnRenamed("_val", "_vlo"), key).join(hi.withColumnRenamed("_val", "_vhi"), key)
-            .select(key, (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("median")))
+            # same interpolation formula as Spark's percentile, so ordinary and hot keys agree bit for bit
+            .select(key, F.when(F.col("_rhi") == F.col("_rlo"), F.col("_vlo")).otherwise(
+                (F.col("_rhi") - F.col("_pos")) * F.col("_vlo") + (F.col("_pos") - F.col("_rlo")) * F.col("_vhi"))
+                .alias(out)))
+
+
+def exact_median_hot(df: DataFrame, key: str, value: str, bins: int = 4096, rounds: int = 2) -> DataFrame:
+    """Exact median (linear interpolation, like ``median``) per key, by refinement."""
+    return exact_quantile_hot(df, key, value, 0.5, bins, rounds, "median")
+
+
+def quantiles_by_key(df: DataFrame, key: str, value: str, qs: list[float], hot_rows: int,
+                     prefix: str = "_q") -> DataFrame:
+    """Exact quantiles ``<prefix><i>`` per key: one ``percentile`` aggregate for
+    ordinary keys, refinement (mergeable counts only) for keys above ``hot_rows``."""
+    hot = F.broadcast(hot_keys(df, key, hot_rows))
+    cold = df.join(hot, key, "left_anti").groupBy(key).agg(
+        F.percentile(F.col(value), F.array(*[F.lit(float(q)) for q in qs])).alias("_qa"))
+    cold = cold.select(key, *[F.col("_qa")[i].alias(f"{prefix}{i}") for i in range(len(qs))])
+    hdf = df.join(hot, key, "left_semi")
+    parts = [exact_quantile_hot(hdf, key, value, q, out=f"{prefix}{i}") for i, q in enumerate(qs)]
+    hq = parts[0]
+    for p in parts[1:]:
+        hq = hq.join(p, key, "inner")   # one row per hot key each
+    return cold.unionByName(hq)
 
 
 def median_by_key(df: DataFrame, key: str, value: str, hot_rows: int = 5_000_000) -> DataFrame:

@@ -29,9 +29,18 @@ def _num(x: float) -> str:
 def time_above_quantile(lc: DataFrame, ids: DataFrame | None = None, q_list=QUANTILES) -> DataFrame:
     """Per object, max(mjd) - min(mjd) of rows with flux above its q-quantile
     (linear interpolation); one column ``mjd_diff_<q>`` per q."""
-    lc = lc.repartition("object_id")
-    qs = F.percentile(F.col("flux"), F.array(*[F.lit(float(q)) for q in q_list]))
-    rows = lc.withColumn("_q", qs.over(Window.partitionBy("object_id")))
+    from ..functions.quantiles import quantiles_by_key
+    from .stats import hot_rows_setting
+    hot = hot_rows_setting(lc, None)
+    if hot:
+        # hot-key mode: thresholds from a per-object aggregate (hot objects by refinement) joined back
+        th = quantiles_by_key(lc, "object_id", "flux", list(q_list), hot, prefix="_qc")
+        rows = lc.join(th, "object_id", "inner").withColumn(
+            "_q", F.array(*[F.col(f"_qc{i}") for i in range(len(q_list))]))
+    else:
+        lc = lc.repartition("object_id")
+        qs = F.percentile(F.col("flux"), F.array(*[F.lit(float(q)) for q in q_list]))
+        rows = lc.withColumn("_q", qs.over(Window.partitionBy("object_id")))
     aggs = [F.expr(f"max(CASE WHEN flux > _q[{i}] THEN mjd END) - min(CASE WHEN flux > _q[{i}] THEN mjd END) "
                    f"AS mjd_diff_{_num(q)}") for i, q in enumerate(q_list)]
     return restore_objects(rows.groupBy("object_id").agg(*aggs), ids)

@@ -34,3 +34,20 @@ def test_basic_ts_hot_path_equals_plain(spark):
     a = round_all(stats.basic_ts(lc)).toPandas().sort_values("object_id").reset_index(drop=True)
     b = round_all(stats.basic_ts(lc, hot_rows=100)).toPandas().sort_values("object_id").reset_index(drop=True)
     assert a.equals(b[a.columns])
+
+
+def test_time_above_quantile_hot_mode_equal(spark):
+    from kilonova.operators import timing
+    rnd = random.Random(11)
+    rows = [(1, float(i), i % 6, rnd.gauss(0, 4), 1.0, 0) for i in range(1200)]
+    rows += [(k, float(i), 0, rnd.gauss(0, 4), 1.0, 0) for k in range(2, 6) for i in range(25)]
+    lc = spark.createDataFrame(rows, "object_id long, mjd double, passband int, flux double, flux_err double, "
+                                     "detected int")
+    qs = [0.05, 0.5, 0.95]
+    a = sorted(timing.time_above_quantile(lc, q_list=qs).collect())
+    spark.conf.set("kilonova.hotKeyRows", "100")
+    try:
+        b = sorted(timing.time_above_quantile(lc, q_list=qs).collect())
+    finally:
+        spark.conf.unset("kilonova.hotKeyRows")
+    assert a == b
