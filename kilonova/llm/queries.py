@@ -3,9 +3,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, secret_scan, url_rules
+from . import bpe, html_text, secret_scan, url_rules
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +67,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_text.extract_text(pages).select("row.page_id", "row.url", "text", "n_chars")
+
+
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+@query("op9_byte_bpe")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    enc = bpe.encode_texts(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, with_ids=False)
+    return enc.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
