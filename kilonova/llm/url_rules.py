@@ -132,7 +132,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     urls = split_url(pages, url).withColumn("h", F.xxhash64("row"))
     want = min(ranges * _SAMPLE_PER_RANGE, 100_000)
-    sample = urls.select("host", "h").orderBy(F.xxhash64("h", F.lit(7))).limit(want).collect()
+    share = min(1.0, want / max(1, pages.count()))
+    sample = urls.select("host", "h").where(F.pmod(F.xxhash64("h", F.lit(7)), F.lit(1 << 24)) < int(share * (1 << 24)) + 1)
+    sample = sample.limit(2 * want).collect()
     keys = sorted((host_key(x.host), x.h) for x in sample)
     bounds = [keys[len(keys) * i // ranges] for i in range(1, ranges)] if keys else []
     bounds = sorted(set(bounds))
