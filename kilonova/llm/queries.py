@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, secret_scan, url_rules
+from . import bpe, html_text, quality_rules, secret_scan, url_rules
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     enc = bpe.encode_texts(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, with_ids=False)
     return enc.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op1_quality_rules")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows, _ = quality_rules.quality_rules(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return rows.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
