@@ -36,6 +36,9 @@ def crc_mod(doc_id: str, mod: int) -> F.Column:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: all bytes but ASCII letters and those of characters beyond ASCII
+NOT_LETTERS = np.ones(256, bool)
+NOT_LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -58,10 +61,14 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(p)
 
 
-def _words(data: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+_TAG = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _words(data: np.ndarray, starts_at: np.ndarray, between: np.ndarray = _SPACE, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of ``data`` (UTF-8 bytes, A-Z lower-cased) and the byte where each begins.
-    ``starts_at``: first byte of each text; no word crosses it."""
-    word = ~_SPACE[data]
+    ``starts_at``: first byte of each text; no word crosses it.  ``heads``: for each n, the first n bytes of every
+    longer word count as one more word, different from any whole word."""
+    word = ~between[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     inner = starts_at[starts_at < len(data)]
@@ -77,15 +84,26 @@ def _words(data: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np.ndar
     val += np.uint64(1)
     val *= _powers(int(size.max()))[place]
     h = np.add.reduceat(val, cut)
-    h ^= size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix(h), begin
-
-
-def word_hashes(texts: pa.Array):
+    h ^= size.astype(np.uint64) * _TAG
+    if not heads:
+        return mix(h), begin
+    total = np.append(np.zeros(1, np.uint64), np.cumsum(val))
+    hs, places = [h], [begin]
+    for n in heads:
+        long = size > n
+        hs.append((total[cut[long] + n] - total[cut[long]]) ^ np.array([n], np.uint64) * _TAG ^ np.uint64(1 << 63))
+        places.append(begin[long])
+    place = np.concatenate(places)
+    order = np.argsort(place, kind="stable")
+    return mix(np.concatenate(hs)[order]), place[order]
+
+
+def word_hashes(texts: pa.Array, between: np.ndarray = _SPACE, heads: tuple[int, ...] = ()):
     """Yields (first text, number of words of each text, hashes of all their words) for consecutive runs of texts.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; null counts as empty.  Two different words share a
-    hash with probability 2**-64.
+    hash with probability 2**-64.  ``between``: which bytes separate words, if not the six of ``SPACES``;
+    ``heads``: as in ``_words``.
     """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -101,6 +119,6 @@ def word_hashes(texts: pa.Array):
         j = min(j, len(texts))
         part = data[offs[i]:offs[j]]
         rel = offs[i:j + 1] - offs[i]
-        h, begin = _words(part, rel[:-1])
+        h, begin = _words(part, rel[:-1], between, heads)
         yield i, np.diff(np.searchsorted(begin, rel)), h
         i = j
