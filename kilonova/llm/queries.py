@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_text, packing, quality_rules, secret_scan, toxicity, url_rules
+from . import ann, bpe, html_text, lm_score, packing, quality_rules, secret_scan, toxicity, url_rules
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann.nearest(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
+@query("op3_lm_score")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_score.score_texts(docs).select("row.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
