@@ -7,6 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import ann, bpe, html_text, lm_score, near_dup, packing, quality_rules, secret_scan, toxicity, url_rules
 from .common import crc_mod, table
 
@@ -115,3 +117,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_near_duplicates")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
