@@ -43,6 +43,16 @@ def flat_name(column: str, agg: str, suffix: str = "") -> str:
     return f"{column}_{agg}{suffix}"
 
 
+def split_spec(spec: Mapping[str, Iterable[str]], cond: str | None = None, suffix: str = "",
+               drop: Iterable[str] = ()) -> tuple[list[Column], dict[str, tuple[str, str | None]], list[str]]:
+    """The mergeable aggregates of a spec, its medians (output name -> (SQL value, condition)) and all output names in order."""
+    spec = {c: list(a) for c, a in spec.items()}
+    drop = set(drop)
+    names = [n for c, aggs in spec.items() for a in aggs if (n := flat_name(c, a, suffix)) not in drop]
+    medians = {n: (f"`{c}`", cond) for c, aggs in spec.items() if "median" in aggs and (n := flat_name(c, "median", suffix)) in names}
+    return compile_aggs({c: [a for a in aggs if a != "median"] for c, aggs in spec.items()}, cond, suffix, drop), medians, names
+
+
 def compile_aggs(spec: Mapping[str, Iterable[str]], cond: str | None = None,
                  suffix: str = "", drop: Iterable[str] = ()) -> list[Column]:
     """``cond`` is a SQL boolean expression (e.g. ``"detected = 1"``)."""

@@ -1,96 +1,87 @@
-"""Exact medians that survive a hot key.
+"""Exact quantiles for keys of any size.
 
-Spark's exact ``median`` merges, for each key, a map of all distinct values in
-one task: fine for ordinary objects, a memory risk for an object holding a
-large share of all rows.  ``median_by_key`` routes the keys above
-``hot_rows`` observations (found by a mergeable count; at most
-total / hot_rows of them, so the hot-key table has a proven bound and is
-broadcast) through an exact selection that only uses mergeable aggregates:
+Spark's exact ``percentile`` merges a map of all distinct values of a key in one
+task.  Here the range of the values is cut into slices (``functions.slices``):
 
-1. per hot key: count and the 0-based ranks r_lo, r_hi around the middle;
-2. two refinement rounds: split [min, max] of the surviving values into
-   ``bins`` equal bins (counts per (key, bin) are mergeable), keep the bin
-   holding each rank, shift the rank by the count below it;
-3. the few surviving values are ranked with a window (bounded by the bin
-   size), and the median is the linear interpolation of the two ranks.
+1. equal values collapse to (key, slice, value, count) -- mergeable, so a value
+   that repeats a billion times is one row;
+2. counts per (key, slice) and their running sums tell which slice holds the
+   ranks around (n - 1) q;
+3. only in those slices the values are ranked, each by its running count.
 
-Every step is a declarative aggregate/join; no driver loop, no collect.
+A table of one slice is small enough for one ``percentile`` per key.  Both give
+the same numbers: the interpolation is Spark's own formula.
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _select_rank(vals: DataFrame, key: str, rank_col: str, bins: int, rounds: int) -> DataFrame:
-    """For every key, the value at 0-based rank ``rank_col`` of ``vals`` (key, v, rank_col)."""
-    cur = vals
-    for _ in range(rounds):
-        rng = cur.groupBy(key).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
-        b = F.when(F.col("_hi") > F.col("_lo"),
-                   F.least(F.floor((F.col("v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins),
-                           F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
-        binned = cur.join(rng, key).withColumn("_b", b)
-        counts = binned.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n"))
-        w = Window.partitionBy(key).orderBy("_b")   # at most `bins` rows per hot key
-        counts = counts.withColumn("_below", F.sum("_n").over(w) - F.col("_n"))
-        r = cur.select(key, rank_col).distinct()
-        target = (counts.join(r, key)
-                  .filter((F.col(rank_col) >= F.col("_below")) & (F.col(rank_col) < F.col("_below") + F.col("_n")))
-                  .select(key, "_b", (F.col(rank_col) - F.col("_below")).alias("_r")))
-        cur = (binned.join(target, [key, "_b"]).drop(rank_col, "_lo", "_hi", "_b")
-               .withColumnRenamed("_r", rank_col))
-    w = Window.partitionBy(key).orderBy("v")
-    return (cur.withColumn("_i", F.row_number().over(w) - 1)
-            .filter(F.col("_i") == F.col(rank_col)).select(key, F.col("v").alias("_val")))
-
-
-def hot_keys(df: DataFrame, key: str, hot_rows: int) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows (at most count(df) / hot_rows of them)."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("_cnt")).filter(F.col("_cnt") > hot_rows).select(key)
-
-
-def exact_quantile_hot(df: DataFrame, key: str, value: str, q: float = 0.5, bins: int = 4096,
-                       rounds: int = 2, out: str = "median") -> DataFrame:
-    """Exact quantile q (linear interpolation between the ranks around (n-1)q, like
-    ``percentile``) per key, by refinement."""
-    vals = df.select(key, F.col(value).alias("v")).filter(F.col("v").isNotNull())
-    n = vals.groupBy(key).agg(F.count(F.lit(1)).alias("_cnt"))
-    pos = (F.col("_cnt") - 1) * F.lit(float(q))
-    ranks = n.select(key, F.floor(pos).alias("_rlo"), F.ceil(pos).alias("_rhi"), pos.alias("_pos"))
-    lo = _select_rank(vals.join(ranks.select(key, F.col("_rlo").alias("rk")), key), key, "rk", bins, rounds)
-    hi = _select_rank(vals.join(ranks.select(key, F.col("_rhi").alias("rk")), key), key, "rk", bins, rounds)
-    return (ranks.join(lo.withColumnRenamed("_val", "_vlo"), key).join(hi.withColumnRenamed("_val", "_vhi"), key)
-            # same interpolation formula as Spark's percentile, so ordinary and hot keys agree bit for bit
-            .select(key, F.when(F.col("_rhi") == F.col("_rlo"), F.col("_vlo")).otherwise(
-                (F.col("_rhi") - F.col("_pos")) * F.col("_vlo") + (F.col("_pos") - F.col("_rlo")) * F.col("_vhi"))
-                .alias(out)))
-
-
-def exact_median_hot(df: DataFrame, key: str, value: str, bins: int = 4096, rounds: int = 2) -> DataFrame:
-    """Exact median (linear interpolation, like ``median``) per key, by refinement."""
-    return exact_quantile_hot(df, key, value, 0.5, bins, rounds, "median")
-
-
-def quantiles_by_key(df: DataFrame, key: str, value: str, qs: list[float], hot_rows: int,
-                     prefix: str = "_q") -> DataFrame:
-    """Exact quantiles ``<prefix><i>`` per key: one ``percentile`` aggregate for
-    ordinary keys, refinement (mergeable counts only) for keys above ``hot_rows``."""
-    hot = F.broadcast(hot_keys(df, key, hot_rows))
-    cold = df.join(hot, key, "left_anti").groupBy(key).agg(
-        F.percentile(F.col(value), F.array(*[F.lit(float(q)) for q in qs])).alias("_qa"))
-    cold = cold.select(key, *[F.col("_qa")[i].alias(f"{prefix}{i}") for i in range(len(qs))])
-    hdf = df.join(hot, key, "left_semi")
-    parts = [exact_quantile_hot(hdf, key, value, q, out=f"{prefix}{i}") for i, q in enumerate(qs)]
-    hq = parts[0]
-    for p in parts[1:]:
-        hq = hq.join(p, key, "inner")   # one row per hot key each
-    return cold.unionByName(hq)
-
-
-def median_by_key(df: DataFrame, key: str, value: str, hot_rows: int = 5_000_000) -> DataFrame:
-    """Exact per-key median: the ordinary aggregate for ordinary keys, the
-    refinement path for keys above ``hot_rows`` rows."""
-    hot = F.broadcast(hot_keys(df, key, hot_rows))
-    cold = df.join(hot, key, "left_anti").groupBy(key).agg(F.median(value).alias("median"))
-    return cold.unionByName(exact_median_hot(df.join(hot, key, "left_semi"), key, value))
+from .slices import cut_points, slice_rows, slice_sql
+from .windows import join_back
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], prefix: str = "_q",
+                    rows: int | None = None) -> DataFrame:
+    """``keys``, ``<prefix><i>``: exact quantile ``qs[i]`` (linear interpolation) of the non-NULL values per key;
+    keys without a value have no row."""
+    keys = list(keys)
+    vals = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    cuts = cut_points(vals, "_v", rows)
+    if not cuts:
+        got = vals.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(float(q)) for q in qs])).alias("_a"))
+        return got.select(*keys, *[F.col("_a")[i].alias(f"{prefix}{i}") for i in range(len(qs))])
+    tagged = vals.withColumn("_s", F.expr(slice_sql("_v", cuts)))
+    values = tagged.groupBy(*keys, "_s", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    sizes = values.groupBy(*keys, "_s").agg(F.sum("_c").alias("_n"))
+    by_key = Window.partitionBy(*keys)   # at most one row per slice
+    sizes = sizes.withColumns({"_total": F.sum("_n").over(by_key), "_below": F.sum("_n").over(by_key.orderBy("_s")) - F.col("_n")})
+    ranks = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("_total") - 1) * F.lit(float(q))).alias("pos")) for i, q in enumerate(qs)]))
+    want = sizes.select(*keys, "_s", "_n", "_below", ranks.alias("_r")).select(
+        *keys, "_s", "_n", "_below", F.col("_r.i").alias("_i"), F.col("_r.pos").alias("_pos"),
+        F.explode(F.array(F.floor("_r.pos"), F.floor("_r.pos") + 1)).alias("_rank"))
+    want = want.filter("_rank >= _below AND _rank < _below + _n").select(*keys, "_s", "_i", "_pos", "_rank", (F.col("_rank") - F.col("_below")).alias("_at"))
+    asked = want.groupBy(*keys, "_s").agg(F.collect_list(F.struct("_i", "_pos", "_rank", "_at")).alias("_want"))   # two per quantile at most
+    near = join_back(values, asked, [*keys, "_s"]).filter("_want IS NOT NULL")
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_s").orderBy("_v"))
+    near = near.withColumn("_upto", upto).select(*keys, "_v", "_c", "_upto", F.explode("_want").alias("_w"))
+    near = near.filter("_w._at >= _upto - _c AND _w._at < _upto")
+    picked = []
+    for i, q in enumerate(qs):
+        lo = f"max(CASE WHEN _w._i = {i} AND _w._rank = floor(_w._pos) THEN _v END)"
+        hi = f"max(CASE WHEN _w._i = {i} AND _w._rank = floor(_w._pos) + 1 THEN _v END)"
+        pos = f"max(CASE WHEN _w._i = {i} THEN _w._pos END)"
+        picked.append(F.expr(f"CASE WHEN {pos} = floor({pos}) THEN {lo} ELSE (ceil({pos}) - {pos}) * {lo} + ({pos} - floor({pos})) * {hi} END")
+                      .alias(f"{prefix}{i}"))
+    return near.groupBy(*keys).agg(*picked)
+
+
+def median_by_key(df: DataFrame, key: str, value: str, rows: int | None = None) -> DataFrame:
+    """Exact per-key median."""
+    return exact_quantiles(df, [key], value, [0.5], rows=rows).withColumnRenamed("_q0", "median")
+
+
+def quantiles_by_key(df: DataFrame, key: str, value: str, qs: list[float], prefix: str = "_q", rows: int | None = None) -> DataFrame:
+    return exact_quantiles(df, [key], value, qs, prefix, rows)
+
+
+def aggregate_with_medians(df: DataFrame, keys: Sequence[str], aggs: list, medians: dict[str, tuple[str, str | None]],
+                           order: Sequence[str] | None = None) -> DataFrame:
+    """``df.groupBy(keys).agg(*aggs)`` plus exact medians: output name -> (SQL value, SQL condition or None).
+
+    In a table of one slice the medians join the other aggregates; else all of
+    them go through ``exact_quantiles`` at once as (key, name, value) rows."""
+    keys = list(keys)
+    cond = {n: v if c is None else f"CASE WHEN {c} THEN {v} END" for n, (v, c) in medians.items()}
+    if not medians or df.count() <= slice_rows(df):
+        out = df.groupBy(*keys).agg(*aggs, *[F.expr(f"median({x}) AS `{n}`") for n, x in cond.items()])
+    else:
+        long = df.select(*keys, F.inline(F.array(*[F.struct(F.lit(i).alias("_name"), F.expr(f"CAST({x} AS DOUBLE)").alias("_x"))
+                                                   for i, x in enumerate(cond.values())])))
+        got = exact_quantiles(long, [*keys, "_name"], "_x", [0.5])
+        wide = got.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == i, F.col("_q0"))).alias(n) for i, n in enumerate(cond)])
+        base = df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
+        out = join_back(base, wide, keys)
+    return out.select(*keys, *order) if order else out

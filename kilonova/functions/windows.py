@@ -1,40 +1,43 @@
-"""``lag`` over a series that may be huge (a hot key), without one task per series.
+"""``lag`` over a series that may be huge, without one task per series.
 
-Ordinary series use ``lag`` over ``partitionBy(keys).orderBy(order)``.  Series
-longer than ``hot_rows`` rows (found by a mergeable count, so the hot table
-has at most total / hot_rows rows and is broadcast) are cut into ``chunks``
-equal time slices: ``lag`` runs inside each slice, and the first row of a
-slice takes the last row of the previous non-empty slice, found from a
-per-slice ``max_by`` (a table of at most ``chunks`` rows per hot series).
+The range of the order column is cut into slices (``functions.slices``); ``lag``
+runs per (series, slice), and the first row of a slice takes the last row of the
+series' previous non-empty slice (a table of at most one row per series and
+slice).  Rows whose order value is NULL are no part of the series: they get
+NULLs and are nobody's predecessor.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .slices import cut_points, slice_sql
+
 
 def lag_columns(df: DataFrame, keys: list[str], order: str, cols: list[str], prefix: str = "prev_",
-                hot_rows: int | None = None, chunks: int = 256) -> DataFrame:
-    """Adds ``<prefix><c>`` = value of ``c`` on the previous row of the series (NULL first)."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    if not hot_rows:
-        return df.withColumns({f"{prefix}{c}": F.lag(c).over(w) for c in cols})
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    hot = F.broadcast(counts.filter(F.col("_n") > hot_rows).drop("_n"))
-    cold = df.join(hot.select(*keys), keys, "left_anti").withColumns(
-        {f"{prefix}{c}": F.lag(c).over(w) for c in cols})
-    hrows = df.join(hot, keys, "inner")
-    span = F.col("_hi") - F.col("_lo")
-    hrows = hrows.withColumn("_chunk", F.when(span > 0, F.least(
-        F.floor((F.col(order) - F.col("_lo")) / span * chunks), F.lit(chunks - 1))).otherwise(F.lit(0)).cast("int"))
-    wc = Window.partitionBy(*keys, "_chunk").orderBy(order)
-    inner = hrows.withColumns({f"{prefix}{c}": F.lag(c).over(wc) for c in cols}) \
-                 .withColumn("_first", F.row_number().over(wc) == 1)
-    last = hrows.groupBy(*keys, "_chunk").agg(
-        *[F.max_by(c, F.col(order)).alias(f"_last_{c}") for c in cols])
-    wl = Window.partitionBy(*keys).orderBy("_chunk")   # <= chunks rows per hot series
-    carry = last.select(*keys, "_chunk", *[F.lag(f"_last_{c}").over(wl).alias(f"_carry_{c}") for c in cols])
-    fixed = inner.join(carry, [*keys, "_chunk"], "left").withColumns({
-        f"{prefix}{c}": F.when(F.col("_first"), F.col(f"_carry_{c}")).otherwise(F.col(f"{prefix}{c}")) for c in cols})
-    fixed = fixed.drop("_chunk", "_first", "_lo", "_hi", *[f"_carry_{c}" for c in cols])
-    return cold.unionByName(fixed.select(*cold.columns))
+                ties: tuple[str, ...] = (), rows: int | None = None) -> DataFrame:
+    """Adds ``<prefix><c>`` = value of ``c`` on the previous row of the series (NULL first).
+    ``ties``: further columns that order rows of equal ``order``."""
+    cuts = cut_points(df, order, rows)
+    named = {f"{prefix}{c}": c for c in cols}
+    df = df.withColumn("_slice", F.expr(slice_sql(f"`{order}`", cuts)))
+    w = Window.partitionBy(*keys, "_slice").orderBy(order, *ties)
+    out = df.withColumns({n: F.lag(c).over(w) for n, c in named.items()} | {"_first": F.row_number().over(w) == 1})
+    if cuts:
+        by = F.struct(order, *ties)
+        last = df.filter("_slice >= 0").groupBy(*keys, "_slice").agg(F.max_by(F.struct(*cols), by).alias("_last"))
+        wl = Window.partitionBy(*keys).orderBy("_slice")   # at most one row per slice
+        carry = last.select(*keys, "_slice", F.lag("_last").over(wl).alias("_carry"))
+        out = join_back(out, carry.filter("_carry IS NOT NULL"), [*keys, "_slice"])
+        out = out.withColumns({n: F.when(F.col("_first"), F.col("_carry").getField(c)).otherwise(F.col(n)) for n, c in named.items()})
+        out = out.drop("_carry")
+    null = {n: F.when(F.col("_slice") >= 0, F.col(n)) for n in named}
+    return out.withColumns(null).drop("_slice", "_first")
+
+
+def join_back(df: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``df`` with the values of their key (NULL is a key, too).  ``per_key`` is a mergeable aggregate, one row
+    per key; a plain join lets AQE broadcast it by its measured size or split the rows of a huge key."""
+    named = per_key.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = [df[k].eqNullSafe(named[f"_key_{k}"]) for k in keys]
+    return df.join(named, same, "left").drop(*[f"_key_{k}" for k in keys])

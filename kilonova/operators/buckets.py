@@ -68,8 +68,9 @@ def timegrouper(lc: DataFrame, ids: DataFrame | None = None, width_days: float =
                 origin: float = 0.0) -> DataFrame:
     """Per object, {min,max,mean,median,std,skew,sum} of the 60 bucket
     pair columns plus diff, dif2, w_mean, dif3 per pair (480 columns)."""
-    pivot = bucket_pivot(lc.repartition("object_id"), width_days, origin)
+    pivot = bucket_pivot(lc, width_days, origin)
     long = bucket_band_diff_long(pivot)
+    # cells, not observations: an object has at most its time span / width of them
     spec = {c: BUCKET_AGGS for c in PAIR_COLS}
     per_pair = long.groupBy("object_id", "pair").agg(*compile_aggs(spec))
     mx, mn, mean = F.col("flux_max"), F.col("flux_min"), F.col("flux_mean")

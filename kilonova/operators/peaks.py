@@ -1,16 +1,15 @@
 """Peak-centred row subsets (G15, G16) and the feature sets on them.
 
-All steps are window expressions partitioned by ``object_id``: the single hash
-exchange on ``object_id`` is reused by the following per-object ``groupBy``
-(``HashPartitioning(object_id)`` satisfies both), so a peak feature set costs
-one shuffle of the observation rows.
+Peaks, segments and anchors are mergeable aggregates joined back on their key; series steps come from
+``functions.windows``.  No step needs all rows of an object in one task.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import pure_magnitude
+from ..functions.windows import join_back, lag_columns
 from . import scaling, stats
 
 
@@ -21,19 +20,17 @@ def segment_by_gap(lc: DataFrame, gap: float = 100.0, keep: str = "peak") -> Dat
 
     ``keep="all"`` returns every row with its ``segment`` number instead.
     """
-    order = Window.partitionBy("object_id").orderBy("mjd", "passband")
-    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    step = F.col("mjd") - F.lag("mjd").over(order)
-    seg = lc.withColumn("_new", F.when(step > gap, 1).otherwise(0)) \
-            .withColumn("segment", F.sum("_new").over(running).cast("int")).drop("_new")
+    steps = lag_columns(lc.select("object_id", "mjd", "passband"), ["object_id"], "mjd", ["mjd"], "_prev_", ties=("passband",))
+    # a break needs more than ``gap`` days, so an object has fewer breaks than its time span has gaps
+    breaks = steps.filter(F.col("mjd") - F.col("_prev_mjd") > gap).groupBy("object_id").agg(
+        F.sort_array(F.collect_list("mjd")).alias("_breaks"))
+    number = F.coalesce(F.size(F.filter("_breaks", lambda t: t <= F.col("mjd"))), F.lit(0)).cast("int")
+    seg = join_back(lc, breaks, ["object_id"]).withColumn("segment", number).drop("_breaks")
     if keep == "all":
         return seg
-    by_seg = Window.partitionBy("object_id", "segment")
-    by_obj = Window.partitionBy("object_id")
-    seg = seg.withColumn("_segmax", F.coalesce(F.max("flux").over(by_seg), F.lit(0.0)))
-    seg = seg.withColumn("_objmax", F.max("_segmax").over(by_obj))
-    seg = seg.withColumn("_best", F.min(F.when(F.col("_segmax") == F.col("_objmax"), F.col("segment"))).over(by_obj))
-    return seg.filter(F.col("segment") == F.col("_best")).drop("_segmax", "_objmax", "_best", "segment")
+    peaks = seg.groupBy("object_id", "segment").agg(F.coalesce(F.max("flux"), F.lit(0.0)).alias("_max"))
+    best = peaks.groupBy("object_id").agg(F.max_by("segment", F.struct("_max", -F.col("segment"))).alias("_best"))
+    return join_back(seg, best, ["object_id"]).filter(F.col("segment") == F.col("_best")).drop("_best", "segment")
 
 
 def peak_mjd_expr() -> F.Column:
@@ -42,19 +39,8 @@ def peak_mjd_expr() -> F.Column:
 
 
 def window_around_peak(lc: DataFrame, half_width: float = 100.0) -> DataFrame:
-    """Rows with peak - w <= mjd < peak + w (lower bound in, upper bound out).
-
-    Default: the peak is a window aggregate (one exchange shared with the
-    following per-object aggregate).  In hot-key mode (``kilonova.hotKeyRows``)
-    the peak is a mergeable ``max_by`` aggregate joined back on object_id, so a
-    huge object is pre-reduced map-side and AQE's skew-join split spreads its
-    rows over several tasks."""
-    from .stats import hot_rows_setting
-    if hot_rows_setting(lc, None):
-        anchor = lc.groupBy("object_id").agg(peak_mjd_expr().alias("_peak"))
-        with_peak = lc.join(anchor, "object_id", "inner")
-    else:
-        with_peak = lc.withColumn("_peak", peak_mjd_expr().over(Window.partitionBy("object_id")))
+    """Rows with peak - w <= mjd < peak + w (lower bound in, upper bound out)."""
+    with_peak = join_back(lc, lc.groupBy("object_id").agg(peak_mjd_expr().alias("_peak")), ["object_id"])
     return (with_peak
             .filter((F.col("mjd") >= F.col("_peak") - half_width) & (F.col("mjd") < F.col("_peak") + half_width))
             .drop("_peak"))

@@ -1,64 +1,43 @@
 """Rate-of-change features (G21-G25, G32; windows W1, W2).
 
-``flux_rate`` is a ``lag`` over ``partitionBy(object_id, passband).orderBy(mjd)``.
-The input is hash-partitioned on ``object_id`` once; that partitioning
-satisfies both the (object, band) windows and the following per-object
-``groupBy``, so a whole feature set costs one shuffle of the observation rows.
+``flux_rate`` is the step to the previous point of the (object, band) series (``functions.windows.lag_columns``, which
+cuts long series into slices); the per-object features are mergeable aggregates and exact medians.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.aggspec import compile_aggs
+from ..functions.aggspec import split_spec
 from ..functions.core import BANDS, safe_div
+from ..functions.quantiles import aggregate_with_medians
 from ..functions.windows import lag_columns
-from .stats import hot_rows_setting, restore_objects
+from .stats import restore_objects
 
 RATE_AGGS = ["min", "max", "mean", "median", "std", "skew"]
 
 
-def _series_window():
-    return Window.partitionBy("object_id", "passband").orderBy("mjd")
+SERIES = ["object_id", "passband"]
 
 
 def flux_rate(lc: DataFrame, max_gap: float = 100.0, value: str = "flux", out: str = "fluxdiff") -> DataFrame:
     """Per (object, band) by time, ``d value / d mjd`` to the previous point.
 
-    The first point of a series is dropped and only steps strictly below
-    ``max_gap`` days are kept; a zero time step gives NULL (not inf).
-    Adds ``<out>`` and ``mjddiff``.
-    """
-    hot = hot_rows_setting(lc, None)
-    if hot:   # series above `hot` rows are cut into time slices (functions.windows)
-        lagged = lag_columns(lc, ["object_id", "passband"], "mjd", ["mjd", value], "_prev_", hot_rows=hot)
-        dt = F.col("mjd") - F.col("_prev_mjd")
-        dv = F.col(value) - F.col(f"_prev_{value}")
-        lc = lagged
-    else:
-        w = _series_window()
-        dt = F.col("mjd") - F.lag("mjd").over(w)
-        dv = F.col(value) - F.lag(value).over(w)
-    return (lc.withColumns({"mjddiff": dt, "_dv": dv}).drop("_prev_mjd", f"_prev_{value}")
+    Rows with a NULL in any column are dropped first (P9), as is the first point of a series; only steps strictly below
+    ``max_gap`` days are kept; a zero time step gives NULL (not inf).  Adds ``<out>`` and ``mjddiff``."""
+    lagged = lag_columns(lc.dropna(), SERIES, "mjd", ["mjd", value], "_prev_")
+    return (lagged.withColumns({"mjddiff": F.col("mjd") - F.col("_prev_mjd"), "_dv": F.col(value) - F.col(f"_prev_{value}")})
+            .drop("_prev_mjd", f"_prev_{value}")
             .filter(F.col("mjddiff").isNotNull() & F.col("_dv").isNotNull() & (F.col("mjddiff") < max_gap))
             .withColumn(out, safe_div("_dv", "mjddiff")).drop("_dv"))
 
 
 def flux_curvature(lc: DataFrame, max_gap: float = 100.0) -> DataFrame:
     """Difference of consecutive rates along the series (after the
-    gap filter, first rate of a series dropped).  Same window, no new shuffle."""
-    rates = flux_rate(lc, max_gap)
-    w = _series_window()
-    return (rates.withColumn("fluxdiffdiff", F.col("fluxdiff") - F.lag("fluxdiff").over(w))
-            .withColumn("_first", F.lag("mjd").over(w).isNull())
-            .filter(~F.col("_first")).drop("_first"))
-
-
-def _by_object(lc: DataFrame) -> DataFrame:
-    """One exchange on object_id shared by the series windows and the per-object
-    aggregate -- except in hot-key mode, where hot series must be spread over
-    (object, band, time-slice) partitions instead."""
-    return lc if hot_rows_setting(lc, None) else lc.repartition("object_id")
+    gap filter, first rate of a series dropped)."""
+    rates = lag_columns(flux_rate(lc, max_gap), SERIES, "mjd", ["mjd", "fluxdiff"], "_prev_")
+    return (rates.withColumn("fluxdiffdiff", F.col("fluxdiff") - F.col("_prev_fluxdiff"))
+            .filter(F.col("_prev_mjd").isNotNull()).drop("_prev_mjd", "_prev_fluxdiff"))
 
 
 def _diff_exprs(col: str, suffix: str) -> dict:
@@ -66,10 +45,16 @@ def _diff_exprs(col: str, suffix: str) -> dict:
     return {f"{col}_diff{suffix}": F.expr(f"{mx} - {mn}"), f"{col}_dif2{suffix}": F.expr(f"try_divide({mx} - {mn}, {mean})")}
 
 
+def _aggregate(rows: DataFrame, parts) -> DataFrame:
+    aggs = [x for a, _, _ in parts for x in a]
+    medians = {n: m for _, ms, _ in parts for n, m in ms.items()}
+    return aggregate_with_medians(rows, ["object_id"], aggs, medians, [n for _, _, names in parts for n in names])
+
+
 def rate_object_features(rows: DataFrame, col: str, ids: DataFrame | None = None) -> DataFrame:
     """G22 shape: 6 stats of ``col`` on all and on detected rows, diff and dif2 (16 columns)."""
-    spec = {col: RATE_AGGS}
-    agg = rows.groupBy("object_id").agg(*compile_aggs(spec), *compile_aggs(spec, cond="detected = 1", suffix="_detected1"))
+    parts = [split_spec({col: RATE_AGGS}), split_spec({col: RATE_AGGS}, "detected = 1", "_detected1")]
+    agg = _aggregate(rows, parts)
     out = agg.withColumns(_diff_exprs(col, "")).withColumns(_diff_exprs(col, "_detected1"))
     return restore_objects(out, ids)
 
@@ -77,11 +62,7 @@ def rate_object_features(rows: DataFrame, col: str, ids: DataFrame | None = None
 def rate_band_features(rows: DataFrame, col: str, ids: DataFrame | None = None, contrasts: bool = True,
                        base: int = 5, targets=(0, 1, 2, 3, 4)) -> DataFrame:
     """G23 shape: 6 stats x 6 bands, diff/dif2 per band, band-5 contrasts."""
-    spec = {col: RATE_AGGS}
-    aggs = []
-    for b in BANDS:
-        aggs += compile_aggs(spec, cond=f"passband = {b}", suffix=f"_{b}")
-    out = rows.groupBy("object_id").agg(*aggs)
+    out = _aggregate(rows, [split_spec({col: RATE_AGGS}, f"passband = {b}", f"_{b}") for b in BANDS])
     for b in BANDS:
         out = out.withColumns(_diff_exprs(col, f"_{b}"))
     if contrasts:
@@ -93,25 +74,25 @@ def rate_band_features(rows: DataFrame, col: str, ids: DataFrame | None = None,
 
 def fluxdiff(lc: DataFrame, ids: DataFrame | None = None, max_gap: float = 100.0) -> DataFrame:
     """G22."""
-    return rate_object_features(flux_rate(_by_object(lc), max_gap), "fluxdiff", ids)
+    return rate_object_features(flux_rate(lc, max_gap), "fluxdiff", ids)
 
 
 def fluxdiff_passband(lc: DataFrame, ids: DataFrame | None = None, max_gap: float = 100.0) -> DataFrame:
     """G23 (78 columns)."""
-    return rate_band_features(flux_rate(_by_object(lc), max_gap), "fluxdiff", ids)
+    return rate_band_features(flux_rate(lc, max_gap), "fluxdiff", ids)
 
 
 def fluxdiffdiff(lc: DataFrame, ids: DataFrame | None = None, max_gap: float = 100.0) -> DataFrame:
     """G25 (object form, 16 columns)."""
-    return rate_object_features(flux_curvature(_by_object(lc), max_gap), "fluxdiffdiff", ids)
+    return rate_object_features(flux_curvature(lc, max_gap), "fluxdiffdiff", ids)
 
 
 def fluxdiffdiff_passband(lc: DataFrame, ids: DataFrame | None = None, max_gap: float = 100.0) -> DataFrame:
     """G25 (band form, 48 columns, no contrasts)."""
-    return rate_band_features(flux_curvature(_by_object(lc), max_gap), "fluxdiffdiff", ids,
+    return rate_band_features(flux_curvature(lc, max_gap), "fluxdiffdiff", ids,
                               contrasts=False)
 
 
 def mjddiff_passband(lc: DataFrame, ids: DataFrame | None = None, max_gap: float = 100.0) -> DataFrame:
     """Band stats of the rate without contrasts (48 columns)."""
-    return rate_band_features(flux_rate(_by_object(lc), max_gap), "fluxdiff", ids, contrasts=False)
+    return rate_band_features(flux_rate(lc, max_gap), "fluxdiff", ids, contrasts=False)

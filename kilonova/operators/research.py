@@ -7,10 +7,12 @@ bin edges) are bounded by construction (number of classes / bins).
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import BAND_LETTERS, BANDS, haversine, latlon1, safe_div
+from ..functions.quantiles import aggregate_with_medians, exact_quantiles
+from ..functions.windows import join_back, lag_columns
 from .stats import restore_objects
 
 
@@ -82,26 +84,26 @@ def mean_by_detected(lc: DataFrame) -> DataFrame:
 
 def duration_by_object(lc: DataFrame, meta: DataFrame) -> DataFrame:
     """Mjd max, min, span and flux_err min/max/mean/median per object, with target."""
-    agg = lc.groupBy("object_id").agg(
+    agg = aggregate_with_medians(lc, ["object_id"], [
         F.max("mjd").alias("mjd_max"), F.min("mjd").alias("mjd_min"),
         (F.max("mjd") - F.min("mjd")).alias("mjd_span"),
         F.min("flux_err").alias("flux_err_min"), F.max("flux_err").alias("flux_err_max"),
-        F.avg("flux_err").alias("flux_err_mean"), F.median("flux_err").alias("flux_err_median"))
+        F.avg("flux_err").alias("flux_err_mean")], {"flux_err_median": ("flux_err", None)})
     return meta.select("object_id", "target").join(agg, "object_id", "left")
 
 
 def time_steps(lc: DataFrame) -> DataFrame:
     """Step to the previous observation of the same object (all bands, by time)."""
-    w = Window.partitionBy("object_id").orderBy("mjd", "passband")
-    return lc.select("object_id", (F.col("mjd") - F.lag("mjd").over(w)).alias("dt")).filter(F.col("dt").isNotNull())
+    rows = lag_columns(lc.select("object_id", "mjd", "passband"), ["object_id"], "mjd", ["mjd"], "_prev_", ties=("passband",))
+    return rows.select("object_id", (F.col("mjd") - F.col("_prev_mjd")).alias("dt")).filter(F.col("dt").isNotNull())
 
 
 def equal_width_histogram(df: DataFrame, col: str, bins: int = 100) -> DataFrame:
     """Histogram with ``bins`` equal bins over [min, max] of ``col`` (last bin closed).
 
-    min / max are scalar subqueries of the same input (computed once)."""
-    lo = df.select(F.min(col)).scalar()
-    hi = df.select(F.max(col)).scalar()
+    min / max are one scalar subquery of the same input."""
+    ends = df.select(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi"))).scalar()
+    lo, hi = ends["lo"], ends["hi"]
     idx = F.least(F.floor((F.col(col) - lo) * F.lit(float(bins)) / (hi - lo)), F.lit(bins - 1)).cast("int")
     return (df.filter(F.col(col).isNotNull()).groupBy(F.coalesce(idx, F.lit(0)).alias("bin"))
             .agg(F.count(F.lit(1)).alias("n"))
@@ -127,8 +129,8 @@ def histogram2d(df: DataFrame, x: str, y: str, x_edges: list[float], y_bins: int
     # number of edges <= x, minus one = bin index
     xi = F.aggregate(xs, F.lit(0), lambda acc, e: acc + F.when(F.col(x) >= e, 1).otherwise(0)) - 1
     xi = F.when(F.col(x) == F.lit(float(x_edges[-1])), len(x_edges) - 2).otherwise(xi)
-    lo = df.select(F.min(y)).scalar()
-    hi = df.select(F.max(y)).scalar()
+    ends = df.select(F.struct(F.min(y).alias("lo"), F.max(y).alias("hi"))).scalar()
+    lo, hi = ends["lo"], ends["hi"]
     yi = F.least(F.floor((F.col(y) - lo) * F.lit(float(y_bins)) / (hi - lo)), F.lit(y_bins - 1)).cast("int")
     cells = df.select(xi.alias("x_bin"), F.coalesce(yi, F.lit(0)).alias("y_bin"))
     return (cells.filter((F.col("x_bin") >= 0) & (F.col("x_bin") < len(x_edges) - 1))
@@ -140,14 +142,11 @@ def lightcurve_summary(lc: DataFrame, ids: DataFrame | None = None) -> DataFrame
     Amp = (max - min)/m, MAD = median(|f - median(f)| / m), Beyond = share of
     |f - m| > std(f), Skew = population skew; colours of adjacent bands
     -2.5*log10(m_a/m_b) when both means are > 0, else -999.  35 columns."""
-    lc = lc.repartition("object_id")
-    w = Window.partitionBy("object_id", "passband")
-    r2 = F.pow(safe_div("flux", "flux_err"), 2.0)
-    rows = lc.withColumns({
-        "_m": safe_div(F.sum(F.col("flux") * r2).over(w), F.sum(r2).over(w)),
-        "_med": F.median("flux").over(w),
-        "_std": F.stddev_samp("flux").over(w),
-    })
+    r2 = "pow(try_divide(flux, flux_err), 2D)"
+    per = aggregate_with_medians(lc, ["object_id", "passband"], [
+        F.expr(f"try_divide(sum(flux * {r2}), sum({r2})) AS _m"), F.stddev_samp("flux").alias("_std")], {"_med": ("flux", None)})
+    rows = join_back(lc, per, ["object_id", "passband"])
+    medians = {}
     aggs = []
     for b, name in zip(BANDS, BAND_LETTERS):
         def on(x, b=b):
@@ -156,11 +155,12 @@ def lightcurve_summary(lc: DataFrame, ids: DataFrame | None = None) -> DataFrame
             f"max({on('_m')}) AS {name}Mean",
             f"stddev_samp({on('try_divide(flux, flux_err)')}) AS {name}Std",
             f"try_divide(max({on('flux')}) - min({on('flux')}), max({on('_m')})) AS {name}Amp",
-            f"median({on('abs(try_divide(flux - _med, _m))')}) AS {name}MAD",
             f"avg({on('CASE WHEN abs(flux - _m) > _std THEN 1D ELSE 0D END')}) AS {name}Beyond",
             f"CASE WHEN count({on('flux')}) >= 3 THEN skewness({on('flux')}) END AS {name}Skew",
         )]
-    agg = rows.groupBy("object_id").agg(*aggs)
+        medians[f"{name}MAD"] = ("abs(try_divide(flux - _med, _m))", f"passband = {b}")
+    agg = aggregate_with_medians(rows, ["object_id"], aggs, medians,
+                                 [f"{n}{x}" for n in BAND_LETTERS for x in ("Mean", "Std", "Amp", "MAD", "Beyond", "Skew")])
     colours = {}
     for a, b in zip(BAND_LETTERS[:-1], BAND_LETTERS[1:]):
         ma, mb = F.col(f"{a}Mean"), F.col(f"{b}Mean")
@@ -180,9 +180,9 @@ def band_flux_moments(lc: DataFrame, meta: DataFrame | None = None) -> DataFrame
 
 def quantiles_by_class(df: DataFrame, col: str, label: str = "target") -> DataFrame:
     """Box-plot data of ``col`` per class (min, quartiles, max; linear interpolation)."""
-    q = F.percentile(F.col(col), F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    return df.groupBy(label).agg(q.alias("_q"), F.count(F.col(col)).alias("n")).select(
-        label, "n", *[F.col("_q")[i].alias(n) for i, n in enumerate(("q0", "q25", "q50", "q75", "q100"))])
+    n = df.groupBy(label).agg(F.count(F.col(col)).alias("n"))
+    q = exact_quantiles(df, [label], col, [0.0, 0.25, 0.5, 0.75, 1.0])
+    return join_back(n, q, [label]).select(label, "n", *[F.col(f"_q{i}").alias(x) for i, x in enumerate(("q0", "q25", "q50", "q75", "q100"))])
 
 
 def correlations(df: DataFrame, target: str, cols: list[str]) -> DataFrame:

@@ -1,10 +1,9 @@
 """Per-band series features (C1-C9, C12-C13 general set; C16-C20 cadence set),
 re-aimed from a per-object Python library as native Spark aggregates.
 
-Plan: hash-partition on ``object_id`` once; per-(object, band) window values
-(median, weighted mean, lag/lead steps) and the per-(object, band) aggregate
-reuse that partitioning; the long result is pivoted to ``<feature>_<band>``
-columns by a conditional ``first`` per band (no second shuffle).
+Values of a whole series (weighted mean, median, spread) are mergeable aggregates and exact quantiles joined back on
+(object, band); steps come from ``functions.windows`` (long series are cut into slices).  The long result is pivoted to
+``<feature>_<band>`` columns by a conditional ``first`` per band.
 
 x = flux, e = flux_err, t = mjd.  ``log_scaled`` converts magnitudes with
 10^(-0.4 x) for the amplitude-ratio features (off: flux here is linear).
@@ -12,10 +11,12 @@ Pairwise-lag histograms (all pairs of a series) are not built -- see README.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import BAND_LETTERS, BANDS, safe_div
+from ..functions.quantiles import aggregate_with_medians, exact_quantiles
+from ..functions.windows import join_back, lag_columns
 from .stats import restore_objects
 
 # Fixed parameters of the cadence features: step lengths in minutes.
@@ -36,15 +37,16 @@ CADENCE = (["avg_double_to_single_step", "avg_err", "avgt"] + [f"cad_probs_{m}"
 
 
 def _pivot_bands(long: DataFrame, names: list[str]) -> DataFrame:
-    """(object_id, passband, f1..fn) -> object_id, f1_u .. fn_y (one aggregate, no shuffle
-    when the input is already partitioned by object_id)."""
+    """(object_id, passband, f1..fn) -> object_id, f1_u .. fn_y (one aggregate of at most six rows an object)."""
     aggs = [F.expr(f"first(CASE WHEN passband = {b} THEN {n} END, true) AS {n}_{letter}")
             for n in names for b, letter in zip(BANDS, BAND_LETTERS)]
     return long.groupBy("object_id").agg(*aggs)
 
 
+SERIES = ["object_id", "passband"]
+
+
 def _series_rows(lc: DataFrame, log_scaled: bool) -> DataFrame:
-    lc = lc.repartition("object_id")
     x = F.pow(F.lit(10.0), F.lit(-0.4) * F.col("flux")) if log_scaled else F.col("flux")
     return lc.select("object_id", "passband", "mjd", "flux", "flux_err", x.alias("_lin"))
 
@@ -52,31 +54,23 @@ def _series_rows(lc: DataFrame, log_scaled: bool) -> DataFrame:
 def series_general_long(lc: DataFrame, log_scaled: bool = False) -> DataFrame:
     """C1-C9, C12, C13 per (object, band), long form."""
     rows = _series_rows(lc, log_scaled)
-    w = Window.partitionBy("object_id", "passband")
-    wo = w.orderBy("mjd")
-    inv_e2 = safe_div(F.lit(1.0), F.pow("flux_err", 2))
-    n = F.count("flux").over(w).cast("double")
-    wmean = safe_div(F.sum(F.col("flux") * inv_e2).over(w), F.sum(inv_e2).over(w))
+    inv = "try_divide(1D, pow(flux_err, 2))"
+    per = aggregate_with_medians(rows, SERIES, [
+        F.expr(f"try_divide(sum(flux * {inv}), sum({inv})) AS _wmean"), F.stddev_pop("flux").alias("_std"),
+        (F.max("flux") - F.min("flux")).alias("_rng"), F.count("flux").cast("double").alias("_n")], {"_med": ("flux", None)})
+    rows = join_back(rows, per, SERIES)
+    rows = rows.withColumn("_delta", F.sqrt(safe_div(F.col("_n"), F.col("_n") - 1)) * safe_div(F.col("flux") - F.col("_wmean"), F.col("flux_err")))
+    rows = lag_columns(rows, SERIES, "mjd", ["mjd", "flux", "_delta"], "_prev_")
     rows = rows.withColumns({
-        "_med": F.median("flux").over(w),
-        "_wmean": wmean,
-        "_std": F.stddev_pop("flux").over(w),
-        "_rng": F.max("flux").over(w) - F.min("flux").over(w),
-        "_slope": F.abs(safe_div(F.col("flux") - F.lag("flux").over(wo), F.col("mjd") - F.lag("mjd").over(wo))),
-        "_delta": F.sqrt(safe_div(n, n - 1)) * safe_div(F.col("flux") - wmean, F.col("flux_err")),
+        "_slope": F.abs(safe_div(F.col("flux") - F.col("_prev_flux"), F.col("mjd") - F.col("_prev_mjd"))),
+        "_p": F.col("_delta") * F.col("_prev__delta"),
     })
-    rows = rows.withColumn("_p", F.col("_delta") * F.lag("_delta").over(wo))
-    pct = F.percentile(F.col("_lin"), F.array(*[F.lit(p) for p in _PCTS]))
-    lin_med = F.median("_lin")
-    agg = rows.groupBy("object_id", "passband").agg(
+    agg = aggregate_with_medians(rows, SERIES, [
         ((F.max("flux") - F.min("flux")) / 2).alias("amplitude"),
-        pct.alias("_pct"),
         F.max("_slope").alias("max_slope"),
         F.max("flux").alias("maximum"),
-        F.median("flux").alias("median"),
-        F.median(F.abs(F.col("flux") - F.col("_med"))).alias("median_absolute_deviation"),
         F.min("flux").alias("minimum"),
-        F.max("_lin").alias("_lmax"), F.min("_lin").alias("_lmin"), lin_med.alias("_lmed"),
+        F.max("_lin").alias("_lmax"), F.min("_lin").alias("_lmin"),
         F.avg(F.when(F.abs(F.col("flux") - F.col("_wmean")) > F.col("_std"), 1.0).otherwise(0.0))
         .alias("percent_beyond_1_std"),
         F.avg(F.when(F.abs(F.col("flux") - F.col("_med")) < F.abs(F.col("_rng") * 0.1), 1.0).otherwise(0.0))
@@ -85,8 +79,10 @@ def series_general_long(lc: DataFrame, log_scaled: bool = False) -> DataFrame:
         F.stddev_pop("flux").alias("std"),
         F.avg(F.signum("_p") * F.sqrt(F.abs("_p"))).alias("stetson_j"),
         safe_div(F.avg(F.abs("_delta")), F.sqrt(F.avg(F.pow("_delta", 2)))).alias("stetson_k"),
-        F.first("_wmean").alias("weighted_average"),
-    )
+        F.max("_wmean").alias("weighted_average"),
+    ], {"median": ("flux", None), "median_absolute_deviation": ("abs(flux - _med)", None), "_lmed": ("_lin", None)})
+    pct = exact_quantiles(rows, SERIES, "_lin", _PCTS)
+    agg = join_back(agg, pct.select(*SERIES, F.array(*[F.col(f"_q{i}") for i in range(len(_PCTS))]).alias("_pct")), SERIES)
     idx = {p: i for i, p in enumerate(_PCTS)}
 
     def pc(p: float) -> Column:
@@ -107,11 +103,11 @@ def series_general(lc: DataFrame, ids: DataFrame | None = None, log_scaled: bool
 
 def series_cadence_long(lc: DataFrame) -> DataFrame:
     """C16-C20 per (object, band), long form."""
-    rows = _series_rows(lc, False)
-    wo = Window.partitionBy("object_id", "passband").orderBy("mjd")
-    cad = F.col("mjd") - F.lag("mjd").over(wo)                       # step to the previous point
-    d2 = safe_div(F.lead("mjd", 1).over(wo) - F.lag("mjd").over(wo), cad)  # (t[i+2]-t[i])/(t[i+1]-t[i])
-    rows = rows.withColumns({"_cad": cad, "_d2": d2})
+    rows = lag_columns(_series_rows(lc, False), SERIES, "mjd", ["mjd"], "_p1_")     # previous point
+    rows = lag_columns(rows, SERIES, "mjd", ["_p1_mjd"], "_p2")                       # and the one before
+    # step to the previous point; (t[i] - t[i-2]) / (t[i-1] - t[i-2]): two steps over the first of them
+    rows = rows.withColumns({"_cad": F.col("mjd") - F.col("_p1_mjd"),
+                             "_d2": safe_div(F.col("mjd") - F.col("_p2_p1_mjd"), F.col("_p1_mjd") - F.col("_p2_p1_mjd"))})
     aggs = [
         F.avg("_d2").alias("avg_double_to_single_step"),
         F.avg("flux_err").alias("avg_err"),
@@ -121,13 +117,13 @@ def series_cadence_long(lc: DataFrame) -> DataFrame:
                    .when(F.col("_cad") < F.lit(m / 1440.0), 1.0).otherwise(0.0)).alias(f"cad_probs_{m}")
              for m in CAD_PROB_MINUTES]
     aggs += [
-        F.avg("_cad").alias("cads_avg"), F.median("_cad").alias("cads_med"), F.stddev_pop("_cad").alias("cads_std"),
-        F.avg("flux").alias("mean"), F.median("_d2").alias("med_double_to_single_step"),
-        F.median("flux_err").alias("med_err"), F.count(F.lit(1)).cast("double").alias("n_epochs"),
+        F.avg("_cad").alias("cads_avg"), F.stddev_pop("_cad").alias("cads_std"),
+        F.avg("flux").alias("mean"), F.count(F.lit(1)).cast("double").alias("n_epochs"),
         F.stddev_pop("_d2").alias("std_double_to_single_step"), F.stddev_pop("flux_err").alias("std_err"),
         (F.max("mjd") - F.min("mjd")).alias("total_time"),
     ]
-    return rows.groupBy("object_id", "passband").agg(*aggs).select("object_id", "passband", *CADENCE)
+    medians = {"cads_med": ("_cad", None), "med_double_to_single_step": ("_d2", None), "med_err": ("flux_err", None)}
+    return aggregate_with_medians(rows, SERIES, aggs, medians).select("object_id", "passband", *CADENCE)
 
 
 def series_cadence(lc: DataFrame, ids: DataFrame | None = None) -> DataFrame:

@@ -3,8 +3,8 @@
 Design: every feature set is ONE ``groupBy("object_id")`` with conditional
 aggregates (detected rows, one band, ...).  Partial aggregation runs before
 the shuffle, so an object with a huge number of rows is pre-reduced on the map
-side; the only holistic aggregate is ``median`` (exact), whose state is bounded
-by the rows of one object.  Band pivots are conditional aggregates too, so no
+side; the only holistic aggregate is the exact ``median``, which large tables
+take from value slices (``functions.quantiles``).  Band pivots are conditional aggregates too, so no
 second shuffle and no ``pivot`` value scan is needed.
 """
 from __future__ import annotations
@@ -12,32 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.aggspec import compile_aggs
+from ..functions.aggspec import compile_aggs, split_spec
 from ..functions.core import BANDS, safe_div
-from ..functions.quantiles import median_by_key
-
-HOT_ROWS_CONF = "kilonova.hotKeyRows"
-
-
-def hot_rows_setting(df: DataFrame, hot_rows: int | None) -> int | None:
-    """Explicit argument, else the session setting ``kilonova.hotKeyRows`` (unset: off)."""
-    if hot_rows is not None:
-        return hot_rows
-    v = df.sparkSession.conf.get(HOT_ROWS_CONF, None)
-    return int(v) if v else None
-
-
-def with_skew_safe_medians(agg: DataFrame, rows: DataFrame, medians: dict[str, tuple[str, str | None]],
-                           hot_rows: int) -> DataFrame:
-    """Replace median columns of ``agg`` by ``median_by_key`` results (exact, hot keys
-    refined with mergeable aggregates).  ``medians``: output name -> (column, SQL condition)."""
-    out = agg.drop(*medians.keys())
-    for name, (c, cond) in medians.items():
-        src = rows if cond is None else rows.filter(F.expr(cond))
-        m = median_by_key(src.select("object_id", c), "object_id", c, hot_rows).withColumnRenamed("median", name)
-        out = out.join(m, "object_id", "left")
-    return out
-
+from ..functions.quantiles import aggregate_with_medians
 
 # Aggregate specs (fixed feature definitions).
 OBJECT_SPEC = {
@@ -75,16 +52,18 @@ def ratio_exprs(suffix: str = "") -> dict[str, Column]:
     }
 
 
-def object_stats_aggs(spec=OBJECT_SPEC, detected_variant: bool = True,
-                      detected_span: bool = True, drop=("detected_mean_detected1",)) -> list[Column]:
-    det = "detected = 1"
-    aggs = compile_aggs(spec)
+def object_aggregate(rows: DataFrame, spec=OBJECT_SPEC, detected_variant: bool = True, detected_span: bool = True,
+                     drop=("detected_mean_detected1",)) -> DataFrame:
+    """G1-G3 per object, columns in the order of the spec."""
+    aggs, medians, names = split_spec(spec)
     if detected_span:
         aggs.append(F.expr("max(CASE WHEN detected = 1 THEN mjd END) - min(CASE WHEN detected = 1 THEN mjd END) "
                            "AS diff_mjd_maxmin_detected1"))
+        names.append("diff_mjd_maxmin_detected1")
     if detected_variant:
-        aggs += compile_aggs(spec, cond=det, suffix="_detected1", drop=set(drop) & {"detected_mean_detected1"})
-    return aggs
+        more = split_spec(spec, "detected = 1", "_detected1", set(drop) & {"detected_mean_detected1"})
+        aggs, medians, names = aggs + more[0], medians | more[1], names + more[2]
+    return aggregate_with_medians(rows, ["object_id"], aggs, medians, names)
 
 
 def restore_objects(features: DataFrame, ids: DataFrame | None) -> DataFrame:
@@ -99,28 +78,9 @@ def restore_objects(features: DataFrame, ids: DataFrame | None) -> DataFrame:
     return ids.select("object_id").join(features, "object_id", "left")
 
 
-def _median_specs(spec, detected_variant: bool) -> dict[str, tuple[str, str | None]]:
-    out = {}
-    for c, aggs in spec.items():
-        if "median" in aggs:
-            out[f"{c}_median"] = (c, None)
-            if detected_variant:
-                out[f"{c}_median_detected1"] = (c, "detected = 1")
-    return out
-
-
-def basic_ts(lc: DataFrame, meta: DataFrame | None = None, hot_rows: int | None = None) -> DataFrame:
-    """G5 = G1 + G2 + G3 + G4 (42 feature columns).
-
-    With ``hot_rows`` (or the session setting ``kilonova.hotKeyRows``) the exact
-    medians of objects above that many rows are computed by mergeable refinement
-    instead of a one-task value map (see ``functions.quantiles``)."""
-    rows = with_ratio_columns(lc)
-    agg = rows.groupBy("object_id").agg(*object_stats_aggs())
-    hot = hot_rows_setting(lc, hot_rows)
-    if hot:
-        cols = agg.columns
-        agg = with_skew_safe_medians(agg, rows, _median_specs(OBJECT_SPEC, True), hot).select(*cols)
+def basic_ts(lc: DataFrame, meta: DataFrame | None = None) -> DataFrame:
+    """G5 = G1 + G2 + G3 + G4 (42 feature columns)."""
+    agg = object_aggregate(with_ratio_columns(lc))
     out = agg.withColumns(ratio_exprs("")).withColumns(ratio_exprs("_detected1"))
     return restore_objects(out, meta)
 
@@ -130,13 +90,7 @@ def object_stats(lc: DataFrame, meta: DataFrame | None = None, detected: bool =
                  detected_span: bool = False) -> DataFrame:
     """G1/G2/G4 family with switches (used by the fluxfactor / maxpoint sets)."""
     spec = OBJECT_SPEC if detected else OBJECT_SPEC_NO_DETECTED
-    aggs = object_stats_aggs(spec, detected_variant=detected_variant, detected_span=detected_span, drop=drop)
-    rows = with_ratio_columns(lc)
-    agg = rows.groupBy("object_id").agg(*aggs)
-    hot = hot_rows_setting(lc, None)
-    if hot:
-        cols = agg.columns
-        agg = with_skew_safe_medians(agg, rows, _median_specs(spec, detected_variant), hot).select(*cols)
+    agg = object_aggregate(with_ratio_columns(lc), spec, detected_variant, detected_span, drop)
     out = agg.withColumns(ratio_exprs(""))
     if detected_variant:
         out = out.withColumns(ratio_exprs("_detected1"))

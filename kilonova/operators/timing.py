@@ -1,18 +1,18 @@
 """Time-of-feature operators (G30, G31, G33, G34; windows W6, W7).
 
-Per-object thresholds (quantiles, amplitude fractions, peak levels) are window
-aggregates over ``partitionBy(object_id[, passband])`` -- no self-join -- and the
-per-object results are conditional aggregates in one ``groupBy``; the input is
-hash-partitioned on ``object_id`` once and both steps reuse it.
+Per-object thresholds (quantiles, amplitude fractions, peak levels) are mergeable aggregates (or exact quantiles from
+value slices) joined back on their key; the per-object results are conditional aggregates in one ``groupBy``.
 """
 from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import BANDS
+from ..functions.quantiles import quantiles_by_key
+from ..functions.windows import join_back
 from .stats import restore_objects
 
 # Fixed parameter lists of the reference feature sets.
@@ -29,18 +29,9 @@ def _num(x: float) -> str:
 def time_above_quantile(lc: DataFrame, ids: DataFrame | None = None, q_list=QUANTILES) -> DataFrame:
     """Per object, max(mjd) - min(mjd) of rows with flux above its q-quantile
     (linear interpolation); one column ``mjd_diff_<q>`` per q."""
-    from ..functions.quantiles import quantiles_by_key
-    from .stats import hot_rows_setting
-    hot = hot_rows_setting(lc, None)
-    if hot:
-        # hot-key mode: thresholds from a per-object aggregate (hot objects by refinement) joined back
-        th = quantiles_by_key(lc, "object_id", "flux", list(q_list), hot, prefix="_qc")
-        rows = lc.join(th, "object_id", "inner").withColumn(
-            "_q", F.array(*[F.col(f"_qc{i}") for i in range(len(q_list))]))
-    else:
-        lc = lc.repartition("object_id")
-        qs = F.percentile(F.col("flux"), F.array(*[F.lit(float(q)) for q in q_list]))
-        rows = lc.withColumn("_q", qs.over(Window.partitionBy("object_id")))
+    th = quantiles_by_key(lc, "object_id", "flux", list(q_list))
+    th = th.select("object_id", F.array(*[F.col(f"_q{i}") for i in range(len(q_list))]).alias("_q"))
+    rows = join_back(lc, th, ["object_id"])
     aggs = [F.expr(f"max(CASE WHEN flux > _q[{i}] THEN mjd END) - min(CASE WHEN flux > _q[{i}] THEN mjd END) "
                    f"AS mjd_diff_{_num(q)}") for i, q in enumerate(q_list)]
     return restore_objects(rows.groupBy("object_id").agg(*aggs), ids)
@@ -48,9 +39,7 @@ def time_above_quantile(lc: DataFrame, ids: DataFrame | None = None, q_list=QUAN
 
 def time_above_amplitude(lc: DataFrame, ids: DataFrame | None = None, fractions=AMPLITUDE_FRACTIONS) -> DataFrame:
     """Span of rows with flux > frac * (max - min) of the object."""
-    lc = lc.repartition("object_id")
-    w = Window.partitionBy("object_id")
-    rows = lc.withColumn("_amp", F.max("flux").over(w) - F.min("flux").over(w))
+    rows = join_back(lc, lc.groupBy("object_id").agg((F.max("flux") - F.min("flux")).alias("_amp")), ["object_id"])
     aggs = [F.expr(f"max(CASE WHEN flux > _amp * {f!r} THEN mjd END) - min(CASE WHEN flux > _amp * {f!r} THEN mjd END) "
                    f"AS mjd_diff_amp_{_num(f)}") for f in fractions]
     return restore_objects(rows.groupBy("object_id").agg(*aggs), ids)
@@ -61,21 +50,14 @@ def time_from_peak(lc: DataFrame, ids: DataFrame | None = None, levels=PEAK_LEVE
     (earliest on ties) and level thr = min + (max - min) * p: time from the peak
     to the first later point with flux < thr (``after``) and from the last
     earlier such point to the peak (``before``).  108 columns."""
-    from .stats import hot_rows_setting
     det = lc.filter(F.col("detected") == 1)
     anchors = {
         "_peak": F.max_by("mjd", F.struct(F.col("flux"), -F.col("mjd"))),
         "_fmax": F.max("flux"),
         "_fmin": F.min("flux"),
     }
-    if hot_rows_setting(lc, None):
-        # hot-key mode: mergeable per-(object, band) anchors joined back (AQE splits skewed join partitions)
-        a = det.groupBy("object_id", "passband").agg(*[e.alias(n) for n, e in anchors.items()])
-        rows = det.join(a, ["object_id", "passband"], "inner")
-    else:
-        det = det.repartition("object_id")
-        w = Window.partitionBy("object_id", "passband")
-        rows = det.withColumns({n: e.over(w) for n, e in anchors.items()})
+    per = det.groupBy("object_id", "passband").agg(*[e.alias(n) for n, e in anchors.items()])
+    rows = join_back(det, per, ["object_id", "passband"])
     aggs, out = [], ["object_id"]
     for b in BANDS:
         aggs.append(F.expr(f"max(CASE WHEN passband = {b} THEN _peak END) AS _peak_{b}"))

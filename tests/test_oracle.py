@@ -6,15 +6,15 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from kilonova.plans import catalog
 from tools.oracle_check import TABLES, compare
 
 SF = os.environ.get("KILONOVA_TEST_SF", "/root/testdata/sf0.001")
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = catalog.queries()
+ORACLES = catalog.oracles()
 
 
-@pytest.fixture(scope="module")
-def con():
+def connect():
     c = duckdb.connect()
     for t in TABLES:
         p = f"{SF}/{t}.parquet"
@@ -23,6 +23,20 @@ def con():
     return c
 
 
+def equal_to_oracle(spark, name, con=None):
+    sdf = QUERIES[name](spark, SF)
+    res = compare(sdf.toPandas(), (con or connect()).execute(ORACLES[name]).df(), dict(sdf.dtypes))
+    assert res["columns_match"], res
+    assert res["rows_spark"] == res["rows_duckdb"], res
+    assert not res["dtype_diff"], res
+    assert res["cells_tol_diff"] == 0, res
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connect()
+
+
 def test_every_query_has_oracle_or_is_declared_rows_only():
     rows_only = set(QUERIES) - set(ORACLES)
     assert rows_only <= {"kmeans_regions", "cv_scores", "importance", "random_search", "encode_sequences",
@@ -32,14 +46,7 @@ def test_every_query_has_oracle_or_is_declared_rows_only():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_duckdb(spark, con, name):
-    sdf = QUERIES[name](spark, SF)
-    spd = sdf.toPandas()
-    dpd = con.execute(ORACLES[name]).df()
-    res = compare(spd, dpd, dict(sdf.dtypes))
-    assert res["columns_match"], res
-    assert res["rows_spark"] == res["rows_duckdb"], res
-    assert not res["dtype_diff"], res
-    assert res["cells_tol_diff"] == 0, res
+    equal_to_oracle(spark, name, con)
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))

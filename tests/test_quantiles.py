@@ -1,53 +1,50 @@
-"""The hot-key median path equals Spark's exact median (linear interpolation)."""
+"""Exact quantiles from value slices equal Spark's exact percentile, for keys of any size."""
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from kilonova.functions.quantiles import exact_median_hot, median_by_key
+from kilonova.functions.quantiles import aggregate_with_medians, exact_quantiles, median_by_key
+from kilonova.functions.slices import cut_points, slice_sql
 
+QS = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
 
-def test_hot_key_median_matches_exact(spark):
+
+@pytest.fixture(scope="module")
+def values(spark):
     rnd = random.Random(5)
-    rows = [(1, rnd.gauss(0, 1)) for _ in range(20001)] + [(2, float(rnd.randint(0, 3))) for _ in range(5000)]
-    rows += [(3, 7.0)] * 100 + [(k, rnd.random()) for k in range(4, 40) for _ in range(3)]
-    df = spark.createDataFrame(rows, "object_id long, flux double")
-    exp = {r[0]: r[1] for r in df.groupBy("object_id").agg(F.median("flux")).collect()}
-    got = {r[0]: r[1] for r in median_by_key(df, "object_id", "flux", hot_rows=50).collect()}
-    assert got.keys() == exp.keys()
-    for k in exp:
-        assert got[k] == exp[k], (k, got[k], exp[k])
+    rows = [(1, rnd.gauss(0, 1)) for _ in range(18001)] + [(2, float(rnd.randint(0, 3))) for _ in range(900)]
+    rows += [(3, 7.0)] * 700 + [(k, rnd.random()) for k in range(4, 40) for _ in range(3)] + [(None, 1.0), (None, 2.0), (50, None), (1, None)]
+    return spark.createDataFrame(rows, "object_id long, flux double")
+
+
+def test_slices_partition_the_range(spark, values):
+    cuts = cut_points(values, "flux", 500)
+    assert len(cuts) > 10
+    got = values.select(F.expr(slice_sql("flux", cuts)).alias("s"), "flux").groupBy("s").agg(F.count("*"), F.min("flux"), F.max("flux")).collect()
+    got = {r[0]: r[1:] for r in got}
+    assert got[-1][0] == 2 and all(lo >= cuts[s - 1] for s, (_, lo, _) in got.items() if s > 0)
+    assert all(hi < cuts[s] for s, (_, _, hi) in got.items() if 0 <= s < len(cuts))
+
 
+@pytest.mark.parametrize("rows", [50, 500, 10**9])
+def test_quantiles_match_percentile(spark, values, rows):
+    exp = {r[0]: r[1] for r in values.groupBy("object_id").agg(F.percentile("flux", F.array(*map(F.lit, QS)))).collect() if r[1]}
+    got = {r[0]: list(r[1:]) for r in exact_quantiles(values, ["object_id"], "flux", QS, rows=rows).collect()}
+    assert got == exp
 
-def test_even_count_interpolates(spark):
+
+def test_median_of_an_even_count(spark):
     df = spark.createDataFrame([(1, float(v)) for v in [5, 1, 9, 3, 7, 11]], "object_id long, flux double")
-    assert exact_median_hot(df, "object_id", "flux", bins=2).first()["median"] == 6.0
-
-
-def test_basic_ts_hot_path_equals_plain(spark):
-    from kilonova.functions.core import round_all
-    from kilonova.operators import stats
-    rnd = random.Random(2)
-    rows = [(1, float(i), i % 6, rnd.gauss(3, 2), rnd.uniform(0.5, 2), rnd.randint(0, 1)) for i in range(3000)]
-    rows += [(k, float(i), i % 6, rnd.gauss(0, 1), 1.0, 1) for k in range(2, 9) for i in range(12)]
-    lc = spark.createDataFrame(rows, "object_id long, mjd double, passband int, flux double, flux_err double, "
-                                     "detected int")
-    a = round_all(stats.basic_ts(lc)).toPandas().sort_values("object_id").reset_index(drop=True)
-    b = round_all(stats.basic_ts(lc, hot_rows=100)).toPandas().sort_values("object_id").reset_index(drop=True)
-    assert a.equals(b[a.columns])
-
-
-def test_time_above_quantile_hot_mode_equal(spark):
-    from kilonova.operators import timing
-    rnd = random.Random(11)
-    rows = [(1, float(i), i % 6, rnd.gauss(0, 4), 1.0, 0) for i in range(1200)]
-    rows += [(k, float(i), 0, rnd.gauss(0, 4), 1.0, 0) for k in range(2, 6) for i in range(25)]
-    lc = spark.createDataFrame(rows, "object_id long, mjd double, passband int, flux double, flux_err double, "
-                                     "detected int")
-    qs = [0.05, 0.5, 0.95]
-    a = sorted(timing.time_above_quantile(lc, q_list=qs).collect())
-    spark.conf.set("kilonova.hotKeyRows", "100")
+    for rows in (2, 100):
+        assert median_by_key(df, "object_id", "flux", rows=rows).first()["median"] == 6.0
+
+
+def test_medians_beside_other_aggregates(spark, values):
+    spec = ["object_id"], [F.count("flux").alias("n")], {"m": ("flux", None), "p": ("flux", "flux > 0")}, ["m", "n", "p"]
+    plain = sorted(aggregate_with_medians(values, *spec).collect(), key=str)
+    spark.conf.set("kilonova.sliceRows", "300")
     try:
-        b = sorted(timing.time_above_quantile(lc, q_list=qs).collect())
+        assert sorted(aggregate_with_medians(values, *spec).collect(), key=str) == plain
     finally:
-        spark.conf.unset("kilonova.hotKeyRows")
-    assert a == b
+        spark.conf.unset("kilonova.sliceRows")

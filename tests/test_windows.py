@@ -1,57 +1,69 @@
-"""Chunked lag for hot series equals the plain window lag."""
+"""One object with most of the rows: every operator gives the same with one slice and with many."""
 import random
 
-from pyspark.sql import functions as F
+import pytest
 
-from kilonova.functions.windows import lag_columns
-from kilonova.operators import rates
+from kilonova.functions.core import round_all
+from kilonova.functions.windows import join_back, lag_columns
+from kilonova.operators import peaks, rates, research, series, stats, timing
 
+LC = "object_id long, mjd double, passband int, flux double, flux_err double, detected int"
+KEYS = ["object_id", "passband"]
 
-def test_chunked_lag_equals_plain(spark):
+
+@pytest.fixture(scope="module")
+def lc(spark):
     rnd = random.Random(4)
-    rows = [(1, 0, rnd.uniform(0, 1000), rnd.gauss(0, 1)) for _ in range(3000)]
-    rows += [(k, b, rnd.uniform(0, 50), rnd.gauss(0, 1)) for k in range(2, 12) for b in range(2) for _ in range(8)]
-    df = spark.createDataFrame(rows, "object_id long, passband int, mjd double, flux double")
-    keys = ["object_id", "passband"]
-    a = lag_columns(df, keys, "mjd", ["mjd", "flux"]).orderBy("object_id", "passband", "mjd").collect()
-    b = lag_columns(df, keys, "mjd", ["mjd", "flux"], hot_rows=100, chunks=16).orderBy(
-        "object_id", "passband", "mjd").collect()
-    assert [r.asDict() for r in a] == [r.asDict() for r in b]
-
-
-def test_rates_hot_setting_equal(spark):
-    rnd = random.Random(8)
-    rows = [(1, float(i) + rnd.random(), i % 2, rnd.gauss(0, 3), 1.0, 1) for i in range(2000)]
-    rows += [(2, float(i), 0, rnd.gauss(0, 3), 1.0, 0) for i in range(20)]
-    lc = spark.createDataFrame(rows, "object_id long, mjd double, passband int, flux double, flux_err double, "
-                                     "detected int")
-    plain = sorted(rates.flux_rate(lc).select("object_id", "mjd", "fluxdiff").collect())
-    spark.conf.set("kilonova.hotKeyRows", "100")
+    t = [rnd.uniform(0, 40) for _ in range(1500)] + [500 + rnd.uniform(0, 900) for _ in range(300)]  # a burst, then a gap
+    rows = [(1, x, i % 2, float(rnd.randint(-3, 3)), rnd.uniform(0.5, 2), rnd.randint(0, 1)) for i, x in enumerate(t)]
+    rows += [(k, rnd.uniform(0, 800), rnd.randint(0, 5), rnd.gauss(0, 3), 1.0, 1) for k in range(2, 9) for _ in range(20)]
+    rows += [(1, None, 0, 9.0, 1.0, 1), (1, 700.5, 1, None, 1.0, 1), (9, 5.0, 2, 1.0, 0.0, 1)]
+    return spark.createDataFrame(rows, LC)
+
+
+def sliced(spark, make, rows=60):
+    norm = lambda df: sorted((tuple(r) for r in round_all(df).collect()), key=repr)
+    plain = norm(make())
+    spark.conf.set("kilonova.sliceRows", str(rows))
     try:
-        hot = sorted(rates.flux_rate(lc).select("object_id", "mjd", "fluxdiff").collect())
+        assert norm(make()) == plain
     finally:
-        spark.conf.unset("kilonova.hotKeyRows")
-    assert plain == hot
-
-
-def test_peak_anchors_hot_mode_equal(spark):
-    from kilonova.functions.core import round_all
-    from kilonova.operators import peaks, timing
-    rnd = random.Random(9)
-    rows = [(1, float(i), i % 6, rnd.gauss(0, 5), 1.0, rnd.randint(0, 1)) for i in range(1500)]
-    rows += [(k, float(i * 3), i % 6, rnd.gauss(0, 5), 1.0, 1) for k in range(2, 8) for i in range(30)]
-    lc = spark.createDataFrame(rows, "object_id long, mjd double, passband int, flux double, flux_err double, "
-                                     "detected int")
-
-    def both():
-        a = sorted(peaks.window_around_peak(lc, 100.0).collect())
-        b = round_all(timing.time_from_peak(lc)).toPandas().sort_values("object_id").reset_index(drop=True)
-        return a, b
-    a1, b1 = both()
-    spark.conf.set("kilonova.hotKeyRows", "100")
+        spark.conf.unset("kilonova.sliceRows")
+    return plain
+
+
+def test_lag(spark, lc):
+    got = sliced(spark, lambda: lag_columns(lc, KEYS, "mjd", ["mjd", "flux"], ties=("flux", "flux_err")))
+    by = {}
+    for r in got:
+        by.setdefault((r[0], r[2]), []).append(r)
+    for rs in by.values():
+        known = sorted((r for r in rs if r[1] is not None), key=lambda r: r[1])
+        assert known[0][-2] is None and all(b[-2] == a[1] for a, b in zip(known, known[1:]))
+        assert all(r[-2] is None and r[-1] is None for r in rs if r[1] is None)
+
+
+@pytest.mark.parametrize("make", [
+    stats.basic_ts, stats.object_stats, rates.fluxdiff, rates.fluxdiff_passband, rates.fluxdiffdiff, peaks.segment_by_gap,
+    peaks.window_around_peak, peaks.maxpoint, peaks.maxpoint_passband, timing.time_above_quantile, timing.time_above_amplitude,
+    timing.time_from_peak, research.time_steps, research.lightcurve_summary, series.series_general, series.series_cadence,
+], ids=lambda f: f.__name__)
+def test_operators(spark, lc, make):
+    assert sliced(spark, lambda: make(lc.dropna(subset=["mjd"])))
+
+
+@pytest.mark.parametrize("name", ["basic_ts", "fluxdiff_passband", "maxpoint_gap", "time_above_quantile", "series_cadence", "quantiles_by_class"])
+def test_queries_in_slices_equal_duckdb(spark, name):
+    from tests.test_oracle import equal_to_oracle
+
+    spark.conf.set("kilonova.sliceRows", "200")
     try:
-        a2, b2 = both()
+        equal_to_oracle(spark, name)
     finally:
-        spark.conf.unset("kilonova.hotKeyRows")
-    assert a1 == a2
-    assert b1.equals(b2[b1.columns])
+        spark.conf.unset("kilonova.sliceRows")
+
+
+def test_join_back_keeps_null_keys(spark):
+    df = spark.createDataFrame([(None, 1), (1, 2), (1, 3)], "k long, v int")
+    per = df.groupBy("k").agg({"v": "max"}).withColumnRenamed("max(v)", "m")
+    assert sorted(join_back(df, per, ["k"]).collect(), key=str) == sorted([(1, 2, 3), (1, 3, 3), (None, 1, 1)], key=str)
