@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import BAND_LETTERS, BANDS, haversine, latlon1, safe_div
+from ..functions.core import BAND_LETTERS, BANDS, haversine, latlon1, pure_magnitude, safe_div
 from ..functions.quantiles import aggregate_with_medians, exact_quantiles
 from ..functions.windows import join_back, lag_columns
 from .stats import restore_objects
@@ -170,12 +170,13 @@ def lightcurve_summary(lc: DataFrame, ids: DataFrame | None = None) -> DataFrame
     return restore_objects(out, ids)
 
 
-def band_flux_moments(lc: DataFrame, meta: DataFrame | None = None) -> DataFrame:
-    """Mean and sample std of flux per band (extragalactic objects when meta is given)."""
-    if meta is not None:
-        lc = lc.join(meta.filter(F.col("hostgal_photoz") != 0).select("object_id"), "object_id", "left_semi")
-    return lc.groupBy("passband").agg(F.avg("flux").alias("flux_mean"), F.stddev_samp("flux").alias("flux_std"),
-                                      F.count(F.lit(1)).alias("n"))
+def band_flux_moments(lc: DataFrame, meta: DataFrame) -> DataFrame:
+    """Mean and sample std per band of the pure magnitude minus distmod (NULL distmod -> 0), extragalactic objects.
+    ``lc``: the splits stacked (``prep.stack_splits``)."""
+    dm = meta.filter(F.col("hostgal_photoz") != 0).select("object_id", F.coalesce("distmod", F.lit(0.0)).alias("_dm"))
+    rows = lc.join(dm, "object_id").withColumn("flux", pure_magnitude("flux", "_dm"))
+    return rows.groupBy("passband").agg(F.avg("flux").alias("flux_mean"), F.stddev_samp("flux").alias("flux_std"),
+                                        F.count(F.lit(1)).alias("n"))
 
 
 def quantiles_by_class(df: DataFrame, col: str, label: str = "target") -> DataFrame:

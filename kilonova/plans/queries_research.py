@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.core import BAND_LETTERS, BANDS
-from ..operators import research
+from ..operators import prep, research
 from ..sources.adapters import lc_events, lc_lineitem, meta_events, meta_part, with_ctes
 from .catalog import register
 from .sqlgen import rounded
@@ -136,12 +136,15 @@ def q_lightcurve_summary(spark, sf_dir):
 
 
 @register("band_moments", rounded(with_ctes(
-    "SELECT passband, avg(flux) AS flux_mean, stddev_samp(flux) AS flux_std, count(*) AS n FROM lc "
-    "WHERE object_id IN (SELECT object_id FROM meta WHERE hostgal_photoz != 0) GROUP BY passband", meta=True),
+    "SELECT passband, avg(mag) AS flux_mean, stddev_samp(mag) AS flux_std, count(*) AS n FROM ("
+    "SELECT l.passband, CASE WHEN l.flux < 1 THEN 2.5 * log10(2 - l.flux) ELSE -2.5 * log10(greatest(l.flux, 1)) END - coalesce(m.distmod, 0) AS mag "
+    "FROM lc l JOIN meta m ON m.object_id = l.object_id WHERE m.hostgal_photoz != 0) GROUP BY passband", meta=True),
     keys=("passband", "n")))
 def q_band_moments(spark, sf_dir):
-    """Per-band flux mean / std over extragalactic objects."""
-    return research.band_flux_moments(lc_lineitem(spark, sf_dir), meta_part(spark, sf_dir))
+    """Per-band mean / std of the pure magnitude over the stacked train and test splits' extragalactic objects."""
+    lc = lc_lineitem(spark, sf_dir)
+    both = prep.stack_splits(lc.filter("object_id % 2 = 0"), lc.filter("object_id % 2 <> 0"))
+    return research.band_flux_moments(both, meta_part(spark, sf_dir))
 
 
 @register("quantiles_by_class", rounded(with_ctes(
