@@ -137,15 +137,20 @@ def predict_redshift(df: DataFrame, features: list[str], folds: DataFrame, targe
 
 
 def encode_sequences(seq: DataFrame, k: int = 16, channels=("lag", "flux")) -> DataFrame:
-    """M14 (re-aimed autoencoder): per object, the padded scaled sequences of all
-    bands flattened into one vector and projected on k principal components."""
-    flat = seq.groupBy("object_id").agg(F.flatten(F.sort_array(F.collect_list(
-        F.struct("passband", F.concat(*[F.col(c) for c in channels]).alias("v")))).getField("v")).alias("x"))
-    width = flat.agg(F.max(F.size("x"))).first()[0]   # one value
-    flat = flat.withColumn("x", F.concat("x", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("x"))))
+    """M14 (re-aimed autoencoder): per object, the padded scaled sequences of all bands side by side -- every band keeps
+    its own slots, zeros where the object lacks it -- projected on ``k`` principal components.  Always ``k`` values: what
+    a narrower input cannot give is 0."""
+    widths = {r["passband"]: r["n"] for r in seq.groupBy("passband").agg(F.max(F.size(channels[0])).alias("n")).collect()}   # one row a band
+    parts = []
+    for b in sorted(widths):
+        own = F.max(F.when(F.col("passband") == b, F.concat(*[F.col(c) for c in channels])))
+        parts.append(F.coalesce(own, F.array_repeat(F.lit(0.0), widths[b] * len(channels))))
+    flat = seq.groupBy("object_id").agg(F.concat(*parts).alias("x"))
+    width = sum(widths.values()) * len(channels)
     vec = flat.withColumn("features", array_to_vector("x"))
     model = PCA(k=min(k, width), inputCol="features", outputCol="enc").fit(vec)
-    return model.transform(vec).select("object_id", vector_to_array("enc").alias("encoding"))
+    missing = F.array_repeat(F.lit(0.0), k - min(k, width))
+    return model.transform(vec).select("object_id", F.concat(vector_to_array("enc"), missing).alias("encoding"))
 
 
 def masked_mse(seq_pred: DataFrame, seq_true: DataFrame, col: str = "flux") -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import safe_div, snap
+from ..functions.windows import join_back
+from .buckets import bucket_pivot
 from .stats import restore_objects
 
 # Peaks are chosen on values snapped to TIE_BITS significant bits, so candidates
@@ -34,10 +36,9 @@ def frequency_grid(f_min: float, df: float, n: int) -> list[float]:
 def periodogram_power(lc: DataFrame, f_min: float = 0.1, df: float = 0.1, n_freq: int = 100) -> DataFrame:
     """F8: GLS power per (object_id, passband, freq)."""
     w = F.pow(safe_div(F.lit(1.0), F.col("flux_err")), 2)
-    # partition the observations (not the grid-expanded rows) by object: the expansion and
-    # the (object, band, freq) aggregate then stay inside the task, no shuffle of expanded rows
-    rows = (lc.repartition("object_id").select("object_id", "passband", "mjd", "flux", w.alias("w"))
-            .filter(F.col("w").isNotNull()))
+    # expanded and summed on the map side: the shuffle carries one row of sums per (object, band, frequency) and task,
+    # and a huge object is spread over all tasks
+    rows = lc.select("object_id", "passband", "mjd", "flux", w.alias("w")).filter(F.col("w").isNotNull())
     ks = F.explode(F.sequence(F.lit(0), F.lit(n_freq - 1))).alias("k")
     ex = rows.select("*", ks).withColumn("freq", F.lit(f_min) + F.col("k") * F.lit(df))
     ph = F.lit(2 * math.pi) * F.col("freq") * F.col("mjd")
@@ -105,12 +106,13 @@ def interpolated_pairs(lc: DataFrame, band1: int, band2: int, lags: list[float])
                     F.lit(None).cast("double").alias("lag"), F.lit(None).cast("double").alias("y1"),
                     F.col("mjd").alias("t2"), F.col("flux").alias("y2"))
     u = probes.unionByName(pts)
-    o = Window.partitionBy("object_id").orderBy("t", "kind")
-    before = o.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = o.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # the latest point at or before a row, and the earliest at or after it: running values forwards and backwards in time
+    # (kind 0 before kind 1: a point at a probe's own time counts on both sides)
+    ahead = Window.partitionBy("object_id").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    back = Window.partitionBy("object_id").orderBy(F.desc("t"), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     u = u.withColumns({
-        "tp": F.last("t2", ignorenulls=True).over(before), "yp": F.last("y2", ignorenulls=True).over(before),
-        "tn": F.first("t2", ignorenulls=True).over(after), "yn": F.first("y2", ignorenulls=True).over(after),
+        "tp": F.last("t2", ignorenulls=True).over(ahead), "yp": F.last("y2", ignorenulls=True).over(ahead),
+        "tn": F.last("t2", ignorenulls=True).over(back), "yn": F.last("y2", ignorenulls=True).over(back),
     })
     q = u.filter((F.col("kind") == 1) & F.col("tp").isNotNull() & F.col("tn").isNotNull())
     interp = F.when(F.col("tn") == F.col("tp"), F.col("yp")).otherwise(
@@ -153,16 +155,18 @@ def discrete_correlation(lc: DataFrame, ids: DataFrame | None = None, band1: int
                                                      F.col("flux_err").alias("ex"))
     b2 = lc.filter(F.col("passband") == band2).select("object_id", F.col("mjd").alias("t"), F.col("flux").alias("y"),
                                                      F.col("flux_err").alias("ey"))
+    # equal points get numbers of their own, so that each meets its own probes only
+    b1 = b1.withColumn("dup", F.row_number().over(Window.partitionBy("object_id", "t1").orderBy("x", "ex")))
     # probe rows: for each point i and edge e, position t1_i + e; kind orders ties so that
     # "lower" probes count band2 points at the same time (open interval) and "upper" ones do not
-    probes = b1.select("object_id", "t1", "x", "ex",
+    probes = b1.select("object_id", "t1", "dup", "x", "ex",
                        F.posexplode(F.array(*[F.lit(float(e)) for e in edges])).alias("ei", "edge"))
-    probes = probes.select("object_id", (F.col("t1") + F.col("edge")).alias("t"), "ei", "t1", "x", "ex")
+    probes = probes.select("object_id", (F.col("t1") + F.col("edge")).alias("t"), "ei", "t1", "dup", "x", "ex")
     lower = probes.withColumn("kind", F.lit(2))   # placed after band2 points at equal t: counts t_j <= t
     upper = probes.withColumn("kind", F.lit(0))   # placed before band2 points at equal t: counts t_j < t
     pts = b2.select("object_id", "t", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("ei"),
-                    F.lit(None).cast("double").alias("t1"), F.lit(None).cast("double").alias("x"),
-                    F.lit(None).cast("double").alias("ex"), "y", "ey")
+                    F.lit(None).cast("double").alias("t1"), F.lit(None).cast("int").alias("dup"),
+                    F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("ex"), "y", "ey")
     u = lower.withColumns({"y": F.lit(None).cast("double"), "ey": F.lit(None).cast("double")}).unionByName(
         upper.withColumns({"y": F.lit(None).cast("double"), "ey": F.lit(None).cast("double")})).unionByName(pts)
     o = Window.partitionBy("object_id").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -172,11 +176,11 @@ def discrete_correlation(lc: DataFrame, ids: DataFrame | None = None, band1: int
         "c2": F.coalesce(F.sum(F.col("y") * F.col("y")).over(o), zero), "ce": F.coalesce(F.sum("ey").over(o), zero)})
     pr = u.filter(F.col("kind") != 1)
     # G over (t1 + a, t1 + b) = S(< t1 + b) - S(<= t1 + a): upper probe of edge k+1 minus lower probe of edge k
-    lo_p = pr.filter(F.col("kind") == 2).select("object_id", "t1", F.col("ei").alias("bin"), "x", "ex",
+    lo_p = pr.filter(F.col("kind") == 2).select("object_id", "t1", "dup", F.col("ei").alias("bin"), "x", "ex",
                                                 *[F.col(c).alias(f"{c}_lo") for c in ("c0", "c1", "c2", "ce")])
-    hi_p = pr.filter(F.col("kind") == 0).select("object_id", "t1", (F.col("ei") - 1).alias("bin"),
+    hi_p = pr.filter(F.col("kind") == 0).select("object_id", "t1", "dup", (F.col("ei") - 1).alias("bin"),
                                                 *[F.col(c).alias(f"{c}_hi") for c in ("c0", "c1", "c2", "ce")])
-    g = lo_p.join(hi_p, ["object_id", "t1", "bin"]).filter(F.col("bin") < len(edges) - 1)
+    g = lo_p.join(hi_p, ["object_id", "t1", "dup", "bin"]).filter(F.col("bin") < len(edges) - 1)
     g = g.withColumns({f"G{c}": F.col(f"{c}_hi") - F.col(f"{c}_lo") for c in ("c0", "c1", "c2", "ce")})
     s = g.groupBy("object_id", "bin").agg(
         F.sum("Gc0").alias("n"), F.sum(F.col("x") * F.col("Gc0")).alias("sx"),
@@ -214,36 +218,48 @@ def discrete_correlation(lc: DataFrame, ids: DataFrame | None = None, band1: int
 
 
 def detrend(lc: DataFrame, bands: tuple[int, int] = (1, 5), degree: int = 0) -> DataFrame:
-    """common time origin (min t over both bands of the object) and removal of
-    a weighted mean (degree 0) or weighted least-squares line (degree 1) per band.
-    Returns rows of the two bands with ``t0`` (time from the origin) and ``resid``."""
+    """common time origin (min t over both bands of the object) and removal, per band, of the plain mean (degree 0)
+    or the 1 / flux_err^2-weighted least-squares line (1) or parabola (2).  The fits are closed forms of sums, so they
+    are mergeable aggregates; a series at a single time has no line or parabola (NULL).  Returns rows of the two bands with ``t0`` (time from the origin) and ``resid``."""
     rows = lc.filter(F.col("passband").isin(list(bands)))
-    t0 = F.col("mjd") - F.min("mjd").over(Window.partitionBy("object_id"))
-    rows = rows.withColumn("t0", t0).withColumn("w", F.pow(safe_div(F.lit(1.0), F.col("flux_err")), 2))
-    wb = Window.partitionBy("object_id", "passband")
+    rows = join_back(rows, rows.groupBy("object_id").agg(F.min("mjd").alias("_t0")), ["object_id"])
+    rows = rows.withColumns({"t0": F.col("mjd") - F.col("_t0"), "w": F.pow(safe_div(F.lit(1.0), F.col("flux_err")), 2)})
+    keys = ["object_id", "passband"]
     if degree == 0:
-        fit = safe_div(F.sum(F.col("w") * F.col("flux")).over(wb), F.sum("w").over(wb))
+        sums = rows.groupBy(*keys).agg(F.avg("flux").alias("_a"))
+        fit = F.col("_a")
     else:
-        sw, sx, sy = (F.sum(e).over(wb) for e in (F.col("w"), F.col("w") * F.col("t0"), F.col("w") * F.col("flux")))
-        sxx = F.sum(F.col("w") * F.col("t0") * F.col("t0")).over(wb)
-        sxy = F.sum(F.col("w") * F.col("t0") * F.col("flux")).over(wb)
-        slope = safe_div(sw * sxy - sx * sy, sw * sxx - sx * sx)
-        icpt = safe_div(sy - slope * sx, sw)
-        fit = slope * F.col("t0") + icpt
-    return rows.select("object_id", "passband", "mjd", "t0", (F.col("flux") - fit).alias("resid"))
-
-
-def lagged_product(lc: DataFrame, band_a: int = 1, band_b: int = 5, max_lag: int = 3) -> DataFrame:
-    """F14 (bounded): sum_k a[k] * b[k + lag] of the two position-aligned series for
-    |lag| <= max_lag, as an equi-join on position after exploding the lag list
-    (each point meets 2*max_lag + 1 partners, never all pairs); top-3 lags per object."""
-    w = Window.partitionBy("object_id", "passband").orderBy("mjd")
-    pos = lc.filter(F.col("passband").isin([band_a, band_b])).withColumn("pos", F.row_number().over(w) - 1)
-    a = pos.filter(F.col("passband") == band_a).select("object_id", "pos", F.col("flux").alias("fa"))
-    b = pos.filter(F.col("passband") == band_b).select("object_id", F.col("pos").alias("pos_b"), F.col("flux").alias("fb"))
-    a = a.select("*", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag"))
-    a = a.withColumn("pos_b", F.col("pos") + F.col("lag"))
-    s = a.join(b, ["object_id", "pos_b"]).groupBy("object_id", "lag").agg(
-        F.sum(F.col("fa") * F.col("fb")).alias("xcorr"))
-    r = Window.partitionBy("object_id").orderBy(F.col("xcorr").desc(), F.col("lag"))
-    return s.withColumn("rank", F.row_number().over(r)).filter(F.col("rank") <= 3)
+        t = [f"sum(w * pow(t0, {k})) AS _t{k}" for k in range(2 * degree + 1)]
+        y = [f"sum(w * flux * pow(t0, {k})) AS _y{k}" for k in range(degree + 1)]
+        sums = rows.groupBy(*keys).agg(*[F.expr(e) for e in t + y], F.min("t0").alias("_first"), F.max("t0").alias("_last"))
+        if degree == 1:
+            det = "(_t0 * _t2 - _t1 * _t1)"
+            coef = [f"try_divide(_t2 * _y0 - _t1 * _y1, {det})", f"try_divide(_t0 * _y1 - _t1 * _y0, {det})"]
+        else:  # cofactors of the symmetric 3 x 3 normal matrix
+            m = {(0, 0): "(_t2 * _t4 - _t3 * _t3)", (0, 1): "(_t2 * _t3 - _t1 * _t4)", (0, 2): "(_t1 * _t3 - _t2 * _t2)",
+                 (1, 1): "(_t0 * _t4 - _t2 * _t2)", (1, 2): "(_t1 * _t2 - _t0 * _t3)", (2, 2): "(_t0 * _t2 - _t1 * _t1)"}
+            det = f"(_t0 * {m[0, 0]} + _t1 * {m[0, 1]} + _t2 * {m[0, 2]})"
+            coef = [f"try_divide({' + '.join(f'{m[min(i, k), max(i, k)]} * _y{k}' for k in range(3))}, {det})" for i in range(3)]
+        # one time alone fixes no slope (its determinant is zero but for rounding)
+        sums = sums.select(*keys, *[F.expr(f"CASE WHEN _last > _first THEN {c} END").alias(f"_c{i}") for i, c in enumerate(coef)])
+        fit = F.expr(" + ".join(f"_c{i} * pow(t0, {i})" for i in range(degree + 1)))
+    return join_back(rows, sums, keys).select("object_id", "passband", "mjd", "t0", (F.col("flux") - fit).alias("resid"))
+
+
+LAG_PAIRS = [(0, 5), (1, 5), (2, 5), (3, 5), (4, 5)]
+
+
+def lagged_product(lc: DataFrame, width_days: float = 1.0, pairs=LAG_PAIRS, top: int = 3) -> DataFrame:
+    """for each band pair, the two series of bucket means over the buckets that hold both bands, and their full
+    correlation: xcorr[lag] = sum_n a[n + lag] * b[n] for every lag; the ``top`` lags per object and pair (smaller lag
+    on ties).  The series are as long as an object's time span has buckets, whatever its number of rows."""
+    by = bucket_pivot(lc, width_days)
+    one = ", ".join(f"named_struct('base', {a}, 'target', {b}, 'x', flux_{a}, 'y', flux_{b})" for a, b in pairs)
+    both = by.selectExpr("object_id", "bucket", f"inline(array({one}))").filter("x IS NOT NULL AND y IS NOT NULL")
+    seq = both.groupBy("object_id", "base", "target").agg(F.sort_array(F.collect_list(F.struct("bucket", "x", "y"))).alias("s"))
+    lags = seq.select("*", F.explode(F.expr("sequence(1 - size(s), size(s) - 1)")).alias("lag"))
+    xc = ("aggregate(sequence(greatest(0, -lag), least(size(s) - 1, size(s) - 1 - lag)), 0D, "
+          "(acc, n) -> acc + element_at(s, n + lag + 1).x * element_at(s, n + 1).y)")
+    lags = lags.select("object_id", "base", "target", "lag", F.expr(xc).alias("xcorr"))
+    r = Window.partitionBy("object_id", "base", "target").orderBy(snap("xcorr", TIE_BITS).desc(), "lag")
+    return lags.withColumn("rank", F.row_number().over(r)).filter(F.col("rank") <= top)

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import functions as F
+
 from ..operators import spectral
 from ..sources.adapters import lc_events, meta_events, with_ctes
 from .catalog import register
@@ -121,8 +123,8 @@ def q_discrete_correlation(spark, sf_dir):
 
 @register("detrend", rounded(with_ctes(
     "SELECT object_id, passband, mjd, t0, flux - (slope * t0 + (sy - slope * sx) / nullif(sw, 0)) AS resid FROM ("
-    "SELECT *, (sw * sxy - sx * sy) / nullif(sw * sxx - sx * sx, 0) AS slope FROM (SELECT *, "
-    "sum(w) OVER b AS sw, sum(w * t0) OVER b AS sx, sum(w * flux) OVER b AS sy, sum(w * t0 * t0) OVER b AS sxx, "
+    "SELECT *, CASE WHEN tl > tf THEN (sw * sxy - sx * sy) / nullif(sw * sxx - sx * sx, 0) END AS slope FROM (SELECT *, "
+    "max(t0) OVER b AS tl, min(t0) OVER b AS tf, sum(w) OVER b AS sw, sum(w * t0) OVER b AS sx, sum(w * flux) OVER b AS sy, sum(w * t0 * t0) OVER b AS sxx, "
     "sum(w * t0 * flux) OVER b AS sxy FROM (SELECT *, mjd - min(mjd) OVER (PARTITION BY object_id) AS t0, "
     "power(1 / nullif(flux_err, 0), 2) AS w FROM lc WHERE passband IN (1, 5)) WINDOW b AS (PARTITION BY object_id, "
     "passband)))", lc="events"), keys=("object_id", "passband")))
@@ -131,13 +133,50 @@ def q_detrend(spark, sf_dir):
     return spectral.detrend(lc_events(spark, sf_dir), (1, 5), degree=1)
 
 
-@register("lagged_product", rounded(with_ctes(
-    "SELECT object_id, lag, xcorr, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY "
-    "object_id ORDER BY xcorr DESC, lag ASC) AS rank FROM (SELECT a.object_id, CAST(b.pos - a.pos AS INTEGER) AS lag, "
-    "sum(a.flux * b.flux) AS xcorr FROM (SELECT object_id, flux, row_number() OVER (PARTITION BY object_id ORDER BY mjd) "
-    "- 1 AS pos FROM lc WHERE passband = 1) a JOIN (SELECT object_id, flux, row_number() OVER (PARTITION BY object_id "
-    "ORDER BY mjd) - 1 AS pos FROM lc WHERE passband = 5) b ON a.object_id = b.object_id AND b.pos - a.pos BETWEEN -3 "
-    "AND 3 GROUP BY 1, 2)) WHERE rank <= 3", lc="events"), keys=("object_id", "lag", "rank")))
+@register("detrend_mean", rounded(with_ctes(
+    "SELECT object_id, passband, mjd, mjd - min(mjd) OVER (PARTITION BY object_id) AS t0, "
+    "flux - avg(flux) OVER (PARTITION BY object_id, passband) AS resid FROM lc WHERE passband IN (1, 5)", lc="events"),
+    keys=("object_id", "passband")))
+def q_detrend_mean(spark, sf_dir):
+    """common time origin and mean subtraction of bands 1 and 5."""
+    return spectral.detrend(lc_events(spark, sf_dir), (1, 5), degree=0)
+
+
+# the parabola of the reference: normal equations solved by elimination (the query uses cofactors)
+_QUAD = """
+SELECT object_id, passband, mjd, t0, flux - (c0 + c1 * t0 + c2 * t0 * t0) AS resid FROM (
+  SELECT *, (y0 - c1 * t1 - c2 * t2) / nullif(s0, 0) AS c0 FROM (
+    SELECT *, (b1 - c2 * a12) / nullif(a11, 0) AS c1 FROM (
+      SELECT *, (b2 - a12 * b1 / nullif(a11, 0)) / nullif(a22 - a12 * a12 / nullif(a11, 0), 0) AS c2 FROM (
+        SELECT *, t2 - t1 * t1 / s0 AS a11, t3 - t1 * t2 / s0 AS a12, t4 - t2 * t2 / s0 AS a22, y1 - t1 * y0 / s0 AS b1, y2 - t2 * y0 / s0 AS b2
+        FROM (SELECT *, sum(w) OVER b AS s0, sum(w * t0) OVER b AS t1, sum(w * t0 ** 2) OVER b AS t2, sum(w * t0 ** 3) OVER b AS t3,
+              sum(w * t0 ** 4) OVER b AS t4, sum(w * flux) OVER b AS y0, sum(w * flux * t0) OVER b AS y1, sum(w * flux * t0 ** 2) OVER b AS y2
+              FROM (SELECT *, mjd - min(mjd) OVER (PARTITION BY object_id) AS t0, power(1 / nullif(flux_err, 0), 2) AS w FROM lc
+                    WHERE passband IN (1, 5)) WINDOW b AS (PARTITION BY object_id, passband))))))
+"""
+
+
+@register("detrend_quadratic", "SELECT object_id, passband, n_points, round(mse, 6) AS mse FROM (SELECT object_id, passband, "
+          "count(*) AS n_points, avg(resid * resid) AS mse FROM (" + with_ctes(_QUAD, lc="events") + ") GROUP BY 1, 2) WHERE n_points > 3", bits=None)
+def q_detrend_quadratic(spark, sf_dir):
+    """weighted quadratic detrend of bands 1 and 5: mean squared residual of series of more than three points."""
+    r = spectral.detrend(lc_events(spark, sf_dir), (1, 5), degree=2)
+    out = r.groupBy("object_id", "passband").agg(F.count(F.lit(1)).alias("n_points"), F.avg(F.col("resid") * F.col("resid")).alias("mse"))
+    return out.filter("n_points > 3").withColumn("mse", F.round("mse", 6))
+
+
+_LAG_SQL = with_ctes(
+    "SELECT object_id, base, target, lag, xcorr, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY "
+    f"object_id, base, target ORDER BY {snap_sql('xcorr')} DESC, lag ASC) AS rank FROM (SELECT a.object_id, a.base, a.target, "
+    "CAST(a.pos - b.pos AS INTEGER) AS lag, sum(a.x * b.y) AS xcorr FROM s a JOIN s b ON a.object_id = b.object_id AND a.base = b.base "
+    "GROUP BY 1, 2, 3, 4)) WHERE rank <= 3", lc="events", ctes=[
+        ("cells", "SELECT object_id, passband, CAST(floor(mjd) AS BIGINT) AS bucket, avg(flux) AS f FROM lc GROUP BY 1, 2, 3"),
+        ("s", "SELECT x.object_id, x.passband AS base, y.passband AS target, x.f AS x, y.f AS y, row_number() OVER (PARTITION BY x.object_id, "
+              "x.passband ORDER BY x.bucket) AS pos FROM cells x JOIN cells y ON x.object_id = y.object_id AND x.bucket = y.bucket "
+              "AND x.passband < 5 AND y.passband = 5")])
+
+
+@register("lagged_product", rounded(_LAG_SQL, keys=("object_id", "base", "target", "lag", "rank")))
 def q_lagged_product(spark, sf_dir):
-    """position-aligned lagged products of bands 1 and 5 for |lag| <= 3, top 3 lags."""
-    return spectral.lagged_product(lc_events(spark, sf_dir), 1, 5, 3)
+    """full correlation of day-bucket means of bands 0..4 with band 5, top 3 lags per object and pair."""
+    return spectral.lagged_product(lc_events(spark, sf_dir))

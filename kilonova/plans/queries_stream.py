@@ -67,4 +67,18 @@ def q_stream_sessions(spark, sf_dir):
     keys=("object_id", "passband")))
 def q_stream_rates(spark, sf_dir):
     """ST4: rate to the previous point with the last point of each series in keyed state."""
-    return st.run_to_table(st.stream_flux_rate(_stream(spark, sf_dir)), "rates", "append")
+    return st.run_to_table(st.stream_flux_rate(_stream(spark, sf_dir)), "rates", "append").filter("NOT late").drop("late")
+
+
+ARRIVAL = [0, 2, 1, 3, 5, 4]
+
+
+@register("stream_late", with_ctes(
+    "SELECT object_id, count(*) FILTER (WHERE mjd < seen) AS n_late FROM (SELECT *, max(mjd) OVER (PARTITION BY object_id, passband "
+    "ORDER BY arrival RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen, count(*) OVER (PARTITION BY object_id, passband) AS n "
+    "FROM (SELECT lc.*, list_position([0, 2, 1, 3, 5, 4], CAST(least(floor((mjd - lo) / ((hi - lo) / 6)), 5) AS INTEGER)) AS arrival "
+    "FROM lc, (SELECT min(mjd) AS lo, max(mjd) AS hi FROM lc))) WHERE n > 1 GROUP BY object_id", lc="events"), bits=None)
+def q_stream_late(spark, sf_dir):
+    """ST5: points that arrive after a later point of their series, counted per object (slices out of order)."""
+    path = st.stage_observations(lc_events(spark, sf_dir), N_FILES, arrival=ARRIVAL)
+    return st.late_counts(st.run_to_table(st.stream_flux_rate(st.read_observation_stream(spark, path)), "late", "append"))

@@ -66,8 +66,9 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_predictions_csv(pred: DataFrame, path: str, digits: int = 6) -> str:
-    """Prediction table as CSV with a header, doubles rounded to ``digits``."""
-    out = pred.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in pred.dtypes])
+    """Prediction table as CSV with a header, doubles as fixed decimals of ``digits`` digits (0.000001, not 1.0E-6)."""
+    fixed = lambda c: F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", F.col(c)))
+    out = pred.select(*[fixed(c).alias(c) if t == "double" else F.col(c) for c, t in pred.dtypes])
     out.write.mode("overwrite").option("header", True).csv(path)
     return path
 

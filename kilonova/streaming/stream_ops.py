@@ -3,10 +3,9 @@
 The reference's chunk loop with keyed carry-over becomes: a file stream of
 observations (``readStream``), keyed state in the state store, watermarks for
 late rows and micro-batches.  Every operator returns a *streaming* DataFrame;
-``run_to_table`` drives a query to completion (``availableNow``) with its
-checkpoint under the session's shared ``spark.checkpoint.dir`` and returns
-the result as a batch DataFrame, so a restarted job resumes from the
-checkpoint instead of recomputing.
+``run_to_table`` drives a query to completion (``availableNow``).  Given the
+same ``path`` again, a restarted job resumes from its checkpoint, and a batch
+that is replayed replaces its own rows.
 """
 from __future__ import annotations
 
@@ -47,11 +46,17 @@ LC_STREAM_SCHEMA = T.StructType([
 END_MARKER_ID = -1
 
 
-def stage_observations(lc: DataFrame, n_files: int = 8, path: str | None = None, end_marker: bool = False) -> str:
-    """Write observations as ``n_files`` time-ordered parquet files under the
-    shared checkpoint folder (the landing zone a stream reads), one file per
-    time slice, written in time order so that file arrival order is event-time
-    order.  Returns the path.  Event time ``ts`` is the UTC instant of ``mjd``.
+#: rows of a staged file
+FILE_ROWS = 5_000_000
+
+
+def stage_observations(lc: DataFrame, n_files: int = 8, path: str | None = None, end_marker: bool = False,
+                       arrival: list[int] | None = None) -> str:
+    """Write observations as ``n_files`` time slices of parquet files under the
+    shared checkpoint folder (the landing zone a stream reads), one slice after
+    the other so that arrival order is event-time order; ``arrival`` gives
+    another order of the slices.  A slice of more than ``FILE_ROWS`` rows becomes
+    several files.  Returns the path.  Event time ``ts`` is the UTC instant of ``mjd``.
 
     ``end_marker`` appends one control row (object_id -1, far in the future) as
     a last file: it moves the watermark past every real event so that
@@ -59,22 +64,25 @@ def stage_observations(lc: DataFrame, n_files: int = 8, path: str | None = None,
     Consumers drop ``object_id = -1``."""
     spark = lc.sparkSession
     base = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/landing-{uuid.uuid4().hex[:12]}"
-    lo, hi = lc.agg(F.min("mjd"), F.max("mjd")).first()  # two numbers
+    n, lo, hi = lc.agg(F.count(F.lit(1)), F.min("mjd"), F.max("mjd")).first()  # three numbers
+    if not n:
+        lc.withColumn("ts", mjd_to_instant("mjd")).write.mode("append").parquet(base)
+        return base
     width = (hi - lo) / n_files if hi > lo else 1.0
+    parts = max(1, -(-n // (n_files * FILE_ROWS)))
     sliced = lc.withColumns({
         "ts": mjd_to_instant("mjd"),
         "_slice": F.least(F.floor((F.col("mjd") - F.lit(lo)) / F.lit(width)), F.lit(n_files - 1)).cast("int"),
     })
-    for i in range(n_files):
-        (sliced.filter(F.col("_slice") == i).drop("_slice").coalesce(1).sortWithinPartitions("mjd")
+    for i in arrival or range(n_files):
+        (sliced.filter(F.col("_slice") == i).drop("_slice").repartition(parts, "object_id").sortWithinPartitions("mjd")
          .write.mode("append").parquet(base))
     if end_marker:
-        marker = lc.limit(1).select(
+        marker = spark.range(1).select(
             F.lit(END_MARKER_ID).cast("long").alias("object_id"), F.lit(hi + 1000.0).alias("mjd"),
             F.lit(0).alias("passband"), F.lit(0.0).alias("flux"), F.lit(1.0).alias("flux_err"),
             F.lit(0).alias("detected"))
-        marker.withColumn("ts", mjd_to_instant("mjd")).coalesce(1) \
-              .write.mode("append").parquet(base)
+        marker.withColumn("ts", mjd_to_instant("mjd")).write.mode("append").parquet(base)
     return base
 
 
@@ -112,16 +120,26 @@ def stream_sessions(stream: DataFrame, gap: str = "1 day", watermark: str = "2 d
 
 
 _RATE_STATE = "last_mjd double, last_flux double"
-_RATE_OUT = "object_id long, passband int, mjd double, fluxdiff double, mjddiff double"
+_RATE_OUT = "object_id long, passband int, mjd double, fluxdiff double, mjddiff double, late boolean"
+#: a series without a new point for so long is forgotten; points older than the watermark by as much are dropped (and
+#: counted by the stream's numRowsDroppedByWatermark)
+RETENTION_DAYS = 400
 
 
 def _rate_with_state(key, pdfs, state):
-    """ST4: per (object, band) carry the last point across micro-batches."""
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("mjd", kind="mergesort")
-    if state.exists:
-        last_mjd, last_flux = state.get
-    else:
-        last_mjd, last_flux = None, None
+    """ST4 / ST5: per (object, band) carry the last point across micro-batches; a point older than it is late."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    pdf = pd.concat(list(pdfs), ignore_index=True).dropna(subset=["mjd"]).sort_values("mjd", kind="mergesort")
+    last_mjd, last_flux = state.get if state.exists else (None, None)
+    late = pdf["mjd"] < last_mjd if last_mjd is not None else pdf["mjd"] != pdf["mjd"]
+    out = pdf[late].assign(fluxdiff=None, mjddiff=None, late=True)
+    if len(out):
+        yield out[["object_id", "passband", "mjd", "fluxdiff", "mjddiff", "late"]]
+    pdf = pdf[~late]
+    if not len(pdf):
+        return
     prev_t = pdf["mjd"].shift(1)
     prev_f = pdf["flux"].shift(1)
     if last_mjd is not None:
@@ -130,44 +148,52 @@ def _rate_with_state(key, pdfs, state):
     dt = pdf["mjd"] - prev_t
     rate = (pdf["flux"] - prev_f) / dt.where(dt != 0)
     state.update((float(pdf["mjd"].iloc[-1]), float(pdf["flux"].iloc[-1])))
+    state.setTimeoutTimestamp(int((pdf["mjd"].iloc[-1] - MJD_UNIX_EPOCH + RETENTION_DAYS) * 86_400_000))
     out = pd.DataFrame({"object_id": pdf["object_id"], "passband": pdf["passband"], "mjd": pdf["mjd"],
-                        "fluxdiff": rate, "mjddiff": dt})
+                        "fluxdiff": rate, "mjddiff": dt, "late": False})
     yield out[dt.notna()]
 
 
 def stream_flux_rate(stream: DataFrame) -> DataFrame:
     """ST4: G21 (rate to the previous point of the same series) across batch
-    boundaries, with the last point of every series in the state store.
-    Assumes rows of a series arrive in time order (ST5: late rows go to a
-    separate, counted output instead of corrupting the state)."""
-    return (stream.groupBy("object_id", "passband")
-            .applyInPandasWithState(_rate_with_state, _RATE_OUT, _RATE_STATE, "append", "NoTimeout"))
+    boundaries, with the last point of every series in the state store (for
+    ``RETENTION_DAYS``).  ST5: a point older than the state's comes out marked
+    ``late``, without a rate, and leaves the state as it is."""
+    return (stream.withWatermark("ts", f"{RETENTION_DAYS} days").groupBy("object_id", "passband")
+            .applyInPandasWithState(_rate_with_state, _RATE_OUT, _RATE_STATE, "append", "EventTimeTimeout"))
+
+
+def late_counts(rates: DataFrame) -> DataFrame:
+    """ST5: late points per object, from the output of ``stream_flux_rate``."""
+    return rates.groupBy("object_id").agg(F.count_if("late").alias("n_late"))
 
 
-def run_to_table(sdf: DataFrame, name: str, output_mode: str = "update", key: list[str] | None = None) -> DataFrame:
-    """Run a streaming DataFrame to completion and return its final result.
+def run_to_table(sdf: DataFrame, name: str, output_mode: str = "update", key: list[str] | None = None,
+                 path: str | None = None) -> DataFrame:
+    """Run a streaming DataFrame to completion and return its result so far.
 
-    Every micro-batch is appended (with its batch id) to a parquet table under
-    the shared checkpoint folder by ``foreachBatch``; for keyed update output
-    the last version of each key is the result.  Checkpoint and table live in
-    the same shared folder, so a lost driver resumes from the checkpoint.
+    Every micro-batch replaces the folder of its batch id in a parquet table by
+    ``foreachBatch``, so a batch that is replayed after a failure leaves no
+    second copy; for keyed update output the last version of each key is the
+    result.  ``path``: a folder that all executors share; given again, the job
+    goes on from its checkpoint there.  Default: a new folder under the shared
+    checkpoint folder.
     """
     spark = sdf.sparkSession
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex[:12]}"
+    base = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex[:12]}"
     table = f"{base}/table"
+    # the table exists, empty, before the first batch
+    empty = spark.createDataFrame([], sdf.schema)
+    empty.write.mode("overwrite").parquet(f"{table}/_batch=-1")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(table)
+        batch.write.mode("overwrite").parquet(f"{table}/_batch={batch_id}")
 
     q = (sdf.writeStream.outputMode(output_mode).foreachBatch(sink)
          .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    try:
-        out = spark.read.parquet(table)
-    except Exception:  # no batch produced any row
-        return spark.createDataFrame([], sdf.schema)
+    out = spark.read.schema(T.StructType([*sdf.schema.fields, T.StructField("_batch", T.LongType())])).parquet(table)
     if key:
-        from pyspark.sql import Window
-        w = Window.partitionBy(*key).orderBy(F.col("_batch").desc())
-        out = out.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+        last = F.max_by(F.struct(*[c for c in sdf.columns]), "_batch").alias("_r")
+        return out.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(last).select("_r.*")
     return out.drop("_batch")
