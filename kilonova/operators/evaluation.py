@@ -168,6 +168,29 @@ def weighted_logloss(pred: DataFrame, truth: DataFrame, weights: DataFrame, labe
                  F.sum("n").alias("n_objects"), F.count(F.lit(1)).alias("n_classes"))
 
 
+def class_share(truth: DataFrame, label: str = "target") -> DataFrame:
+    """Share of every class (one row a class)."""
+    n = truth.agg(F.count(F.lit(1))).scalar()
+    return truth.groupBy(label).agg((F.count(F.lit(1)) / n).alias("share"))
+
+
+def frequency_logloss(pred: DataFrame, truth: DataFrame, shares: DataFrame, label: str = "target",
+                      id_col: str = "object_id", eps: float = PROB_EPS) -> DataFrame:
+    """M4: the training loss of a batch: mean over the classes of (sum over the class' objects of -log(clip(p)) / batch
+    size) / share of the class.  ``shares`` lists all classes (a class without objects in the batch adds 0)."""
+    t = truth.select(id_col, F.col(label).cast("int").alias(label))
+    n = t.agg(F.count(F.lit(1))).scalar()
+    pt = t.join(pred.select(id_col, F.col("class").alias(label), "p"), [id_col, label], "left")
+    per = pt.groupBy(label).agg(F.sum(-F.log(clip_prob(F.coalesce(F.col("p"), F.lit(0.0)), eps))).alias("loss"))
+    j = shares.select(label, "share").join(per, label, "left")
+    return j.agg(F.avg(F.coalesce(F.col("loss"), F.lit(0.0)) / n / F.col("share")).alias("loss"), F.count(F.lit(1)).alias("n_classes"))
+
+
+def total_score(pred_wide: DataFrame, truth: DataFrame, weights: DataFrame, classes: list[int]) -> DataFrame:
+    """M3 over the united predictions of the two domain models."""
+    return weighted_logloss(to_long(pred_wide, classes), truth, weights)
+
+
 def predicted_class(pred: DataFrame, id_col: str = "object_id") -> DataFrame:
     """Argmax class per object (smallest class id on ties)."""
     return pred.groupBy(id_col).agg(

@@ -12,6 +12,7 @@ import itertools
 import random
 
 from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
@@ -169,6 +170,31 @@ def pseudo_label(test_pred: DataFrame, threshold: float = 0.9, id_col: str = "ob
     return top.filter(F.col("p_max") > threshold).select(id_col, "target")
 
 
+def with_pseudo_labels(train: DataFrame, test: DataFrame, test_pred: DataFrame, threshold: float = 0.9, label: str = "target",
+                       id_col: str = "object_id") -> DataFrame:
+    """The training rows and the confidently predicted test rows with their predicted class; ``pseudo`` tells them
+    apart, so that class weights (M5) can be counted on the real ones."""
+    extra = test.drop(label).join(pseudo_label(test_pred, threshold, id_col).withColumnRenamed("target", label), id_col)
+    return train.withColumn("pseudo", F.lit(False)).unionByName(extra.withColumn("pseudo", F.lit(True)), allowMissingColumns=True)
+
+
+class WeightedLogLoss(Evaluator):
+    """M3 as an evaluator of Spark ML, for any tuner that takes one.  Reads ``object_id``, the label and the
+    probability vector of the classes in sorted order; smaller is better."""
+
+    def __init__(self, weights: DataFrame, classes: list[int], label: str = "target", id_col: str = "object_id"):
+        super().__init__()
+        self.weights, self.classes, self.label, self.id_col = weights, sorted(classes), label, id_col
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        long = dataset.select(self.id_col, vector_to_array("probability").alias("_p")).select(self.id_col, F.inline(F.array(*[
+            F.struct(F.lit(c).alias("class"), F.get(F.col("_p"), i).alias("p")) for i, c in enumerate(self.classes)])))
+        return evaluation.weighted_logloss(long, dataset.select(self.id_col, self.label), self.weights, self.label, self.id_col).first()["wloss"]
+
+    def isLargerBetter(self) -> bool:
+        return False
+
+
 def train_dense(df: DataFrame, features: list[str], label: str = "target", hidden: tuple[int, ...] = (32,),
                 classes: list[int] | None = None, seed: int = 71, max_iter: int = 100):
     """M18 (re-aimed dense head): multilayer perceptron on standardised features.

@@ -36,6 +36,17 @@ def domain_column(meta: DataFrame) -> F.Column:
     return F.when(F.col("hostgal_photoz") == 0, F.lit("gal")).otherwise(F.lit("exgal"))
 
 
+def redshift_outliers(meta: DataFrame, limit: float = 0.1) -> DataFrame:
+    """P20: objects whose spectroscopic and photometric redshifts differ by more than ``limit`` (both known)."""
+    gap = F.abs(F.col("hostgal_specz") - F.col("hostgal_photoz"))
+    return meta.withColumn("z_gap", gap).filter(F.col("z_gap") > limit)
+
+
+def one_hot(df: DataFrame, label: str, classes: list[int], prefix: str = "is_") -> DataFrame:
+    """One 0/1 column per class (sorted); an unknown or NULL label is 0 everywhere."""
+    return df.withColumns({f"{prefix}{c}": F.coalesce((F.col(label) == c).cast("int"), F.lit(0)) for c in sorted(classes)})
+
+
 def column_report(df: DataFrame, key: str = "object_id") -> DataFrame:
     """P10 / P11 input: per column, non-NULL count and population std (NULLs ignored),
     as a long table (one row per column) computed in one pass."""

@@ -191,6 +191,15 @@ def correlations(df: DataFrame, target: str, cols: list[str]) -> DataFrame:
     return df.agg(*[F.corr(target, c).alias(f"corr_{c}") for c in cols if c != target])
 
 
+def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(a, b, r) for every pair of columns, both orders and the diagonal (one pass)."""
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    one = df.agg(F.array(*[F.corr(a, b) for a, b in pairs]).alias("r"))
+    rows = [F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col("r")[i].alias("r")) for i, (a, b) in enumerate(pairs) for x, y in ((a, b), (b, a))]
+    rows += [F.struct(F.lit(c).alias("a"), F.lit(c).alias("b"), F.lit(1.0).alias("r")) for c in cols]
+    return one.select(F.inline(F.array(*rows)))
+
+
 def class_boxes(meta: DataFrame, group: str = "target") -> DataFrame:
     """Bounding boxes (gal_l, gal_b) of ddf objects per group -- one row per group."""
     return (meta.filter(F.col("ddf") == 1).groupBy(group)

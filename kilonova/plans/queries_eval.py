@@ -163,3 +163,33 @@ def q_domain_union(spark, sf_dir):
 def q_ensemble(spark, sf_dir):
     """Class probabilities averaged over the 5 fold models."""
     return ev.centroid_ensemble(_features(spark, sf_dir, True), "target", FEATURES)
+
+
+@register("frequency_logloss", rounded(with_ctes(
+    "SELECT avg(coalesce(l.loss, 0) / (SELECT count(*) FROM folds WHERE fold = 0) / s.share) AS loss, count(*) AS n_classes FROM "
+    "(SELECT target, count(*) / (SELECT count(*) FROM meta) AS share FROM meta GROUP BY target) s LEFT JOIN "
+    "(SELECT t.target, sum(-ln(greatest(least(coalesce(p.p, 0), 1 - 1e-15), 1e-15))) AS loss FROM folds t LEFT JOIN c_pred p "
+    "ON p.object_id = t.object_id AND p.class = t.target WHERE t.fold = 0 GROUP BY t.target) l ON l.target = s.target", meta=True,
+    ctes=_BASE + _centroid_ctes("featf", mode="oof")), keys=("n_classes",)))
+def q_frequency_logloss(spark, sf_dir):
+    """M4: class-frequency-weighted loss of the held-out predictions of fold 0, shares from all objects."""
+    meta = meta_part(spark, sf_dir)
+    batch = ev.stratified_folds(meta, "object_id", "target", K, SEED).filter("fold = 0").select("object_id", "target")
+    return ev.frequency_logloss(_oof(spark, sf_dir), batch, ev.class_share(meta.select("object_id", "target")))
+
+
+@register("two_domain_score", rounded(with_ctes(
+    "SELECT -sum(w.weight * pc.mean_logp) / sum(w.weight) AS wloss, CAST(sum(pc.n) AS BIGINT) AS n_objects, count(*) AS n_classes "
+    "FROM (SELECT t.target, avg(ln(greatest(least(coalesce(p.p, 0), 1 - 1e-15), 1e-15))) AS mean_logp, count(*) AS n "
+    "FROM meta t LEFT JOIN (SELECT * FROM g_pred UNION ALL SELECT * FROM x_pred) p ON p.object_id = t.object_id AND p.class = t.target "
+    "GROUP BY t.target) pc JOIN wt w ON w.target = pc.target", meta=True,
+    ctes=_BASE + [("galf", "SELECT * FROM featf WHERE hostgal_photoz = 0"), ("exgf", "SELECT * FROM featf WHERE hostgal_photoz != 0")]
+    + _centroid_ctes("galf", GALACTIC_CLASSES, mode="oof", prefix="g") + _centroid_ctes("exgf", EXGAL_CLASSES, mode="oof", prefix="x")
+    + [("wt", _WEIGHTS_SQL)]), keys=("n_objects", "n_classes")))
+def q_two_domain_score(spark, sf_dir):
+    """Total out-of-fold score of the galactic and the extragalactic model together."""
+    f = _features(spark, sf_dir, True)
+    gal = ev.centroid_probabilities(f.filter(F.col("hostgal_photoz") == 0), "target", FEATURES, GALACTIC_CLASSES, fold_col="fold")
+    exg = ev.centroid_probabilities(f.filter(F.col("hostgal_photoz") != 0), "target", FEATURES, EXGAL_CLASSES, fold_col="fold")
+    both = ev.domain_union(ev.to_wide(gal, GALACTIC_CLASSES), ev.to_wide(exg, EXGAL_CLASSES))
+    return ev.total_score(both, meta_part(spark, sf_dir).select("object_id", "target"), ev.class_table(spark), ALL_CLASSES)

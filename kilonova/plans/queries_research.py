@@ -222,3 +222,22 @@ def q_box_join(spark, sf_dir):
 def q_kmeans_regions(spark, sf_dir):
     """K-means (k=5) regions of ddf objects and their box coverage (rows-only check)."""
     return research.region_boxes(meta_part(spark, sf_dir), k=5, seed=0)
+
+
+_MATRIX_COLS = ["hostgal_photoz", "hostgal_photoz_err", "mwebv", "decl"]
+
+
+@register("correlation_matrix", rounded(with_ctes(" UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, " + ("1.0::DOUBLE" if a == b else f"corr({a}, {b})") + " AS r FROM meta"
+    + (" WHERE object_id = (SELECT min(object_id) FROM meta)" if a == b else "") for a in _MATRIX_COLS for b in _MATRIX_COLS), lc=None, meta=True), keys=("a", "b")))
+def q_correlation_matrix(spark, sf_dir):
+    """Full correlation matrix in long form."""
+    return research.correlation_matrix(meta_part(spark, sf_dir), _MATRIX_COLS)
+
+
+@register("redshift_outliers", rounded(with_ctes(
+    "SELECT object_id, hostgal_specz, hostgal_photoz, abs(hostgal_specz - hostgal_photoz) AS z_gap FROM meta "
+    "WHERE abs(hostgal_specz - hostgal_photoz) > 0.05", lc=None, meta=True)))
+def q_redshift_outliers(spark, sf_dir):
+    """P20: objects whose two redshifts disagree."""
+    return prep.redshift_outliers(meta_part(spark, sf_dir), 0.05).select("object_id", "hostgal_specz", "hostgal_photoz", "z_gap")

@@ -50,6 +50,11 @@ def read_config(spark: SparkSession, path: str) -> dict:
     return json.loads(row[0])
 
 
+def prior_features(document: dict, key: str = "features", importance: str = "importance") -> list[str]:
+    """The feature names of an earlier run: its list, or else the names of its importance table."""
+    return list(document[key]) if key in document else list(document.get(importance, {}))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
