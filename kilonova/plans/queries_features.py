@@ -1,8 +1,11 @@
 """Registered feature queries on the lineitem / part adapters."""
 from __future__ import annotations
 
-from ..functions.core import BANDS
+from pyspark.sql import functions as F
+
+from ..functions.core import BANDS, distmod_flat_lcdm
 from ..operators import peaks, scaling, stats
+from ..sources import io
 from ..sources.adapters import lc_lineitem, meta_part, with_ctes
 from .catalog import register
 from .sqlgen import RATIO_COLS_SQL, agg_sql, ratio_sql, rounded
@@ -182,3 +185,40 @@ def q_fluxfactor_maxpoint(spark, sf_dir):
 def q_fluxfactor_maxpoint_passband(spark, sf_dir):
     """G20 (band form)."""
     return peaks.fluxfactor_maxpoint_passband(*_lc_meta(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- redshift path
+
+# comoving distance of a flat universe (H0 70, matter 0.3) by Simpson's rule on a far finer grid than the query's
+_DM_Z = ("SELECT object_id, 5 * log10((1 + z) * 299792.458 / 70 * z / 12000 * sum(e)) + 25 AS dm FROM ("
+         "SELECT object_id, z, (CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) / sqrt(0.3 * power(1 + z * k / 4000, 3) + 0.7) AS e "
+         "FROM (SELECT object_id, {z} AS z FROM meta WHERE {z} > 0) m, (SELECT unnest(range(0, 4001)) AS k) g) GROUP BY object_id, z")
+
+
+@register("distmod_z", with_ctes("SELECT m.object_id, round(d.dm, 5) AS distmod FROM meta m LEFT JOIN d ON d.object_id = m.object_id", lc=None,
+                                 meta=True, ctes=[("d", _DM_Z.format(z="hostgal_specz"))]), bits=None)
+def q_distmod_z(spark, sf_dir):
+    """distance modulus of the spectroscopic redshift."""
+    return meta_part(spark, sf_dir).select("object_id", F.round(distmod_flat_lcdm("hostgal_specz"), 5).alias("distmod"))
+
+
+@register("scale_by_redshift", with_ctes(
+    "SELECT l.object_id, round(log10(sum(abs(l.flux)) * power(10, any_value(d.dm) / 2.5)), 5) AS log_flux FROM lc l JOIN d ON d.object_id = l.object_id "
+    "JOIN meta m ON m.object_id = l.object_id WHERE m.hostgal_photoz != 0 GROUP BY l.object_id", meta=True,
+    ctes=[("d", _DM_Z.format(z="hostgal_photoz"))]), bits=None)
+def q_scale_by_redshift(spark, sf_dir):
+    """G13 on a redshift column: summed absolute flux at the distance of the photometric redshift (log10)."""
+    rows = scaling.scale_by_distmod(lc_lineitem(spark, sf_dir), meta_part(spark, sf_dir), z_col="hostgal_photoz")
+    return rows.groupBy("object_id").agg(F.round(F.log10(F.sum(F.abs("flux"))), 5).alias("log_flux"))
+
+
+@register("peak_store", _q("SELECT a.object_id, a.flux_max, a.flux_mean, b.flux_w_mean_0, b.flux_w_mean_5 FROM ("
+                           + object_stats_sql("peak_rows", NO_DET) + ") a JOIN (" + band_features_sql("peak_rows", contrasts=False, drop_stats=())
+                           + ") b ON b.object_id = a.object_id", gap_segment_sql()))
+def q_peak_store(spark, sf_dir):
+    """The rows of the peak segments written once, object and band sets read from them."""
+    meta = meta_part(spark, sf_dir)
+    rows = io.read_features(spark, io.write_features(peaks.segment_by_gap(lc_lineitem(spark, sf_dir), 100.0), io.scratch_path(spark, "peak-rows")))
+    a = stats.object_stats(rows, meta, detected=False, detected_variant=True, drop=()).select("object_id", "flux_max", "flux_mean")
+    b = stats.band_features(rows, meta, contrasts=False, drop_stats=()).select("object_id", "flux_w_mean_0", "flux_w_mean_5")
+    return a.join(b, "object_id")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import ALL_CLASSES
 from ..operators import evaluation as ev
-from ..operators import models, prep, research, sequences, stats
+from ..operators import models, prep, research, scaling, sequences, stats
 from ..sources.adapters import lc_events, lc_lineitem, meta_part
 from .catalog import register
 
@@ -82,3 +82,12 @@ def q_dense_classifier(spark, sf_dir):
         out.append(pr.select("object_id", F.inline(F.array(*[
             F.struct(F.lit(c).alias("class"), F.col("_p")[i].alias("p")) for i, c in enumerate(sorted(ALL_CLASSES))]))))
     return prep.union_all(out)
+
+
+@register("fluxfactor_predicted_z")
+def q_fluxfactor_predicted_z(spark, sf_dir):
+    """M15 -> F10 -> G14: light curves scaled to the distance of the out-of-fold predicted redshift, then object stats."""
+    m, feats, folds, _ = _matrix(spark, sf_dir)
+    z = models.predict_redshift(m, [f for f in feats if f != "hostgal_specz"], folds)
+    meta = meta_part(spark, sf_dir).join(z, "object_id", "left")
+    return scaling.fluxfactor_v2(lc_lineitem(spark, sf_dir), meta, z_col="predict_specz")

@@ -40,7 +40,7 @@ def con():
 def test_every_query_has_oracle_or_is_declared_rows_only():
     rows_only = set(QUERIES) - set(ORACLES)
     assert rows_only <= {"kmeans_regions", "cv_scores", "importance", "random_search", "encode_sequences",
-                         "template_fit_ml", "dense_classifier", "predict_redshift"}, rows_only
+                         "dense_classifier", "predict_redshift", "fluxfactor_predicted_z"}, rows_only
     assert set(ORACLES) <= set(QUERIES)
 
 
