@@ -62,16 +62,18 @@ def find(text: str | None) -> list[tuple[int, int, int, str]]:
 
 
 _FOUND = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("digest", pa.binary())]))
+_FOUND_SQL = "array<struct<start:long,kind:int,end:long,digest:binary>>"
 
 
 def _scan(batches):
     for b in batches:
         rows = []
-        for t in b.column(b.num_columns - 1).to_pylist():
+        for t in b.column("text").to_pylist():
             rows.append([{"start": s, "kind": k, "end": e, "digest": hashlib.sha256(v.encode("utf-8", "surrogatepass")).digest()[:16]}
                          for s, k, e, v in find(t)])
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, _FOUND)],
-                                         names=[*b.schema.names[:-1], "found"])
+        keep = [i for i, n in enumerate(b.schema.names) if n != "text" or "row" in b.schema.names]
+        yield pa.RecordBatch.from_arrays([*(b.columns[i] for i in keep), pa.array(rows, _FOUND)],
+                                         names=[*(b.schema.names[i] for i in keep), "found"])
 
 
 def _joined(spans: Column) -> Column:
@@ -80,6 +82,28 @@ def _joined(spans: Column) -> Column:
         ":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))))
 
 
+def _live(scanned: DataFrame, max_owners: int, max_repos: int) -> DataFrame:
+    """(digest, live) of every value found in rows with repo, owner and found."""
+    hits = scanned.where(F.size("found") > 0).select("repo", "owner", F.explode("found.digest").alias("digest"))
+    # distinct repositories and owners of each value: partial sums on the map side, one row per (value, owner) first
+    pairs = hits.groupBy("digest", "owner", "repo").agg(F.lit(1).alias("one"))
+    owned = (pairs.groupBy("digest", "owner").agg(F.count("*").alias("repos"))
+             .groupBy("digest").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners")))
+    return owned.select("digest", ((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)).alias("live"))
+
+
+def _judged(rows: DataFrame, live: DataFrame) -> DataFrame:
+    """Per ``rid`` of rows with found values: spans (base ones and live candidates), n_live, n_shared."""
+    verdict = live.select("digest", "live", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    hits = rows.where(F.size("found") > 0).select("rid", F.explode("found").alias("s"))
+    judged = hits.select("rid", "s", F.col("s.digest").alias("digest"),
+                         F.pmod(F.hash("rid"), F.lit(_SALTS)).alias("salt")).join(verdict, ["digest", "salt"])
+    return judged.groupBy("rid").agg(
+        F.array_sort(F.collect_list(F.when(F.col("live") | (F.col("s.kind") < 3),
+                                           F.struct("s.start", "s.kind", "s.end")))).alias("spans"),
+        F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_shared"))
+
+
 def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source",
                  max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """One row per row of ``docs``: ``key``, spans (array of start, kind, end; final), n_live, n_shared (found values,
@@ -88,27 +112,13 @@ def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", repo:
                       F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"),
                       F.col(text).alias("text"))
     scanned = src.mapInArrow(
-        _scan, "rid long, key " + docs.schema[key].dataType.simpleString() + ", repo string, owner string, "
-        "found array<struct<start:long,kind:int,end:long,digest:binary>>")
+        _scan, "rid long, key " + docs.schema[key].dataType.simpleString() + f", repo string, owner string, found {_FOUND_SQL}")
     scanned = written(scanned, "secret-scan")
-    hits = scanned.where(F.size("found") > 0).select("rid", "repo", "owner", F.explode("found").alias("s"))
-    # distinct repositories and owners of each value: partial sums on the map side, one row per (value, owner) first
-    pairs = hits.groupBy(F.col("s.digest").alias("digest"), "owner", "repo").agg(F.lit(1).alias("one"))
-    owned = (pairs.groupBy("digest", "owner").agg(F.count("*").alias("repos"))
-             .groupBy("digest").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners")))
-    verdict = owned.select("digest", ((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)).alias("live"),
-                           F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
-    judged = hits.select("rid", "s", F.col("s.digest").alias("digest"),
-                         F.pmod(F.hash("rid"), F.lit(_SALTS)).alias("salt")).join(verdict, ["digest", "salt"])
-    per_row = judged.groupBy("rid").agg(
-        F.array_sort(F.collect_list(F.when(F.col("live") | (F.col("s.kind") < 3),
-                                           F.struct("s.start", "s.kind", "s.end")))).alias("spans"),
-        F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_shared"))
+    per_row = _judged(scanned, _live(scanned, max_owners, max_repos))
     none = F.array().cast("array<struct<start:long,kind:int,end:long>>")
     return (scanned.select("rid", "key").join(per_row, "rid", "left")
             .select(F.col("key").alias(key), F.coalesce("spans", none).alias("spans"),
-                    F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_shared", F.lit(0)).alias("n_shared"),
-                    F.col("rid").alias("_rid")))
+                    F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_shared", F.lit(0)).alias("n_shared")))
 
 
 def secret_report(docs: DataFrame, **params) -> DataFrame:
@@ -141,22 +151,27 @@ def _mask(batches):
         yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.string())], names=[*names, "_masked"])
 
 
-def mask_secrets(docs: DataFrame, text: str = "text", **params) -> DataFrame:
+def mask_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", owner: str = "source", max_owners: int = MAX_OWNERS,
+                 max_repos: int = MAX_REPOS) -> DataFrame:
     """``docs`` with every span replaced by ``[SECRET]`` (overlapping spans become one); all other columns and rows
-    stay.  A column ``n_chars`` is kept equal to the new text's length."""
-    # one scan gives each row its spans next to the untouched row; values judged through their digests as above
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    ids = packed.select(F.monotonically_increasing_id().alias("_id"), "row")
-    ids = written(ids, "secret-rows")
-    flat = ids.select(F.col("_id").alias("doc_id"), F.col(f"row.{text}").alias("text"),
-                      F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")).alias("repo"),
-                      (F.col("row.source") if "source" in docs.columns else F.lit(None).cast("string")).alias("source"))
-    spans = secret_spans(flat, repo="repo", **params).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"),
-                                                                                         F.col("spans").alias("_spans"))
-    hit = ids.join(spans, "_id", "left")
-    plain = hit.where("_spans is null").select("row.*")
-    todo = hit.where("_spans is not null").select("row", F.col(f"row.{text}").alias("_text"), "_spans")
-    done = todo.mapInArrow(_mask, f"row {ids.schema['row'].dataType.simpleString()}, _masked string")
+    stay.  A column ``n_chars`` is kept equal to the new text's length.
+
+    One scan writes the rows with what it found.  Rows without candidates need no verdict and aren't shuffled: their base
+    spans are masked, or they pass as they are.  Only rows with candidates meet the ownership counts."""
+    own = docs[owner].cast("string") if owner in docs.columns else F.lit(None).cast("string")
+    src = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+                      docs[key].cast("string").alias("repo"), own.alias("owner"), docs[text].alias("text"))
+    row = f"row {src.schema['row'].dataType.simpleString()}"
+    scanned = src.mapInArrow(_scan, f"rid long, {row}, repo string, owner string, text string, found {_FOUND_SQL}").drop("text")
+    scanned = written(scanned, "secret-rows")
+    open_ = F.exists("found", lambda s: s["kind"] == 3)
+    judged = _judged(scanned.where(open_).select("rid", "found"), _live(scanned.select("repo", "owner", "found"), max_owners, max_repos))
+    plain = scanned.where(F.size("found") == 0).select("row.*")
+    base = F.transform("found", lambda s: F.struct(s["start"], s["kind"], s["end"]))
+    todo = scanned.where((F.size("found") > 0) & ~open_).select("row", F.col(f"row.{text}").alias("_text"), base.alias("_spans"))
+    todo = todo.unionByName(scanned.where(open_).select("rid", "row").join(judged.select("rid", F.col("spans").alias("_spans")), "rid")
+                            .select("row", F.col(f"row.{text}").alias("_text"), "_spans"))
+    done = todo.mapInArrow(_mask, f"{row}, _masked string")
     new = {text: F.col("_masked")}
     if "n_chars" in docs.columns and "n_chars" != text:
         new["n_chars"] = F.char_length("_masked").cast(docs.schema["n_chars"].dataType)

@@ -64,3 +64,11 @@ def test_mask_keeps_rows_and_columns(spark):
     got = sorted(map(tuple, out.collect()), key=str)
     masked = 'é [SECRET]" and [SECRET] end'
     assert got == sorted([(1, masked, "en", "s", len(masked), "k", 7, "r"), rows[1], rows[2], rows[3]], key=str)
+
+
+def test_mask_judges_candidates_by_ownership(spark):
+    mine, copied = "Zx9Qw8Er7Ty6Ui5Op4As3Df", "Kj1Hg2Fd3Sa4Po5Iu6Yt7Re"
+    rows = [(1, f"a {mine} b", "en", "s1", 0)] + [(k, f"{copied} {k}", "en", f"s{k}", 0) for k in range(2, 6)] + [
+        (9, f"{mine} deadbeefdeadbeef {copied}", "en", "s1", 0)]
+    got = {r.doc_id: r.text for r in mask_secrets(spark.createDataFrame(rows, COLS)).collect()}
+    assert got == {1: "a [SECRET] b", 9: f"[SECRET] [SECRET] {copied}", **{k: f"{copied} {k}" for k in range(2, 6)}}
