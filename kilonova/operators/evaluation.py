@@ -78,15 +78,43 @@ def class_balance(truth: DataFrame, label: str = "target", weights: DataFrame |
     return out
 
 
+def _centroid_models(features: DataFrame, label: str, cols: list[str], classes: list[int] | None, fold_col: str | None) -> Column:
+    """All models as one scalar array of structs (f, c, and per column centre, scale and centroid): one entry per fold
+    and class.  The model of fold f standardises and averages over the rows of the other folds only; each is a
+    conditional aggregate, so no row is copied per fold."""
+    k = features.agg(F.max(fold_col)).first()[0] + 1 if fold_col else 1   # number of folds: one value
+    other = [f"{fold_col} <> {f}" if fold_col else "true" for f in range(k)]
+    st = features.agg(F.struct(*[F.expr(f"{fn}(CASE WHEN {other[f]} THEN {c} END)").alias(f"{c}_{n}{f}")
+                                 for f in range(k) for c in cols for n, fn in (("m", "avg"), ("s", "stddev_pop"))])).scalar()
+    known = (features if classes is None else features.filter(F.col(label).isin(classes))).withColumn("_st", st)
+    aggs = [F.count(F.when(F.expr(other[f]), 1)).alias(f"n{f}") for f in range(k)]
+    for f in range(k):
+        for c in cols:
+            z = F.coalesce(safe_div(F.col(c) - F.col("_st")[f"{c}_m{f}"], F.col("_st")[f"{c}_s{f}"]), F.lit(0.0))
+            aggs.append(F.avg(F.when(F.expr(other[f]), z)).alias(f"{c}_c{f}"))
+    cents = known.groupBy(label).agg(*aggs).withColumn("_st", st)
+    entries = F.array(*[F.struct(F.lit(f).alias("f"), F.col(label).alias("c"), F.col(f"n{f}").alias("n"), *[x for c in cols for x in (
+        F.col("_st")[f"{c}_m{f}"].alias(f"{c}_m"), F.col("_st")[f"{c}_s{f}"].alias(f"{c}_s"), F.col(f"{c}_c{f}").alias(f"{c}_c"))]) for f in range(k)])
+    # subqueries can not sit inside higher-order functions: bind the entries to a column first
+    rows = cents.select(F.explode(entries).alias("e")).filter("e.n > 0")
+    return rows.agg(F.sort_array(F.collect_list("e"))).scalar()
+
+
+def _distance(e: Column, cols: list[str]) -> Column:
+    """Squared distance of the row to an entry's centroid in the entry's own standardised space (NULL -> 0)."""
+    z = [F.coalesce(safe_div(F.col(c) - e[f"{c}_m"], e[f"{c}_s"]), F.lit(0.0)) for c in cols]
+    return F.aggregate(F.array(*[F.pow(x - e[f"{c}_c"], 2) for x, c in zip(z, cols)]), F.lit(0.0), lambda a, x: a + x)
+
+
 def centroid_probabilities(features: DataFrame, label: str, cols: list[str], classes: list[int] | None = None,
                            id_col: str = "object_id", fold_col: str | None = None) -> DataFrame:
     """A nearest-centroid classifier used as the probability source of the
     scoring operators: p(c | x) = softmax_c(-||z(x) - mu_c||^2), z = columns
-    standardised over the whole table (NULL -> 0).
+    standardised over the training rows (NULL -> 0).
 
-    With ``fold_col`` the centroids of fold f are fitted on the rows of the
-    other folds and each row is scored by the model of its own fold
-    (out-of-fold predictions, M7) -- all k models in one aggregate.
+    With ``fold_col`` the model of fold f (standardisation and centroids) is
+    fitted on the rows of the other folds and each row is scored by the model
+    of its own fold (out-of-fold predictions, M7).
 
     The fitted model is (k x) at most 14 centroid rows collected into a
     scalar-subquery array, so scoring is a per-row array transform, not a join.
@@ -97,28 +125,11 @@ def centroid_probabilities(features: DataFrame, label: str, cols: list[str], cla
     ``spark.checkpoint.dir`` (reliable: computed once, lineage cut for retries).
     """
     features = features.checkpoint(eager=True)
-    st = features.agg(F.struct(*[F.avg(c).alias(f"{c}_m") for c in cols],
-                               *[F.stddev_pop(c).alias(f"{c}_s") for c in cols])).scalar()
-    z = {c: F.coalesce(safe_div(F.col(c) - st[f"{c}_m"], st[f"{c}_s"]), F.lit(0.0)) for c in cols}
-    keep = [id_col, label] + ([fold_col] if fold_col else [])
-    zf = features.select(*keep, *[z[c].alias(c) for c in cols])
-    fit = zf if classes is None else zf.filter(F.col(label).isin(classes))
-    if fold_col:
-        k = features.agg(F.max(fold_col) + 1).scalar()
-        fit = fit.withColumn("_for", F.explode(F.sequence(F.lit(0), k - 1))).filter(F.col("_for") != F.col(fold_col))
-        cents = fit.groupBy("_for", label).agg(*[F.avg(c).alias(c) for c in cols])
-    else:
-        cents = fit.groupBy(F.lit(0).alias("_for"), label).agg(*[F.avg(c).alias(c) for c in cols])
-    arr = cents.agg(F.sort_array(F.collect_list(
-        F.struct(F.col("_for").alias("f"), F.col(label).alias("c"), *[F.col(c) for c in cols])))).scalar()
-    own = F.col(fold_col) if fold_col else F.lit(0)
     # subqueries can not sit inside lambdas: bind the model array to a column first
-    zf = zf.withColumn("_model", arr)
+    rows = features.withColumn("_model", _centroid_models(features, label, cols, classes, fold_col))
+    own = F.col(fold_col) if fold_col else F.lit(0)
     mine = F.filter("_model", lambda e: e["f"] == own)
-    scored = zf.select(id_col, F.transform(mine, lambda e: F.struct(
-        e["c"].alias("cls"),
-        (-F.aggregate(F.array(*[F.pow(F.col(c) - e[c], 2) for c in cols]), F.lit(0.0), lambda a, x: a + x))
-        .alias("s"))).alias("_sc"))
+    scored = rows.select(id_col, F.transform(mine, lambda e: F.struct(e["c"].alias("cls"), (-_distance(e, cols)).alias("s"))).alias("_sc"))
     scored = scored.withColumn("_mx", F.array_max(F.transform("_sc", lambda e: e["s"])))
     scored = scored.withColumn("_den", F.aggregate("_sc", F.lit(0.0), lambda a, e: a + F.exp(e["s"] - F.col("_mx"))))
     long = scored.select(id_col, "_mx", "_den", F.inline("_sc"))
@@ -132,21 +143,10 @@ def centroid_ensemble(features: DataFrame, label: str, cols: list[str], fold_col
     models (each fitted without its fold) and the class probabilities are
     averaged over the models.  Long form (object_id, class, p)."""
     features = features.checkpoint(eager=True)
-    st = features.agg(F.struct(*[F.avg(c).alias(f"{c}_m") for c in cols],
-                               *[F.stddev_pop(c).alias(f"{c}_s") for c in cols])).scalar()
-    zf = features.select(id_col, label, fold_col, *[
-        F.coalesce(safe_div(F.col(c) - st[f"{c}_m"], st[f"{c}_s"]), F.lit(0.0)).alias(c) for c in cols])
-    k = features.agg(F.max(fold_col) + 1).scalar()
-    fit = zf.withColumn("_for", F.explode(F.sequence(F.lit(0), k - 1))).filter(F.col("_for") != F.col(fold_col))
-    cents = fit.groupBy("_for", label).agg(*[F.avg(c).alias(c) for c in cols])
-    arr = cents.agg(F.sort_array(F.collect_list(
-        F.struct(F.col("_for").alias("f"), F.col(label).alias("c"), *[F.col(c) for c in cols])))).scalar()
-    zf = zf.withColumn("_model", arr)
-    long = zf.select(id_col, F.inline(F.transform("_model", lambda e: F.struct(
-        e["f"].alias("model"), e["c"].alias("cls"),
-        (-F.aggregate(F.array(*[F.pow(F.col(c) - e[c], 2) for c in cols]), F.lit(0.0), lambda a, x: a + x))
-        .alias("s")))))
-    w = Window.partitionBy(id_col, "model")
+    rows = features.withColumn("_model", _centroid_models(features, label, cols, None, fold_col))
+    long = rows.select(id_col, F.inline(F.transform("_model", lambda e: F.struct(
+        e["f"].alias("model"), e["c"].alias("cls"), (-_distance(e, cols)).alias("s")))))
+    w = Window.partitionBy(id_col, "model")   # one row a class
     long = long.withColumn("_mx", F.max("s").over(w))
     long = long.withColumn("p", F.exp(F.col("s") - F.col("_mx")) / F.sum(F.exp(F.col("s") - F.col("_mx"))).over(w))
     return long.groupBy(id_col, F.col("cls").cast("int").alias("class")).agg(F.avg("p").alias("p"))

@@ -31,17 +31,14 @@ def basic_meta(meta: DataFrame) -> DataFrame:
 def class_share_by_flag(meta: DataFrame, label: str = "target", flag: str = "ddf") -> DataFrame:
     """Per class, its share of the flag=0 and flag=1 populations.
 
-    The grouped table has one row per class (bounded), so the column totals
-    are an un-partitioned window over that small table.
+    The column totals are one scalar subquery over the classes.
     """
     counts = meta.groupBy(label).agg(
         F.count(F.when(F.col(flag) == 0, 1)).alias("n_0"),
         F.count(F.when(F.col(flag) == 1, 1)).alias("n_1"))
-    total = Window.partitionBy()
-    return counts.select(
-        label, "n_0", "n_1",
-        safe_div(F.col("n_0"), F.sum("n_0").over(total)).alias(f"ratio_{flag}0"),
-        safe_div(F.col("n_1"), F.sum("n_1").over(total)).alias(f"ratio_{flag}1"))
+    total = counts.agg(F.struct(F.sum("n_0").alias("n_0"), F.sum("n_1").alias("n_1"))).scalar()
+    return counts.select(label, "n_0", "n_1", safe_div(F.col("n_0"), total["n_0"]).alias(f"ratio_{flag}0"),
+                         safe_div(F.col("n_1"), total["n_1"]).alias(f"ratio_{flag}1"))
 
 
 def crosstab(df: DataFrame, a: str, b: str, values: list) -> DataFrame:

@@ -1,16 +1,17 @@
 """Padded per-band sequences for sequence models.
 
-Scaling statistics are computed on long rows (window / small aggregates)
-before the sequences are collected, so the only per-object state is the
+Scaling statistics are computed on long rows (mergeable aggregates joined
+back) before the sequences are collected, so the only per-object state is the
 object's own series; the band-level statistics and max lengths are six-row
 tables (one per band) joined by broadcast.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import pure_magnitude, safe_div
+from ..functions.windows import join_back, lag_columns
 
 
 def band_max_length(lc: DataFrame) -> DataFrame:
@@ -45,8 +46,8 @@ def to_sequences(lc: DataFrame) -> DataFrame:
 
 def time_lags(lc: DataFrame) -> DataFrame:
     """Time step to the previous point of the series, first step 0."""
-    w = Window.partitionBy("object_id", "passband").orderBy("mjd")
-    return lc.withColumn("lag", F.coalesce(F.col("mjd") - F.lag("mjd").over(w), F.lit(0.0)))
+    rows = lag_columns(lc, ["object_id", "passband"], "mjd", ["mjd"], "_prev_")
+    return rows.withColumn("lag", F.coalesce(F.col("mjd") - F.col("_prev_mjd"), F.lit(0.0))).drop("_prev_mjd")
 
 
 def fit_flux_scaling(rows: DataFrame, col: str = "flux") -> DataFrame:
@@ -69,13 +70,13 @@ def scaled_sequences(lc: DataFrame, meta: DataFrame | None = None, flux_stats: D
         else:
             rows = rows.withColumn("_dm", F.lit(0.0))
         rows = rows.withColumn("flux", pure_magnitude("flux", "_dm")).drop("_dm")
-    rows = time_lags(rows.repartition("object_id"))
+    rows = time_lags(rows)
     stats = flux_stats if flux_stats is not None else fit_flux_scaling(rows)
-    w = Window.partitionBy("object_id", "passband")
-    rows = (rows.join(F.broadcast(stats), "passband", "inner")
+    own = rows.groupBy("object_id", "passband").agg(F.avg("lag").alias("_lag_mean"), F.stddev_pop("lag").alias("_lag_scale"))
+    rows = (join_back(rows, own, ["object_id", "passband"]).join(F.broadcast(stats), "passband", "inner")
             .withColumns({
                 "flux": F.coalesce(safe_div(F.col("flux") - F.col("flux_mean"), F.col("flux_scale")), F.lit(0.0)),
-                "lag": F.coalesce(safe_div(F.col("lag") - F.avg("lag").over(w), F.stddev_pop("lag").over(w)),
+                "lag": F.coalesce(safe_div(F.col("lag") - F.col("_lag_mean"), F.col("_lag_scale")),
                                   F.lit(0.0)),
                 "flux_err": F.coalesce(F.col("flux_err"), F.lit(0.0)),
             }))

@@ -42,25 +42,25 @@ _FEATF_SQL = "SELECT f.*, d.fold FROM feat f JOIN folds d ON d.object_id = f.obj
 def _centroid_ctes(src: str, classes=None, mode: str = "single", prefix: str = "c") -> list[tuple[str, str]]:
     """DuckDB twin of ``centroid_probabilities`` / ``centroid_ensemble``; last CTE ``<prefix>_pred``."""
     st = ", ".join([f"avg({c}) AS {c}_m" for c in FEATURES] + [f"stddev_pop({c}) AS {c}_s" for c in FEATURES])
-    fold = ", fold" if mode != "single" else ""
-    zf = (f"SELECT object_id, target{fold}, "
+    if mode == "single":
+        st, fold, other = f"SELECT 0 AS f, {st} FROM {src}", "", "TRUE"
+    else:   # the model of fold f: standardised and averaged over the rows of the other folds
+        st = (f"SELECT r.f, {st} FROM {src} z, (SELECT unnest(range(0, (SELECT max(fold) + 1 FROM {src}))) AS f) r "
+              "WHERE r.f != z.fold GROUP BY r.f")
+        fold, other = ", fold", "f != fold"
+    zf = (f"SELECT object_id, target{fold}, f, "
           + ", ".join(f"coalesce(({c} - {c}_m) / nullif({c}_s, 0), 0) AS {c}" for c in FEATURES)
           + f" FROM {src}, {prefix}_st")
-    where = f" WHERE target IN ({', '.join(map(str, classes))})" if classes else ""
+    where = f" AND target IN ({', '.join(map(str, classes))})" if classes else ""
     avgs = ", ".join(f"avg({c}) AS {c}" for c in FEATURES)
-    if mode == "single":
-        cents = f"SELECT 0 AS f, target, {avgs} FROM {prefix}_zf{where} GROUP BY target"
-        join = f"{prefix}_cent c ON c.f = 0"
-    else:
-        cents = (f"SELECT r.f, target, {avgs} FROM (SELECT * FROM {prefix}_zf{where}) z, "
-                 f"(SELECT unnest(range(0, (SELECT max(fold) + 1 FROM {src}))) AS f) r WHERE r.f != z.fold GROUP BY 1, 2")
-        join = f"{prefix}_cent c ON c.f = z.fold" if mode == "oof" else f"{prefix}_cent c ON TRUE"
+    cents = f"SELECT f, target, {avgs} FROM {prefix}_zf WHERE {other}{where} GROUP BY 1, 2"
+    join = f"{prefix}_cent c ON c.f = z.f" + (" AND z.f = z.fold" if mode == "oof" else "")
     dist = "0 + " + " + ".join(f"power(z.{c} - c.{c}, 2)" for c in FEATURES)
     sc = f"SELECT z.object_id, c.f AS model, c.target AS cls, -({dist}) AS s FROM {prefix}_zf z JOIN {join}"
     sc2 = f"SELECT *, max(s) OVER (PARTITION BY object_id, model) AS mx FROM {prefix}_sc"
     p = ("SELECT object_id, model, CAST(cls AS INTEGER) AS class, exp(s - mx) / sum(exp(s - mx)) OVER "
          f"(PARTITION BY object_id, model) AS p FROM {prefix}_sc2")
-    ctes = [(f"{prefix}_st", f"SELECT {st} FROM {src}"), (f"{prefix}_zf", zf), (f"{prefix}_cent", cents),
+    ctes = [(f"{prefix}_st", st), (f"{prefix}_zf", zf), (f"{prefix}_cent", cents),
             (f"{prefix}_sc", sc), (f"{prefix}_sc2", sc2), (f"{prefix}_p", p)]
     if mode == "ensemble":
         ctes.append((f"{prefix}_pred", f"SELECT object_id, class, avg(p) AS p FROM {prefix}_p GROUP BY 1, 2"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.core import BAND_LETTERS, BANDS
+from ..functions.windows import lag_columns
 from ..operators import prep, research
 from ..sources.adapters import lc_events, lc_lineitem, meta_events, meta_part, with_ctes
 from .catalog import register
@@ -173,10 +174,9 @@ _CONSEC_SQL = ("SELECT mjd - lag(mjd) OVER w AS dt, flux - lag(flux) OVER w AS d
 
 
 def _consecutive_steps(lc):
-    from pyspark.sql import Window
-    w = Window.partitionBy("object_id", "passband").orderBy("mjd")
-    return lc.select((F.col("mjd") - F.lag("mjd").over(w)).alias("dt"),
-                     (F.col("flux") - F.lag("flux").over(w)).alias("dflux")).filter(F.col("dt").isNotNull())
+    rows = lag_columns(lc, ["object_id", "passband"], "mjd", ["mjd", "flux"], "_prev_")
+    return rows.select((F.col("mjd") - F.col("_prev_mjd")).alias("dt"),
+                       (F.col("flux") - F.col("_prev_flux")).alias("dflux")).filter(F.col("dt").isNotNull())
 
 
 def _h2_sql() -> str:
