@@ -27,6 +27,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column of a batch, or of its struct ``row`` (so that a text kept in the row isn't sent twice)."""
+    if name in batch.schema.names:
+        return batch.column(name)
+    return batch.column("row").field(name)
+
+
 def crc_mod(doc_id: str, mod: int) -> F.Column:
     """crc32 of the id's decimal text modulo ``mod``; a null id counts as the empty text (0)."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % mod
@@ -42,7 +49,7 @@ NOT_LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _P = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK = 2 << 20  # bytes of text worked on at once; bounds the temporaries (a longer text is a chunk of its own)
+_CHUNK = 1 << 20  # bytes of text worked on at once; bounds the temporaries (a longer text is a chunk of its own)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import column_of, written
 
 KINDS = ("assign", "access", "hex", "owned")
 
@@ -65,13 +65,13 @@ _FOUND = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end"
 _FOUND_SQL = "array<struct<start:long,kind:int,end:long,digest:binary>>"
 
 
-def _scan(batches):
+def _scan(batches, text: str = "text"):
     for b in batches:
         rows = []
-        for t in b.column("text").to_pylist():
+        for t in column_of(b, text).to_pylist():
             rows.append([{"start": s, "kind": k, "end": e, "digest": hashlib.sha256(v.encode("utf-8", "surrogatepass")).digest()[:16]}
                          for s, k, e, v in find(t)])
-        keep = [i for i, n in enumerate(b.schema.names) if n != "text" or "row" in b.schema.names]
+        keep = [i for i, n in enumerate(b.schema.names) if n != "text"]
         yield pa.RecordBatch.from_arrays([*(b.columns[i] for i in keep), pa.array(rows, _FOUND)],
                                          names=[*(b.schema.names[i] for i in keep), "found"])
 
@@ -160,9 +160,9 @@ def mask_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", owner
     spans are masked, or they pass as they are.  Only rows with candidates meet the ownership counts."""
     own = docs[owner].cast("string") if owner in docs.columns else F.lit(None).cast("string")
     src = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[docs[c] for c in docs.columns]).alias("row"),
-                      docs[key].cast("string").alias("repo"), own.alias("owner"), docs[text].alias("text"))
+                      docs[key].cast("string").alias("repo"), own.alias("owner"))
     row = f"row {src.schema['row'].dataType.simpleString()}"
-    scanned = src.mapInArrow(_scan, f"rid long, {row}, repo string, owner string, text string, found {_FOUND_SQL}").drop("text")
+    scanned = src.mapInArrow(lambda batches: _scan(batches, text), f"rid long, {row}, repo string, owner string, found {_FOUND_SQL}")
     scanned = written(scanned, "secret-rows")
     open_ = F.exists("found", lambda s: s["kind"] == 3)
     judged = _judged(scanned.where(open_).select("rid", "found"), _live(scanned.select("repo", "owner", "found"), max_owners, max_repos))

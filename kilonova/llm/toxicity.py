@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_LETTERS, crc_mod, mix, word_hashes
+from .common import NOT_LETTERS, column_of, crc_mod, mix, word_hashes
 
 
 HEADS = (4, 5, 6, 7, 8, 9)
@@ -35,7 +35,7 @@ class Params:
     """Production parameters; the two sample sizes bound what reaches the driver."""
 
     positives: int = 3_000
-    unlabelled: int = 8_000
+    unlabelled: int = 6_000
     words: int = 4_096
     min_share: float = 0.02  # of the positives that a word of the model occurs in (and at least five)
     min_z: float = 2.5  # standard errors by which its share among positives must exceed that among unlabelled texts
@@ -145,9 +145,9 @@ def train(docs: DataFrame, labels: DataFrame, params: Params = Params(), fold: i
     unl = seen(src).where(draw(min(1.0, params.unlabelled / max(1, total)))).select(F.lit(False).alias("positive"), "text")
     got = []
     for part, most in ((pos, 2 * params.positives), (unl, 2 * params.unlabelled)):
-        got.append([bytes(r.words) for r in part.mapInArrow(_distinct_words, "positive boolean, words binary").limit(most).collect()])
-    as_words = lambda xs: [np.frombuffer(x, np.uint64) for x in sorted(xs)]
-    return fit(one_of_copies(as_words(filter(None, got[0]))), as_words(got[1]), n_pos / n, params)
+        rows = part.mapInArrow(_distinct_words, "positive boolean, words binary").limit(most).toArrow().column("words").to_pylist()
+        got.append([np.frombuffer(x, np.uint64) for x in sorted(rows)])
+    return fit(one_of_copies([x for x in got[0] if len(x)]), got[1], n_pos / n, params)
 
 
 def scores(model: Model, texts: pa.Array) -> np.ndarray:
@@ -172,8 +172,9 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text", keep_text: bo
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(scores(sent.value, b.column("text")), pa.float64())], names=["row", "score"])
+            texts = column_of(b, text if keep_text else "text")
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(scores(sent.value, texts), pa.float64())], names=["row", "score"])
 
     rest = [docs[c] for c in docs.columns if keep_text or c != text]
-    src = docs.select(F.struct(*rest).alias("row"), docs[text].alias("text"))
+    src = docs.select(F.struct(*rest).alias("row"), *([] if keep_text else [docs[text].alias("text")]))
     return src.mapInArrow(run, f"row {src.schema['row'].dataType.simpleString()}, score double")
