@@ -29,12 +29,20 @@ from .stats import restore_objects
 TIE_BITS = 20
 
 
-def frequency_grid(f_min: float, df: float, n: int) -> list[float]:
-    return [f_min + k * df for k in range(n)]
+def frequency_grid(lc: DataFrame, f_max: float = 10.0, n: int = 100) -> tuple[float, float]:
+    """(first frequency, step) of ``n`` evenly spaced frequencies from one cycle in the table's time span to ``f_max``
+    a day."""
+    lo, hi = lc.agg(F.min("mjd"), F.max("mjd")).first()   # two numbers
+    first = 1.0 / (hi - lo) if hi is not None and hi > lo else f_max / n
+    return first, (f_max - first) / (n - 1)
 
 
-def periodogram_power(lc: DataFrame, f_min: float = 0.1, df: float = 0.1, n_freq: int = 100) -> DataFrame:
-    """F8: GLS power per (object_id, passband, freq)."""
+def periodogram_power(lc: DataFrame, f_max: float = 10.0, n_freq: int = 100, f_min: float | None = None,
+                      df: float | None = None) -> DataFrame:
+    """F8: GLS power per (object_id, passband, freq) on the grid of ``frequency_grid``, or on ``n_freq`` steps of ``df``
+    from ``f_min``."""
+    if f_min is None or df is None:
+        f_min, df = frequency_grid(lc, f_max, n_freq)
     w = F.pow(safe_div(F.lit(1.0), F.col("flux_err")), 2)
     # expanded and summed on the map side: the shuffle carries one row of sums per (object, band, frequency) and task,
     # and a huge object is spread over all tasks

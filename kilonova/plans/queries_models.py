@@ -29,8 +29,8 @@ def q_cv_scores(spark, sf_dir):
     oof, _ = models.cross_validate(m, feats, folds, ALL_CLASSES)
     oof = oof.checkpoint(eager=True)  # scored four times below
     w = ev.class_table(spark)
-    per_fold = [ev.weighted_logloss(oof.join(folds.filter(F.col("fold") == f).select("object_id"), "object_id"),
-                                    truth, w).withColumn("fold", F.lit(f)) for f in range(K)]
+    per_fold = [ev.weighted_logloss(oof, truth.join(folds.filter(F.col("fold") == f).select("object_id"), "object_id"), w)
+                .withColumn("fold", F.lit(f)) for f in range(K)]
     total = ev.weighted_logloss(oof, truth, w).withColumn("fold", F.lit(-1))
     out = total
     for p in per_fold:

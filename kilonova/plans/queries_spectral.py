@@ -10,14 +10,14 @@ from ..sources.adapters import lc_events, meta_events, with_ctes
 from .catalog import register
 from .sqlgen import rounded, snap_sql
 
-GRID = dict(f_min=0.1, df=0.1, n_freq=100)
+GRID = dict(f_max=10.0, n_freq=100)
 
 
 def _power_sql() -> str:
     tw = 2 * math.pi
-    ex = (f"SELECT object_id, passband, flux AS y, power(1 / nullif(flux_err, 0), 2) AS w, "
-          f"{GRID['f_min']} + k * {GRID['df']} AS freq, cos({tw!r} * ({GRID['f_min']} + k * {GRID['df']}) * mjd) AS c, "
-          f"sin({tw!r} * ({GRID['f_min']} + k * {GRID['df']}) * mjd) AS s FROM lc, "
+    first = "SELECT f0, (10.0::DOUBLE - f0) / 99 AS step FROM (SELECT 1.0::DOUBLE / (max(mjd) - min(mjd)) AS f0 FROM lc)"
+    ex = (f"SELECT object_id, passband, flux AS y, power(1 / nullif(flux_err, 0), 2) AS w, f0 + k * step AS freq, "
+          f"cos({tw!r} * (f0 + k * step) * mjd) AS c, sin({tw!r} * (f0 + k * step) * mjd) AS s FROM lc, grid, "
           f"(SELECT unnest(range(0, {GRID['n_freq']})) AS k) WHERE flux_err != 0")
     sums = ("SELECT object_id, passband, freq, count(*) AS n, sum(w) AS W, sum(w * y) / sum(w) AS Y, "
             "sum(w * c) / sum(w) AS C, sum(w * s) / sum(w) AS S, sum(w * y * y) / sum(w) AS YY, "
@@ -27,7 +27,7 @@ def _power_sql() -> str:
            "CC - C * C AS cc, SS - S * S AS ss, CS - C * S AS cs FROM sums")
     pw = ("SELECT object_id, passband, freq, n, CASE WHEN n >= 3 THEN (ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) "
           "/ nullif(yy * (cc * ss - cs * cs), 0) END AS power FROM cen")
-    return [("ex", ex), ("sums", sums), ("cen", cen), ("pw", pw)]
+    return [("grid", first), ("ex", ex), ("sums", sums), ("cen", cen), ("pw", pw)]
 
 
 def _peaks_sql() -> str:

@@ -49,11 +49,6 @@ def test_query_matches_duckdb(spark, con, name):
     equal_to_oracle(spark, name, con)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_rows_only_queries_run(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
-
-
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() > 0
