@@ -134,7 +134,7 @@ def _rate_with_state(key, pdfs, state):
     pdf = pd.concat(list(pdfs), ignore_index=True).dropna(subset=["mjd"]).sort_values("mjd", kind="mergesort")
     last_mjd, last_flux = state.get if state.exists else (None, None)
     late = pdf["mjd"] < last_mjd if last_mjd is not None else pdf["mjd"] != pdf["mjd"]
-    out = pdf[late].assign(fluxdiff=None, mjddiff=None, late=True)
+    out = pdf[late].assign(fluxdiff=float("nan"), mjddiff=float("nan"), late=True)   # NULL in the result
     if len(out):
         yield out[["object_id", "passband", "mjd", "fluxdiff", "mjddiff", "late"]]
     pdf = pdf[~late]
