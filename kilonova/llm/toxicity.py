@@ -145,8 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, params: Params = Params(), fold: i
     unl = seen(src).where(draw(min(1.0, params.unlabelled / max(1, total)))).select(F.lit(False).alias("positive"), "text")
     got = []
     for part, most in ((pos, 2 * params.positives), (unl, 2 * params.unlabelled)):
-        rows = part.mapInArrow(_distinct_words, "positive boolean, words binary").limit(most).toArrow().column("words").to_pylist()
-        got.append([np.frombuffer(x, np.uint64) for x in sorted(rows)])
+        rows = part.mapInArrow(_distinct_words, "positive boolean, words binary").limit(most).collect()
+        got.append([np.frombuffer(x, np.uint64) for x in sorted(r.words for r in rows)])
     return fit(one_of_copies([x for x in got[0] if len(x)]), got[1], n_pos / n, params)
 
 
