@@ -37,8 +37,8 @@ PERCENT = 85  # least similarity of a link
 ROWS, BANDS = 6, 24
 MISS = 1e-6  # chance at which a pair counts as below the threshold
 BATCH = 16  # signature values compared at a time
-BLOCK = 256  # classes of a block
-BLOCK_SHINGLES = 500_000  # of a block
+BLOCK = 128  # classes of a block
+BLOCK_SHINGLES = 300_000  # of a block
 
 _MULT = np.random.default_rng(20).integers(1, 1 << 62, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _Q = np.uint64(0x9FB21C651E98DF25)
