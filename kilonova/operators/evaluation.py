@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import ALL_CLASSES, GALACTIC_CLASSES, PROB_EPS, clip_prob, safe_div
+from ..functions.windows import join_back
 
 # Fixed class weights of the competition metric.
 CLASS_WEIGHTS = {6: 1.00104, 15: 2.00189, 16: 1.00104, 42: 1.00104, 52: 1.00104, 53: 1.00000, 62: 1.00104,
@@ -45,8 +46,7 @@ def distributed_rank(df: DataFrame, order: str, group: str | None = None, hex_di
     w = Window.partitionBy(*gcol).orderBy("_b") if gcol else Window.orderBy("_b")
     offsets = counts.withColumn("_off", F.sum("_cnt").over(w) - F.col("_cnt")).drop("_cnt")
     local = keyed.withColumn("_local", F.row_number().over(Window.partitionBy(*gcol, "_b").orderBy(order)) - 1)
-    # offsets: at most #groups x 16^hex_digits rows -> broadcast
-    return (local.join(F.broadcast(offsets), [*gcol, "_b"], "inner")
+    return (join_back(local, offsets, [*gcol, "_b"])
             .withColumn("rank", (F.col("_off") + F.col("_local")).cast("long"))
             .drop("_b", "_off", "_local"))
 

@@ -204,18 +204,20 @@ def class_boxes(meta: DataFrame, group: str = "target") -> DataFrame:
                  F.min("gal_b").alias("min_gal_b"), F.max("gal_b").alias("max_gal_b")))
 
 
+CELL_DEGREES = 10.0
+
+
 def box_coverage(meta: DataFrame, boxes: DataFrame, box_key: str) -> DataFrame:
     """Point-in-box range join; number of objects per (box, ddf).
 
-    ``boxes`` has one row per region (k clusters / classes) so it is broadcast;
-    the objects side is never shuffled for the join.
-    """
-    m, b = meta.alias("m"), boxes.alias("b")
-    cond = ((F.col("m.gal_l") >= F.col("b.min_gal_l")) & (F.col("m.gal_l") <= F.col("b.max_gal_l"))
-            & (F.col("m.gal_b") >= F.col("b.min_gal_b")) & (F.col("m.gal_b") <= F.col("b.max_gal_b")))
-    j = m.join(F.broadcast(b), cond, "inner")
-    return j.groupBy(F.col(f"b.{box_key}").alias(box_key), F.col("m.ddf").alias("ddf")).agg(
-        F.count(F.lit(1)).alias("n"))
+    Boxes are cut into longitude cells of ``CELL_DEGREES``; an object lies in one cell, so the range join is an
+    equi-join on the cell plus the exact test, whatever the number of boxes."""
+    cell = lambda c: F.floor(F.col(c) / CELL_DEGREES)
+    b = boxes.select(F.col(box_key).alias("_box"), "min_gal_l", "max_gal_l", "min_gal_b", "max_gal_b",
+                     F.explode(F.sequence(cell("min_gal_l"), cell("max_gal_l"))).alias("_cell"))
+    m = meta.select("ddf", "gal_l", "gal_b", cell("gal_l").alias("_cell"))
+    inside = F.col("gal_l").between(F.col("min_gal_l"), F.col("max_gal_l")) & F.col("gal_b").between(F.col("min_gal_b"), F.col("max_gal_b"))
+    return m.join(b, "_cell").filter(inside).groupBy(F.col("_box").alias(box_key), "ddf").agg(F.count(F.lit(1)).alias("n"))
 
 
 def region_boxes(meta: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
