@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import prep, research, scaling, stats
 from ..sources.adapters import lc_lineitem, meta_part, with_ctes
-from ..functions.core import round_all
 from ..sources.io import read_features, scratch_path, write_features
 from .catalog import oracles, register
+from .queries_features import object_stats_sql
 from .sqlgen import rounded
 
 
@@ -43,13 +43,16 @@ def q_assemble_features(spark, sf_dir):
     return _assembled(spark, sf_dir)
 
 
+# the feature table as it is (the registered query's oracle is this one, snapped)
+_BASIC_TS = with_ctes(object_stats_sql("lc", detected_span=True, drop=("detected_mean_detected1",)), meta=True)
+
+
 def _report_sql() -> str:
-    o = oracles()
     cols = ["flux_min", "flux_max", "flux_mean", "flux_median", "flux_std", "flux_skew", "flux_err_min",
             "flux_err_max", "flux_err_mean", "flux_err_median", "flux_err_std", "flux_err_skew", "detected_mean",
             "flux_ratio_sq_sum", "flux_ratio_sq_skew", "flux_by_flux_ratio_sq_sum", "flux_by_flux_ratio_sq_skew",
             "diff_mjd_maxmin_detected1"]
-    src = (f"(SELECT b.* FROM ({o['basic_ts']}) b JOIN meta m ON m.object_id = b.object_id "
+    src = (f"(SELECT b.* FROM ({_BASIC_TS}) b JOIN meta m ON m.object_id = b.object_id "
            f"WHERE m.hostgal_photoz = 0)")
     parts = " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", count({c}) AS n_nonnull, stddev_pop({c}) AS std FROM {src}" for c in cols)
@@ -61,8 +64,7 @@ def _report_sql() -> str:
 def q_prune_report(spark, sf_dir):
     """Per column non-NULL count, population std and keep flag on the galactic split."""
     meta = meta_part(spark, sf_dir)
-    # the stored (snapped) feature table is the input, as in the oracle
-    bt = round_all(stats.basic_ts(lc_lineitem(spark, sf_dir), meta))
+    bt = stats.basic_ts(lc_lineitem(spark, sf_dir), meta)
     gal = bt.join(meta.filter(F.col("hostgal_photoz") == 0).select("object_id"), "object_id", "left_semi")
     return prep.column_report(gal.select("object_id", *_report_sql()[1]))
 
@@ -71,11 +73,10 @@ _FILL = ["flux_std", "flux_skew", "flux_mean_detected1", "diff_mjd_maxmin_detect
 
 
 def _fill_sql() -> str:
-    o = oracles()
     flags = ", ".join(f"CAST({c} IS NULL AS INTEGER) AS missing_flg_{c}" for c in _FILL)
     fills = ", ".join(f"coalesce(b.{c}, avg(b.{c}) OVER (PARTITION BY d.domain)) AS {c}" for c in _FILL)
     return rounded(with_ctes(
-        f"SELECT b.object_id, d.domain, {fills}, {flags} FROM ({o['basic_ts']}) b JOIN (SELECT object_id, "
+        f"SELECT b.object_id, d.domain, {fills}, {flags} FROM ({_BASIC_TS}) b JOIN (SELECT object_id, "
         f"CASE WHEN hostgal_photoz = 0 THEN 'gal' ELSE 'exgal' END AS domain FROM meta) d ON d.object_id = b.object_id",
         lc=None, meta=True), keys=("object_id", "domain", *[f"missing_flg_{c}" for c in _FILL]))
 
@@ -84,7 +85,7 @@ def _fill_sql() -> str:
 def q_fill_and_flag(spark, sf_dir):
     """P7 + P14 + P15: missing-indicator columns and per-domain mean filling."""
     meta = meta_part(spark, sf_dir)
-    bt = round_all(stats.basic_ts(lc_lineitem(spark, sf_dir), meta))
+    bt = stats.basic_ts(lc_lineitem(spark, sf_dir), meta)
     df = bt.join(meta.select("object_id", prep.domain_column(meta).alias("domain")), "object_id")
     out = prep.fill_and_flag(df.select("object_id", "domain", *_FILL), _FILL, split="domain")
     return out
