@@ -13,7 +13,8 @@
 4. Components of the verified links are found by repeated contraction to the least neighbour.
 
 Only spanning links leave a comparison, at most one less than its members.  The links equal the exact join but for the
-chosen miss probability (of the bands at the threshold: (1 - 0.85**6)**24 = 1.2e-5; less above it).
+chosen miss probability (of the bands at the threshold: (1 - 0.85**6)**24 = 1.2e-5; less above it).  Another threshold
+has bands of its own (``bands``; 5 x 28 at 0.8, which miss 1.5e-5).
 
 Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; with fewer than five, the whole sequence is one shingle; without
 words (null, empty, blank) the set is empty and the row is linked with nothing.  A row without an id stands alone (no
@@ -34,7 +35,8 @@ from .common import mix, word_hashes, written
 #: production parameters
 WORDS = 5
 PERCENT = 85  # least similarity of a link
-ROWS, BANDS = 6, 24
+ROWS, BANDS = 6, 24  # of PERCENT; bands() has those of other thresholds
+BAND_MISS = 2e-5  # chance that a pair at the threshold shares no band
 MISS = 1e-6  # chance at which a pair counts as below the threshold
 BATCH = 16  # signature values compared at a time
 BLOCK = 128  # classes of a block
@@ -74,10 +76,20 @@ def sketch(n: np.ndarray, s: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(minima: np.ndarray) -> np.ndarray:
-    keys = np.tile(np.arange(BANDS, dtype=np.uint64), (len(minima), 1))
-    rows = minima.reshape(len(minima), BANDS, ROWS)
-    for r in range(ROWS):
+def bands(percent: int = PERCENT) -> tuple[int, int]:
+    """(rows, bands) of a threshold: the most rows with which a pair at the threshold is missed at most at ``BAND_MISS``."""
+    total = ROWS * BANDS
+    for rows in range(total, 1, -1):
+        if (1 - (percent / 100) ** rows) ** (total // rows) <= BAND_MISS:
+            return rows, total // rows
+    return 1, total
+
+
+def band_keys(minima: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    n_rows, n_bands = bands(percent)
+    keys = np.tile(np.arange(n_bands, dtype=np.uint64), (len(minima), 1))
+    rows = minima[:, :n_rows * n_bands].reshape(len(minima), n_bands, n_rows)
+    for r in range(n_rows):
         keys = mix(keys * _Q + rows[:, :, r])
     return keys
 
@@ -86,7 +98,7 @@ def _digest(unique: np.ndarray) -> bytes:
     return hashlib.blake2b(unique.tobytes(), digest_size=16).digest()
 
 
-def _sketches(batches):
+def _sketches(batches, percent: int = PERCENT):
     for b in batches:
         size, digest, keys, sig = [], [], [], []
         for n, s in shingles(b.column("text")):
@@ -97,7 +109,7 @@ def _sketches(batches):
             some = n > 0
             if some.any():
                 m = sketch(n[some], s)
-                k = iter(band_keys(m))
+                k = iter(band_keys(m, percent))
                 v = iter((m >> np.uint64(30)).astype(np.uint8))
                 keys += [next(k).tobytes() if x else None for x in some]
                 sig += [next(v).tobytes() if x else None for x in some]
@@ -111,8 +123,8 @@ def _sketches(batches):
 
 def _explode_keys(batches):
     for b in batches:
-        rows = np.repeat(np.arange(b.num_rows), BANDS)
         flat = np.frombuffer(b"".join(b.column("keys").to_pylist()), np.int64)
+        rows = np.repeat(np.arange(b.num_rows), len(flat) // max(1, b.num_rows))
         yield pa.RecordBatch.from_arrays([pa.array(flat), b.column("cid").take(pa.array(rows)), b.column("n_shingles").take(pa.array(rows))],
                                          names=["key", "cid", "n"])
 
@@ -246,7 +258,7 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     """rid, doc_id, text_hash, n_shingles, component_id of every row; rid: a number of the row."""
     src = docs.select(F.monotonically_increasing_id().alias("rid"), docs[key].cast("long").alias("doc_id"), F.xxhash64(docs[text]).alias("text_hash"),
                       docs[text].alias("text"))
-    rows = written(src.mapInArrow(_sketches, "rid long, doc_id long, text_hash long, n_shingles long, digest binary, keys binary, sig binary"), "dup-sketch")
+    rows = written(src.mapInArrow(lambda batches: _sketches(batches, percent), "rid long, doc_id long, text_hash long, n_shingles long, digest binary, keys binary, sig binary"), "dup-sketch")
     named = rows.where("digest is not null and doc_id is not null")
     classes = written(named.groupBy("digest").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"),
                                                   F.first("keys").alias("keys"), F.first("sig").alias("sig")), "dup-classes")
@@ -303,8 +315,9 @@ def bands_at(data: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             flat = np.frombuffer(b"".join(b.column("keys").to_pylist()), np.int64)
-            rows = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
-            yield pa.RecordBatch.from_arrays([b.column("cid").take(rows), pa.array(flat), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows))],
+            n = len(flat) // max(1, b.num_rows)
+            rows = pa.array(np.repeat(np.arange(b.num_rows), n))
+            yield pa.RecordBatch.from_arrays([b.column("cid").take(rows), pa.array(flat), pa.array(np.tile(np.arange(n, dtype=np.int32), b.num_rows))],
                                              names=["cid", "key", "band"])
     return data.select("cid", "keys").mapInArrow(run, "cid long, key long, band int")
 

@@ -106,3 +106,29 @@ def test_pruning_keeps_what_reaches_the_threshold():
     for n, least in rules:
         lost |= m[:, :n].sum(1) < least
     assert lost.mean() < 1e-4 and rules[0][1] > 4
+
+
+def test_another_threshold_has_bands_of_its_own():
+    assert near_dup.bands() == near_dup.bands(85) == (near_dup.ROWS, near_dup.BANDS)
+    rng = np.random.default_rng(4)
+    minima = rng.integers(0, 1 << 60, (50_000, near_dup.ROWS * near_dup.BANDS), dtype=np.uint64)
+    other = np.where(rng.random(minima.shape) < 0.8, minima, minima + np.uint64(1))  # pairs at 0.8
+    missed = ~(near_dup.band_keys(minima, percent=80) == near_dup.band_keys(other, percent=80)).any(1)
+    assert missed.mean() < 1e-4  # bands of 85: 7e-4
+
+
+def test_another_threshold_equals_exact_join(spark):
+    """Pairs between 0.80 and 0.85 are linked at 80 only."""
+    rows, rnd = [], random.Random(6)
+    for i in range(60):
+        base = [f"b{i}_{k}" for k in range(rnd.randint(56, 110))]
+        other = list(base)
+        for k in rnd.sample(range(5, len(base) - 5), 2):
+            other[k] = f"o{i}_{k}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    assert brute(rows, 80) != brute(rows, 85)
+    df = spark.createDataFrame([(d, t, "c", "r", 1) for d, t in rows], COLS)
+    for percent in (80, 85):
+        got = near_dup.near_duplicates(df, percent=percent).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, percent)
+        assert sorted(r.doc_id for r in near_dup.keep_one(df, percent=percent).collect()) == sorted({c for _, _, c in brute(rows, percent)})
