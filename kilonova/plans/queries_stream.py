@@ -14,8 +14,8 @@ N_FILES = 6
 
 
 def _stream(spark, sf_dir, end_marker=False):
-    path = st.stage_observations(lc_events(spark, sf_dir), N_FILES, end_marker=end_marker)
-    return st.read_observation_stream(spark, path, files_per_trigger=1)
+    path, files = st.stage_observations(lc_events(spark, sf_dir), N_FILES, end_marker=end_marker)
+    return st.read_observation_stream(spark, path, files_per_trigger=files)
 
 
 @register("stream_stats", rounded(with_ctes(
@@ -80,5 +80,5 @@ ARRIVAL = [0, 2, 1, 3, 5, 4]
     "FROM lc, (SELECT min(mjd) AS lo, max(mjd) AS hi FROM lc))) WHERE n > 1 GROUP BY object_id", lc="events"), bits=None)
 def q_stream_late(spark, sf_dir):
     """ST5: points that arrive after a later point of their series, counted per object (slices out of order)."""
-    path = st.stage_observations(lc_events(spark, sf_dir), N_FILES, arrival=ARRIVAL)
-    return st.late_counts(st.run_to_table(st.stream_flux_rate(st.read_observation_stream(spark, path)), "late", "append"))
+    path, files = st.stage_observations(lc_events(spark, sf_dir), N_FILES, arrival=ARRIVAL)
+    return st.late_counts(st.run_to_table(st.stream_flux_rate(st.read_observation_stream(spark, path, files)), "late", "append"))

@@ -50,13 +50,23 @@ END_MARKER_ID = -1
 FILE_ROWS = 5_000_000
 
 
+def _n_files(spark: SparkSession, base: str) -> int:
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "part-*"))
+    return len(found) if found is not None else 0
+
+
 def stage_observations(lc: DataFrame, n_files: int = 8, path: str | None = None, end_marker: bool = False,
-                       arrival: list[int] | None = None) -> str:
+                       arrival: list[int] | None = None) -> tuple[str, int]:
     """Write observations as ``n_files`` time slices of parquet files under the
     shared checkpoint folder (the landing zone a stream reads), one slice after
     the other so that arrival order is event-time order; ``arrival`` gives
-    another order of the slices.  A slice of more than ``FILE_ROWS`` rows becomes
-    several files.  Returns the path.  Event time ``ts`` is the UTC instant of ``mjd``.
+    another order of the slices.  Slices of more than ``FILE_ROWS`` rows on average
+    become several files each, all over the slice's whole time range.  Returns the
+    path and the files of a slice, the same for every slice: a stream must take so
+    many files at a time, else the watermark passes rows of files still to come.
+    Event time ``ts`` is the UTC instant of ``mjd``.
 
     ``end_marker`` appends one control row (object_id -1, far in the future) as
     a last file: it moves the watermark past every real event so that
@@ -67,23 +77,29 @@ def stage_observations(lc: DataFrame, n_files: int = 8, path: str | None = None,
     n, lo, hi = lc.agg(F.count(F.lit(1)), F.min("mjd"), F.max("mjd")).first()  # three numbers
     if not n:
         lc.withColumn("ts", mjd_to_instant("mjd")).write.mode("append").parquet(base)
-        return base
+        return base, 1
     width = (hi - lo) / n_files if hi > lo else 1.0
     parts = max(1, -(-n // (n_files * FILE_ROWS)))
     sliced = lc.withColumns({
         "ts": mjd_to_instant("mjd"),
         "_slice": F.least(F.floor((F.col("mjd") - F.lit(lo)) / F.lit(width)), F.lit(n_files - 1)).cast("int"),
     })
+    before = _n_files(spark, base) if parts > 1 else 0
     for i in arrival or range(n_files):
-        (sliced.filter(F.col("_slice") == i).drop("_slice").repartition(parts, "object_id").sortWithinPartitions("mjd")
-         .write.mode("append").parquet(base))
+        rows = sliced.filter(F.col("_slice") == i).drop("_slice")
+        (rows.repartition(parts, "object_id", "mjd").sortWithinPartitions("mjd")
+         .write.mode("append").option("maxRecordsPerFile", 0).parquet(base))
+        if parts > 1:  # a partition without rows leaves no file
+            for _ in range(before + parts - _n_files(spark, base)):
+                rows.limit(0).write.mode("append").parquet(base)
+            before += parts
     if end_marker:
         marker = spark.range(1).select(
             F.lit(END_MARKER_ID).cast("long").alias("object_id"), F.lit(hi + 1000.0).alias("mjd"),
             F.lit(0).alias("passband"), F.lit(0.0).alias("flux"), F.lit(1.0).alias("flux_err"),
             F.lit(0).alias("detected"))
         marker.withColumn("ts", mjd_to_instant("mjd")).write.mode("append").parquet(base)
-    return base
+    return base, parts
 
 
 def read_observation_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:

@@ -4,8 +4,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from kilonova.plans.queries_stream import N_FILES
 from kilonova.session import ensure_checkpoint_dir
+from kilonova.sources.adapters import lc_events
 from kilonova.streaming import stream_ops as st
+from tests.test_oracle import SF, equal_to_oracle
 
 LC = "object_id long, mjd double, passband int, flux double, flux_err double, detected int"
 
@@ -47,3 +50,24 @@ def test_no_rows_give_an_empty_table_and_failures_show(spark, tmp_path):
     st.stage_observations(spark.createDataFrame([point(60000, 1)], LC), 1, path=f"{tmp_path}/landing")
     with pytest.raises(Exception):
         st.run_to_table(bad, "bad", "append")
+
+
+@pytest.mark.parametrize("name", ["stream_buckets", "stream_sessions", "stream_rates", "stream_late"])
+def test_slices_of_several_files_lose_no_rows(spark, monkeypatch, name):
+    """Four files a slice, all over the slice's time range, equal the batch SQL."""
+    n = lc_events(spark, SF).count()
+    monkeypatch.setattr(st, "FILE_ROWS", -(-n // (4 * N_FILES)))
+    staged = []
+    stage = st.stage_observations
+    monkeypatch.setattr(st, "stage_observations", lambda *a, **b: staged.append(stage(*a, **b)) or staged[-1])
+    equal_to_oracle(spark, name)
+    assert staged[0][1] == 4
+
+
+def test_slices_with_few_rows_have_their_number_of_files(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(st, "FILE_ROWS", 1)
+    rows = [point(60000 + i / 10, i, k) for i in range(10) for k in range(9)] + [point(60030, 1)]
+    path, files = st.stage_observations(spark.createDataFrame(rows, LC), 3, path=f"{tmp_path}/few")
+    assert len(list((tmp_path / "few").glob("part-*"))) == 3 * files == 93
+    got = st.run_to_table(st.stream_bucket_means(st.read_observation_stream(spark, path, files)), "few", "update", key=["object_id", "w", "passband"])
+    assert got.agg(F.sum("n")).first()[0] == len(rows)
