@@ -1,6 +1,7 @@
 """Operator 2: main text of a web page by tree scoring.
 
-The page is parsed into a tree (tolerant: implied ends of paragraphs and list items, unclosed tags, truncated pages).
+The page is parsed into a tree (tolerant: implied ends of the head, of paragraphs and list items, unclosed tags, truncated
+pages).
 Every text block gives points -- one, one per comma, one per hundred characters up to three -- to its parent, half of
 them to its grandparent and a third, a quarter ... further up.  A container's score is discounted by its link density
 (share of its characters inside links); tags and class / id words that name an article or its surroundings add or take
@@ -35,6 +36,8 @@ IMPLIED = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
+#: what stands in a head; anything else ends an open one
+IN_HEAD = frozenset("title meta link base style script noscript template head".split())
 AWAY = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adv|banner\d*|sponsor\w*|promo\w*|comments?|commentlist|disqus|respond|replies|reply|"
                   r"footer|foot|header|masthead|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|widget\w*|aside|cookies?|consent|gdpr|notices?|"
                   r"alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|"
@@ -82,6 +85,8 @@ def parse(page: str) -> Node:
     at, n = 0, len(page)
     for m in iter(lambda: TAG.search(page, at), None):
         if m.start() > at:
+            if node.tag == "head" and page[at:m.start()].strip():
+                node = node.up
             node.kids.append(page[at:m.start()])
         at = max(m.end(), m.start() + 1)
         tag = m["t"]
@@ -101,6 +106,11 @@ def parse(page: str) -> Node:
             elif tag == "p" and k is None:
                 node.kids.append(Node("p", node))
             continue
+        if tag == "body" or node.tag == "head" and tag not in IN_HEAD and tag != "html":
+            k = node
+            while k is not None and k.tag != "head":
+                k = k.up
+            node = k.up if k is not None else node
         if tag in ("html", "body"):
             continue
         if tag in ("article", "main"):  # a wrapper named after what stands beside the article is no surrounding
@@ -133,6 +143,8 @@ def parse(page: str) -> Node:
             continue
         node = new
     if at < n:
+        if node.tag == "head" and page[at:].strip():
+            node = node.up
         node.kids.append(page[at:])
     return root
 

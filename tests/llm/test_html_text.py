@@ -53,3 +53,14 @@ def test_frames(spark):
     got = extract_text(spark.createDataFrame(rows, cols)).collect()
     assert sorted((r.text, r.n_chars, r.row.text) for r in got[:3] if r.text) == [(P1, len(P1), "t")] * 2 and len(got) == 3
     assert extract_text(spark.createDataFrame([], cols)).count() == 0
+
+
+def test_head_without_end_tag():
+    want = f"{P1}\n{P2}"
+    body = f"<p>{P1}<p>{P2}"
+    for head in ("<head><title>T</title>", "<head><meta charset=utf-8><noscript><style>p{}</style></noscript><link rel=x>", "<html><head>\n<script>a()</script>\n", "<head>"):
+        assert main_text(f"{head}<body class=x>{body}") == main_text(f"{head}{body}") == main_text(f"{head}</head><body>{body}") == want
+    assert main_text(f"<head><noscript><body>{body}") == want
+    assert main_text("<head><title>T</title>only text") == "only text"
+    assert main_text("<head><title>T</title>some <b>text</b>") == "some text"
+    assert main_text("<head><title>T</title> <meta name=a> ") == ""
