@@ -5,9 +5,11 @@ pages).
 Every text block gives points -- one, one per comma, one per hundred characters up to three -- to its parent, half of
 them to its grandparent and a third, a quarter ... further up.  A container's score is discounted by its link density
 (share of its characters inside links); tags and class / id words that name an article or its surroundings add or take
-points.  The best container is kept with those of its siblings that score at least a fifth of it or are plain
-paragraphs of running text; inside, menus, headers, footers, sidebars, notices, adverts, forms and reader comments are
-left out.
+points.  The page itself can be the best container.  What stands beside the best one, and beside the containers around
+it up to an ``article`` or ``main`` or the page, is kept if it scores at least a fifth of it, or if it is text by its
+length and link density: paragraphs, lists, tables, bare text and the like with less than half their characters in links,
+other containers with less than a quarter (none if short), headings if what follows them is kept.  Menus, headers, footers,
+sidebars, notices, adverts, forms and reader comments are left out everywhere.
 
 Result: blocks in page order joined by one newline; inside a block white space is one space; character references are
 decoded.  Null, empty and text-free pages give the empty text.  Text is never cut.  Repeated rows are
@@ -36,6 +38,9 @@ IMPLIED = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: blocks of running text; "": text without one
+FLOW = frozenset(["", *"p ul ol dl dir table pre blockquote figure figcaption caption center listing details summary hr address".split()])
 #: what stands in a head; anything else ends an open one
 IN_HEAD = frozenset("title meta link base style script noscript template head".split())
 AWAY = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adv|banner\d*|sponsor\w*|promo\w*|comments?|commentlist|disqus|respond|replies|reply|"
@@ -226,6 +231,49 @@ def _readmit(root: Node, share: float) -> bool:
     return found
 
 
+def _value(k: Node) -> float:
+    return k.score * (1 - k.linked / max(1, k.chars))
+
+
+def _keep_beside(up: Node, best: Node | None, score: float) -> None:
+    """Takes the children of ``up`` that are no text of the article out of it; ``best``, of value ``score``, stays."""
+    runs: list[Node] = []  # children; inline ones and bare text that follow each other are one
+    for k in up.kids:
+        if isinstance(k, Node) and (k is best or k.tag in BLOCK or _skipped(k) or k.chars):
+            runs.append(k)
+        elif runs and runs[-1].tag == "":
+            runs[-1].kids.append(k)
+        else:
+            runs.append(Node("", up))
+            runs[-1].kids.append(k)
+    keep, heads = [], []
+    for k in runs:
+        if k is best:
+            keep += [*heads, k]
+            heads = []
+            continue
+        if k.tag != "" and _skipped(k):
+            continue
+        if k.tag == "":
+            got = _blocks(k)
+            k.chars, k.linked = sum(len(t) for t, _, _ in got), sum(n for _, n, _ in got)
+        if not k.chars:
+            continue
+        if k.tag in HEADINGS:
+            heads.append(k)
+            continue
+        density = k.linked / k.chars
+        if density < 0.5 if k.tag in FLOW else density < 0.25 if k.chars > 80 else not density:
+            stays = True
+        else:
+            stays = _value(k) >= max(10.0, score / 5)
+        if stays:
+            keep += [*heads, k]
+        heads = []
+    keep += heads
+    up.kids = [x for k in keep for x in (k.kids if k.tag == "" else [k])]
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
@@ -252,20 +300,17 @@ def main_text(page: str | None) -> str:
             k, depth = k.up, depth + 1
     if not blocks:
         return ""
-    value = lambda k: k.score * (1 - k.linked / max(1, k.chars))
-    best = max((k for k in touched.values() if k.up is not None), key=value, default=root)
-    keep = [best]
-    if best.up is not None:
-        keep = []
-        for k in best.up.kids:
-            if not isinstance(k, Node) or _skipped(k):
-                continue
-            density = k.linked / max(1, k.chars)
-            if k is best or id(k) in touched and k.tag == best.tag and value(k) >= max(10.0, value(best) / 5):
-                keep.append(k)
-            elif k.tag == "p" and (k.chars > 80 and density < 0.25 or 0 < k.chars <= 80 and density == 0):
-                keep.append(k)
-    return "\n".join(t for k in keep for t, _, _ in _blocks(k))
+    best = max(touched.values(), key=_value, default=root)
+    top = best
+    if best is root:
+        _keep_beside(root, None, 0.0)
+    while top.up is not None and top.tag not in ("article", "main"):
+        _keep_beside(top.up, top, _value(best))
+        top = top.up
+    if top is best and top.up is not None:  # an article's own siblings, other articles among them
+        _keep_beside(top.up, top, _value(best))
+        top = top.up
+    return "\n".join(t for t, _, _ in _blocks(top))
 
 
 def _extract(batches):

@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 from kilonova.llm.html_text import extract_text, main_text
@@ -64,3 +65,40 @@ def test_head_without_end_tag():
     assert main_text("<head><title>T</title>only text") == "only text"
     assert main_text("<head><title>T</title>some <b>text</b>") == "some text"
     assert main_text("<head><title>T</title> <meta name=a> ") == ""
+
+
+LINKS = "<ul>" + "".join(f"<li><a href=/{i}>Page number {i}</a>" for i in range(6)) + "</ul>"
+
+
+def test_text_beside_the_best_container():
+    assert main_text(f"<body><h1>Title</h1><div class=entry-content><p>{P1}</div><ul><li>one<li>two</ul>") == f"Title\n{P1}\none\ntwo"
+    # the article lies straight in the body, a small container has the better name
+    page = f"""<body><h1>Title</h1><p>{P1}</p><pre>x = 1</pre><table><tr><td>a<td>b</table><p>{P2}<ul><li>one</ul>
+        <div class="content text"><p>A small box.</p></div><p>See <a href=/m>the manual</a> for the rest of it.</p>{LINKS}"""
+    assert main_text(page) == f"Title\n{P1}\nx = 1\na\nb\n{P2}\none\nA small box.\nSee the manual for the rest of it."
+    # bare text, other tags, other levels; a list of links goes with its heading
+    page = f"""<div><h1>Title</h1><div><div class=content><p>{P1}</p><p>{P1}</p></div>bare <b>text</b><section><p>{P2}</p></section><h3>More</h3>{LINKS}</div>
+        <blockquote>Quoted.</blockquote></div>{LINKS}"""
+    assert main_text(page) == f"Title\n{P1}\n{P1}\nbare text\n{P2}\nQuoted."
+    assert main_text(f"<body>{LINKS}<div>left</div><div>right</div>") == "left\nright"
+
+
+def test_pages_without_an_article():
+    """Random pages: every part of the text stays in order, every surrounding goes."""
+    rnd = random.Random(11)
+    away = [f"<nav>{LINKS}</nav>", f"<div class=sidebar><p>Other stories</p></div>", f"<footer><p>{P1}</p></footer>"]
+    for n in range(300):
+        parts, want = [f"<p>{P1}</p>"], [P1]
+        for i in range(rnd.randint(2, 9)):
+            t = f"{rnd.choice([P1, P2])} {i}"
+            html_of = [f"<p>{t}</p>", f"<h2>Head {i}</h2><p>{t}</p>", f"<ul><li>{t}<li>x</ul>", f"<pre>{t}</pre>", f"<blockquote>{t}</blockquote>",
+                       f"<section><p>{t}</p></section>", f"<div>{t}</div>", f"<table><tr><td>{t}</table>", f"<p>Short <a href=/>li</a> {i}</p>",
+                       f"<div class='entry-content'><p>{t}</p></div>"]
+            k = rnd.randrange(len(html_of))
+            parts.append(html_of[k])
+            want += [f"Head {i}", t] if k == 1 else [t, "x"] if k == 2 else [f"Short li {i}"] if k == 8 else [t]
+            if rnd.random() < 0.3:
+                parts.append(rnd.choice(away))
+        page = "".join(parts)
+        for whole in (f"<body>{page}", f"<body><div id=wrap>{page}</div></body>", f"<body>{away[0]}<div><div class=main>{page}</div></div>{away[1]}"):
+            assert main_text(whole) == "\n".join(want), whole
