@@ -2,11 +2,11 @@
 
 Each text is scanned once for spans of three base kinds and for *candidates* of a fourth kind (long mixed tokens of
 high entropy that no base span covers).  The digest of every found secret is counted over the whole corpus by distinct
-repositories and distinct owners: a value that many owners carry is a copied example, a value that stays with one or
-two owners is a live-looking credential.  Base spans always stay; a candidate becomes a span (kind ``owned``) only
-when its ownership is that narrow.  Only digests are shuffled, never the values.
+owners: a value that many owners carry is a copied example, a value that stays with one or two owners is a live-looking
+credential, however many of their documents (or copies of a document) repeat it.  Base spans always stay; a candidate
+becomes a span (kind ``owned``) only when its ownership is that narrow.  Only digests are shuffled, never the values.
 
-Null, empty and white-space texts have no spans; a null repository or owner counts as one unnamed repository or owner.
+Null, empty and white-space texts have no spans; a null owner counts as one unnamed owner.
 Repeated rows are scanned each for itself.  Output order of spans: by start, then kind in the order of ``KINDS``.
 """
 from __future__ import annotations
@@ -29,9 +29,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # maximal runs: the same matches as [0-9a-f]+ without the short ones
 MIXED = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
-#: production parameters: a value with at most this many distinct owners and repositories is owner-specific
+#: production parameters: a value with at most this many distinct owners is owner-specific
 MAX_OWNERS = 2
-MAX_REPOS = 8
 MIN_ENTROPY = 3.5  # bits a character
 
 _SALTS = 16  # a digest carried by a third of all rows is dealt over so many tasks
@@ -82,14 +81,12 @@ def _joined(spans: Column) -> Column:
         ":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def _live(scanned: DataFrame, max_owners: int, max_repos: int) -> DataFrame:
-    """(digest, live) of every value found in rows with repo, owner and found."""
-    hits = scanned.where(F.size("found") > 0).select("repo", "owner", F.explode("found.digest").alias("digest"))
-    # distinct repositories and owners of each value: partial sums on the map side, one row per (value, owner) first
-    pairs = hits.groupBy("digest", "owner", "repo").agg(F.lit(1).alias("one"))
-    owned = (pairs.groupBy("digest", "owner").agg(F.count("*").alias("repos"))
-             .groupBy("digest").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners")))
-    return owned.select("digest", ((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)).alias("live"))
+def _live(scanned: DataFrame, max_owners: int) -> DataFrame:
+    """(digest, live) of every value found in rows with owner and found."""
+    hits = scanned.where(F.size("found") > 0).select("owner", F.explode("found.digest").alias("digest"))
+    # distinct owners of each value: partial sums on the map side, one row per (value, owner) first
+    owned = hits.groupBy("digest", "owner").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("*").alias("n_owners"))
+    return owned.select("digest", (F.col("n_owners") <= max_owners).alias("live"))
 
 
 def _judged(rows: DataFrame, live: DataFrame) -> DataFrame:
@@ -104,17 +101,16 @@ def _judged(rows: DataFrame, live: DataFrame) -> DataFrame:
         F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_shared"))
 
 
-def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source",
-                 max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source",
+                 max_owners: int = MAX_OWNERS) -> DataFrame:
     """One row per row of ``docs``: ``key``, spans (array of start, kind, end; final), n_live, n_shared (found values,
     base ones included, that are owner-specific or widely copied)."""
     src = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"),
-                      F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"),
-                      F.col(text).alias("text"))
+                      F.col(owner).cast("string").alias("owner"), F.col(text).alias("text"))
     scanned = src.mapInArrow(
-        _scan, "rid long, key " + docs.schema[key].dataType.simpleString() + f", repo string, owner string, found {_FOUND_SQL}")
+        _scan, "rid long, key " + docs.schema[key].dataType.simpleString() + f", owner string, found {_FOUND_SQL}")
     scanned = written(scanned, "secret-scan")
-    per_row = _judged(scanned, _live(scanned, max_owners, max_repos))
+    per_row = _judged(scanned, _live(scanned, max_owners))
     none = F.array().cast("array<struct<start:long,kind:int,end:long>>")
     return (scanned.select("rid", "key").join(per_row, "rid", "left")
             .select(F.col("key").alias(key), F.coalesce("spans", none).alias("spans"),
@@ -151,8 +147,7 @@ def _mask(batches):
         yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.string())], names=[*names, "_masked"])
 
 
-def mask_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", owner: str = "source", max_owners: int = MAX_OWNERS,
-                 max_repos: int = MAX_REPOS) -> DataFrame:
+def mask_secrets(docs: DataFrame, text: str = "text", owner: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
     """``docs`` with every span replaced by ``[SECRET]`` (overlapping spans become one); all other columns and rows
     stay.  A column ``n_chars`` is kept equal to the new text's length.
 
@@ -160,12 +155,12 @@ def mask_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", owner
     spans are masked, or they pass as they are.  Only rows with candidates meet the ownership counts."""
     own = docs[owner].cast("string") if owner in docs.columns else F.lit(None).cast("string")
     src = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[docs[c] for c in docs.columns]).alias("row"),
-                      docs[key].cast("string").alias("repo"), own.alias("owner"))
+                      own.alias("owner"))
     row = f"row {src.schema['row'].dataType.simpleString()}"
-    scanned = src.mapInArrow(lambda batches: _scan(batches, text), f"rid long, {row}, repo string, owner string, found {_FOUND_SQL}")
+    scanned = src.mapInArrow(lambda batches: _scan(batches, text), f"rid long, {row}, owner string, found {_FOUND_SQL}")
     scanned = written(scanned, "secret-rows")
     open_ = F.exists("found", lambda s: s["kind"] == 3)
-    judged = _judged(scanned.where(open_).select("rid", "found"), _live(scanned.select("repo", "owner", "found"), max_owners, max_repos))
+    judged = _judged(scanned.where(open_).select("rid", "found"), _live(scanned.select("owner", "found"), max_owners))
     plain = scanned.where(F.size("found") == 0).select("row.*")
     base = F.transform("found", lambda s: F.struct(s["start"], s["kind"], s["end"]))
     todo = scanned.where((F.size("found") > 0) & ~open_).select("row", F.col(f"row.{text}").alias("_text"), base.alias("_spans"))

@@ -72,3 +72,19 @@ def test_mask_judges_candidates_by_ownership(spark):
         (9, f"{mine} deadbeefdeadbeef {copied}", "en", "s1", 0)]
     got = {r.doc_id: r.text for r in mask_secrets(spark.createDataFrame(rows, COLS)).collect()}
     assert got == {1: "a [SECRET] b", 9: f"[SECRET] [SECRET] {copied}", **{k: f"{copied} {k}" for k in range(2, 6)}}
+
+
+def test_an_owner_may_repeat_its_secret(spark):
+    """Many documents, or many copies of one, under one or two owners are no wide copy; a third owner makes one."""
+    often, page, shared = "Zx9Qw8Er7Ty6Ui5Op4As3Df", "Mn3Bv4Cx5Zl6Kj7Hg8Fd9Sa", "Kj1Hg2Fd3Sa4Po5Iu6Yt7Re"
+    rows = [(k, f"{often} {k}", "en", "s1", 0) for k in range(30)]
+    rows += [(100 + k, f"a {page} b", "en", f"s{k % 2}", 0) for k in range(20)]
+    rows += [(200 + k, f"{shared} {k}", "en", f"s{k % 3}", 0) for k in range(20)]
+    docs = spark.createDataFrame(rows, COLS)
+    got = {r.doc_id: r for r in secret_report(docs).collect()}
+    masked = {r.doc_id: r.text for r in mask_secrets(docs).collect()}
+    for d, text, *_ in rows:
+        live = d < 200
+        assert (got[d].n_live, got[d].n_shared) == ((1, 0) if live else (0, 1))
+        assert got[d].spans == ("owned:0:23" if d < 100 else "owned:2:25" if live else "")
+        assert masked[d] == (text.replace(often, "[SECRET]").replace(page, "[SECRET]") if live else text)
