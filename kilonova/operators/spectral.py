@@ -37,18 +37,37 @@ def frequency_grid(lc: DataFrame, f_max: float = 10.0, n: int = 100) -> tuple[fl
     return first, (f_max - first) / (n - 1)
 
 
-def periodogram_power(lc: DataFrame, f_max: float = 10.0, n_freq: int = 100, f_min: float | None = None,
-                      df: float | None = None) -> DataFrame:
-    """F8: GLS power per (object_id, passband, freq) on the grid of ``frequency_grid``, or on ``n_freq`` steps of ``df``
-    from ``f_min``."""
-    if f_min is None or df is None:
+def span_grid(lc: DataFrame, f_max: float = 10.0, oversampling: int = 5) -> tuple[float, float, int]:
+    """(first frequency, step, number) from one cycle in the table's time span T to ``f_max`` a day.  A peak is about 1/T
+    wide; the step is that width over ``oversampling``, so no peak falls between grid points."""
+    lo, hi = lc.agg(F.min("mjd"), F.max("mjd")).first()   # two numbers
+    if hi is None or hi <= lo:
+        return f_max / 100, f_max / 100, 100
+    first, step = 1.0 / (hi - lo), 1.0 / (oversampling * (hi - lo))
+    return first, step, max(1, math.floor((f_max - first) / step) + 1)
+
+
+#: frequencies of a block; a row is expanded to blocks, a block to its frequencies
+FREQ_BLOCK = 1000
+
+
+def periodogram_power(lc: DataFrame, f_max: float = 10.0, n_freq: int | None = None, f_min: float | None = None,
+                      df: float | None = None, oversampling: int = 5) -> DataFrame:
+    """F8: GLS power per (object_id, passband, freq) on the grid of ``span_grid``; with ``n_freq``, on that of
+    ``frequency_grid``, or on ``n_freq`` steps of ``df`` from ``f_min``."""
+    if n_freq is None:
+        f_min, df, n_freq = span_grid(lc, f_max, oversampling)
+    elif f_min is None or df is None:
         f_min, df = frequency_grid(lc, f_max, n_freq)
     w = F.pow(safe_div(F.lit(1.0), F.col("flux_err")), 2)
     # expanded and summed on the map side: the shuffle carries one row of sums per (object, band, frequency) and task,
     # and a huge object is spread over all tasks
     rows = lc.select("object_id", "passband", "mjd", "flux", w.alias("w")).filter(F.col("w").isNotNull())
-    ks = F.explode(F.sequence(F.lit(0), F.lit(n_freq - 1))).alias("k")
-    ex = rows.select("*", ks).withColumn("freq", F.lit(f_min) + F.col("k") * F.lit(df))
+    size = min(n_freq, FREQ_BLOCK)
+    blocks = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit((n_freq - 1) // size))).alias("block"))
+    in_block = F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("i")
+    ex = blocks.select("*", in_block).withColumn("k", F.col("block") * F.lit(size) + F.col("i")).filter(F.col("k") < n_freq)
+    ex = ex.withColumn("freq", F.lit(f_min) + F.col("k") * F.lit(df))
     ph = F.lit(2 * math.pi) * F.col("freq") * F.col("mjd")
     ex = ex.withColumns({"c": F.cos(ph), "s": F.sin(ph)})
     y, wc = F.col("flux"), F.col("w")

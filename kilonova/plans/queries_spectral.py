@@ -30,11 +30,19 @@ def _power_sql() -> str:
     return [("grid", first), ("ex", ex), ("sums", sums), ("cen", cen), ("pw", pw)]
 
 
-def _peaks_sql() -> str:
+def _span_power_sql() -> list[tuple[str, str]]:
+    """The CTEs of ``_power_sql`` on the grid of ``spectral.span_grid``."""
+    grid = ("SELECT f0, step, CAST(floor((10.0::DOUBLE - f0) / step) AS BIGINT) + 1 AS n FROM (SELECT 1.0::DOUBLE / t AS f0, "
+            "1.0::DOUBLE / (5 * t) AS step FROM (SELECT max(mjd) - min(mjd) AS t FROM lc))")
+    fixed, whole = f"range(0, {GRID['n_freq']})", "range(0, (SELECT n FROM grid))"
+    return [(name, grid if name == "grid" else sql.replace(fixed, whole)) for name, sql in _power_sql()]
+
+
+def _peaks_sql(ctes=_power_sql) -> str:
     body = ("SELECT object_id, passband, freq AS freq_best, power AS power_max, 1 / freq AS period_fast FROM "
             f"(SELECT *, row_number() OVER (PARTITION BY object_id, passband ORDER BY {snap_sql('power')} DESC, freq ASC) AS rn "
             "FROM pw WHERE power IS NOT NULL) WHERE rn = 1")
-    return rounded(with_ctes(body, lc="events", ctes=_power_sql()), keys=("object_id", "passband"))
+    return rounded(with_ctes(body, lc="events", ctes=ctes()), keys=("object_id", "passband"))
 
 
 @register("periodogram", _peaks_sql())
@@ -43,12 +51,18 @@ def q_periodogram(spark, sf_dir):
     return spectral.periodogram_peaks(lc_events(spark, sf_dir), **GRID)
 
 
-def _multiband_sql() -> str:
+@register("periodogram_span", _peaks_sql(_span_power_sql))
+def q_periodogram_span(spark, sf_dir):
+    """The peaks of ``periodogram`` on the grid whose step follows the time span."""
+    return spectral.periodogram_peaks(lc_events(spark, sf_dir))
+
+
+def _multiband_sql(ctes=_power_sql) -> str:
     body = ("SELECT m.object_id, b.freq AS freq_best, b.power AS power_max, 1 / b.freq AS period_fast FROM meta m "
             f"LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY {snap_sql('power')} "
             "DESC, freq ASC) AS rn FROM (SELECT object_id, freq, sum(power) AS power FROM pw WHERE power IS NOT NULL "
             "GROUP BY 1, 2)) WHERE rn = 1) b ON b.object_id = m.object_id")
-    return rounded(with_ctes(body, lc="events", meta=True, ctes=_power_sql()))
+    return rounded(with_ctes(body, lc="events", meta=True, ctes=ctes()))
 
 
 @register("periodogram_multiband", _multiband_sql())
@@ -57,6 +71,12 @@ def q_periodogram_multiband(spark, sf_dir):
     return spectral.multiband_periodogram(lc_events(spark, sf_dir), meta_events(spark, sf_dir), **GRID)
 
 
+@register("periodogram_multiband_span", _multiband_sql(_span_power_sql))
+def q_periodogram_multiband_span(spark, sf_dir):
+    """F8 (multiband): the peaks of ``periodogram_multiband`` on the grid whose step follows the time span."""
+    return spectral.multiband_periodogram(lc_events(spark, sf_dir), meta_events(spark, sf_dir))
+
+
 XC = dict(band1=1, band2=5, lo=-10.0, hi=10.0, step=1.0)
 
 

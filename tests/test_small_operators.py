@@ -2,6 +2,7 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -178,3 +179,18 @@ def test_detrended_series_are_flat(spark):
     assert len(flat) == 9 and max(flat) < 1e-6
     one = [r.resid for r in spectral.detrend(lc, (1, 5), 1).filter("passband = 5").collect()]
     assert one == [None] and [r.resid for r in spectral.detrend(lc, (1, 5), 0).filter("passband = 5").collect()] == [0.0]
+
+
+def test_periodogram_grid_follows_the_time_span(make_lc):
+    """A period between the points of a 100-point grid is found, on a step of a fifth of a peak's width."""
+    for span, period in ((30.0, 12.3), (300.0, 41.7)):
+        t = np.sort(np.random.default_rng(3).uniform(0, span, 90))
+        t[0], t[-1] = 0.0, span
+        y = 10 * np.sin(2 * np.pi * t / period) + np.random.default_rng(4).normal(0, 0.5, 90)
+        lc = make_lc([(1, float(a), 2, float(b), 1.0, 0) for a, b in zip(t, y)])
+        first, step, n = spectral.span_grid(lc)
+        assert first == 1 / span and step == 1 / (5 * span) and 10 - step < first + (n - 1) * step <= 10
+        r = spectral.periodogram_peaks(lc).first()
+        assert abs(r["freq_best"] - 1 / period) <= 1.5 * step and r["period_fast"] == 1 / r["freq_best"]
+        assert spectral.multiband_periodogram(lc).first()["freq_best"] == r["freq_best"]
+        assert spectral.periodogram_power(lc).count() == n
