@@ -178,6 +178,18 @@ def q_frequency_logloss(spark, sf_dir):
     return ev.frequency_logloss(_oof(spark, sf_dir), batch, ev.class_share(meta.select("object_id", "target")))
 
 
+@register("frequency_logloss_oof", rounded(with_ctes(
+    "SELECT avg(coalesce(l.loss, 0) / (SELECT count(*) FROM meta) / s.share) AS loss, count(*) AS n_classes FROM "
+    "(SELECT target, count(*) / (SELECT count(*) FROM meta) AS share FROM meta GROUP BY target) s LEFT JOIN "
+    "(SELECT t.target, sum(-ln(greatest(least(coalesce(p.p, 0), 1 - 1e-15), 1e-15))) AS loss FROM meta t LEFT JOIN c_pred p "
+    "ON p.object_id = t.object_id AND p.class = t.target GROUP BY t.target) l ON l.target = s.target", meta=True,
+    ctes=_BASE + _centroid_ctes("featf", mode="oof")), keys=("n_classes",)))
+def q_frequency_logloss_oof(spark, sf_dir):
+    """M4: class-frequency-weighted loss of the out-of-fold predictions of all objects."""
+    truth = meta_part(spark, sf_dir).select("object_id", "target")
+    return ev.frequency_logloss(_oof(spark, sf_dir), truth, ev.class_share(truth))
+
+
 @register("two_domain_score", rounded(with_ctes(
     "SELECT -sum(w.weight * pc.mean_logp) / sum(w.weight) AS wloss, CAST(sum(pc.n) AS BIGINT) AS n_objects, count(*) AS n_classes "
     "FROM (SELECT t.target, avg(ln(greatest(least(coalesce(p.p, 0), 1 - 1e-15), 1e-15))) AS mean_logp, count(*) AS n "

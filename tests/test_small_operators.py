@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kilonova.functions.core import band_name, mjd_to_timestamp, timestamp_to_mjd
 from kilonova.operators import buckets, evaluation, models, prep, sequences, spectral, template
-from kilonova.plans import registry
+from kilonova.plans import catalog, queries_eval, registry
 from kilonova.sources import io
 
 LC = "object_id long, mjd double, passband int, flux double, flux_err double, detected int"
@@ -194,3 +194,14 @@ def test_periodogram_grid_follows_the_time_span(make_lc):
         assert abs(r["freq_best"] - 1 / period) <= 1.5 * step and r["period_fast"] == 1 / r["freq_best"]
         assert spectral.multiband_periodogram(lc).first()["freq_best"] == r["freq_best"]
         assert spectral.periodogram_power(lc).count() == n
+
+
+def test_out_of_fold_loss_counts_every_object(spark):
+    sf = "/root/testdata/sf0.001"
+    truth = queries_eval.meta_part(spark, sf).select("object_id", "target").collect()
+    p = {(r.object_id, r["class"]): r.p for r in queries_eval._oof(spark, sf).collect()}
+    n = {c: sum(r.target == c for r in truth) for c in {r.target for r in truth}}
+    # the mean loss of a class over all its objects, averaged over the classes
+    want = sum(-math.log(min(max(p.get((r.object_id, r.target), 0), 1e-15), 1 - 1e-15)) / n[r.target] for r in truth) / len(n)
+    got = catalog.raw_queries()["frequency_logloss_oof"](spark, sf).first()
+    assert got.loss == pytest.approx(want) and got.n_classes == len(n)
