@@ -87,7 +87,7 @@ def stage_observations(lc: DataFrame, n_files: int = 8, path: str | None = None,
     before = _n_files(spark, base) if parts > 1 else 0
     for i in arrival or range(n_files):
         rows = sliced.filter(F.col("_slice") == i).drop("_slice")
-        (rows.repartition(parts, "object_id", "mjd").sortWithinPartitions("mjd")
+        (rows.repartition(parts).sortWithinPartitions("mjd")
          .write.mode("append").option("maxRecordsPerFile", 0).parquet(base))
         if parts > 1:  # a partition without rows leaves no file
             for _ in range(before + parts - _n_files(spark, base)):
