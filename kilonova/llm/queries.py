@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import ann, bpe, html_text, lm_score, near_dup, packing, quality_rules, secret_scan, toxicity, url_rules
+from . import ann, bpe, filter_audit, html_text, lm_score, near_dup, packing, quality_rules, secret_scan, toxicity, url_rules
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,6 +119,56 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+_OP11 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id
+  FROM documents
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+         CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN d.doc_id > first_id THEN 16 ELSE 0 END AS mask
+  FROM d LEFT JOIN l ON d.doc_id = l.doc_id
+), m AS (
+  SELECT part, mask, count(*) AS n, sum(good) AS g, sum(toxic) AS x FROM f GROUP BY part, mask
+), b AS (
+  SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(name, bit)
+), o AS (
+  SELECT a.name || b2.name || c.name || d4.name || e.name AS filter_order, [a.bit, b2.bit, c.bit, d4.bit, e.bit] AS bits
+  FROM b a, b b2, b c, b d4, b e WHERE (a.bit | b2.bit | c.bit | d4.bit | e.bit) = 31
+), s AS (
+  SELECT filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0) AS before
+  FROM o, (VALUES (1), (2), (3), (4), (5)) AS k(step)
+), r AS (
+  SELECT part, filter_order, step, own,
+         sum(CASE WHEN (mask & (before + own)::INT) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN (mask & before::INT) = 0 AND (mask & own) <> 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN (mask & before::INT) <> 0 AND (mask & own) <> 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN (mask & before::INT) = 0 AND (mask & own) <> 0 THEN g ELSE 0 END) AS good_lost,
+         sum(CASE WHEN (mask & before::INT) = 0 AND (mask & own) <> 0 THEN x ELSE 0 END) AS toxic_lost
+  FROM m, s GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM r
+"""
+
+
+@query("op11_filter_audit", _OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return filter_audit.filter_audit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
