@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import ann, bpe, filter_audit, html_text, lm_score, near_dup, packing, quality_rules, resample, secret_scan, toxicity, url_rules
+from . import ann, bpe, filter_audit, html_text, lm_score, near_dup, packing, quality_rules, resample, secret_scan, sharding, toxicity, url_rules
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,6 +169,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
 
 
+@query("op12_sharding")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op13_importance_resample")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
