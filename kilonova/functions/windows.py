@@ -35,6 +35,18 @@ def lag_columns(df: DataFrame, keys: list[str], order: str, cols: list[str], pre
     return out.withColumns(null).drop("_slice", "_first")
 
 
+def circular_lag_columns(df: DataFrame, keys: list[str], order: str, cols: list[str], prefix: str = "prev_",
+                         ties: tuple[str, ...] = (), rows: int | None = None) -> DataFrame:
+    """``lag_columns`` on a circle: the first row of a series takes the series' last row (a single row: itself).
+    NULL order values and NULL keys are as there."""
+    out = lag_columns(df.withColumn("_here", F.lit(True)), keys, order, [*cols, "_here"], prefix, ties, rows).drop("_here")
+    end = df.filter(F.col(order).isNotNull()).groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(order, *ties)).alias("_end"))
+    out = join_back(out, end, keys)
+    first = F.col(order).isNotNull() & F.col(f"{prefix}_here").isNull()
+    out = out.withColumns({f"{prefix}{c}": F.when(first, F.col("_end").getField(c)).otherwise(F.col(f"{prefix}{c}")) for c in cols})
+    return out.drop("_end", f"{prefix}_here")
+
+
 def join_back(df: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``df`` with the values of their key (NULL is a key, too).  ``per_key`` is a mergeable aggregate, one row
     per key; a plain join lets AQE broadcast it by its measured size or split the rows of a huge key."""

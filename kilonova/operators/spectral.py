@@ -1,8 +1,10 @@
 """Periodogram (F8, C10, C21 first term) and lag-correlation jobs.
 
 The periodogram is the generalised (floating-mean, error-weighted)
-Lomb-Scargle power, written as sums: every observation is expanded over the
-frequency grid (a fixed-size generator, not a join), nine weighted sums per
+Lomb-Scargle power.  Peaks on the grid that follows the time span come from
+``frequency`` (transforms of moment cells).  ``periodogram_power`` gives the whole
+spectrum on any grid as rows, by direct sums: every observation is expanded over
+the frequencies (a fixed-size generator, not a join), nine weighted sums per
 (object, band, frequency) are aggregated with map-side partial aggregation,
 and the power is a closed form of those sums.  Work is O(rows x grid).
 
@@ -20,13 +22,14 @@ from pyspark.sql import functions as F
 
 from ..functions.core import safe_div, snap
 from ..functions.windows import join_back
+from . import frequency
 from .buckets import bucket_pivot
+from .frequency import TIE_BITS, span_grid
 from .stats import restore_objects
 
 # Peaks are chosen on values snapped to TIE_BITS significant bits, so candidates
 # equal up to float noise (e.g. a 3-point series fits every frequency) tie and
 # the smallest frequency / lag wins deterministically.
-TIE_BITS = 20
 
 
 def frequency_grid(lc: DataFrame, f_max: float = 10.0, n: int = 100) -> tuple[float, float]:
@@ -37,16 +40,6 @@ def frequency_grid(lc: DataFrame, f_max: float = 10.0, n: int = 100) -> tuple[fl
     return first, (f_max - first) / (n - 1)
 
 
-def span_grid(lc: DataFrame, f_max: float = 10.0, oversampling: int = 5) -> tuple[float, float, int]:
-    """(first frequency, step, number) from one cycle in the table's time span T to ``f_max`` a day.  A peak is about 1/T
-    wide; the step is that width over ``oversampling``, so no peak falls between grid points."""
-    lo, hi = lc.agg(F.min("mjd"), F.max("mjd")).first()   # two numbers
-    if hi is None or hi <= lo:
-        return f_max / 100, f_max / 100, 100
-    first, step = 1.0 / (hi - lo), 1.0 / (oversampling * (hi - lo))
-    return first, step, max(1, math.floor((f_max - first) / step) + 1)
-
-
 #: frequencies of a block; a row is expanded to blocks, a block to its frequencies
 FREQ_BLOCK = 1000
 
@@ -92,7 +85,9 @@ def periodogram_power(lc: DataFrame, f_max: float = 10.0, n_freq: int | None = N
 
 def periodogram_peaks(lc: DataFrame, ids: DataFrame | None = None, **grid) -> DataFrame:
     """Best frequency, its period and power per (object, band) (smallest
-    frequency on ties)."""
+    frequency on ties).  Without a grid of one's own, by transforms of moment cells (``frequency``)."""
+    if not grid.keys() - {"f_max", "oversampling"}:
+        return frequency.periodogram_peaks(lc, ids, **grid)
     p = periodogram_power(lc, **grid).filter(F.col("power").isNotNull())
     best = p.groupBy("object_id", "passband").agg(
         F.max_by("freq", F.struct(snap("power", TIE_BITS), -F.col("freq"))).alias("freq_best"),
@@ -102,6 +97,8 @@ def periodogram_peaks(lc: DataFrame, ids: DataFrame | None = None, **grid) -> Da
 
 def multiband_periodogram(lc: DataFrame, ids: DataFrame | None = None, **grid) -> DataFrame:
     """F8 (multiband): power summed over bands per frequency, best frequency per object."""
+    if not grid.keys() - {"f_max", "oversampling"}:
+        return frequency.multiband_periodogram(lc, ids, **grid)
     p = periodogram_power(lc, **grid).filter(F.col("power").isNotNull())
     tot = p.groupBy("object_id", "freq").agg(F.sum("power").alias("power"))
     best = tot.groupBy("object_id").agg(

@@ -68,7 +68,7 @@ def _load() -> None:
     _LOADING = True
     # Importing the modules registers their queries.
     from . import (  # noqa: F401
-        queries_eval, queries_features, queries_models, queries_research, queries_sequences, queries_series,
+        queries_eval, queries_features, queries_frequency, queries_models, queries_research, queries_sequences, queries_series,
         queries_spectral, queries_stream, queries_template,
         queries_time,
     )

@@ -10,70 +10,65 @@ from ..sources.adapters import lc_events, meta_events, with_ctes
 from .catalog import register
 from .sqlgen import rounded, snap_sql
 
-GRID = dict(f_max=10.0, n_freq=100)
-
-
-def _power_sql() -> str:
+def power_ctes(src: str = "lc", prefix: str = "") -> list[tuple[str, str]]:
+    """CTEs up to ``<prefix>pw`` (object_id, passband, freq, n, power): direct sums on the grid whose step follows the time
+    span.  ``src`` has object_id, passband, t, y, w; ``grid`` has f0, step, n."""
     tw = 2 * math.pi
-    first = "SELECT f0, (10.0::DOUBLE - f0) / 99 AS step FROM (SELECT 1.0::DOUBLE / (max(mjd) - min(mjd)) AS f0 FROM lc)"
-    ex = (f"SELECT object_id, passband, flux AS y, power(1 / nullif(flux_err, 0), 2) AS w, f0 + k * step AS freq, "
-          f"cos({tw!r} * (f0 + k * step) * mjd) AS c, sin({tw!r} * (f0 + k * step) * mjd) AS s FROM lc, grid, "
-          f"(SELECT unnest(range(0, {GRID['n_freq']})) AS k) WHERE flux_err != 0")
-    sums = ("SELECT object_id, passband, freq, count(*) AS n, sum(w) AS W, sum(w * y) / sum(w) AS Y, "
+    ex = (f"SELECT object_id, passband, y, w, k, f0 + k * step AS freq, cos({tw!r} * (f0 + k * step) * t) AS c, "
+          f"sin({tw!r} * (f0 + k * step) * t) AS s FROM {src}, grid, (SELECT unnest(range(0, (SELECT n FROM grid))) AS k)")
+    sums = ("SELECT object_id, passband, k, any_value(freq) AS freq, count(*) AS n, sum(w) AS W, sum(w * y) / sum(w) AS Y, "
             "sum(w * c) / sum(w) AS C, sum(w * s) / sum(w) AS S, sum(w * y * y) / sum(w) AS YY, "
             "sum(w * y * c) / sum(w) AS YC, sum(w * y * s) / sum(w) AS YS, sum(w * c * c) / sum(w) AS CC, "
-            "sum(w * s * s) / sum(w) AS SS, sum(w * c * s) / sum(w) AS CS FROM ex GROUP BY 1, 2, 3")
-    cen = ("SELECT object_id, passband, freq, n, YY - Y * Y AS yy, YC - Y * C AS yc, YS - Y * S AS ys, "
-           "CC - C * C AS cc, SS - S * S AS ss, CS - C * S AS cs FROM sums")
-    pw = ("SELECT object_id, passband, freq, n, CASE WHEN n >= 3 THEN (ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) "
-          "/ nullif(yy * (cc * ss - cs * cs), 0) END AS power FROM cen")
-    return [("grid", first), ("ex", ex), ("sums", sums), ("cen", cen), ("pw", pw)]
+            f"sum(w * s * s) / sum(w) AS SS, sum(w * c * s) / sum(w) AS CS FROM {prefix}ex GROUP BY 1, 2, 3")
+    cen = ("SELECT object_id, passband, freq, n, YY, YY - Y * Y AS yy_, YC - Y * C AS yc_, YS - Y * S AS ys_, "
+           f"CC - C * C AS cc_, SS - S * S AS ss_, CS - C * S AS cs_ FROM {prefix}sums")
+    # a spread or a determinant that is rounding only leaves the power undefined
+    pw = ("SELECT object_id, passband, freq, n, CASE WHEN n >= 3 AND yy_ > 1e-12 * YY AND cc_ * ss_ - cs_ * cs_ > 1e-9 THEN "
+          "(ss_ * yc_ * yc_ + cc_ * ys_ * ys_ - 2 * cs_ * yc_ * ys_) / (yy_ * (cc_ * ss_ - cs_ * cs_)) END AS power "
+          f"FROM {prefix}cen")
+    return [(f"{prefix}ex", ex), (f"{prefix}sums", sums), (f"{prefix}cen", cen), (f"{prefix}pw", pw)]
+
+
+def grid_cte(src: str = "lc") -> tuple[str, str]:
+    """The grid of ``frequency.span_grid``."""
+    return ("grid", "SELECT f0, step, CAST(floor((10.0::DOUBLE - f0) / step) AS BIGINT) + 1 AS n FROM (SELECT 1.0::DOUBLE / t AS f0, "
+            f"1.0::DOUBLE / (5 * t) AS step FROM (SELECT max(mjd) - min(mjd) AS t FROM {src}))")
+
 
+def rows_cte(src: str = "lc") -> tuple[str, str]:
+    """Rows of ``frequency.weighted_rows``."""
+    return ("wrows", f"SELECT object_id, passband, mjd - (SELECT min(mjd) FROM {src}) AS t, flux AS y, power(1 / nullif(flux_err, 0), 2) AS w "
+            f"FROM {src} WHERE flux_err != 0 AND flux IS NOT NULL")
 
-def _span_power_sql() -> list[tuple[str, str]]:
-    """The CTEs of ``_power_sql`` on the grid of ``spectral.span_grid``."""
-    grid = ("SELECT f0, step, CAST(floor((10.0::DOUBLE - f0) / step) AS BIGINT) + 1 AS n FROM (SELECT 1.0::DOUBLE / t AS f0, "
-            "1.0::DOUBLE / (5 * t) AS step FROM (SELECT max(mjd) - min(mjd) AS t FROM lc))")
-    fixed, whole = f"range(0, {GRID['n_freq']})", "range(0, (SELECT n FROM grid))"
-    return [(name, grid if name == "grid" else sql.replace(fixed, whole)) for name, sql in _power_sql()]
 
+def _power_sql() -> list[tuple[str, str]]:
+    return [grid_cte(), rows_cte(), *power_ctes("wrows")]
 
-def _peaks_sql(ctes=_power_sql) -> str:
+
+def _peaks_sql() -> str:
     body = ("SELECT object_id, passband, freq AS freq_best, power AS power_max, 1 / freq AS period_fast FROM "
             f"(SELECT *, row_number() OVER (PARTITION BY object_id, passband ORDER BY {snap_sql('power')} DESC, freq ASC) AS rn "
             "FROM pw WHERE power IS NOT NULL) WHERE rn = 1")
-    return rounded(with_ctes(body, lc="events", ctes=ctes()), keys=("object_id", "passband"))
+    return rounded(with_ctes(body, lc="events", ctes=_power_sql()), keys=("object_id", "passband"))
 
 
 @register("periodogram", _peaks_sql())
 def q_periodogram(spark, sf_dir):
-    """Generalised Lomb-Scargle peak frequency, power and period per band."""
-    return spectral.periodogram_peaks(lc_events(spark, sf_dir), **GRID)
-
-
-@register("periodogram_span", _peaks_sql(_span_power_sql))
-def q_periodogram_span(spark, sf_dir):
-    """The peaks of ``periodogram`` on the grid whose step follows the time span."""
+    """Generalised Lomb-Scargle peak frequency, power and period per band; the grid's step follows the span."""
     return spectral.periodogram_peaks(lc_events(spark, sf_dir))
 
 
-def _multiband_sql(ctes=_power_sql) -> str:
+def _multiband_sql() -> str:
     body = ("SELECT m.object_id, b.freq AS freq_best, b.power AS power_max, 1 / b.freq AS period_fast FROM meta m "
             f"LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY {snap_sql('power')} "
             "DESC, freq ASC) AS rn FROM (SELECT object_id, freq, sum(power) AS power FROM pw WHERE power IS NOT NULL "
             "GROUP BY 1, 2)) WHERE rn = 1) b ON b.object_id = m.object_id")
-    return rounded(with_ctes(body, lc="events", meta=True, ctes=ctes()))
+    return rounded(with_ctes(body, lc="events", meta=True, ctes=_power_sql()))
 
 
 @register("periodogram_multiband", _multiband_sql())
 def q_periodogram_multiband(spark, sf_dir):
-    """F8 (multiband): band-summed power peak per object."""
-    return spectral.multiband_periodogram(lc_events(spark, sf_dir), meta_events(spark, sf_dir), **GRID)
-
-
-@register("periodogram_multiband_span", _multiband_sql(_span_power_sql))
-def q_periodogram_multiband_span(spark, sf_dir):
-    """F8 (multiband): the peaks of ``periodogram_multiband`` on the grid whose step follows the time span."""
+    """F8 (multiband): band-summed power peak per object; the grid's step follows the span."""
     return spectral.multiband_periodogram(lc_events(spark, sf_dir), meta_events(spark, sf_dir))
 
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from ..operators import (buckets, peaks, prep, rates, research, scaling, series, spectral, stats, template,
+from ..operators import (buckets, frequency, peaks, prep, rates, research, scaling, series, spectral, stats, template,
                          timing)
 
 FeatureFn = Callable[[DataFrame, DataFrame], DataFrame]
@@ -40,6 +40,7 @@ FEATURE_SETS: dict[str, FeatureFn] = {
     "diff_peak": lambda lc, meta: timing.diff_peak(lc, meta),
     "series_general": lambda lc, meta: series.series_general(lc, meta),
     "series_cadence": lambda lc, meta: series.series_cadence(lc, meta),
+    "series_frequency": lambda lc, meta: frequency.series_frequency(lc, meta),
     "periodogram": lambda lc, meta: spectral.multiband_periodogram(lc, meta),
     "cross_correlation": lambda lc, meta: spectral.cross_correlation(lc, meta),
     "template_fit": lambda lc, meta: template.template_fit(lc, meta, template.learn_templates(lc, meta)),

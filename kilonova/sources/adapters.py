@@ -60,6 +60,11 @@ def lc_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lc_event_groups(spark: SparkSession, sf_dir: str, groups: int = 5) -> DataFrame:
+    """The events of users with one remainder as one object: few long series."""
+    return lc_events(spark, sf_dir).withColumn("object_id", F.col("object_id") % groups)
+
+
 def meta_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One metadata row per part; joins ``lc_lineitem`` on object_id."""
     p = table(spark, sf_dir, "part")
@@ -133,6 +138,8 @@ SELECT p_partkey AS object_id,
 FROM part
 """
 
+LC_EVENT_GROUPS_SQL = f"SELECT * REPLACE (object_id % 5 AS object_id) FROM ({LC_EVENTS_SQL})"
+
 META_EVENTS_SQL = "SELECT DISTINCT user_id AS object_id FROM events"
 
 
@@ -145,6 +152,8 @@ def with_ctes(body: str, lc: str | None = "lineitem", meta: bool = False,
         parts.append(f"lc AS ({LC_LINEITEM_SQL})")
     elif lc == "events":
         parts.append(f"lc AS ({LC_EVENTS_SQL})")
+    elif lc == "event_groups":
+        parts.append(f"lc AS ({LC_EVENT_GROUPS_SQL})")
     if meta:
         parts.append(f"meta AS ({META_PART_SQL if lc != 'events' else META_EVENTS_SQL})")
     for name, sql in ctes or []:
