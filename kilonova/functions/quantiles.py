@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .slices import cut_points, slice_rows, slice_sql
+from .slices import cut_points, one_slice, slice_sql
 from .windows import join_back
 
 
@@ -75,7 +75,7 @@ def aggregate_with_medians(df: DataFrame, keys: Sequence[str], aggs: list, media
     them go through ``exact_quantiles`` at once as (key, name, value) rows."""
     keys = list(keys)
     cond = {n: v if c is None else f"CASE WHEN {c} THEN {v} END" for n, (v, c) in medians.items()}
-    if not medians or df.count() <= slice_rows(df):
+    if not medians or one_slice(df):
         out = df.groupBy(*keys).agg(*aggs, *[F.expr(f"median({x}) AS `{n}`") for n, x in cond.items()])
     else:
         long = df.select(*keys, F.inline(F.array(*[F.struct(F.lit(i).alias("_name"), F.expr(f"CAST({x} AS DOUBLE)").alias("_x"))

@@ -7,7 +7,8 @@ holds about ``SLICE_ROWS`` rows of all keys together and no key can hold more
 than that in one place.  Every key is cut by the same points (no hot-key list,
 no per-key threshold); a table below ``SLICE_ROWS`` rows is one slice.
 
-The cut points are one row of at most ``MAX_SLICES`` numbers.
+The number of slices follows the number of rows without a limit; the cut points
+are one row of numbers (8 bytes a slice).
 """
 from __future__ import annotations
 
@@ -15,8 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLICE_ROWS = 4_000_000
-MAX_SLICES = 256
 SLICE_ROWS_CONF = "kilonova.sliceRows"
+#: bytes of a stored row at least; tables whose files hold less than a slice's worth aren't counted
+LEAST_ROW_BYTES = 4
+#: up to so many cut points a slice is found by a tree of comparisons in generated code
+TREE = 256
 
 
 def slice_rows(df: DataFrame) -> int:
@@ -24,19 +28,28 @@ def slice_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(SLICE_ROWS_CONF, None) or SLICE_ROWS)
 
 
+def one_slice(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether ``df`` is certainly small: by the bytes of its largest source, without a job, or else by its rows."""
+    rows = rows or slice_rows(df)
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    largest = max((int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())), default=0)
+    return largest <= rows * LEAST_ROW_BYTES or df.count() <= rows
+
+
 def cut_points(df: DataFrame, order: str, rows: int | None = None) -> list[float]:
     """Values that cut the range of ``order`` into slices of about ``rows`` rows (empty: one slice)."""
-    n = df.count()
-    slices = min(MAX_SLICES, -(-n // (rows or slice_rows(df))))
-    if slices <= 1:
+    rows = rows or slice_rows(df)
+    if one_slice(df, rows):
         return []
-    probs = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    got = df.agg(F.percentile_approx(F.col(order).cast("double"), probs, F.lit(20 * MAX_SLICES)).alias("c")).first()["c"]
+    slices = -(-df.count() // rows)
+    probs = ", ".join(f"{i / slices!r}D" for i in range(1, slices))
+    accuracy = max(20 * TREE, 4 * slices)
+    got = df.agg(F.expr(f"percentile_approx(CAST(`{order}` AS DOUBLE), array({probs}), {accuracy})").alias("c")).first()["c"]
     return sorted(set(got or []))
 
 
 def slice_sql(column: str, cuts: list[float]) -> str:
-    """SQL text: number of cut points <= ``column`` (a balanced tree of comparisons); -1 for NULL."""
+    """SQL text: number of cut points <= ``column`` (binary search); -1 for NULL."""
 
     def tree(lo: int, hi: int) -> str:
         if lo == hi:
@@ -44,4 +57,10 @@ def slice_sql(column: str, cuts: list[float]) -> str:
         mid = (lo + hi) // 2
         return f"CASE WHEN {column} < {cuts[mid]!r}D THEN {tree(lo, mid)} ELSE {tree(mid + 1, hi)} END"
 
-    return f"CASE WHEN {column} IS NULL THEN -1 ELSE {tree(0, len(cuts))} END"
+    if len(cuts) <= TREE:
+        found = tree(0, len(cuts))
+    else:  # the same search as a fold over falling steps through the array of cut points
+        steps = ", ".join(str(1 << k) for k in reversed(range(len(cuts).bit_length())))
+        points = f"array({', '.join(f'{c!r}D' for c in cuts)})"
+        found = f"aggregate(array({steps}), 0, (i, s) -> CASE WHEN get({points}, i + s - 1) <= {column} THEN i + s ELSE i END)"
+    return f"CASE WHEN {column} IS NULL THEN -1 ELSE {found} END"

@@ -59,15 +59,17 @@ def moment_cells(rows: DataFrame, width: float) -> DataFrame:
     return at.groupBy(*SERIES, "cell").agg(F.count(F.lit(1)).alias("n"), *map(F.expr, sums), F.expr("sum(wy * y) AS yy"))
 
 
-def _transform(cells: np.ndarray, moments: list[np.ndarray], size: int, freqs: np.ndarray) -> np.ndarray:
-    """Sums of e^(2 pi i f t) times weight at the multiples ``freqs`` of the step."""
-    theta = 2 * np.pi / size * freqs
-    out, factor = np.zeros(len(freqs), complex), np.ones(len(freqs), complex)
+def _transforms(cells: np.ndarray, moments: list[np.ndarray], size: int, at: list[np.ndarray]) -> list[np.ndarray]:
+    """Sums of weight times e^(2 pi i f t) at the multiples of the step in each array of ``at``."""
+    thetas = [2 * np.pi / size * f for f in at]
+    outs, factors = [np.zeros(len(f), complex) for f in at], [np.ones(len(f), complex) for f in at]
     for k, m in enumerate(moments):
-        if k:
-            factor = factor * (1j * theta / k)
-        out += factor * np.conj(np.fft.rfft(np.bincount(cells % size, m, size))[freqs])
-    return out * np.exp(0.5j * theta)
+        spectrum = np.conj(np.fft.rfft(np.bincount(cells % size, m, size)))
+        for i, f in enumerate(at):
+            if k:
+                factors[i] = factors[i] * (1j * thetas[i] / k)
+            outs[i] += factors[i] * spectrum[f]
+    return [out * np.exp(0.5j * theta) for out, theta in zip(outs, thetas)]
 
 
 def _power(part: pa.Table, size: int, first: int, n_freq: int) -> np.ndarray:
@@ -79,7 +81,7 @@ def _power(part: pa.Table, size: int, first: int, n_freq: int) -> np.ndarray:
     if n < 3 or not total > 0:
         return np.full(n_freq, np.nan)
     w, y = [get(f"w_{k}") / total for k in range(W_MOMENTS)], [get(f"y_{k}") / total for k in range(Y_MOMENTS)]
-    one, two, val = _transform(cells, w, size, freqs), _transform(cells, w, size, 2 * freqs), _transform(cells, y, size, freqs)
+    (one, two), (val,) = _transforms(cells, w, size, [freqs, 2 * freqs]), _transforms(cells, y, size, [freqs])
     mean = y[0].sum()
     c, s = one.real, one.imag
     yc, ys = val.real - mean * c, val.imag - mean * s

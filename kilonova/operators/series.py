@@ -1,4 +1,4 @@
-"""Per-band series features (C1-C9, C12-C13 general set; C16-C20 cadence set),
+"""Per-band series features (C1-C13 general set; C16-C20 cadence set),
 re-aimed from a per-object Python library as native Spark aggregates.
 
 Values of a whole series (weighted mean, median, spread) are mergeable aggregates and exact quantiles joined back on
@@ -18,6 +18,7 @@ from ..functions.core import BAND_LETTERS, BANDS, safe_div
 from ..functions.quantiles import aggregate_with_medians, exact_quantiles
 from ..functions.windows import join_back, lag_columns
 from .stats import restore_objects
+from .walk import walk_fit
 
 # Fixed parameters of the cadence features: step lengths in minutes.
 CAD_PROB_MINUTES = [1, 10, 20, 30, 40, 50, 100, 500, 1000, 5000, 10000, 50000, 100000, 500000, 1000000,
@@ -26,11 +27,12 @@ CAD_PROB_MINUTES = [1, 10, 20, 30, 40, 50, 100, 500, 1000, 5000, 10000, 50000, 1
 _PCTS = [0.05, 0.1, 0.175, 0.25, 0.325, 0.4, 0.5, 0.6, 0.675, 0.75, 0.825, 0.9, 0.95]
 _MID = {20: (0.4, 0.6), 35: (0.325, 0.675), 50: (0.25, 0.75), 65: (0.175, 0.825), 80: (0.1, 0.9)}
 
+# Fixed names that must equal the reference's for right results.
 GENERAL = ["amplitude", "flux_percentile_ratio_mid20", "flux_percentile_ratio_mid35", "flux_percentile_ratio_mid50",
            "flux_percentile_ratio_mid65", "flux_percentile_ratio_mid80", "max_slope", "maximum", "median",
            "median_absolute_deviation", "minimum", "percent_amplitude", "percent_beyond_1_std",
-           "percent_close_to_median", "percent_difference_flux_percentile", "skew", "std", "stetson_j",
-           "stetson_k", "weighted_average"]
+           "percent_close_to_median", "percent_difference_flux_percentile", "period_fast", "qso_log_chi2_qsonu",
+           "qso_log_chi2nuNULL_chi2nu", "skew", "std", "stetson_j", "stetson_k", "weighted_average"]
 CADENCE = (["avg_double_to_single_step", "avg_err", "avgt"] + [f"cad_probs_{m}" for m in CAD_PROB_MINUTES]
            + ["cads_avg", "cads_med", "cads_std", "mean", "med_double_to_single_step", "med_err", "n_epochs",
               "std_double_to_single_step", "std_err", "total_time"])
@@ -52,7 +54,9 @@ def _series_rows(lc: DataFrame, log_scaled: bool) -> DataFrame:
 
 
 def series_general_long(lc: DataFrame, log_scaled: bool = False) -> DataFrame:
-    """C1-C9, C12, C13 per (object, band), long form."""
+    """C1-C13 per (object, band), long form."""
+    from .frequency import periodogram_peaks   # built on the series keys of this module
+
     rows = _series_rows(lc, log_scaled)
     inv = "try_divide(1D, pow(flux_err, 2))"
     per = aggregate_with_medians(rows, SERIES, [
@@ -93,11 +97,13 @@ def series_general_long(lc: DataFrame, log_scaled: bool = False) -> DataFrame:
     cols["percent_amplitude"] = F.greatest(F.abs(safe_div(F.col("_lmax") - F.col("_lmed"), F.col("_lmed"))),
                                            F.abs(safe_div(F.col("_lmed") - F.col("_lmin"), F.col("_lmed"))))
     cols["percent_difference_flux_percentile"] = safe_div(spread, F.col("_lmed"))
-    return agg.withColumns(cols).select("object_id", "passband", *GENERAL)
+    agg = join_back(agg.withColumns(cols), walk_fit(lc), SERIES)
+    agg = join_back(agg, periodogram_peaks(lc).select(*SERIES, "period_fast"), SERIES)
+    return agg.select("object_id", "passband", *GENERAL)
 
 
 def series_general(lc: DataFrame, ids: DataFrame | None = None, log_scaled: bool = False) -> DataFrame:
-    """General set, 20 features x 6 bands = 120 columns ``<feature>_<u..y>``."""
+    """General set, 23 features x 6 bands = 138 columns ``<feature>_<u..y>``."""
     return restore_objects(_pivot_bands(series_general_long(lc, log_scaled), GENERAL), ids)
 
 

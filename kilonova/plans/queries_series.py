@@ -1,11 +1,12 @@
-"""Registered per-band series feature queries."""
+"""Registered per-band series feature queries."""
 from __future__ import annotations
 
 from ..functions.core import BAND_LETTERS, BANDS
 from ..operators import series
 from ..sources.adapters import lc_events, meta_events, with_ctes
 from .catalog import register
-from .sqlgen import rounded
+from .queries_spectral import grid_cte, power_ctes, rows_cte
+from .sqlgen import rounded, snap_sql
 
 
 def _pivot_sql(src: str, names: list[str]) -> str:
@@ -44,8 +45,26 @@ def _general_sql() -> str:
         "avg(abs(delta)) / nullif(sqrt(avg(power(delta, 2))), 0) AS stetson_k", "any_value(wmean) AS weighted_average",
     ])
     long = f"SELECT object_id, passband, {agg} FROM g1 GROUP BY object_id, passband"
-    return rounded(with_ctes(_pivot_sql("glong", series.GENERAL), lc="events", meta=True,
-                             ctes=[("g0", base), ("g1", base2), ("glong", long)]))
+    # the damped random walk, point after point
+    pts = ("SELECT object_id, passband, V, n, sum(x * x / e) OVER w AS flat, mjd, flux, flux_err, x, e, coalesce(exp((lag(mjd) OVER (PARTITION BY "
+           "object_id, passband ORDER BY mjd, flux, flux_err) - mjd) / 100e0), 0e0) AS a FROM (SELECT *, flux - sum(flux / power(flux_err, 2)) OVER w / "
+           "sum(1 / power(flux_err, 2)) OVER w AS x, power(flux_err, 2) AS e, var_pop(flux) OVER w AS V, count(*) OVER w AS n FROM lc WHERE flux_err != 0 "
+           "WINDOW w AS (PARTITION BY object_id, passband)) WINDOW w AS (PARTITION BY object_id, passband)")
+    walk = ("SELECT object_id, passband, any_value(V) AS V, any_value(n) AS n, any_value(flat) AS flat, list({'x': x, 'e': e, 'a': a, 'v': V, 'p': 0e0, "
+            "'s': 0e0, 'c': 0e0} ORDER BY mjd, flux, flux_err) AS l FROM pts GROUP BY object_id, passband HAVING any_value(V) > 0 AND any_value(n) > 1")
+    pm = "(k.a * k.a * acc.p + k.v * (1 - k.a * k.a))"
+    inn = "(k.x - k.a * acc.s)"
+    step = (f"{{'x': k.x, 'e': k.e, 'a': k.a, 'v': k.v, 'p': {pm} * k.e / ({pm} + k.e), 's': k.a * acc.s + {pm} / ({pm} + k.e) * {inn}, "
+            f"'c': acc.c + {inn} * {inn} / ({pm} + k.e)}}")
+    chi = (f"SELECT object_id, passband, n, flat, list_reduce(l, lambda acc, k: {step}, {{'x': 0e0, 'e': 0e0, 'a': 0e0, 'v': V, 'p': V, 's': 0e0, "
+           "'c': 0e0}).c AS chi2 FROM walk")
+    peak = ("SELECT object_id, passband, 1 / freq AS period_fast FROM (SELECT *, row_number() OVER (PARTITION BY object_id, passband ORDER BY "
+            f"{snap_sql('power')} DESC, freq) AS rn FROM pw WHERE power IS NOT NULL) WHERE rn = 1")
+    all_ = ("SELECT g.*, p.period_fast, ln(c.chi2 / (c.n - 1)) AS qso_log_chi2_qsonu, ln(c.flat / c.chi2) AS qso_log_chi2nuNULL_chi2nu FROM glong0 g "
+            "LEFT JOIN chi c USING (object_id, passband) LEFT JOIN peak p USING (object_id, passband)")
+    return rounded(with_ctes(_pivot_sql("glong", series.GENERAL), lc="events", meta=True, ctes=[
+        ("g0", base), ("g1", base2), ("glong0", long), ("pts", pts), ("walk", walk), ("chi", chi), grid_cte(), rows_cte(), *power_ctes("wrows"),
+        ("peak", peak), ("glong", all_)]))
 
 
 def _cadence_sql() -> str:
@@ -66,7 +85,7 @@ def _cadence_sql() -> str:
 
 @register("series_general", _general_sql())
 def q_series_general(spark, sf_dir):
-    """General per-band series features (120 columns)."""
+    """General per-band series features (138 columns)."""
     return series.series_general(lc_events(spark, sf_dir), meta_events(spark, sf_dir))
 
 

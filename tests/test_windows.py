@@ -67,3 +67,35 @@ def test_join_back_keeps_null_keys(spark):
     df = spark.createDataFrame([(None, 1), (1, 2), (1, 3)], "k long, v int")
     per = df.groupBy("k").agg({"v": "max"}).withColumnRenamed("max(v)", "m")
     assert sorted(join_back(df, per, ["k"]).collect(), key=str) == sorted([(1, 2, 3), (1, 3, 3), (None, 1, 1)], key=str)
+
+
+def test_walk_equals_the_recursion(spark, lc):
+    from math import exp, log
+
+    from kilonova.operators.walk import TAU, walk_fit
+
+    got = {r[:2]: r[2:] for r in sliced(spark, lambda: walk_fit(lc), rows=40)}
+    series_ = {}
+    for r in lc.collect():
+        if r.mjd is not None and r.flux is not None and r.flux_err != 0:
+            series_.setdefault((r.object_id, r.passband), []).append((r.mjd, r.flux, r.flux_err))
+    want = {}
+    for k, pts in series_.items():
+        pts.sort()
+        n, mean = len(pts), sum(x / e ** 2 for _, x, e in pts) / sum(1 / e ** 2 for _, _, e in pts)
+        plain = sum(x for _, x, _ in pts) / n
+        v = sum((x - plain) ** 2 for _, x, _ in pts) / n
+        if n < 2 or v == 0:
+            continue
+        p, s, chi, flat, last = v, 0.0, 0.0, 0.0, None
+        for t, x, e in pts:
+            a = 0.0 if last is None else exp((last - t) / TAU)
+            last = t
+            pm, s = a * a * p + v * (1 - a * a), a * s
+            f, u = pm + e * e, x - mean - s
+            chi, flat = chi + u * u / f, flat + (x - mean) ** 2 / e ** 2
+            s, p = s + pm / f * u, pm * e * e / f
+        want[k] = (log(chi / (n - 1)), log(flat / chi))
+    assert set(got) == set(want) and max(map(abs, want[1, 0])) > 0
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, rel=2e-6, abs=1e-9)
