@@ -47,6 +47,43 @@ def circular_lag_columns(df: DataFrame, keys: list[str], order: str, cols: list[
     return out.drop("_end", f"{prefix}_here")
 
 
+def nearest_columns(df: DataFrame, keys: list[str], order: str, tie: str, value: str, before: str, after: str, rows: int | None = None) -> DataFrame:
+    """Adds ``before`` and ``after``: ``value`` of the last row with one at or before a row, and of the first at or after it,
+    in order of (``order``, ``tie``); rows of one ``order`` and a smaller ``tie`` count on both sides.  Slices without such a
+    row take it from the series' nearest slice that has one."""
+    cuts = cut_points(df, order, rows)
+    df = df.withColumn("_slice", F.expr(slice_sql(f"`{order}`", cuts)))
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(*keys, "_slice")
+    out = df.withColumns({before: F.last(value, ignorenulls=True).over(w.orderBy(order, tie).rowsBetween(*upto)),
+                          after: F.last(value, ignorenulls=True).over(w.orderBy(F.desc(order), tie).rowsBetween(*upto))})
+    if cuts:
+        ends = df.groupBy(*keys, "_slice").agg(F.expr(f"max_by({value}, `{order}`) FILTER (WHERE {value} IS NOT NULL) AS _end"),
+                                               F.expr(f"min_by({value}, `{order}`) FILTER (WHERE {value} IS NOT NULL) AS _begin"))
+        by = Window.partitionBy(*keys).orderBy("_slice")   # at most one row per slice
+        ends = ends.select(*keys, "_slice", F.last("_end", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
+                           F.first("_begin", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+        out = join_back(out, ends, [*keys, "_slice"])
+        out = out.withColumns({before: F.coalesce(before, "_earlier"), after: F.coalesce(after, "_later")}).drop("_earlier", "_later")
+    return out.drop("_slice")
+
+
+def running_sums(df: DataFrame, keys: list[str], order: str, tie: str, sums: dict[str, str], rows: int | None = None) -> DataFrame:
+    """Adds, per name of ``sums``, the running sum of its SQL value (NULL counts as 0) up to and with a row, in order of
+    (``order``, ``tie``): sums within the slice and the total of the series' slices before it."""
+    cuts = cut_points(df, order, rows)
+    df = df.withColumn("_slice", F.expr(slice_sql(f"`{order}`", cuts)))
+    w = Window.partitionBy(*keys, "_slice").orderBy(order, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = df.withColumns({n: F.coalesce(F.sum(F.expr(x)).over(w), F.lit(0.0)) for n, x in sums.items()})
+    if cuts:
+        totals = df.groupBy(*keys, "_slice").agg(*[F.sum(F.expr(x)).alias(f"_t_{n}") for n, x in sums.items()])
+        by = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)   # at most one row per slice
+        carry = totals.select(*keys, "_slice", *[F.sum(f"_t_{n}").over(by).alias(f"_c_{n}") for n in sums])
+        out = join_back(out, carry, [*keys, "_slice"])
+        out = out.withColumns({n: F.col(n) + F.coalesce(f"_c_{n}", F.lit(0.0)) for n in sums}).drop(*[f"_c_{n}" for n in sums])
+    return out.drop("_slice")
+
+
 def join_back(df: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``df`` with the values of their key (NULL is a key, too).  ``per_key`` is a mergeable aggregate, one row
     per key; a plain join lets AQE broadcast it by its measured size or split the rows of a huge key."""

@@ -10,8 +10,8 @@ and the power is a closed form of those sums.  Work is O(rows x grid).
 
 The interpolated cross-correlation places, for every lag of the grid, a probe
 row at t1 + lag among the other band's points of the same object; the previous
-and next real points come from ``last``/``first`` (ignore nulls) windows, so
-no pair of points is ever materialised.
+and next real points come from windows per slice of time with carries between
+the slices, so no pair of points is ever materialised.
 """
 from __future__ import annotations
 
@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import safe_div, snap
-from ..functions.windows import join_back
+from ..functions.windows import join_back, nearest_columns, running_sums
+from ..session import ensure_checkpoint_dir
 from . import frequency
 from .buckets import bucket_pivot
 from .frequency import TIE_BITS, span_grid
@@ -117,128 +118,164 @@ def lag_grid(lo: float, hi: float, step: float) -> list[float]:
     return [lo + k * step for k in range(n + 1)]
 
 
-def interpolated_pairs(lc: DataFrame, band1: int, band2: int, lags: list[float]) -> DataFrame:
+def interpolated_pairs(lc: DataFrame, band1: int, band2: int, lags: list[float], carry: tuple[str, ...] = ()) -> DataFrame:
     """For each band1 point i and lag L, band2 linearly interpolated at t_i + L
-    (only inside band2's time range).  Returns (object_id, lag, y1, y2)."""
-    b1 = lc.filter(F.col("passband") == band1).select("object_id", "mjd", "flux")
-    b2 = lc.filter(F.col("passband") == band2).select("object_id", "mjd", "flux")
-    probes = b1.select("object_id", F.explode(F.array(*[F.lit(float(v)) for v in lags])).alias("lag"),
-                       F.col("mjd").alias("t1"), F.col("flux").alias("y1"))
-    probes = probes.select("object_id", (F.col("t1") + F.col("lag")).alias("t"), F.lit(1).alias("kind"),
-                           "lag", "y1", F.lit(None).cast("double").alias("t2"), F.lit(None).cast("double").alias("y2"))
-    pts = b2.select("object_id", F.col("mjd").alias("t"), F.lit(0).alias("kind"),
-                    F.lit(None).cast("double").alias("lag"), F.lit(None).cast("double").alias("y1"),
-                    F.col("mjd").alias("t2"), F.col("flux").alias("y2"))
-    u = probes.unionByName(pts)
-    # the latest point at or before a row, and the earliest at or after it: running values forwards and backwards in time
-    # (kind 0 before kind 1: a point at a probe's own time counts on both sides)
-    ahead = Window.partitionBy("object_id").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    back = Window.partitionBy("object_id").orderBy(F.desc("t"), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    u = u.withColumns({
-        "tp": F.last("t2", ignorenulls=True).over(ahead), "yp": F.last("y2", ignorenulls=True).over(ahead),
-        "tn": F.last("t2", ignorenulls=True).over(back), "yn": F.last("y2", ignorenulls=True).over(back),
-    })
-    q = u.filter((F.col("kind") == 1) & F.col("tp").isNotNull() & F.col("tn").isNotNull())
-    interp = F.when(F.col("tn") == F.col("tp"), F.col("yp")).otherwise(
-        F.col("yp") + (F.col("yn") - F.col("yp")) * (F.col("t") - F.col("tp")) / (F.col("tn") - F.col("tp")))
-    return q.select("object_id", "lag", "y1", interp.alias("y2"))
+    (only inside band2's time range).  Returns (object_id, lag, y1, y2) and the columns of band1's rows in ``carry``."""
+    b1 = lc.filter((F.col("passband") == band1) & F.col("mjd").isNotNull())
+    b2 = lc.filter((F.col("passband") == band2) & F.col("mjd").isNotNull() & F.col("flux").isNotNull())
+    lag = F.explode(F.array(*[F.lit(float(v)) for v in lags])).alias("lag")
+    probes = b1.select("object_id", F.col("mjd").alias("t1"), F.struct(F.col("flux").alias("y1"), *carry).alias("own"), lag)
+    point = F.struct(F.col("mjd").alias("t"), F.col("flux").alias("y"))
+    probes = probes.select("object_id", (F.col("t1") + F.col("lag")).alias("t"), F.lit(1).alias("kind"), "lag", "own")
+    pts = b2.select("object_id", F.col("mjd").alias("t"), F.lit(0).alias("kind"), point.alias("p"))
+    u = probes.unionByName(pts, allowMissingColumns=True)
+    # the latest point at or before a probe and the earliest at or after it (kind 0 before kind 1: a point at a probe's own
+    # time counts on both sides); a huge object is worked on in slices of time
+    u = nearest_columns(u, ["object_id"], "t", "kind", "p", "a", "b")
+    q = u.filter("kind = 1 AND a IS NOT NULL AND b IS NOT NULL")
+    y2 = "CASE WHEN b.t = a.t THEN a.y ELSE a.y + (b.y - a.y) * (t - a.t) / (b.t - a.t) END AS y2"
+    return q.selectExpr("object_id", "lag", "own.y1 AS y1", y2, *[f"own.{c} AS {c}" for c in carry])
+
+
+#: resampling: replicates, least peak correlation of a success, upper percentile (the lower one is its complement)
+REPLICATES, LEAST_R, PERCENTILE = 100, 0.2, 0.841344746
+#: below this share of the raw second moment a replicate's variance is rounding
+FLAT = 1e-9
+
+
+def bootstrap_weights(key: str, replicates: int) -> str:
+    """SQL text: array of Poisson(1) weights of a row, one per replicate, from 16-bit pieces of MD5 digests of its key."""
+    limits, p, upto = [], math.exp(-1), 0.0
+    for k in range(8):
+        upto += p
+        limits.append(math.floor(upto * 65536))
+        p /= k + 1
+    digest = f"md5(concat({key}, ':', i))"
+    piece = f"CAST(conv(substring({digest}, 1 + 4 * j, 4), 16, 10) AS INT)"
+    weight = " + ".join(f"CAST({piece} >= {x} AS INT)" for x in limits)
+    pieces = f"transform(sequence(0, 7), j -> {weight.replace(piece, 'h[j]')})"
+    many = f"transform(sequence(0, {-(-replicates // 8) - 1}), i -> transform(sequence(0, 7), j -> {piece}))"
+    return f"slice(flatten(transform({many}, h -> {pieces})), 1, {replicates})"
+
+
+def _peaks_of(r: DataFrame, keys: list[str], centroid_frac: float) -> DataFrame:
+    """Peak lag, its r, and the mean of the lags whose r is at least a share of it, per key."""
+    peak = r.groupBy(*keys).agg(F.max_by("lag", F.struct(snap("r", TIE_BITS), -F.col("lag"))).alias("peak_lag"), F.max("r").alias("peak_r"),
+                                F.collect_list(F.struct("lag", "r")).alias("_all"))   # one entry a lag of the grid
+    high = F.filter("_all", lambda x: x["r"] >= F.col("peak_r") * centroid_frac)
+    mean = F.aggregate(F.sort_array(F.transform(high, lambda x: x["lag"])), F.lit(0.0), lambda s, x: s + x) / F.size(high)
+    return peak.select(*keys, "peak_lag", "peak_r", F.when(F.size(high) > 0, mean).alias("centroid_lag"), "_all")
 
 
 def cross_correlation(lc: DataFrame, ids: DataFrame | None = None, band1: int = 1, band2: int = 5,
-                      lo: float = -100.0, hi: float = 100.0, step: float = 10.0, centroid_frac: float = 0.8) -> DataFrame:
-    """F11 (no resampling): Pearson r per lag of band2 interpolated onto band1
-    shifted by the lag, peak lag / r, centroid lag (mean of lags with
-    r >= centroid_frac * r_peak).  Columns r_lag_<k> for the grid, wide."""
+                      lo: float = -100.0, hi: float = 100.0, step: float = 10.0, centroid_frac: float = 0.8,
+                      replicates: int = REPLICATES) -> DataFrame:
+    """Pearson r per lag of band2 interpolated onto band1 shifted by the lag (columns r_lag_<k> for the grid, wide),
+    peak lag / r, centroid lag (mean of lags with r >= centroid_frac * r_peak), and their errors by resampling.
+
+    A replicate weights every band1 point by a Poisson(1) number drawn from a hash of object and time, so its correlations
+    are mergeable sums; it succeeds if its peak r exceeds ``LEAST_R``.  centau, peaktau: medians over the successes;
+    _uperr, _loerr: distance of the 84.13 and 15.87 percentiles from centau (for both, as the published feature has it);
+    success_ratio: successes over replicates.  ``replicates=0`` leaves these out."""
+    ensure_checkpoint_dir(lc.sparkSession)
     lags = lag_grid(lo, hi, step)
-    pairs = interpolated_pairs(lc, band1, band2, lags)
+    key = "concat(object_id, ':', CAST(round(mjd * 86400000) AS BIGINT))"
+    if replicates:
+        pairs = interpolated_pairs(lc.withColumn("point", F.expr(key)), band1, band2, lags, ("point",)).checkpoint()
+    else:
+        pairs = interpolated_pairs(lc, band1, band2, lags)
     r = pairs.groupBy("object_id", "lag").agg(F.corr("y1", "y2").alias("r"), F.count(F.lit(1)).alias("n_pairs"))
     r = r.filter(F.col("r").isNotNull() & ~F.isnan("r"))
-    peak = r.groupBy("object_id").agg(
-        F.max_by("lag", F.struct(snap("r", TIE_BITS), -F.col("lag"))).alias("peak_lag"), F.max("r").alias("peak_r"))
-    rp = r.join(peak, "object_id")
-    cen = rp.groupBy("object_id").agg(
-        F.avg(F.when(F.col("r") >= F.col("peak_r") * centroid_frac, F.col("lag"))).alias("centroid_lag"),
-        *[F.max(F.when(F.col("lag") == float(v), F.col("r"))).alias(f"r_lag_{i}") for i, v in enumerate(lags)])
-    out = peak.join(cen, "object_id")
+    peak = _peaks_of(r, ["object_id"], centroid_frac)
+    out = peak.selectExpr("object_id", "peak_lag", "peak_r", "centroid_lag",
+                          *[f"get(filter(_all, x -> x.lag = {float(v)!r}D), 0).r AS r_lag_{i}" for i, v in enumerate(lags)])
+    if replicates:
+        out = out.join(_resampled(pairs, centroid_frac, replicates), "object_id", "left")
     return restore_objects(out, ids)
 
 
+def _resampled(pairs: DataFrame, centroid_frac: float, replicates: int) -> DataFrame:
+    """Medians and errors of centroid and peak lag over bootstrap replicates, one row per object of ``pairs``."""
+    drawn = pairs.selectExpr("object_id", "lag", "y1", "y2", f"posexplode({bootstrap_weights('point', replicates)}) AS (rep, k)").filter("k > 0")
+    # shifted by the lag's means, so that sums of squares lose nothing
+    means = pairs.groupBy("object_id", "lag").agg(F.avg("y1").alias("m1"), F.avg("y2").alias("m2"))
+    drawn = join_back(drawn, means, ["object_id", "lag"]).selectExpr("object_id", "lag", "rep", "k", "y1 - m1 AS x", "y2 - m2 AS y")
+    sums = drawn.groupBy("object_id", "lag", "rep").agg(*[F.expr(f"sum(k * {x}) / sum(k) AS {n}") for n, x in (
+        ("mx", "x"), ("my", "y"), ("xx", "x * x"), ("yy", "y * y"), ("xy", "x * y"))])
+    r = sums.selectExpr("object_id", "lag", "rep", f"CASE WHEN xx - mx * mx > {FLAT!r}D * xx AND yy - my * my > {FLAT!r}D * yy THEN "
+                        "(xy - mx * my) / sqrt((xx - mx * mx) * (yy - my * my)) END AS r").filter("r IS NOT NULL")
+    good = _peaks_of(r, ["object_id", "rep"], centroid_frac).filter(F.col("peak_r") > LEAST_R)
+    qs = f"array({1 - PERCENTILE!r}D, 0.5D, {PERCENTILE!r}D)"
+    got = good.groupBy("object_id").agg(F.expr(f"percentile(centroid_lag, {qs}) AS c"), F.expr(f"percentile(peak_lag, {qs}) AS p"), F.count(F.lit(1)).alias("n"))
+    got = pairs.select("object_id").distinct().join(got, "object_id", "left")
+    return got.selectExpr("object_id", "c[1] AS centau", "c[2] - c[1] AS centau_uperr", "c[1] - c[0] AS centau_loerr", "p[1] AS peaktau",
+                          "p[2] - c[1] AS peaktau_uperr", "c[1] - p[0] AS peaktau_loerr", f"coalesce(n, 0) / {replicates}D AS success_ratio")
+
+
+#: half width of a gaussian lag slot in units of its kernel's width h = dt / 4: pairs beyond it fall under the threshold
+GAUSS_REACH = 3.290527
+
+
+def lag_slots(lo: float, hi: float, width: float, weighting: str = "slot") -> list[tuple[float, float, float]]:
+    """(centre, from, to) of the lag bins.  Gaussian slots reach ``GAUSS_REACH`` kernel widths to both sides and overlap."""
+    edges = lag_grid(lo, hi, width)
+    slots = [((a + b) / 2, a, b) for a, b in zip(edges, edges[1:])]
+    if weighting == "gauss":
+        reach = GAUSS_REACH * width / 4
+        slots = [(c, c - reach, c + reach) for c, _, _ in slots]
+    return slots
+
+
 def discrete_correlation(lc: DataFrame, ids: DataFrame | None = None, band1: int = 1, band2: int = 5,
-                         lo: float = -10.0, hi: float = 10.0, bin_width: float = 2.0) -> DataFrame:
-    """F12 (slot weighting): DCF per lag bin from pair sums that separate into
+                         lo: float = -10.0, hi: float = 10.0, bin_width: float = 2.0, weighting: str = "slot") -> DataFrame:
+    """DCF per lag bin from pair sums that separate into
     per-point sums over a time range of the other band.
 
     For lag bin (a, b): pairs (i, j) with a < t2_j - t1_i < b.  Every needed
-    pair sum (counts, sums of x, y, x^2, y^2, x*y, and the error terms) is
-    sum_i f(x_i) * G_i with G_i = sum of g(y_j) over band2 points in
-    (t1_i + a, t1_i + b); G_i is a difference of running sums at two probe
-    rows, so no pair is materialised.
+    pair sum is a sum over i of f(x_i) * G_i with G_i = sum of g(y_j) over band2
+    points in (t1_i + a, t1_i + b); G_i is a difference of running sums at two
+    probe rows, so no pair is materialised.  Running sums go from slice to slice
+    of time, so a huge object is spread.  ``weighting="gauss"``: bins hold the
+    pairs whose gaussian kernel value reaches the threshold (ends included); as
+    in the published form the kernel selects pairs and doesn't weight them.
     """
-    edges = lag_grid(lo, hi, bin_width)
-    b1 = lc.filter(F.col("passband") == band1).select("object_id", F.col("mjd").alias("t1"), F.col("flux").alias("x"),
-                                                     F.col("flux_err").alias("ex"))
-    b2 = lc.filter(F.col("passband") == band2).select("object_id", F.col("mjd").alias("t"), F.col("flux").alias("y"),
-                                                     F.col("flux_err").alias("ey"))
-    # equal points get numbers of their own, so that each meets its own probes only
-    b1 = b1.withColumn("dup", F.row_number().over(Window.partitionBy("object_id", "t1").orderBy("x", "ex")))
-    # probe rows: for each point i and edge e, position t1_i + e; kind orders ties so that
-    # "lower" probes count band2 points at the same time (open interval) and "upper" ones do not
-    probes = b1.select("object_id", "t1", "dup", "x", "ex",
-                       F.posexplode(F.array(*[F.lit(float(e)) for e in edges])).alias("ei", "edge"))
-    probes = probes.select("object_id", (F.col("t1") + F.col("edge")).alias("t"), "ei", "t1", "dup", "x", "ex")
-    lower = probes.withColumn("kind", F.lit(2))   # placed after band2 points at equal t: counts t_j <= t
-    upper = probes.withColumn("kind", F.lit(0))   # placed before band2 points at equal t: counts t_j < t
-    pts = b2.select("object_id", "t", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("ei"),
-                    F.lit(None).cast("double").alias("t1"), F.lit(None).cast("int").alias("dup"),
-                    F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("ex"), "y", "ey")
-    u = lower.withColumns({"y": F.lit(None).cast("double"), "ey": F.lit(None).cast("double")}).unionByName(
-        upper.withColumns({"y": F.lit(None).cast("double"), "ey": F.lit(None).cast("double")})).unionByName(pts)
-    o = Window.partitionBy("object_id").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    zero = F.lit(0.0)
-    u = u.withColumns({   # running sums (0 before the first band2 point)
-        "c0": F.count("y").over(o), "c1": F.coalesce(F.sum("y").over(o), zero),
-        "c2": F.coalesce(F.sum(F.col("y") * F.col("y")).over(o), zero), "ce": F.coalesce(F.sum("ey").over(o), zero)})
-    pr = u.filter(F.col("kind") != 1)
-    # G over (t1 + a, t1 + b) = S(< t1 + b) - S(<= t1 + a): upper probe of edge k+1 minus lower probe of edge k
-    lo_p = pr.filter(F.col("kind") == 2).select("object_id", "t1", "dup", F.col("ei").alias("bin"), "x", "ex",
-                                                *[F.col(c).alias(f"{c}_lo") for c in ("c0", "c1", "c2", "ce")])
-    hi_p = pr.filter(F.col("kind") == 0).select("object_id", "t1", "dup", (F.col("ei") - 1).alias("bin"),
-                                                *[F.col(c).alias(f"{c}_hi") for c in ("c0", "c1", "c2", "ce")])
-    g = lo_p.join(hi_p, ["object_id", "t1", "dup", "bin"]).filter(F.col("bin") < len(edges) - 1)
-    g = g.withColumns({f"G{c}": F.col(f"{c}_hi") - F.col(f"{c}_lo") for c in ("c0", "c1", "c2", "ce")})
-    s = g.groupBy("object_id", "bin").agg(
-        F.sum("Gc0").alias("n"), F.sum(F.col("x") * F.col("Gc0")).alias("sx"),
-        F.sum(F.col("x") * F.col("x") * F.col("Gc0")).alias("sxx"), F.sum("Gc1").alias("sy"),
-        F.sum("Gc2").alias("syy"), F.sum(F.col("x") * F.col("Gc1")).alias("sxy"),
-        F.sum(F.col("ex") * F.col("Gc0")).alias("sex"), F.sum("Gce").alias("sey"))
-    n = F.col("n").cast("double")
-    mx, my = safe_div("sx", n), safe_div("sy", n)
-    vx = safe_div("sxx", n) - mx * mx
-    vy = safe_div("syy", n) - my * my
-    prod = (vx - F.pow(safe_div("sex", n), 2)) * (vy - F.pow(safe_div("sey", n), 2))
-    den = F.when(prod > 0, F.sqrt(prod))  # undefined when the errors exceed the scatter
-    cov = safe_div("sxy", n) - mx * my
-    s = s.filter(F.col("n") > 0).withColumns({"mx": mx, "my": my, "den": den})
-    s = s.withColumn("dcf", safe_div(cov, F.col("den")))
-    # error term, second pass around the bin means: sum over pairs of dcfs^2 is
-    # sum_i (x_i - mx)^2 * sum_j (y_j - my)^2 / den^2  (no raw-moment cancellation in x)
-    q = (g.join(s.select("object_id", "bin", "mx", "my"), ["object_id", "bin"])
-         .groupBy("object_id", "bin").agg(F.sum(F.pow(F.col("x") - F.col("mx"), 2) * (
-             F.col("Gc2") - 2 * F.col("my") * F.col("Gc1") + F.col("my") * F.col("my") * F.col("Gc0"))).alias("q"),
-             F.sum(F.pow(F.col("x") - F.col("mx"), 2) * (
-                 F.col("Gc2") + F.col("my") * F.col("my") * F.col("Gc0"))).alias("q_scale")))
-    s = s.join(q, ["object_id", "bin"], "left")
-    ssq = safe_div(F.col("q"), F.col("den") * F.col("den"))
-    resid = ssq - n * F.col("dcf") * F.col("dcf")
-    # sum of squares minus n * mean^2: a remainder below 1e-10 of the magnitude of the
-    # summed terms is cancellation noise (e.g. n = 2, where the deviations are exactly 0)
-    scale = safe_div(F.col("q_scale"), F.col("den") * F.col("den"))
-    resid = F.when(resid <= scale * F.lit(1e-10), F.lit(0.0)).otherwise(resid)
-    err = safe_div(F.sqrt(resid), n - 1)
-    dcf = F.col("dcf")
-    centers = F.array(*[F.lit((edges[k] + edges[k + 1]) / 2) for k in range(len(edges) - 1)])
-    return s.select("object_id", "bin", F.element_at(centers, F.col("bin") + 1).alias("lag"),
-                    F.col("n").cast("long").alias("n_pairs"), dcf.alias("dcf"), err.alias("dcf_err"))
+    ensure_checkpoint_dir(lc.sparkSession)
+    slots = lag_slots(lo, hi, bin_width, weighting)
+    side = lambda band: lc.filter((F.col("passband") == band) & F.col("mjd").isNotNull() & F.col("flux").isNotNull() & F.col("flux_err").isNotNull())
+    b1, b2 = side(band1), side(band2)
+    # both bands around their object's means: sums of squares lose nothing, and the correlation knows no origin
+    middle = lc.groupBy("object_id").agg(F.avg(F.when(F.col("passband") == band1, F.col("flux"))).alias("m1"),
+                                         F.avg(F.when(F.col("passband") == band2, F.col("flux"))).alias("m2"))
+    b1 = join_back(b1, middle, ["object_id"]).groupBy("object_id", F.col("mjd").alias("t1"), F.expr("flux - m1 AS x"), F.col("flux_err").alias("ex")) \
+        .agg(F.count(F.lit(1)).alias("k"))   # equal points are one with a count
+    b2 = join_back(b2, middle, ["object_id"]).selectExpr("object_id", "mjd AS t", "flux - m2 AS y", "flux_err AS ey", "1 AS kind")
+    # probes: two per point and bin.  kind orders rows of one time: 0 before the points of band2, 2 behind them
+    low, high = (0, 2) if weighting == "gauss" else (2, 0)
+    ends = ", ".join(f"struct({i} AS bin, {e!r}D AS edge, {kind} AS kind, {sign}D AS sign)" for i, (_, a, b) in enumerate(slots)
+                     for e, kind, sign in ((a, low, -1), (b, high, 1)))
+    probes = b1.selectExpr("object_id", "struct(t1, x, ex, k) AS own", "t1", f"inline(array({ends}))")
+    probes = probes.selectExpr("object_id", "t1 + edge AS t", "kind", "own", "bin", "sign")
+    u = running_sums(probes.unionByName(b2, allowMissingColumns=True), ["object_id"], "t", "kind",
+                     {"c0": "CASE WHEN kind = 1 THEN 1D END", "c1": "y", "c2": "y * y", "ce": "ey"})
+    # G over the range = running sums at its end less those at its beginning
+    g = u.filter("kind != 1").groupBy("object_id", "bin", "own").agg(*[F.sum(F.col("sign") * F.col(c)).alias(n) for c, n in (
+        ("c0", "n"), ("c1", "g1"), ("c2", "g2"), ("ce", "ge"))])
+    g = g.filter("n > 0.5").selectExpr("object_id", "bin", "own.x AS x", "own.ex AS ex", "own.k AS k", "n", "g1", "g2", "ge").checkpoint()
+    s = g.groupBy("object_id", "bin").agg(*[F.expr(f"sum(k * {e}) AS {n}") for n, e in (
+        ("n", "n"), ("sx", "x * n"), ("sxx", "x * x * n"), ("sy", "g1"), ("syy", "g2"), ("sxy", "x * g1"), ("sex", "ex * n"), ("sey", "ge"))])
+    s = s.selectExpr("object_id", "bin", "n", "sx / n AS mx", "sy / n AS my", "sxx / n AS xx", "syy / n AS yy", "sxy / n AS xy", "sex / n AS ex", "sey / n AS ey")
+    prod = "(xx - mx * mx - ex * ex) * (yy - my * my - ey * ey)"   # undefined when the errors exceed the scatter
+    s = s.withColumn("den", F.expr(f"CASE WHEN {prod} > 0 THEN sqrt({prod}) END")).withColumn("dcf", F.expr("try_divide(xy - mx * my, den)"))
+    # squared deviations of the pairs' products, per point of band1: scatter of its partners about their mean, and that mean's
+    # product against the bin's.  Neither is a small difference of large sums; one partner has no scatter.
+    at = join_back(g, s.select("object_id", "bin", "mx", "my", "den", "dcf"), ["object_id", "bin"])
+    dev = at.groupBy("object_id", "bin").agg(F.expr(
+        "sum(k * (pow(x - mx, 2) * CASE WHEN n > 1.5 THEN greatest(g2 - g1 * g1 / n, 0D) ELSE 0D END "
+        "+ n * pow((x - mx) * (g1 / n - my) - den * dcf, 2))) AS dev"))
+    s = join_back(s, dev, ["object_id", "bin"])
+    centers = f"array({', '.join(f'{c!r}D' for c, _, _ in slots)})"
+    return s.selectExpr("object_id", "CAST(bin AS INT) AS bin", f"{centers}[bin] AS lag", "CAST(round(n) AS BIGINT) AS n_pairs", "dcf",
+                        "try_divide(try_divide(sqrt(dev), den), n - 1) AS dcf_err")
 
 
 def detrend(lc: DataFrame, bands: tuple[int, int] = (1, 5), degree: int = 0) -> DataFrame:

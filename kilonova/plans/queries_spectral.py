@@ -78,44 +78,75 @@ XC = dict(band1=1, band2=5, lo=-10.0, hi=10.0, step=1.0)
 def _xcorr_sql() -> str:
     lags = spectral.lag_grid(XC["lo"], XC["hi"], XC["step"])
     lag_list = ", ".join(repr(float(v)) for v in lags)
-    probes = (f"SELECT object_id, mjd + l AS q, l AS lag, flux AS y1 FROM lc, (SELECT unnest([{lag_list}]) AS l) "
+    point = "object_id || ':' || CAST(round(mjd * 86400000) AS BIGINT)"
+    probes = (f"SELECT object_id, mjd + l AS q, l AS lag, flux AS y1, {point} AS point FROM lc, (SELECT unnest([{lag_list}]::DOUBLE[]) AS l) "
               f"WHERE passband = {XC['band1']}")
     b2 = f"SELECT object_id, mjd AS t, flux AS y FROM lc WHERE passband = {XC['band2']}"
     prev = ("SELECT p.*, b.t AS tp, b.y AS yp FROM probes p ASOF JOIN b2 b ON p.object_id = b.object_id AND b.t <= p.q")
     nxt = ("SELECT p.*, b.t AS tn, b.y AS yn FROM prev p ASOF JOIN b2 b ON p.object_id = b.object_id AND b.t >= p.q")
-    pairs = ("SELECT object_id, lag, y1, CASE WHEN tn = tp THEN yp ELSE yp + (yn - yp) * (q - tp) / (tn - tp) END AS y2 "
+    pairs = ("SELECT object_id, lag, y1, point, CASE WHEN tn = tp THEN yp ELSE yp + (yn - yp) * (q - tp) / (tn - tp) END AS y2 "
              "FROM nxt")
     r = ("SELECT object_id, lag, corr(y1, y2) AS r FROM pairs GROUP BY 1, 2 HAVING corr(y1, y2) IS NOT NULL "
          "AND NOT isnan(corr(y1, y2))")
     peak = ("SELECT object_id, lag AS peak_lag, max_r AS peak_r FROM (SELECT *, max(r) OVER (PARTITION BY object_id) AS "
             f"max_r, row_number() OVER (PARTITION BY object_id ORDER BY {snap_sql('r')} DESC, lag ASC) AS rn FROM r) "
             "WHERE rn = 1")
+    # Poisson(1) weights of every band1 point and replicate, written as the cumulated shares
+    share, limits = 0.0, []
+    for k in range(8):
+        share += math.exp(-1) / math.factorial(k)
+        limits.append(math.floor(share * 65536))
+    weight = " + ".join(f"CASE WHEN h >= {x} THEN 1 ELSE 0 END" for x in limits)
+    drawn = ("SELECT point, i * 8 + j AS rep, CAST('0x' || substring(md5(point || ':' || i), 1 + 4 * j, 4) AS INTEGER) AS h FROM "
+             f"(SELECT DISTINCT point FROM pairs), (SELECT unnest(range(0, {-(-spectral.REPLICATES // 8)})) AS i), (SELECT unnest(range(0, 8)) AS j) "
+             f"WHERE i * 8 + j < {spectral.REPLICATES}")
+    draws = f"SELECT point, rep, {weight} AS k FROM drawn WHERE ({weight}) > 0"
+    centred = ("SELECT *, y1 - avg(y1) OVER (PARTITION BY object_id, lag) AS x, y2 - avg(y2) OVER (PARTITION BY object_id, lag) AS y FROM pairs")
+    sums = ("SELECT object_id, lag, rep, sum(k * x) / sum(k) AS mx, sum(k * y) / sum(k) AS my, sum(k * x * x) / sum(k) AS xx, sum(k * y * y) / sum(k) AS yy, "
+            "sum(k * x * y) / sum(k) AS xy FROM centred JOIN draws USING (point) GROUP BY 1, 2, 3")
+    rr = ("SELECT object_id, lag, rep, (xy - mx * my) / sqrt((xx - mx * mx) * (yy - my * my)) AS r FROM sums "
+          "WHERE xx - mx * mx > 1e-9 * xx AND yy - my * my > 1e-9 * yy")
+    tops = (f"SELECT *, max(r) OVER p AS top, row_number() OVER (PARTITION BY object_id, rep ORDER BY {snap_sql('r')} DESC, lag) AS rn FROM rr "
+            "WINDOW p AS (PARTITION BY object_id, rep)")
+    good = ("SELECT object_id, rep, max(lag) FILTER (WHERE rn = 1) AS peak, avg(lag) FILTER (WHERE r >= 0.8 * top) AS cen FROM tops "
+            f"GROUP BY 1, 2 HAVING max(r) > {spectral.LEAST_R!r}")
+    lo, up = repr(1 - spectral.PERCENTILE), repr(spectral.PERCENTILE)
+    errs = (f"SELECT object_id, quantile_cont(cen, {lo}) AS c0, quantile_cont(cen, 0.5) AS c1, quantile_cont(cen, {up}) AS c2, "
+            f"quantile_cont(peak, {lo}) AS p0, quantile_cont(peak, 0.5) AS p1, quantile_cont(peak, {up}) AS p2, count(*) AS n FROM good GROUP BY 1")
     cols = ", ".join(f"max(r.r) FILTER (WHERE r.lag = {float(v)!r}) AS r_lag_{i}" for i, v in enumerate(lags))
-    body = (f"SELECT m.object_id, p.peak_lag, p.peak_r, c.* EXCLUDE (object_id) FROM meta m LEFT JOIN peak p ON "
+    body = (f"SELECT m.object_id, p.peak_lag, p.peak_r, c.* EXCLUDE (object_id), e.c1 AS centau, e.c2 - e.c1 AS centau_uperr, e.c1 - e.c0 AS centau_loerr, "
+            "e.p1 AS peaktau, e.p2 - e.c1 AS peaktau_uperr, e.c1 - e.p0 AS peaktau_loerr, CASE WHEN p.object_id IS NOT NULL THEN "
+            f"coalesce(e.n, 0) / {spectral.REPLICATES}::DOUBLE END AS success_ratio FROM meta m LEFT JOIN peak p ON "
             f"p.object_id = m.object_id LEFT JOIN (SELECT r.object_id, avg(r.lag) FILTER (WHERE r.r >= pk.peak_r * 0.8) "
             f"AS centroid_lag, {cols} FROM r JOIN peak pk ON pk.object_id = r.object_id GROUP BY r.object_id) c "
-            f"ON c.object_id = m.object_id")
+            f"ON c.object_id = m.object_id LEFT JOIN errs e ON e.object_id = m.object_id")
     return rounded(with_ctes(body, lc="events", meta=True, ctes=[
-        ("probes", probes), ("b2", b2), ("prev", prev), ("nxt", nxt), ("pairs", pairs), ("r", r), ("peak", peak)]))
+        ("probes", probes), ("b2", b2), ("prev", prev), ("nxt", nxt), ("pairs", pairs), ("r", r), ("peak", peak), ("drawn", drawn), ("draws", draws),
+        ("centred", centred), ("sums", sums), ("rr", rr), ("tops", tops), ("good", good), ("errs", errs)]))
 
 
 @register("cross_correlation", _xcorr_sql())
 def q_cross_correlation(spark, sf_dir):
-    """Interpolated cross-correlation of band 5 against band 1 on a lag grid."""
+    """Interpolated cross-correlation of band 5 against band 1 on a lag grid, errors by resampling."""
     return spectral.cross_correlation(lc_events(spark, sf_dir), meta_events(spark, sf_dir), **XC)
 
 
 DC = dict(band1=1, band2=5, lo=-10.0, hi=10.0, bin_width=2.0)
 
 
-def _dcf_sql() -> str:
+def _dcf_sql(weighting: str = "slot") -> str:
     edges = spectral.lag_grid(DC["lo"], DC["hi"], DC["bin_width"])
     nb = len(edges) - 1
     bins = ", ".join(f"({k}, {edges[k]!r}, {edges[k + 1]!r})" for k in range(nb))
+    inside = "b.mjd - a.mjd > k.lo AND b.mjd - a.mjd < k.hi"
+    if weighting == "gauss":   # the kernel's threshold
+        h = DC["bin_width"] / 4
+        kernel = f"exp(-power(b.mjd - a.mjd - (k.lo + k.hi) / 2, 2) / (2 * power({h!r}, 2)))"
+        inside = f"{kernel} >= exp(-power({spectral.GAUSS_REACH!r}, 2) / 2)"
     pairs = (f"SELECT a.object_id, k.bin, (k.lo + k.hi) / 2 AS lag, a.flux AS x, a.flux_err AS ex, b.flux AS y, "
              f"b.flux_err AS ey FROM lc a JOIN lc b ON a.object_id = b.object_id AND a.passband = {DC['band1']} AND "
              f"b.passband = {DC['band2']} JOIN (SELECT * FROM (VALUES {bins}) t(bin, lo, hi)) k ON "
-             f"b.mjd - a.mjd > k.lo AND b.mjd - a.mjd < k.hi")
+             f"{inside}")
     st = ("SELECT object_id, bin, any_value(lag) AS lag, count(*) AS n, avg(x) AS mx, avg(y) AS my, "
           "CASE WHEN (var_pop(x) - power(avg(ex), 2)) * (var_pop(y) - power(avg(ey), 2)) > 0 THEN "
           "sqrt((var_pop(x) - power(avg(ex), 2)) * (var_pop(y) - power(avg(ey), 2))) END AS den FROM pairs GROUP BY 1, 2")
@@ -136,6 +167,12 @@ def q_discrete_correlation(spark, sf_dir):
     return spectral.discrete_correlation(lc_events(spark, sf_dir), **DC)
 
 
+@register("discrete_correlation_gauss", _dcf_sql("gauss"))
+def q_discrete_correlation_gauss(spark, sf_dir):
+    """As ``discrete_correlation`` with the overlapping slots of the gaussian kernel's threshold."""
+    return spectral.discrete_correlation(lc_events(spark, sf_dir), weighting="gauss", **DC)
+
+
 @register("detrend", rounded(with_ctes(
     "SELECT object_id, passband, mjd, t0, flux - (slope * t0 + (sy - slope * sx) / nullif(sw, 0)) AS resid FROM ("
     "SELECT *, CASE WHEN tl > tf THEN (sw * sxy - sx * sy) / nullif(sw * sxx - sx * sx, 0) END AS slope FROM (SELECT *, "

@@ -99,3 +99,45 @@ def test_walk_equals_the_recursion(spark, lc):
     assert set(got) == set(want) and max(map(abs, want[1, 0])) > 0
     for k, v in want.items():
         assert got[k] == pytest.approx(v, rel=2e-6, abs=1e-9)
+
+
+def test_lag_correlations_in_slices(spark, lc):
+    from kilonova.operators import spectral
+
+    two = lc.filter("object_id = 1").unionByName(lc.filter("passband IN (0, 1)").filter("object_id > 1"))
+    sliced(spark, lambda: spectral.interpolated_pairs(two, 0, 1, [-5.0, 0.0, 2.5, 700.0]), rows=300)
+    sliced(spark, lambda: spectral.cross_correlation(two, None, 0, 1, -4.0, 4.0, 2.0, replicates=16), rows=300)
+    for weighting in ("slot", "gauss"):
+        sliced(spark, lambda: spectral.discrete_correlation(two, None, 0, 1, -4.0, 4.0, 2.0, weighting), rows=300)
+
+
+def test_bootstrap_weights_are_poisson(spark):
+    from kilonova.operators.spectral import bootstrap_weights
+
+    rows = spark.range(300).selectExpr(f"posexplode({bootstrap_weights('id', 100)}) AS (rep, k)").groupBy("k").count().collect()
+    share = {r["k"]: r["count"] / 30000 for r in rows}
+    assert sum(share.values()) == pytest.approx(1)
+    for k, p in ((0, 0.3679), (1, 0.3679), (2, 0.1839), (3, 0.0613)):
+        assert share[k] == pytest.approx(p, abs=0.012)
+
+
+def test_gaussian_slots_equal_pairs(spark, lc):
+    from math import exp
+
+    from kilonova.operators import spectral
+
+    rows = [r for r in lc.filter("object_id = 1 AND mjd < 8 AND flux IS NOT NULL").collect()]
+    df = spark.createDataFrame(rows, lc.schema)
+    got = {r.bin: r for r in spectral.discrete_correlation(df, None, 0, 1, -3.0, 3.0, 2.0, "gauss").collect()}
+    a, b = ([r for r in rows if r.passband == p] for p in (0, 1))
+    h = 0.5
+    for k, centre in enumerate((-2.0, 0.0, 2.0)):
+        pairs = [(x, y) for x in a for y in b if exp(-(y.mjd - x.mjd - centre) ** 2 / (2 * h * h)) >= exp(-3.290527 ** 2 / 2)]
+        n, mx, my = len(pairs), sum(x.flux for x, _ in pairs) / len(pairs), sum(y.flux for _, y in pairs) / len(pairs)
+        vx, vy = sum((x.flux - mx) ** 2 for x, _ in pairs) / n, sum((y.flux - my) ** 2 for _, y in pairs) / n
+        ex, ey = sum(x.flux_err for x, _ in pairs) / n, sum(y.flux_err for _, y in pairs) / n
+        den = ((vx - ex * ex) * (vy - ey * ey)) ** 0.5
+        d = [(x.flux - mx) * (y.flux - my) / den for x, y in pairs]
+        dcf = sum(d) / n
+        assert got[k].n_pairs == n and got[k].dcf == pytest.approx(dcf, rel=1e-9, abs=1e-12)
+        assert got[k].dcf_err == pytest.approx(sum((v - dcf) ** 2 for v in d) ** 0.5 / (n - 1), rel=1e-9)
