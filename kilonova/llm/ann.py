@@ -5,11 +5,12 @@ code (one bit a dimension), next to two scalars: the length and the inner produc
 For a query the inner product with each unit vector is estimated from the packed bits and corrected by that scalar; the
 estimate's error is below ``margin`` / sqrt(d - 1) * sqrt(1 - f**2) / f times the query's length with high probability.
 So each distance has a lower and an upper bound: vectors whose lower bound is above the k-th smallest upper bound are
-out, all others are measured on the original vectors in double precision.
+out, all others are measured on the original vectors in double precision.  A bound that isn't finite (lengths whose squares
+overflow) shuts nothing out, and such a distance is measured again with the largest difference taken out of the root.
 
 Vectors are dealt by hash into shards of bounded size, queries go to every shard in batches (a stated query set against
-all rows, in blocks), and each shard returns its k nearest; the k nearest of those are the result.  The centre comes
-from a sample of bounded size and only sharpens the codes; every row is indexed.
+all rows, in blocks), and each shard returns its k nearest; the k nearest of those are the result.  The centre (medians,
+so a few huge vectors don't drag it) comes from a sample of bounded size and only sharpens the codes; every row is indexed.
 
 Rows with a null id, and vectors that are null, empty, zero or hold null or non-finite components take no part.
 Vectors of different dimensions aren't compared.  A repeated query id asks once (with its smallest vector); repeated
@@ -44,30 +45,47 @@ def usable(vec: str) -> Column:
                   f"forall({vec}, x -> x is not null and not isnan(x) and abs(x) < cast('Infinity' as double))")
 
 
+def distances(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore", invalid="ignore"):
+        diff = vectors - q
+        dist = np.sqrt((diff * diff).sum(1))
+        big = ~np.isfinite(dist)
+        if big.any():
+            most = np.abs(diff[big]).max(1)
+            part = diff[big] / most[:, None]
+            dist[big] = np.where(np.isfinite(most), most * np.sqrt((part * part).sum(1)), np.inf)
+    return dist
+
+
 class Codes:
     """One shard's vectors of one dimension."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, centre: np.ndarray, margin: float = MARGIN):
         self.ids, self.vectors, self.centre = ids, vectors, centre
         d = vectors.shape[1]
-        rest = vectors - centre
-        self.length = np.sqrt((rest * rest).sum(1))
-        turned = (rest / np.where(self.length > 0, self.length, 1)[:, None]) @ rotation(d).T
+        with np.errstate(over="ignore", invalid="ignore"):
+            rest = vectors - centre
+            self.length = np.sqrt((rest * rest).sum(1))
+            turned = np.nan_to_num((rest / np.where(self.length > 0, self.length, 1)[:, None]) @ rotation(d).T)
         self.bits = np.packbits(turned > 0, axis=1)
         self.fit = np.maximum(np.abs(turned).sum(1) / np.sqrt(d), 1e-6)
         self.error = margin * np.sqrt(np.maximum(0, 1 - self.fit ** 2)) / self.fit / np.sqrt(max(1, d - 1))
 
     def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Squared distances, from below and above: (queries x vectors)."""
+        """Squared distances, from below and above: (queries x vectors); -inf and inf where nothing finite is known."""
         d = queries.shape[1]
-        q = queries - self.centre
-        turned = (q @ rotation(d).T).astype(np.float32)
-        signs = np.unpackbits(self.bits, axis=1, count=d).astype(np.float32)
-        dot = (2 * (turned @ signs.T) - turned.sum(1)[:, None]) / np.float32(np.sqrt(d))  # with the codes
-        size = np.sqrt((q * q).sum(1))[:, None]
-        near = (size ** 2 + self.length ** 2) - 2 * self.length * (dot / self.fit)
-        slack = 2 * self.length * self.error * size + 1e-5 * (size ** 2 + self.length ** 2)
-        return near - slack, near + slack
+        with np.errstate(over="ignore", invalid="ignore"):
+            q = queries - self.centre
+            size = np.sqrt((q * q).sum(1))[:, None]
+            # of unit length before it becomes a float: no query is too long for one
+            turned = np.nan_to_num((q / np.where(size > 0, size, 1)) @ rotation(d).T).astype(np.float32)
+            signs = np.unpackbits(self.bits, axis=1, count=d).astype(np.float32)
+            dot = (2 * (turned @ signs.T) - turned.sum(1)[:, None]) / np.float32(np.sqrt(d))  # with the codes
+            near = (size ** 2 + self.length ** 2) - 2 * self.length * size * (dot / self.fit)
+            slack = 2 * self.length * self.error * size + 1e-5 * (size ** 2 + self.length ** 2)
+            low, high = near - slack, near + slack
+        known = np.isfinite(low) & np.isfinite(high)
+        return np.where(known, low, -np.inf), np.where(known, high, np.inf)
 
     def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
         """(query, id, distance) of the k nearest vectors of the shard for each query."""
@@ -78,8 +96,7 @@ class Codes:
                 b = np.where(self.ids == qid, np.inf, b)
                 limit = np.partition(b, k - 1)[k - 1] if len(b) > k else np.inf
                 at = np.flatnonzero((a <= limit) & (self.ids != qid))
-                diff = self.vectors[at] - q
-                dist = np.sqrt((diff * diff).sum(1))
+                dist = distances(self.vectors[at], q)
                 best = np.lexsort((self.ids[at], dist))[:k]
                 yield np.full(len(best), qid), self.ids[at][best], dist[best]
 
@@ -128,7 +145,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
     shards = max(1, -(-n // SHARD), min(tasks, -(-n // SPREAD)))
     share = min(1.0, CENTRE_SAMPLE / max(1, n))
     sample = data.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 24)) < int(share * (1 << 24)) + 1).limit(2 * CENTRE_SAMPLE)
-    means = sample.select(F.size("vec").alias("d"), F.posexplode("vec")).groupBy("d", "pos").agg(F.avg("col").alias("m")).orderBy("d", "pos").collect()
+    means = sample.select(F.size("vec").alias("d"), F.posexplode("vec")).groupBy("d", "pos").agg(F.median("col").alias("m")).orderBy("d", "pos").collect()
     centres: dict[int, list[float]] = {}
     for r in means:
         centres.setdefault(r.d, []).append(r.m)

@@ -61,3 +61,19 @@ def test_one_vector_in_a_third_of_all_rows(spark):
         assert [got[q, r][1] for r in range(1, 11)] == pytest.approx([d for _, d in want])
         if q % 3 == 0:
             assert [got[q, r][0] for r in range(1, 11)] == [i for i, _ in want]
+
+
+@pytest.mark.parametrize("who,scale", [(450, 1e40), (450, 1e43), (450, 1e160), (450, 1e300), (300, 1e40), (300, 1e200), (7, 1e-200)])
+def test_huge_and_tiny_vectors(spark, who, scale):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((900, 16))
+    x[who] *= scale
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, df.where("vec_id % 100 = 0")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert {q: len(v) for q, v in got.items()} == {q: 10 for q in range(0, 900, 100)}
+    for q, found in got.items():
+        assert all(np.isfinite(s) for _, _, s in found)
+        if q != who:
+            assert [v for _, v, _ in sorted(found)] == [v for v, _ in brute(np.arange(900), x, q, x[q], 10)]
