@@ -49,11 +49,11 @@ def distances(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore", invalid="ignore"):
         diff = vectors - q
         dist = np.sqrt((diff * diff).sum(1))
-        big = ~np.isfinite(dist)
-        if big.any():
-            most = np.abs(diff[big]).max(1)
-            part = diff[big] / most[:, None]
-            dist[big] = np.where(np.isfinite(most), most * np.sqrt((part * part).sum(1)), np.inf)
+        odd = ~np.isfinite(dist) | (dist < 1e-150)   # squares overflow or vanish
+        if odd.any():
+            most = np.abs(diff[odd]).max(1)
+            part = diff[odd] / np.where(most > 0, most, 1)[:, None]
+            dist[odd] = np.where(np.isfinite(most), most * np.sqrt((part * part).sum(1)), np.inf)
     return dist
 
 

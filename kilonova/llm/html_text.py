@@ -3,7 +3,7 @@
 The page is parsed into a tree (tolerant: implied ends of the head, of paragraphs and list items, unclosed tags, truncated
 pages).
 Every text block gives points -- one, one per comma, one per hundred characters up to three -- to its parent, half of
-them to its grandparent and a third, a quarter ... further up.  A container's score is discounted by its link density
+them to its grandparent and a third, a quarter ... further up, to the 50th ancestor.  A container's score is discounted by its link density
 (share of its characters inside links); tags and class / id words that name an article or its surroundings add or take
 points.  The page itself can be the best container.  What stands beside the best one, and beside the containers around
 it up to an ``article`` or ``main`` or the page, is kept if it scores at least a fifth of it, or if it is text by its
@@ -11,14 +11,15 @@ length and link density: paragraphs, lists, tables, bare text and the like with
 other containers with less than a quarter (none if short), headings if what follows them is kept.  Menus, headers, footers,
 sidebars, notices, adverts, forms and reader comments are left out everywhere.
 
-Result: blocks in page order joined by one newline; inside a block white space is one space; character references are
-decoded.  Null, empty and text-free pages give the empty text.  Text is never cut.  Repeated rows are
+Result: blocks in page order joined by one newline; inside a block white space (Unicode's, no-break spaces included) is
+one space; character references are decoded.  All steps take time in proportion to the page, however odd its nesting.  Null, empty and text-free pages give the empty text.  Text is never cut.  Repeated rows are
 worked on each for itself; all other columns of a row travel in ``row``, so no name can clash.
 """
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,22 +49,30 @@ AWAY = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adv|banner\d*|sponsor\w*|pro
                   r"alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|"
                   r"toolbar|pager|pagination|skip|hidden|legal|copyright|feedback|discussion|disclaimer|tags?)(?=$|[\s_-])", re.I)
 GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content\w*|entry\w*|main\w*|post\w*|story\w*|text|blog\w*)(?=$|[\s_-])", re.I)
-TAG = re.compile(r"<(?:!--(?P<c>.*?)(?:-->|$)|(?P<d>[!?][^>]*)(?:>|$)|(?P<e>/)?(?P<t>[a-zA-Z][^\s/>]*)(?P<a>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$))", re.S)
+MARK = re.compile(r"<(?:(?P<c>!--)|(?P<d>[!?])|(?P<e>/)?(?P<t>[a-zA-Z][^\s/>]*))")
+TAIL = re.compile(r">|=\s*([\"'])")
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
+SPACE = re.compile(r"\s+")
+#: ancestors that a block gives points to
+LEVELS = 50
 
 BASE = {"article": 25.0, "main": 15.0, "section": 4.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0,
         "ul": -3.0, "ol": -3.0, "dl": -3.0, "li": -3.0, "dd": -3.0, "dt": -3.0, "h1": -5.0, "h2": -5.0, "h3": -5.0, "th": -5.0}
 
 
 class Node:
-    """away: 2 if its tag or attributes hide it, 1 if only its class, id or role speaks against it; talk: reader comments."""
+    """away: 2 if its tag or attributes hide it, 1 if only its class, id or role speaks against it; talk: reader comments;
+    block, cell: the nearest block and table cell from here up; art: inside an article; clear: no ancestor has away = 1."""
 
-    __slots__ = ("tag", "kids", "up", "score", "chars", "linked", "away", "talk")
+    __slots__ = ("tag", "kids", "up", "score", "chars", "linked", "away", "talk", "depth", "block", "cell", "art", "clear")
 
     def __init__(self, tag: str, up: Node | None, away: int = 0, score: float = 0.0):
         self.tag, self.up, self.kids, self.away, self.score, self.chars, self.linked = tag, up, [], away, score, 0, 0
-        self.talk = False
+        self.talk = self.clear = False
+        self.depth = up.depth + 1 if up is not None else 0
+        self.block = self if tag in BLOCK else up.block if up is not None else None
+        self.cell = self if tag in ("td", "th") else up.cell if up is not None else None
+        self.art = tag in ("article", "main") or up is not None and up.art
 
 
 def _open(tag: str, attrs: str, up: Node) -> Node:
@@ -85,85 +94,120 @@ def _open(tag: str, attrs: str, up: Node) -> Node:
     return node
 
 
+class _Path:
+    """The open nodes, and those of each tag by depth: an end is found without climbing."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.of = [root], {root.tag: [root]}
+
+    def open(self, k: Node) -> None:
+        self.nodes.append(k)
+        self.of.setdefault(k.tag, []).append(k)
+
+    def close(self, k: Node) -> None:
+        """Ends ``k`` and all that is open in it; every node is closed once."""
+        while self.nodes[-1].depth >= k.depth:
+            self.of[self.nodes.pop().tag].pop()
+
+    def last(self, tag: str) -> Node | None:
+        nodes = self.of.get(tag)
+        return nodes[-1] if nodes else None
+
+    def first_below(self, tag: str, depth: int) -> Node | None:
+        """The outermost open node of the tag that is deeper than ``depth``."""
+        nodes = self.of.get(tag, [])
+        i = bisect_right(nodes, depth, key=lambda k: k.depth)
+        return nodes[i] if i < len(nodes) else None
+
+
+def _tag_end(page: str, at: int, last: dict[str, int]) -> tuple[int, int]:
+    """End of a tag's attributes, and the place behind its ``>``.  A quote counts only after ``=`` and if it is closed."""
+    while m := TAIL.search(page, at):
+        if m[1] is None:
+            return m.start(), m.end()
+        at = page.find(m[1], m.end()) + 1 if m.end() <= last[m[1]] else m.end()
+    return len(page), len(page)
+
+
+def _ended(path: _Path, tag: str) -> Node | None:
+    """The open node that an end tag closes.  An inline end tag doesn't reach out of its block; a block's end tag doesn't
+    leave a table cell."""
+    node, k = path.nodes[-1], path.last(tag)
+    if k is None:
+        return None
+    if tag not in BLOCK:
+        return k if node.block is None or k.depth > node.block.depth else None
+    if node.cell is not None and k.depth < node.cell.depth and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
+        return None
+    return k
+
+
 def parse(page: str) -> Node:
-    root = node = Node("html", None)
-    at, n = 0, len(page)
-    for m in iter(lambda: TAG.search(page, at), None):
-        if m.start() > at:
-            if node.tag == "head" and page[at:m.start()].strip():
-                node = node.up
-            node.kids.append(page[at:m.start()])
-        at = max(m.end(), m.start() + 1)
+    root = Node("html", None)
+    path = _Path(root)
+    at, n, seen = 0, len(page), 0
+    last = {q: page.rfind(q) for q in "\"'"}
+    while m := MARK.search(page, seen):
+        start = m.start()
         tag = m["t"]
+        if tag is None:
+            end = page.find("-->" if m["c"] else ">", m.end())
+            stop = end + (3 if m["c"] else 1) if end >= 0 else n
+        else:
+            attrs_end, stop = _tag_end(page, m.end(), last)
+            attrs, tag = page[m.end():attrs_end], tag.lower()
+        if start > at:
+            if path.nodes[-1].tag == "head" and page[at:start].strip():
+                path.close(path.nodes[-1])
+            path.nodes[-1].kids.append(page[at:start])
+        at = seen = stop
         if tag is None:
             continue
-        tag = tag.lower()
         if m["e"]:
-            k = node
-            while k is not None and k.tag != tag:
-                # an inline end tag doesn't reach out of its block; a block's end tag doesn't leave a table cell
-                if tag not in BLOCK and k.tag in BLOCK or k.tag in ("td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    k = None
-                    break
-                k = k.up
+            k = _ended(path, tag)
             if k is not None and k.up is not None:
-                node = k.up
+                path.close(k)
             elif tag == "p" and k is None:
-                node.kids.append(Node("p", node))
+                path.nodes[-1].kids.append(Node("p", path.nodes[-1]))
             continue
-        if tag == "body" or node.tag == "head" and tag not in IN_HEAD and tag != "html":
-            k = node
-            while k is not None and k.tag != "head":
-                k = k.up
-            node = k.up if k is not None else node
+        if tag == "body" or path.nodes[-1].tag == "head" and tag not in IN_HEAD and tag != "html":
+            k = path.last("head")
+            if k is not None:
+                path.close(k)
         if tag in ("html", "body"):
             continue
         if tag in ("article", "main"):  # a wrapper named after what stands beside the article is no surrounding
-            k = node
-            while k is not None:
-                k.away = 0 if k.away == 1 else k.away
+            k = path.nodes[-1]
+            while k is not None and not k.clear:
+                k.away, k.clear = 0 if k.away == 1 else k.away, True
                 k = k.up
-        if tag in CLOSES_P:
-            k = node
-            while k is not None and k.tag != "p" and k.tag not in BLOCK:
-                k = k.up
-            if k is not None and k.tag == "p":
-                node = k.up
+        if tag in CLOSES_P and (k := path.nodes[-1].block) is not None and k.tag == "p":
+            path.close(k)
         if tag in IMPLIED:
-            ends, stop = IMPLIED[tag]
-            k, last = node, None
-            while k is not None and k.tag not in stop:
-                if k.tag in ends:
-                    last = k
-                k = k.up
-            if last is not None:
-                node = last.up
-        new = _open(tag, m["a"], node)
-        node.kids.append(new)
-        if tag in VOID or m["a"].endswith("/") and tag not in BLOCK and tag not in RAW and tag != "a":
+            ends, stops = IMPLIED[tag]
+            depth = max((k.depth for t in stops if (k := path.last(t)) is not None), default=-1)
+            outer = min((k for t in ends if (k := path.first_below(t, depth)) is not None), key=lambda k: k.depth, default=None)
+            if outer is not None:
+                path.close(outer)
+        up = path.nodes[-1]
+        new = _open(tag, attrs, up)
+        up.kids.append(new)
+        if tag in VOID or attrs.endswith("/") and tag not in BLOCK and tag not in RAW and tag != "a":
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|$)", re.I).search(page, at)
-            at = end.end() if end else n
+            at = seen = end.end() if end else n
             continue
-        node = new
+        path.open(new)
     if at < n:
-        if node.tag == "head" and page[at:].strip():
-            node = node.up
-        node.kids.append(page[at:])
+        if path.nodes[-1].tag == "head" and page[at:].strip():
+            path.close(path.nodes[-1])
+        path.nodes[-1].kids.append(page[at:])
     return root
 
 
-def _in_article(k: Node) -> bool:
-    while k is not None:
-        if k.tag in ("article", "main"):
-            return True
-        k = k.up
-    return False
-
-
 def _skipped(k: Node) -> bool:
-    return k.away or k.tag == "header" and not _in_article(k)
+    return k.away or k.tag == "header" and not k.art
 
 
 def _blocks(top: Node) -> list[tuple[str, int, Node]]:
@@ -210,25 +254,38 @@ def _blocks(top: Node) -> list[tuple[str, int, Node]]:
     return out
 
 
-def _readmit(root: Node, share: float) -> bool:
-    """Takes the outermost containers that only their names speak against, and that hold more than ``share`` of the
-    page's text, for wrappers of the article.  Reader comments stay out while share > 0."""
+def _readmit(root: Node, share: float) -> None:
+    """Takes containers that only their names speak against, and that hold more than ``share`` of the page's text, for
+    wrappers of the article.  Reader comments stay out."""
     order, chars = [root], {}
     for k in order:
         order += [x for x in k.kids if isinstance(x, Node) and x.away < 2]
     for k in reversed(order):
         chars[id(k)] = sum(chars.get(id(x), 0) if isinstance(x, Node) else len(x.strip()) for x in k.kids)
-    found, todo = False, [root]
+    todo = [root]
     while todo:
         k = todo.pop()
         if k.away == 1:
-            if chars[id(k)] <= share * chars[id(root)] or share and k.talk:
-                continue
-            k.away, found = 0, True
-            if not share:
+            if chars[id(k)] <= share * chars[id(root)] or k.talk:
                 continue
+            k.away = 0
         todo += [x for x in k.kids if isinstance(x, Node) and x.away < 2]
-    return found
+
+
+def _readmit_names(root: Node) -> None:
+    """Takes in the outermost containers that only their names speak against, layer by layer until there is text."""
+    layer = [root]
+    while layer:
+        todo, found = layer, []
+        while todo:
+            for x in todo.pop().kids:
+                if isinstance(x, Node) and x.away < 2:
+                    (found if x.away else todo).append(x)
+        for x in found:
+            x.away = 0
+        if any([_blocks(x) for x in found]):
+            return
+        layer = found
 
 
 def _value(k: Node) -> float:
@@ -280,26 +337,30 @@ def main_text(page: str | None) -> str:
     root = parse(page)
     _readmit(root, 0.6)
     blocks = _blocks(root)
-    while not blocks and _readmit(root, 0.0):  # names alone don't empty a page
+    if not blocks:  # names alone don't empty a page
+        _readmit_names(root)
         blocks = _blocks(root)
     touched: dict[int, Node] = {}
     for text, linked, holder in blocks:
         points = 1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) // 100, 3)
         points *= 1 - linked / len(text)
         k, depth = (holder.up or holder) if holder.tag not in ("div", "td", "section", "article", "main", "html") else holder, 1
-        up = holder
-        while up is not None:
-            up.chars += len(text)
-            up.linked += linked
-            up = up.up
+        holder.chars += len(text)
+        holder.linked += linked
         if len(text) < 2:
             continue
-        while k is not None:
+        while k is not None and depth <= LEVELS:
             touched[id(k)] = k
             k.score += points / depth
             k, depth = k.up, depth + 1
     if not blocks:
         return ""
+    order = [root]
+    for k in order:
+        order += [x for x in k.kids if isinstance(x, Node)]
+    for k in reversed(order[1:]):  # children come behind their parents
+        k.up.chars += k.chars
+        k.up.linked += k.linked
     best = max(touched.values(), key=_value, default=root)
     top = best
     if best is root:

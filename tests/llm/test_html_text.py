@@ -102,3 +102,29 @@ def test_pages_without_an_article():
         page = "".join(parts)
         for whole in (f"<body>{page}", f"<body><div id=wrap>{page}</div></body>", f"<body>{away[0]}<div><div class=main>{page}</div></div>{away[1]}"):
             assert main_text(whole) == "\n".join(want), whole
+
+
+def test_odd_nesting_takes_linear_time():
+    """Shapes of a megabyte that a climb per tag or a backtracking pattern would work on for hours."""
+    import time
+
+    n = 30_000
+    pages = {
+        "".join(f"<div>text {i}" for i in range(n)): "\n".join(f"text {i}" for i in range(n)),
+        "<b>" * n + "".join(f"<p>para {i}" for i in range(n)): "\n".join(f"para {i}" for i in range(n)),
+        "<a b " * n + '"': "", '<a b="' + "<a b " * n: "", "<p>x" + "<" * n: "x" + "<" * n,
+        "<i><div>" + "<b></i>x" * n: "x" * n, "<ul>" + "<li><div>x" * n: "\n".join("x" * n),
+        "<table>" + "<tr><td><table>" * n + "x": "x", "<div class=ad>" * n + "x": "x", "<div class=sidebar>" * n + "<article>x": "x",
+        "<div>" + "</span>x" * n: "x" * n, "<!--" * n: "",
+    }
+    began = time.time()
+    for page, want in pages.items():
+        assert main_text(page) == want, page[:60]
+    assert time.time() - began < 120
+
+
+def test_quotes_and_spaces():
+    assert main_text("<p title='a > b'>one</p><p t=\"x>y\" u = 'z>'>two</p>") == "one\ntwo"
+    assert main_text("<p it's>one</p><p a=\">two</p>") == "one\ntwo"
+    assert main_text("<p>a b　\u0085c d&nbsp;e​f</p>") == "a b c d e​f"
+    assert main_text("<td>x</table></td>y<td><b>z</td></b>w") == "x\ny\nz\nw"
