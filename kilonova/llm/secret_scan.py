@@ -2,11 +2,12 @@
 
 Each text is scanned once for spans of three base kinds and for *candidates* of a fourth kind (long mixed tokens of
 high entropy that no base span covers).  The digest of every found secret is counted over the whole corpus by distinct
-owners: a value that many owners carry is a copied example, a value that stays with one or two owners is a live-looking
-credential, however many of their documents (or copies of a document) repeat it.  Base spans always stay; a candidate
-becomes a span (kind ``owned``) only when its ownership is that narrow.  Only digests are shuffled, never the values.
+repositories (a text of an owner; its copies there are one) and distinct owners: a value that many owners carry is a copied
+example, a value that stays with one or two owners is a live-looking credential, in however many of their repositories it
+stands.  Both figures are reported.  Base spans always stay; a candidate becomes a span (kind ``owned``) only when its
+ownership is that narrow.  Only digests are shuffled, never the values.
 
-Null, empty and white-space texts have no spans; a null owner counts as one unnamed owner.
+Null, empty and white-space texts have no spans; a null owner, or a table without owners, counts as one unnamed owner.
 Repeated rows are scanned each for itself.  Output order of spans: by start, then kind in the order of ``KINDS``.
 """
 from __future__ import annotations
@@ -33,8 +34,6 @@ MIXED = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 MAX_OWNERS = 2
 MIN_ENTROPY = 3.5  # bits a character
 
-_SALTS = 16  # a digest carried by a third of all rows is dealt over so many tasks
-
 
 def _entropy(s: str) -> float:
     n = len(s)
@@ -64,15 +63,20 @@ _FOUND = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end"
 _FOUND_SQL = "array<struct<start:long,kind:int,end:long,digest:binary>>"
 
 
+def _digest(v: str) -> bytes:
+    return hashlib.sha256(v.encode("utf-8", "surrogatepass")).digest()[:16]
+
+
 def _scan(batches, text: str = "text"):
     for b in batches:
-        rows = []
+        rows, repos = [], []
         for t in column_of(b, text).to_pylist():
-            rows.append([{"start": s, "kind": k, "end": e, "digest": hashlib.sha256(v.encode("utf-8", "surrogatepass")).digest()[:16]}
-                         for s, k, e, v in find(t)])
+            got = find(t)
+            rows.append([{"start": s, "kind": k, "end": e, "digest": _digest(v)} for s, k, e, v in got])
+            repos.append(_digest(t) if got else None)
         keep = [i for i, n in enumerate(b.schema.names) if n != "text"]
-        yield pa.RecordBatch.from_arrays([*(b.columns[i] for i in keep), pa.array(rows, _FOUND)],
-                                         names=[*(b.schema.names[i] for i in keep), "found"])
+        yield pa.RecordBatch.from_arrays([*(b.columns[i] for i in keep), pa.array(rows, _FOUND), pa.array(repos, pa.binary())],
+                                         names=[*(b.schema.names[i] for i in keep), "found", "repo"])
 
 
 def _joined(spans: Column) -> Column:
@@ -81,50 +85,56 @@ def _joined(spans: Column) -> Column:
         ":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def _live(scanned: DataFrame, max_owners: int) -> DataFrame:
-    """(digest, live) of every value found in rows with owner and found."""
-    hits = scanned.where(F.size("found") > 0).select("owner", F.explode("found.digest").alias("digest"))
-    # distinct owners of each value: partial sums on the map side, one row per (value, owner) first
-    owned = hits.groupBy("digest", "owner").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("*").alias("n_owners"))
-    return owned.select("digest", (F.col("n_owners") <= max_owners).alias("live"))
+def ownership(scanned: DataFrame) -> DataFrame:
+    """digest, n_repos, n_owners of every value found in rows with owner, repo and found."""
+    hits = scanned.where(F.size("found") > 0).select("owner", "repo", F.explode("found.digest").alias("digest"))
+    # one row per (value, owner, repository), then per (value, owner): copies and repetitions go on the map side
+    one = hits.groupBy("digest", "owner", "repo").agg(F.lit(1).alias("one"))
+    return one.groupBy("digest", "owner").agg(F.count("*").alias("n")).groupBy("digest").agg(
+        F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
-def _judged(rows: DataFrame, live: DataFrame) -> DataFrame:
-    """Per ``rid`` of rows with found values: spans (base ones and live candidates), n_live, n_shared."""
-    verdict = live.select("digest", "live", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
-    hits = rows.where(F.size("found") > 0).select("rid", F.explode("found").alias("s"))
-    judged = hits.select("rid", "s", F.col("s.digest").alias("digest"),
-                         F.pmod(F.hash("rid"), F.lit(_SALTS)).alias("salt")).join(verdict, ["digest", "salt"])
+def _judged(rows: DataFrame, owned: DataFrame, max_owners: int) -> DataFrame:
+    """Per ``rid`` of rows with found values: spans (base ones and live candidates), n_live, n_shared, most_repos, most_owners.
+    A value that a third of all rows hold makes a skewed join, which Spark splits."""
+    hits = rows.where(F.size("found") > 0).select("rid", F.explode("found").alias("s")).withColumn("digest", F.col("s.digest"))
+    judged = hits.join(owned, "digest").withColumn("live", F.col("n_owners") <= max_owners)
     return judged.groupBy("rid").agg(
         F.array_sort(F.collect_list(F.when(F.col("live") | (F.col("s.kind") < 3),
                                            F.struct("s.start", "s.kind", "s.end")))).alias("spans"),
-        F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_shared"))
+        F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_shared"),
+        F.max("n_repos").alias("most_repos"), F.max("n_owners").alias("most_owners"))
+
+
+def _owner(docs: DataFrame, owner: str) -> Column:
+    return docs[owner].cast("string") if owner in docs.columns else F.lit(None).cast("string")
 
 
 def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source",
                  max_owners: int = MAX_OWNERS) -> DataFrame:
     """One row per row of ``docs``: ``key``, spans (array of start, kind, end; final), n_live, n_shared (found values,
-    base ones included, that are owner-specific or widely copied)."""
+    base ones included, that are owner-specific or widely copied), most_repos, most_owners (largest numbers of repositories
+    and owners of one of its values; 0: no value)."""
     src = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"),
-                      F.col(owner).cast("string").alias("owner"), F.col(text).alias("text"))
+                      _owner(docs, owner).alias("owner"), F.col(text).alias("text"))
     scanned = src.mapInArrow(
-        _scan, "rid long, key " + docs.schema[key].dataType.simpleString() + f", owner string, found {_FOUND_SQL}")
+        _scan, "rid long, key " + docs.schema[key].dataType.simpleString() + f", owner string, found {_FOUND_SQL}, repo binary")
     scanned = written(scanned, "secret-scan")
-    per_row = _judged(scanned, _live(scanned, max_owners))
+    per_row = _judged(scanned, ownership(scanned), max_owners)
     none = F.array().cast("array<struct<start:long,kind:int,end:long>>")
     return (scanned.select("rid", "key").join(per_row, "rid", "left")
             .select(F.col("key").alias(key), F.coalesce("spans", none).alias("spans"),
-                    F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_shared", F.lit(0)).alias("n_shared")))
+                    *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_live", "n_shared", "most_repos", "most_owners")]))
 
 
 def secret_report(docs: DataFrame, **params) -> DataFrame:
-    """The digest form: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_shared."""
+    """The digest form: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_shared, most_repos, most_owners."""
     s = secret_spans(docs, **params)
     n = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
     base = F.filter("spans", lambda x: x["kind"] < 3)
     return s.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
                     F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"),
-                    "n_live", "n_shared")
+                    "n_live", "n_shared", "most_repos", "most_owners")
 
 
 def _mask(batches):
@@ -153,14 +163,13 @@ def mask_secrets(docs: DataFrame, text: str = "text", owner: str = "source", max
 
     One scan writes the rows with what it found.  Rows without candidates need no verdict and aren't shuffled: their base
     spans are masked, or they pass as they are.  Only rows with candidates meet the ownership counts."""
-    own = docs[owner].cast("string") if owner in docs.columns else F.lit(None).cast("string")
     src = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[docs[c] for c in docs.columns]).alias("row"),
-                      own.alias("owner"))
+                      _owner(docs, owner).alias("owner"))
     row = f"row {src.schema['row'].dataType.simpleString()}"
-    scanned = src.mapInArrow(lambda batches: _scan(batches, text), f"rid long, {row}, owner string, found {_FOUND_SQL}")
+    scanned = src.mapInArrow(lambda batches: _scan(batches, text), f"rid long, {row}, owner string, found {_FOUND_SQL}, repo binary")
     scanned = written(scanned, "secret-rows")
     open_ = F.exists("found", lambda s: s["kind"] == 3)
-    judged = _judged(scanned.where(open_).select("rid", "found"), _live(scanned.select("owner", "found"), max_owners))
+    judged = _judged(scanned.where(open_).select("rid", "found"), ownership(scanned), max_owners)
     plain = scanned.where(F.size("found") == 0).select("row.*")
     base = F.transform("found", lambda s: F.struct(s["start"], s["kind"], s["end"]))
     todo = scanned.where((F.size("found") > 0) & ~open_).select("row", F.col(f"row.{text}").alias("_text"), base.alias("_spans"))

@@ -88,3 +88,10 @@ def test_an_owner_may_repeat_its_secret(spark):
         assert (got[d].n_live, got[d].n_shared) == ((1, 0) if live else (0, 1))
         assert got[d].spans == ("owned:0:23" if d < 100 else "owned:2:25" if live else "")
         assert masked[d] == (text.replace(often, "[SECRET]").replace(page, "[SECRET]") if live else text)
+        assert (got[d].most_repos, got[d].most_owners) == ((30, 1) if d < 100 else (2, 2) if live else (20, 3))
+
+
+def test_without_owners(spark):
+    rows = [(1, "a Zx9Qw8Er7Ty6Ui5Op4As3Df b"), (2, "nothing")]
+    got = {r.doc_id: (r.spans, r.most_repos, r.most_owners) for r in secret_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("owned:2:25", 1, 1), 2: ("", 0, 0)}
