@@ -78,6 +78,36 @@ def _distinct(batches):
         yield rows(np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64), n)
 
 
+# -- the automaton
+
+PIECE = 256  # tokens of a long text that are read in one go
+
+
+class Automaton:
+    """States are the root and every known n-gram shorter than the model's order; they share numbers with the n-grams.  The
+    n-gram (h, w) is the arc from state h on token w, with weight ``arc`` and end ``target``; ``fail`` is the weight of the
+    failure arc from a state to its ``suffix``.  The root has an arc for every token."""
+
+    def __init__(self, root, depth, known, arc, target, suffix, fail):
+        self.root, self.depth, self.known, self.arc, self.target, self.suffix, self.fail = root, depth, known, arc, target, suffix, fail
+
+    def step(self, state: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weight of reading one token in each state, and the new states.  ``grams``: by depth of the state, the n-gram that
+        ends with the token (that is, the arc to look for); failure arcs are followed until there is one."""
+        weight, new = np.zeros(len(state)), np.full(len(state), self.root)
+        todo, at = np.arange(len(state)), state
+        while len(todo):
+            arc = grams[self.depth[at], todo]
+            found = (at == self.root) | (arc >= 0) & self.known[arc]
+            hit = todo[found]
+            weight[hit] += self.arc[arc[found]]
+            new[hit] = self.target[arc[found]]
+            todo, at = todo[~found], at[~found]
+            weight[todo] += self.fail[at]
+            at = self.suffix[at]
+        return weight, new
+
+
 # -- n-grams of a block
 
 class Block:
@@ -118,32 +148,56 @@ class Block:
         edges = np.array([(k << 64) // n for k in range(1, n)], np.uint64)
         return np.concatenate([[0], np.searchsorted(self.unique, edges), [len(self.unique)]])
 
-    def read(self, counts: np.ndarray, tokens: int, distinct: int, mass: float):
-        """Reads every text through the automaton: n_known, base score, score of each text."""
-        z = tokens + 0.1 * (distinct + 1)
-        c = [np.where(p >= 0, counts[p], 0) for p in self.place]
-        root = (c[0] + 0.1) / z
-        # weight of the arc at each depth, and the count of the state that it leaves
-        arc, state = [root], [None]
+    def automaton(self, counts: np.ndarray, tokens: int, distinct: int, mass: float) -> Automaton:
+        """The part of the model's automaton that the block's texts can reach, from the total counts of ``unique``."""
+        n, root = len(self.unique), len(self.unique)
+        depth, context, suffix = np.zeros(n + 1, np.int64), np.full(n + 1, root), np.full(n + 1, root)
+        for m in range(1, self.order + 1):
+            at = np.flatnonzero(self.valid[m - 1])
+            gram = self.place[m - 1][at]
+            depth[gram] = m
+            if m > 1:
+                suffix[gram] = self.place[m - 2][at]
+                before = self.place[m - 2][at - 1]  # the gram's own context ends one token earlier
+                context[gram] = np.where(np.isin(at, self.first, assume_unique=True), self.start_place, before) if m == 2 else before
+        depth[self.start_place] = 1
+        c = np.append(counts, 0)
+        known = c > 0
+        # smoothed probability of every n-gram, by rising order
+        p = (c + 0.1) / (tokens + 0.1 * (distinct + 1))
         for m in range(2, self.order + 1):
-            h = np.zeros(len(root), np.int64)
-            h[1:] = c[m - 2][:-1]
-            if m == 2:
-                h[self.first] = counts[self.start_place]
-            h[~self.valid[m - 1]] = 0  # the context must lie within the text
-            state.append(h)
-            arc.append((c[m - 1] + mass * arc[-1]) / (h + mass))
-        total, open_ = np.zeros(len(root)), np.ones(len(root), bool)
-        for m in range(self.order, 1, -1):
-            here = open_ & (state[m - 1] > 0)  # the longest known suffix, or reached by a failure arc
-            hit = here & (c[m - 1] > 0)
-            total[hit] += np.log10(arc[m - 1][hit])
-            fail = here & ~hit
-            total[fail] += np.log10(mass / (state[m - 1][fail] + mass))
-            open_ &= ~hit
-        total[open_] += np.log10(root[open_])
+            g = np.flatnonzero(depth == m)
+            p[g] = (c[g] + mass * p[suffix[g]]) / (c[context[g]] + mass)
+        # an arc ends in the longest known suffix that is short enough for a state
+        target = np.where(depth < self.order, np.arange(n + 1), suffix)
+        target = np.where(known[target], target, root)
+        with np.errstate(divide="ignore"):
+            return Automaton(root, depth, known, np.log10(p), target, suffix, np.log10(mass / (c + mass)))
+
+    def read(self, counts: np.ndarray, tokens: int, distinct: int, mass: float):
+        """Reads every text through the automaton, from left to right: n_known, base score, score of each text."""
+        auto = self.automaton(counts, tokens, distinct, mass)
+        places = np.stack(self.place)
+        start = self.start_place if self.order > 1 and counts[self.start_place] > 0 else auto.root
+        # long texts are read in pieces; a piece is led in by the tokens that its first state can depend on
+        count = -(-self.size // PIECE)
+        text = np.repeat(np.arange(len(self.size)), count)
+        piece = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+        begin = self.first[text] + piece * PIECE
+        end = np.minimum(begin + PIECE, self.first[text] + self.size[text])
+        at = np.where(piece > 0, begin - (self.order - 1), begin)
+        state, total = np.where(piece > 0, auto.root, start), np.zeros(len(text))
+        live = np.argsort(at - end, kind="stable")  # longest first: those still reading are in front
+        left = (end - at)[live]
+        for step in range(int(left[0]) if len(left) else 0):
+            live = live[:np.searchsorted(-left[:len(live)], -step, "left")]
+            here = at[live] + step
+            got, state[live] = auto.step(state[live], places[:, here])
+            total[live] += np.where(here >= begin[live], got, 0.0)
+        one = self.place[0]
         add = lambda x: np.add.reduceat(x, self.first) if len(self.first) else np.zeros(0)
-        return add((c[0] > 0).astype(np.int64)), add(np.log10(root)), add(total)
+        score = np.bincount(text, total, len(self.size)) if len(text) else np.zeros(len(self.size))
+        return add((counts[one] > 0).astype(np.int64)), add(auto.arc[one]), score
 
 
 def _planes(a: np.ndarray) -> bytes:

@@ -67,6 +67,18 @@ def test_orders_blocks_and_odd_rows(spark, order, monkeypatch):
     compare([tuple(r) for r in out.collect()], brute(rows, order, lm_score.MASS))
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_long_texts_in_pieces(spark, order, monkeypatch):
+    import random
+
+    monkeypatch.setattr(lm_score, "PIECE", 7)
+    rnd = random.Random(order)
+    rows = [(i, " ".join(rnd.choice("abcde") for _ in range(rnd.randint(0, 60)))) for i in range(80)]
+    out = lm_score.score_texts(spark.createDataFrame([(i, t, "s", "r", 1) for i, t in rows], COLS), order=order)
+    out = out.select("row.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    compare([tuple(r) for r in out.collect()], brute(rows, order, lm_score.MASS))
+
+
 def test_context_helps_on_held_out_text(spark):
     rows = [r for r in queries.queries()["op3_lm_score"](spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
