@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import pure_magnitude
-from ..functions.windows import join_back, lag_columns
+from ..functions.core import pure_magnitude, snap
+from ..functions.windows import join_back, lag_columns, running_sums
 from . import scaling, stats
 
 
@@ -79,3 +79,32 @@ def fluxfactor_maxpoint_passband(lc: DataFrame, meta: DataFrame, gap: float = 10
     """G20 (band form): photoz^2 scaling on the peak segment, then G6 + G7."""
     rows = scaling.scale_by_photoz2(segment_by_gap(lc, gap), meta)
     return stats.band_features(rows, meta, contrasts=False, drop_stats=())
+
+
+def split_steps(lc: DataFrame) -> DataFrame:
+    """Exact two-means of each object's time steps: object_id, split_step (the largest short step), n_short, n_long,
+    mean_short, mean_long.  Steps are cut where the squares within both groups are least (the smaller step on ties);
+    objects with fewer than two different steps have no row.
+
+    Equal steps collapse to counts; running counts and sums over the steps by length, slice by slice, give every cut's gain."""
+    steps = _steps(lc).filter("step IS NOT NULL").groupBy("object_id", "step").agg(F.count(F.lit(1)).alias("c")).withColumn("_tie", F.lit(0))
+    run = running_sums(steps, ["object_id"], "step", "_tie", {"n1": "c", "s1": "c * step"})
+    total = steps.groupBy("object_id").agg(F.sum("c").alias("n"), F.expr("sum(c * step) AS s"), F.max("step").alias("top"))
+    cuts = join_back(run, total, ["object_id"]).filter("step < top")
+    gain = cuts.withColumn("gain", F.expr("s1 * s1 / n1 + (s - s1) * (s - s1) / (n - n1) - s * s / n"))
+    best = gain.groupBy("object_id").agg(F.max_by(F.struct("step", "n1", "s1", "n", "s"), F.struct(snap("gain"), -F.col("step"))).alias("b"))
+    return best.selectExpr("object_id", "b.step AS split_step", "CAST(b.n1 AS BIGINT) AS n_short", "CAST(b.n - b.n1 AS BIGINT) AS n_long",
+                           "b.s1 / b.n1 AS mean_short", "(b.s - b.s1) / (b.n - b.n1) AS mean_long")
+
+
+def _steps(lc: DataFrame) -> DataFrame:
+    rows = lc.filter("mjd IS NOT NULL").withColumn("_tie", F.struct("passband", "flux", "flux_err"))
+    return lag_columns(rows, ["object_id"], "mjd", ["mjd"], "_p_", ties=("_tie",)).withColumn("step", F.expr("mjd - _p_mjd"))
+
+
+def segment_two_means(lc: DataFrame) -> DataFrame:
+    """W5, two-means form: rows with ``segment``, which grows by one at every step of the object's long group (rows without a
+    time are no part of a series)."""
+    rows = join_back(_steps(lc), split_steps(lc).select("object_id", "split_step"), ["object_id"])
+    rows = running_sums(rows.drop("_p_mjd"), ["object_id"], "mjd", "_tie", {"segment": "CASE WHEN step > split_step THEN 1D END"})
+    return rows.withColumn("segment", F.col("segment").cast("int")).drop("_tie", "step", "split_step")

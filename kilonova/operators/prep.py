@@ -133,3 +133,38 @@ def row_audit(lc: DataFrame, meta: DataFrame) -> DataFrame:
                  F.count(F.when(F.col("_m").isNull(), 1)).alias("only_in_lc"),
                  F.count(F.when(F.col("n").isNull(), 1)).alias("only_in_meta"),
                  F.countDistinct("object_id").alias("n_objects_total"))
+
+
+#: rows of a file that are looked at together
+ORDER_CHUNK = 1_000_000
+
+
+def with_file_order(df: DataFrame) -> DataFrame:
+    """Rows of a file scan with their place: ``_file`` and ``_row``."""
+    return df.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+
+
+def order_audit(rows: DataFrame, key: str = "object_id", time: str = "mjd") -> DataFrame:
+    """The order of the stored rows (with ``_file`` and ``_row``, files by path) -- one row: n_rows, n_keys, n_runs
+    (stretches of one key; as many as keys if every key is contiguous), key_descents, time_descents (within a stretch).
+
+    Differences are taken within chunks of a file; a chunk's first row meets the last row of the chunk before it, and a
+    file's first chunk the last one of the file before, so no task sees more than a chunk of rows, a file's chunks or the files."""
+    from pyspark.sql import Window
+
+    rows = rows.select("_file", "_row", F.floor(F.col("_row") / ORDER_CHUNK).alias("_chunk"), F.struct(F.col(key).alias("k"), F.col(time).alias("t")).alias("own"))
+    here = Window.partitionBy("_file", "_chunk").orderBy("_row")
+    inner = rows.select("own", F.lag("own").over(here).alias("prev"), (F.row_number().over(here) == 1).alias("first"))
+    ends = rows.groupBy("_file", "_chunk").agg(F.min_by("own", "_row").alias("first"), F.max_by("own", "_row").alias("last"))
+    in_file = Window.partitionBy("_file").orderBy("_chunk")
+    ends = ends.withColumns({"before": F.lag("last").over(in_file), "head": F.row_number().over(in_file) == 1})
+    files = ends.groupBy("_file").agg(F.min_by("first", "_chunk").alias("first"), F.max_by("last", "_chunk").alias("last"))
+    over_files = Window.orderBy("_file")   # one row a file
+    seams = ends.filter("NOT head").select(F.col("first").alias("own"), F.col("before").alias("prev"), F.lit(False).alias("start")).unionByName(
+        files.select(F.col("first").alias("own"), F.lag("last").over(over_files).alias("prev"), (F.row_number().over(over_files) == 1).alias("start")))
+    steps = inner.filter("NOT first").select("own", "prev", F.lit(False).alias("start")).unionByName(seams)
+    same = "own.k <=> prev.k"
+    out = steps.agg(F.count(F.lit(1)).alias("n_rows"), F.expr(f"count_if(start OR NOT ({same})) AS n_runs"),
+                    F.expr("count_if(NOT start AND own.k < prev.k) AS key_descents"), F.expr(f"count_if(NOT start AND {same} AND own.t < prev.t) AS time_descents"))
+    keys = rows.agg(F.countDistinct("own.k")).scalar()
+    return out.select("n_rows", keys.alias("n_keys"), "n_runs", "key_descents", "time_descents")

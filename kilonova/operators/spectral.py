@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import safe_div, snap
@@ -313,14 +315,25 @@ LAG_PAIRS = [(0, 5), (1, 5), (2, 5), (3, 5), (4, 5)]
 def lagged_product(lc: DataFrame, width_days: float = 1.0, pairs=LAG_PAIRS, top: int = 3) -> DataFrame:
     """for each band pair, the two series of bucket means over the buckets that hold both bands, and their full
     correlation: xcorr[lag] = sum_n a[n + lag] * b[n] for every lag; the ``top`` lags per object and pair (smaller lag
-    on ties).  The series are as long as an object's time span has buckets, whatever its number of rows."""
+    on ties).  A task gets two numbers a bucket, as many as the object's time span has, whatever its number of rows; all
+    lags come from one product of transforms, and only the best ones leave the task."""
     by = bucket_pivot(lc, width_days)
     one = ", ".join(f"named_struct('base', {a}, 'target', {b}, 'x', flux_{a}, 'y', flux_{b})" for a, b in pairs)
-    both = by.selectExpr("object_id", "bucket", f"inline(array({one}))").filter("x IS NOT NULL AND y IS NOT NULL")
-    seq = both.groupBy("object_id", "base", "target").agg(F.sort_array(F.collect_list(F.struct("bucket", "x", "y"))).alias("s"))
-    lags = seq.select("*", F.explode(F.expr("sequence(1 - size(s), size(s) - 1)")).alias("lag"))
-    xc = ("aggregate(sequence(greatest(0, -lag), least(size(s) - 1, size(s) - 1 - lag)), 0D, "
-          "(acc, n) -> acc + element_at(s, n + lag + 1).x * element_at(s, n + 1).y)")
-    lags = lags.select("object_id", "base", "target", "lag", F.expr(xc).alias("xcorr"))
-    r = Window.partitionBy("object_id", "base", "target").orderBy(snap("xcorr", TIE_BITS).desc(), "lag")
-    return lags.withColumn("rank", F.row_number().over(r)).filter(F.col("rank") <= top)
+    both = by.selectExpr("CAST(object_id AS BIGINT) AS object_id", "bucket", f"inline(array({one}))").filter("x IS NOT NULL AND y IS NOT NULL")
+
+    def best(part: pa.Table) -> pa.Table:
+        part = part.sort_by("bucket")
+        x, y = part.column("x").to_numpy(), part.column("y").to_numpy()
+        m = len(x)
+        size = 1 << (2 * m - 1).bit_length()   # no lag wraps around
+        xc = np.fft.irfft(np.fft.rfft(x, size) * np.conj(np.fft.rfft(y, size)), size)
+        lags = np.arange(1 - m, m)
+        xc = xc[lags]
+        order = np.lexsort((lags, -frequency._snapped(xc)))[:top]
+        n = len(order)
+        keys = [pa.array([part.column(c)[0].as_py()] * n, t) for c, t in (("object_id", pa.int64()), ("base", pa.int32()), ("target", pa.int32()))]
+        return pa.table([*keys, pa.array(lags[order].astype(np.int32)), pa.array(xc[order]), pa.array(np.arange(1, n + 1, dtype=np.int32))],
+                        names=["object_id", "base", "target", "lag", "xcorr", "rank"])
+
+    return both.groupBy("object_id", "base", "target").applyInArrow(
+        best, "object_id long, base int, target int, lag int, xcorr double, rank int")

@@ -9,7 +9,7 @@ from ..sources.adapters import lc_lineitem, meta_part, with_ctes
 from ..sources.io import read_features, scratch_path, write_features
 from .catalog import oracles, register
 from .queries_features import object_stats_sql
-from .sqlgen import rounded
+from .sqlgen import rounded, snap_sql
 
 
 def _ff_columns() -> list[str]:
@@ -152,3 +152,33 @@ def q_row_audit(spark, sf_dir):
 def q_head_per_class(spark, sf_dir):
     """The first three objects of every class."""
     return prep.head_per_group(meta_part(spark, sf_dir).select("object_id", "target"), "target", ["object_id"], 3)
+
+
+@register("order_audit", with_ctes(
+    "SELECT count(*) AS n_rows, count(DISTINCT k) AS n_keys, count(*) FILTER (WHERE pk IS NULL OR pk <> k) AS n_runs, "
+    "count(*) FILTER (WHERE k < pk) AS key_descents, count(*) FILTER (WHERE k = pk AND t < pt) AS time_descents FROM (SELECT k, t, "
+    "lag(k) OVER (ORDER BY rn) AS pk, lag(t) OVER (ORDER BY rn) AS pt FROM (SELECT l_partkey AS k, l_shipdate AS t, row_number() OVER () AS rn FROM lineitem))",
+    lc=None), bits=None)
+def q_order_audit(spark, sf_dir):
+    """Stored order of the observations by object and time."""
+    from ..sources.adapters import table
+    rows = prep.with_file_order(table(spark, sf_dir, "lineitem"))
+    return prep.order_audit(rows.select("_file", "_row", F.col("l_partkey").alias("object_id"), F.col("l_shipdate").alias("mjd")))
+
+
+@register("segment_two_means", rounded(with_ctes(
+    "SELECT object_id, segment, count(*) AS n_rows, min(mjd) AS mjd_first, max(mjd) AS mjd_last FROM (SELECT d.object_id, d.mjd, CAST(sum(CASE WHEN d.step > b.step "
+    "THEN 1 ELSE 0 END) OVER (PARTITION BY d.object_id ORDER BY d.mjd) AS INTEGER) AS segment FROM d LEFT JOIN best b ON b.object_id = d.object_id) GROUP BY 1, 2",
+    lc="events", ctes=[
+        ("d", "SELECT object_id, mjd, mjd - lag(mjd) OVER (PARTITION BY object_id ORDER BY mjd) AS step FROM lc"),
+        ("cut", "SELECT object_id, step, count(*) OVER u AS n1, sum(step) OVER u AS s1, count(*) OVER a AS n, sum(step) OVER a AS s, max(step) OVER a AS top FROM d "
+                "WHERE step IS NOT NULL WINDOW u AS (PARTITION BY object_id ORDER BY step), a AS (PARTITION BY object_id)"),
+        ("gain", "SELECT *, s1 * s1 / n1 + (s - s1) * (s - s1) / (n - n1) - s * s / n AS gain FROM cut WHERE step < top"),
+        ("best", f"SELECT object_id, step FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY {snap_sql('gain')} DESC, step) AS rn FROM gain) WHERE rn = 1")]),
+    keys=("object_id", "segment", "n_rows")))
+def q_segment_two_means(spark, sf_dir):
+    """Segments of each object's series, cut at the steps of the long group of an exact two-means split."""
+    from ..operators.peaks import segment_two_means
+    from ..sources.adapters import lc_events
+    return segment_two_means(lc_events(spark, sf_dir)).groupBy("object_id", "segment").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("mjd").alias("mjd_first"), F.max("mjd").alias("mjd_last"))
