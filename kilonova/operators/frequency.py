@@ -49,14 +49,21 @@ def span_grid(lc: DataFrame, f_max: float = 10.0, oversampling: int = 5) -> tupl
 
 
 def moment_cells(rows: DataFrame, width: float) -> DataFrame:
-    """Per (object, band, cell): n, w_0.., y_0.. (moments around the cell's middle in units of its width) and yy, from
+    """Per (object, band, cell): n, arrays w and y of moments (around the cell's middle in units of its width) and yy, from
     rows with t, y and w."""
     at = rows.filter("t IS NOT NULL AND y IS NOT NULL AND w IS NOT NULL").withColumn("cell", F.floor(F.col("t") / F.lit(width)))
     at = at.withColumn("u", F.col("t") / F.lit(width) - F.col("cell") - F.lit(0.5)).withColumn("wy", F.col("w") * F.col("y"))
     power = [" * ".join(["{}"] + ["u"] * k) for k in range(W_MOMENTS)]
     sums = [f"sum({p.format('w')}) AS w_{k}" for k, p in enumerate(power)]
     sums += [f"sum({p.format('wy')}) AS y_{k}" for k, p in enumerate(power[:Y_MOMENTS])]
-    return at.groupBy(*SERIES, "cell").agg(F.count(F.lit(1)).alias("n"), *map(F.expr, sums), F.expr("sum(wy * y) AS yy"))
+    out = at.groupBy(*SERIES, "cell").agg(F.count(F.lit(1)).alias("n"), *map(F.expr, sums), F.expr("sum(wy * y) AS yy"))
+    return out.select(*SERIES, "cell", "n", "yy", F.array(*[f"w_{k}" for k in range(W_MOMENTS)]).alias("w"),
+                      F.array(*[f"y_{k}" for k in range(Y_MOMENTS)]).alias("y"))
+
+
+def _by(cells: DataFrame, *keys: str):
+    """Groups dealt over all tasks: the transforms cost far more than the bytes that a small exchange is coalesced by."""
+    return cells.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).groupBy(*keys)
 
 
 def _transforms(cells: np.ndarray, moments: list[np.ndarray], size: int, at: list[np.ndarray]) -> list[np.ndarray]:
@@ -72,16 +79,38 @@ def _transforms(cells: np.ndarray, moments: list[np.ndarray], size: int, at: lis
     return [out * np.exp(0.5j * theta) for out, theta in zip(outs, thetas)]
 
 
+def _direct(cells: np.ndarray, w: np.ndarray, y: np.ndarray, size: int, freqs: np.ndarray) -> list[np.ndarray]:
+    """The sums of ``_transforms`` (weights at ``freqs`` and twice them, values at ``freqs``) cell by cell."""
+    out = [np.empty(len(freqs), complex) for _ in range(3)]
+    for lo in range(0, len(freqs), 4096):
+        theta = 2 * np.pi / size * freqs[lo:lo + 4096, None]
+        once = np.exp(1j * theta * (cells + 0.5))
+        for i, (wave, angle, m) in enumerate(((once, theta, w), (once * once, 2 * theta, w), (once, theta, y))):
+            k = np.arange(1, len(m))
+            taylor = np.cumprod(np.concatenate([np.ones((len(theta), 1)), 1j * angle / k], axis=1), axis=1)
+            out[i][lo:lo + 4096] = ((wave @ m.T) * taylor).sum(1)
+    return out
+
+
+#: up to so many occupied cells, summing them one by one is cheaper than the transforms of all cells
+FEW = 200
+
+
 def _power(part: pa.Table, size: int, first: int, n_freq: int) -> np.ndarray:
     """Generalised Lomb-Scargle power of one series at the grid's frequencies (NaN: undefined)."""
     get = lambda c: part.column(c).to_numpy()
     cells, n = get("cell").astype(np.int64), get("n").sum()
-    total, yy0 = get("w_0").sum(), get("yy").sum()
+    moments = lambda c, k: part.column(c).combine_chunks().flatten().to_numpy().reshape(-1, k).T
+    w, y = moments("w", W_MOMENTS), moments("y", Y_MOMENTS)
+    total, yy0 = w[0].sum(), get("yy").sum()
     freqs = first + np.arange(n_freq)
     if n < 3 or not total > 0:
         return np.full(n_freq, np.nan)
-    w, y = [get(f"w_{k}") / total for k in range(W_MOMENTS)], [get(f"y_{k}") / total for k in range(Y_MOMENTS)]
-    (one, two), (val,) = _transforms(cells, w, size, [freqs, 2 * freqs]), _transforms(cells, y, size, [freqs])
+    w, y = w / total, y / total
+    if len(cells) <= FEW:
+        one, two, val = _direct(cells, w, y, size, freqs)
+    else:
+        (one, two), (val,) = _transforms(cells, w, size, [freqs, 2 * freqs]), _transforms(cells, y, size, [freqs])
     mean = y[0].sum()
     c, s = one.real, one.imag
     yc, ys = val.real - mean * c, val.imag - mean * s
@@ -108,8 +137,10 @@ def _best(power: np.ndarray, f_min: float, df: float):
 
 
 def _grid_sizes(f_max: float, df: float, f_min: float) -> tuple[int, float, int]:
-    """Cells of a period 1 / df, their width, and the first frequency in steps."""
-    size = 2 * math.ceil(CELLS / 2 * (f_max + 2 * df) / df)
+    """Cells of a period 1 / df (a product of 2, 3 and 5, which transforms are fast on), their width, and the first
+    frequency in steps."""
+    least = math.ceil(CELLS * (f_max + 2 * df) / df)
+    size = min(2 * p3 * p5 * (1 << max(0, (-(-least // (2 * p3 * p5)) - 1).bit_length())) for p3 in (3 ** i for i in range(12)) for p5 in (5 ** i for i in range(8)))
     return size, 1.0 / (df * size), round(f_min / df)
 
 
@@ -131,7 +162,7 @@ def series_peaks(rows: DataFrame, grid: tuple[float, float, int]) -> DataFrame:
         return pa.table([*keys, pa.array([best[0]] if best else [], pa.float64()), pa.array([best[1]] if best else [], pa.float64()),
                          pa.array(n, pa.int64())], names=[*SERIES, "freq_best", "power_max", "n"])
 
-    return moment_cells(rows, width).groupBy(*SERIES).applyInArrow(
+    return _by(moment_cells(rows, width), *SERIES).applyInArrow(
         peak, "object_id long, passband int, freq_best double, power_max double, n long")
 
 
@@ -166,7 +197,7 @@ def multiband_periodogram(lc: DataFrame, ids: DataFrame | None = None, f_max: fl
         row = [[part.column("object_id")[0].as_py()], [best[0]], [best[1]]] if best else [[], [], []]
         return pa.table([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.float64(), pa.float64()))], names=["object_id", "freq_best", "power_max"])
 
-    best = moment_cells(weighted_rows(lc, _origin(lc)), width).groupBy("object_id").applyInArrow(
+    best = _by(moment_cells(weighted_rows(lc, _origin(lc)), width), "object_id").applyInArrow(
         peak, "object_id long, freq_best double, power_max double")
     return restore_objects(best.withColumn("period_fast", F.lit(1.0) / F.col("freq_best")), ids)
 

@@ -335,5 +335,5 @@ def lagged_product(lc: DataFrame, width_days: float = 1.0, pairs=LAG_PAIRS, top:
         return pa.table([*keys, pa.array(lags[order].astype(np.int32)), pa.array(xc[order]), pa.array(np.arange(1, n + 1, dtype=np.int32))],
                         names=["object_id", "base", "target", "lag", "xcorr", "rank"])
 
-    return both.groupBy("object_id", "base", "target").applyInArrow(
+    return frequency._by(both, "object_id", "base", "target").applyInArrow(
         best, "object_id long, base int, target int, lag int, xcorr double, rank int")

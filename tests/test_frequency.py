@@ -29,7 +29,9 @@ def lc(spark):
     return spark.createDataFrame(rows, "object_id long, mjd double, passband int, flux double, flux_err double, detected int")
 
 
-def test_cells_equal_direct_sums(lc):
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_cells_equal_direct_sums(lc, few, monkeypatch):
+    monkeypatch.setattr(fr, "FEW", few)
     some = lc.filter("object_id IN (1, 5) AND mjd IS NOT NULL AND flux IS NOT NULL")
     want = {}
     for r in spectral.periodogram_power(some).filter("power IS NOT NULL").collect():
