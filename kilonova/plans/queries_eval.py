@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.core import ALL_CLASSES, GALACTIC_CLASSES
-from ..operators import evaluation as ev
+from ..operators import evaluation as ev, prep
+from ..session import ensure_checkpoint_dir
 from ..sources.adapters import lc_lineitem, meta_part, with_ctes
 from .catalog import register
 from .sqlgen import rounded
@@ -166,16 +167,20 @@ def q_ensemble(spark, sf_dir):
 
 
 @register("frequency_logloss", rounded(with_ctes(
-    "SELECT avg(coalesce(l.loss, 0) / (SELECT count(*) FROM folds WHERE fold = 0) / s.share) AS loss, count(*) AS n_classes FROM "
-    "(SELECT target, count(*) / (SELECT count(*) FROM meta) AS share FROM meta GROUP BY target) s LEFT JOIN "
-    "(SELECT t.target, sum(-ln(greatest(least(coalesce(p.p, 0), 1 - 1e-15), 1e-15))) AS loss FROM folds t LEFT JOIN c_pred p "
-    "ON p.object_id = t.object_id AND p.class = t.target WHERE t.fold = 0 GROUP BY t.target) l ON l.target = s.target", meta=True,
-    ctes=_BASE + _centroid_ctes("featf", mode="oof")), keys=("n_classes",)))
+    "SELECT fold, avg(coalesce(l.loss, 0) / b.size / s.share) AS loss, count(*) AS n_classes FROM "
+    "(SELECT target, count(*) / (SELECT count(*) FROM meta) AS share FROM meta GROUP BY target) s CROSS JOIN "
+    "(SELECT CAST(fold AS INTEGER) AS fold, count(*) AS size FROM folds GROUP BY 1) b LEFT JOIN "
+    "(SELECT t.fold AS f, t.target, sum(-ln(greatest(least(coalesce(p.p, 0), 1 - 1e-15), 1e-15))) AS loss FROM folds t LEFT JOIN c_pred p "
+    "ON p.object_id = t.object_id AND p.class = t.target GROUP BY 1, 2) l ON l.target = s.target AND l.f = b.fold GROUP BY fold", meta=True,
+    ctes=_BASE + _centroid_ctes("featf", mode="oof")), keys=("fold", "n_classes")))
 def q_frequency_logloss(spark, sf_dir):
-    """M4: class-frequency-weighted loss of the held-out predictions of fold 0, shares from all objects."""
+    """M4: class-frequency-weighted loss of the held-out predictions of every fold, shares from all objects."""
+    ensure_checkpoint_dir(spark)
     meta = meta_part(spark, sf_dir)
-    batch = ev.stratified_folds(meta, "object_id", "target", K, SEED).filter("fold = 0").select("object_id", "target")
-    return ev.frequency_logloss(_oof(spark, sf_dir), batch, ev.class_share(meta.select("object_id", "target")))
+    folds = ev.stratified_folds(meta, "object_id", "target", K, SEED).checkpoint()
+    oof, share = _oof(spark, sf_dir).checkpoint(), ev.class_share(meta.select("object_id", "target"))
+    per = [ev.frequency_logloss(oof, folds.filter(F.col("fold") == f).select("object_id", "target"), share).withColumn("fold", F.lit(f)) for f in range(K)]
+    return prep.union_all(per)
 
 
 @register("frequency_logloss_oof", rounded(with_ctes(
