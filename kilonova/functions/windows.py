@@ -15,24 +15,29 @@ from .slices import cut_points, slice_sql
 
 
 def lag_columns(df: DataFrame, keys: list[str], order: str, cols: list[str], prefix: str = "prev_",
-                ties: tuple[str, ...] = (), rows: int | None = None) -> DataFrame:
+                ties: tuple[str, ...] = (), rows: int | None = None, number: str | None = None) -> DataFrame:
     """Adds ``<prefix><c>`` = value of ``c`` on the previous row of the series (NULL first).
-    ``ties``: further columns that order rows of equal ``order``."""
+    ``ties``: further columns that order rows of equal ``order``.  ``number``: a column with the row's place in the series,
+    from 1 (NULL where ``order`` is)."""
     cuts = cut_points(df, order, rows)
     named = {f"{prefix}{c}": c for c in cols}
     df = df.withColumn("_slice", F.expr(slice_sql(f"`{order}`", cuts)))
     w = Window.partitionBy(*keys, "_slice").orderBy(order, *ties)
-    out = df.withColumns({n: F.lag(c).over(w) for n, c in named.items()} | {"_first": F.row_number().over(w) == 1})
+    out = df.withColumns({n: F.lag(c).over(w) for n, c in named.items()} | {"_place": F.row_number().over(w).cast("long")})
+    before = F.lit(0)
     if cuts:
         by = F.struct(order, *ties)
-        last = df.filter("_slice >= 0").groupBy(*keys, "_slice").agg(F.max_by(F.struct(*cols), by).alias("_last"))
+        last = df.filter("_slice >= 0").groupBy(*keys, "_slice").agg(F.max_by(F.struct(*cols), by).alias("_last"), F.count(F.lit(1)).alias("_n"))
         wl = Window.partitionBy(*keys).orderBy("_slice")   # at most one row per slice
-        carry = last.select(*keys, "_slice", F.lag("_last").over(wl).alias("_carry"))
+        carry = last.select(*keys, "_slice", F.lag("_last").over(wl).alias("_carry"),
+                            F.sum("_n").over(wl.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
         out = join_back(out, carry.filter("_carry IS NOT NULL"), [*keys, "_slice"])
-        out = out.withColumns({n: F.when(F.col("_first"), F.col("_carry").getField(c)).otherwise(F.col(n)) for n, c in named.items()})
-        out = out.drop("_carry")
+        out = out.withColumns({n: F.when(F.col("_place") == 1, F.col("_carry").getField(c)).otherwise(F.col(n)) for n, c in named.items()})
+        before = F.coalesce("_before", F.lit(0))
     null = {n: F.when(F.col("_slice") >= 0, F.col(n)) for n in named}
-    return out.withColumns(null).drop("_slice", "_first")
+    if number:
+        null[number] = F.when(F.col("_slice") >= 0, F.col("_place") + before)
+    return out.withColumns(null).drop("_slice", "_place", "_carry", "_before")
 
 
 def circular_lag_columns(df: DataFrame, keys: list[str], order: str, cols: list[str], prefix: str = "prev_",

@@ -138,7 +138,8 @@ def predict_redshift(df: DataFrame, features: list[str], folds: DataFrame, targe
 
 
 def encode_sequences(seq: DataFrame, k: int = 16, channels=("lag", "flux")) -> DataFrame:
-    """M14 (re-aimed autoencoder): per object, the padded scaled sequences of all bands side by side -- every band keeps
+    """M14 (re-aimed autoencoder) for narrow sequences, whose matrix of widths squared fits the driver;
+    ``components.encode_rows`` does the same at any width.  Per object, the padded scaled sequences of all bands side by side -- every band keeps
     its own slots, zeros where the object lacks it -- projected on ``k`` principal components.  Always ``k`` values: what
     a narrower input cannot give is 0."""
     widths = {r["passband"]: r["n"] for r in seq.groupBy("passband").agg(F.max(F.size(channels[0])).alias("n")).collect()}   # one row a band

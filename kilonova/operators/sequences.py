@@ -1,9 +1,15 @@
 """Padded per-band sequences for sequence models.
 
-Scaling statistics are computed on long rows (mergeable aggregates joined
-back) before the sequences are collected, so the only per-object state is the
-object's own series; the band-level statistics and max lengths are six-row
-tables (one per band) joined by broadcast.
+A sequence is held as long rows (object, band, slot, value), slot counting the
+points of a series in time order from 1, whatever its length: no task needs a
+whole series (``sequence_rows``, ``scaled_rows``).  Scaling statistics are
+mergeable aggregates of these rows, joined back; the band-level statistics and
+max lengths are six-row tables (one per band) joined by broadcast.  Arrays and
+padding exist only for a reader that wants them (``padded``; ``to_sequences``
+and ``scaled_sequences`` end in it).
+
+Points without a time have no slot and are no part of a sequence; points of one
+time are ordered by their flux and error (NULL first).
 """
 from __future__ import annotations
 
@@ -20,33 +26,42 @@ def band_max_length(lc: DataFrame) -> DataFrame:
             .groupBy("passband").agg(F.max("n").alias("max_len")))
 
 
-def _collect_padded(rows: DataFrame, cols: list[str], pad, lengths: DataFrame) -> DataFrame:
-    """Collect ``cols`` per (object, band) in time order, post-padded with ``pad``
-    to the band's max length; one array column per channel."""
-    seq = rows.groupBy("object_id", "passband").agg(
-        F.sort_array(F.collect_list(F.struct("mjd", *cols))).alias("_s"))
+def padded(rows: DataFrame, cols: list[str], pad, lengths: DataFrame | None = None) -> DataFrame:
+    """One array per channel of ``cols`` and (object, band) from long rows, in order of the slots, post-padded with ``pad``
+    to the band's max length (``lengths``, default: that of the rows).  The arrays are as long as the longest series of the
+    band, that is the shape of this output; what can do with long rows should take them as they are."""
+    if lengths is None:
+        lengths = band_max_length(rows)
+    seq = rows.groupBy("object_id", "passband").agg(F.sort_array(F.collect_list(F.struct("slot", *cols))).alias("_s"))
     seq = seq.join(F.broadcast(lengths), "passband", "inner")
     out = [F.col("object_id"), F.col("passband"), F.size("_s").alias("length")]
-    def field(name):
-        return lambda e: e[name]
+    padding = F.array_repeat(F.lit(pad).cast("double"), (F.col("max_len") - F.size("_s")).cast("int"))
+    return seq.select(*out, *[F.concat(F.col(f"_s.{c}"), padding).alias(c) for c in cols])
 
-    for c in cols:
-        arr = F.transform("_s", field(c))
-        padding = F.array_repeat(F.lit(pad).cast("double"), (F.col("max_len") - F.size("_s")).cast("int"))
-        out.append(F.concat(arr, padding).alias(c))
-    return seq.select(*out)
+
+def long_rows(seq: DataFrame, cols: list[str]) -> DataFrame:
+    """The long rows of padded arrays (the opposite of ``padded``; padding is left out by ``length``)."""
+    cells = F.slice(F.arrays_zip(*cols), F.lit(1), F.col("length"))
+    return (seq.select("object_id", "passband", F.posexplode(cells).alias("_p", "_c"))
+            .select("object_id", "passband", (F.col("_p") + 1).cast("long").alias("slot"), *[F.col(f"_c.{c}").alias(c) for c in cols]))
+
+
+def sequence_rows(lc: DataFrame) -> DataFrame:
+    """Q1 in long form: t, flux, flux_err by (object, band, slot)."""
+    rows = lc.select("object_id", "passband", "mjd", "flux", "flux_err").filter("mjd IS NOT NULL")
+    rows = lag_columns(rows, ["object_id", "passband"], "mjd", ["mjd"], "_prev_", ("flux", "flux_err"), number="slot")
+    return rows.select("object_id", "passband", "slot", F.col("mjd").alias("t"), "flux", "flux_err")
 
 
 def to_sequences(lc: DataFrame) -> DataFrame:
     """Q1: per (object, band) arrays t, flux, flux_err sorted by time, NULL-padded
     to the band's max length (objects missing a band get no row for it)."""
-    rows = lc.select("object_id", "passband", "mjd", F.col("mjd").alias("t"), "flux", "flux_err")
-    return _collect_padded(rows, ["t", "flux", "flux_err"], None, band_max_length(lc))
+    return padded(sequence_rows(lc), ["t", "flux", "flux_err"], None, band_max_length(lc.filter("mjd IS NOT NULL")))
 
 
 def time_lags(lc: DataFrame) -> DataFrame:
-    """Time step to the previous point of the series, first step 0."""
-    rows = lag_columns(lc, ["object_id", "passband"], "mjd", ["mjd"], "_prev_")
+    """Time step to the previous point of the series, first step 0, and the point's slot."""
+    rows = lag_columns(lc.filter("mjd IS NOT NULL"), ["object_id", "passband"], "mjd", ["mjd"], "_prev_", ("flux", "flux_err"), number="slot")
     return rows.withColumn("lag", F.coalesce(F.col("mjd") - F.col("_prev_mjd"), F.lit(0.0))).drop("_prev_mjd")
 
 
@@ -55,13 +70,13 @@ def fit_flux_scaling(rows: DataFrame, col: str = "flux") -> DataFrame:
     return rows.groupBy("passband").agg(F.avg(col).alias("flux_mean"), F.stddev_pop(col).alias("flux_scale"))
 
 
-def scaled_sequences(lc: DataFrame, meta: DataFrame | None = None, flux_stats: DataFrame | None = None,
-                     magnitude: bool = True) -> DataFrame:
-    """Q2-Q5: flux as pure magnitude minus distmod (NULL distmod -> 0), time lags,
+def scaled_rows(lc: DataFrame, meta: DataFrame | None = None, flux_stats: DataFrame | None = None,
+                magnitude: bool = True) -> DataFrame:
+    """Q2-Q5 in long form, by (object, band, slot): flux as pure magnitude minus distmod (NULL distmod -> 0), time lags,
     flux scaled with per-band statistics (``flux_stats`` from the training
     split if given -- Q4 -- else fitted here -- Q3), lags scaled by the
-    object's own mean / std, padding and undefined values -> 0 (Q5),
-    channels lag, flux, flux_err."""
+    object's own mean / std, undefined values -> 0 (Q5), channels lag, flux,
+    flux_err."""
     rows = lc
     if magnitude:
         if meta is not None:
@@ -73,14 +88,19 @@ def scaled_sequences(lc: DataFrame, meta: DataFrame | None = None, flux_stats: D
     rows = time_lags(rows)
     stats = flux_stats if flux_stats is not None else fit_flux_scaling(rows)
     own = rows.groupBy("object_id", "passband").agg(F.avg("lag").alias("_lag_mean"), F.stddev_pop("lag").alias("_lag_scale"))
-    rows = (join_back(rows, own, ["object_id", "passband"]).join(F.broadcast(stats), "passband", "inner")
-            .withColumns({
+    return (join_back(rows, own, ["object_id", "passband"]).join(F.broadcast(stats), "passband", "inner")
+            .select("object_id", "passband", "slot", *[c.alias(n) for n, c in {
+                "lag": F.coalesce(safe_div(F.col("lag") - F.col("_lag_mean"), F.col("_lag_scale")), F.lit(0.0)),
                 "flux": F.coalesce(safe_div(F.col("flux") - F.col("flux_mean"), F.col("flux_scale")), F.lit(0.0)),
-                "lag": F.coalesce(safe_div(F.col("lag") - F.col("_lag_mean"), F.col("_lag_scale")),
-                                  F.lit(0.0)),
                 "flux_err": F.coalesce(F.col("flux_err"), F.lit(0.0)),
-            }))
-    return _collect_padded(rows, ["lag", "flux", "flux_err"], 0.0, band_max_length(lc))
+            }.items()]))
+
+
+def scaled_sequences(lc: DataFrame, meta: DataFrame | None = None, flux_stats: DataFrame | None = None,
+                     magnitude: bool = True) -> DataFrame:
+    """``scaled_rows`` as arrays, padded with 0 (Q5)."""
+    return padded(scaled_rows(lc, meta, flux_stats, magnitude), ["lag", "flux", "flux_err"], 0.0,
+                  band_max_length(lc.filter("mjd IS NOT NULL")))
 
 
 def mask_sequences(seq: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import ALL_CLASSES
 from ..operators import evaluation as ev
-from ..operators import models, prep, research, scaling, sequences, stats
+from ..operators import components, models, prep, research, scaling, sequences, stats
 from ..sources.adapters import lc_events, lc_lineitem, meta_part
 from .catalog import register
 
@@ -64,9 +64,8 @@ def q_predict_redshift(spark, sf_dir):
 
 @register("encode_sequences")
 def q_encode_sequences(spark, sf_dir):
-    """16-component PCA encoding of each object's scaled multiband sequences."""
-    seq = sequences.scaled_sequences(lc_events(spark, sf_dir), None)
-    return models.encode_sequences(seq, k=16)
+    """16-component PCA encoding of each object's scaled multiband sequences, from their long rows."""
+    return components.encode_rows(sequences.scaled_rows(lc_events(spark, sf_dir)), k=16)
 
 
 @register("dense_classifier")

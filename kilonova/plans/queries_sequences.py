@@ -25,7 +25,13 @@ def _sequences_sql() -> str:
     return with_ctes(body, lc="events", ctes=[("s", s)])
 
 
-def _scaled_sql() -> str:
+def _long_sql(chans: list[str], src: str, ctes: list | None = None) -> str:
+    outs = ", ".join(snap_sql(c) + f" AS {c}" for c in chans)
+    return with_ctes(f"SELECT object_id, passband, row_number() OVER (PARTITION BY object_id, passband ORDER BY mjd) AS slot, {outs} "
+                     f"FROM {src}", lc="events", ctes=ctes)
+
+
+def _scaled_ctes() -> list[tuple[str, str]]:
     r0 = ("SELECT object_id, passband, mjd, (CASE WHEN flux < 1 THEN 2.5 * log10(2 - flux) ELSE -2.5 * log10(flux) END)"
           " - 0.0 AS flux, flux_err, coalesce(mjd - lag(mjd) OVER (PARTITION BY object_id, passband ORDER BY mjd), 0) "
           "AS lag FROM lc")
@@ -34,8 +40,12 @@ def _scaled_sql() -> str:
           "coalesce((lag - avg(lag) OVER w2) / nullif(stddev_pop(lag) OVER w2, 0), 0) AS lag, "
           "coalesce(flux_err, 0) AS flux_err FROM r0 JOIN st ON st.passband = r0.passband "
           "WINDOW w2 AS (PARTITION BY r0.object_id, r0.passband)")
+    return [("r0", r0), ("st", st), ("r1", r1)]
+
+
+def _scaled_sql() -> str:
     body, s = _seq_sql(["lag", "flux", "flux_err"], "r1", "0.0")
-    return with_ctes(body, lc="events", ctes=[("r0", r0), ("st", st), ("r1", r1), ("s", s)])
+    return with_ctes(body, lc="events", ctes=[*_scaled_ctes(), ("s", s)])
 
 
 @register("sequences", _sequences_sql())
@@ -48,3 +58,15 @@ def q_sequences(spark, sf_dir):
 def q_scaled_sequences(spark, sf_dir):
     """Q2-Q5: magnitude, time lags, band / object scaling, zero padding."""
     return sequences.scaled_sequences(lc_events(spark, sf_dir), None)
+
+
+@register("sequence_rows", _long_sql(["t", "flux", "flux_err"], "(SELECT *, mjd AS t FROM lc)"))
+def q_sequence_rows(spark, sf_dir):
+    """Q1 in long form: t / flux / flux_err by (object, band, slot), no arrays."""
+    return sequences.sequence_rows(lc_events(spark, sf_dir))
+
+
+@register("scaled_sequence_rows", _long_sql(["lag", "flux", "flux_err"], "r1", _scaled_ctes()))
+def q_scaled_sequence_rows(spark, sf_dir):
+    """Q2-Q5 in long form: scaled lag, flux and error by (object, band, slot)."""
+    return sequences.scaled_rows(lc_events(spark, sf_dir))
