@@ -66,8 +66,8 @@ def q_stream_sessions(spark, sf_dir):
     "WINDOW w AS (PARTITION BY object_id, passband ORDER BY mjd)) WHERE mjddiff IS NOT NULL", lc="events"),
     keys=("object_id", "passband")))
 def q_stream_rates(spark, sf_dir):
-    """ST4: rate to the previous point with the last point of each series in keyed state."""
-    return st.run_to_table(st.stream_flux_rate(_stream(spark, sf_dir)), "rates", "append").filter("NOT late").drop("late")
+    """ST4: rate to the previous point, the last point of each series carried from batch to batch."""
+    return st.run_flux_rates(_stream(spark, sf_dir), "rates").filter("NOT late").drop("late")
 
 
 ARRIVAL = [0, 2, 1, 3, 5, 4]
@@ -81,4 +81,4 @@ ARRIVAL = [0, 2, 1, 3, 5, 4]
 def q_stream_late(spark, sf_dir):
     """ST5: points that arrive after a later point of their series, counted per object (slices out of order)."""
     path, files = st.stage_observations(lc_events(spark, sf_dir), N_FILES, arrival=ARRIVAL)
-    return st.late_counts(st.run_to_table(st.stream_flux_rate(st.read_observation_stream(spark, path, files)), "late", "append"))
+    return st.late_counts(st.run_flux_rates(st.read_observation_stream(spark, path, files), "late"))

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.core import safe_div
+from ..functions.windows import join_back, lag_columns
+from ..session import ensure_checkpoint_dir
 
 MJD_UNIX_EPOCH = 40587.0  # MJD of 1970-01-01T00:00:00Z
 
@@ -30,7 +32,7 @@ def instant_to_mjd(ts) -> F.Column:
     """TIMESTAMP instant -> MJD (UTC), independent of the session time zone."""
     c = F.col(ts) if isinstance(ts, str) else ts
     return F.unix_micros(c) / F.lit(86400e6) + F.lit(MJD_UNIX_EPOCH)
-from ..session import ensure_checkpoint_dir
+
 
 LC_STREAM_SCHEMA = T.StructType([
     T.StructField("object_id", T.LongType()),
@@ -171,14 +173,68 @@ def _rate_with_state(key, pdfs, state):
 
 
 def stream_flux_rate(stream: DataFrame) -> DataFrame:
-    """ST4: G21 (rate to the previous point of the same series) across batch
-    boundaries, with the last point of every series in the state store (for
+    """ST4 as one streaming DataFrame, for a sink of the caller (``run_flux_rates`` does the same without Python and splits
+    long series): G21 (rate to the previous point of the same series) across batch boundaries, with the last point of every series in the state store (for
     ``RETENTION_DAYS``).  ST5: a point older than the state's comes out marked
     ``late``, without a rate, and leaves the state as it is."""
     return (stream.withWatermark("ts", f"{RETENTION_DAYS} days").groupBy("object_id", "passband")
             .applyInPandasWithState(_rate_with_state, _RATE_OUT, _RATE_STATE, "append", "EventTimeTimeout"))
 
 
+_STATE = "object_id long, passband int, mjd double, flux double"
+
+
+def flux_rates(batch: DataFrame, last: DataFrame) -> DataFrame:
+    """ST4 / ST5 for one batch of points and the last points of the series before it, all in built-in functions: rate to
+    the previous point of the series, in the batch or in ``last``; a point older than the one in ``last`` is late.  Lags run
+    in time slices, so a series of any size is spread.  Points of one time are ordered by flux; points without a time are
+    left out."""
+    keys = ["object_id", "passband"]
+    rows = join_back(batch.filter("mjd IS NOT NULL").select(*keys, "mjd", "flux"),
+                     last.select(*keys, F.col("mjd").alias("_mjd"), F.col("flux").alias("_flux")), keys)
+    rows = rows.withColumn("late", F.coalesce(F.col("mjd") < F.col("_mjd"), F.lit(False)))
+    rows = lag_columns(rows, [*keys, "late"], "mjd", ["mjd", "flux"], "_prev_", ("flux",))
+    first = F.col("_prev_mjd").isNull()
+    then, value = F.when(first, F.col("_mjd")).otherwise(F.col("_prev_mjd")), F.when(first, F.col("_flux")).otherwise(F.col("_prev_flux"))
+    step = F.when(~F.col("late"), F.col("mjd") - then)
+    out = rows.select(*keys, "mjd", safe_div(F.col("flux") - value, step).alias("fluxdiff"), step.alias("mjddiff"), "late")
+    return out.filter("late OR mjddiff IS NOT NULL")
+
+
+def last_points(batch: DataFrame, last: DataFrame) -> DataFrame:
+    """The last point of every series after a batch; at one time the batch's point (of the largest flux) is the later one."""
+    both = last.withColumn("_new", F.lit(0)).unionByName(
+        batch.filter("mjd IS NOT NULL").select("object_id", "passband", "mjd", "flux", F.lit(1).alias("_new")))
+    newest = F.max(F.struct("mjd", "_new", "flux")).alias("_p")
+    return both.groupBy("object_id", "passband").agg(newest).select("object_id", "passband", "_p.mjd", "_p.flux")
+
+
+def run_flux_rates(stream: DataFrame, name: str = "rates", path: str | None = None) -> DataFrame:
+    """Run ``flux_rates`` over a stream to completion and return its rows so far; ``path`` as in ``run_to_table``.
+
+    The last points are a table of one row a series, written anew with every batch; nothing is forgotten, so no point is
+    dropped for its age.  Batch ``i`` reads the table of batch ``i - 1`` and replaces its own folders, so a batch that is
+    replayed after a failure gives the same rows once.  The tables of batches before the last two are deleted."""
+    spark = stream.sparkSession
+    base = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex[:12]}"
+    spark.createDataFrame([], _RATE_OUT).write.mode("overwrite").parquet(f"{base}/table/_batch=-1")
+    spark.createDataFrame([], _STATE).write.mode("overwrite").parquet(f"{base}/last/-1")
+
+    def sink(batch: DataFrame, i: int) -> None:
+        session = batch.sparkSession
+        last = session.read.schema(_STATE).parquet(f"{base}/last/{i - 1}")
+        flux_rates(batch, last).write.mode("overwrite").parquet(f"{base}/table/_batch={i}")
+        last_points(batch, last).write.mode("overwrite").parquet(f"{base}/last/{i}")
+        if i >= 2:
+            old = session._jvm.org.apache.hadoop.fs.Path(f"{base}/last/{i - 2}")
+            old.getFileSystem(session._jsc.hadoopConfiguration()).delete(old, True)
+
+    q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(f"{_RATE_OUT}, _batch long").parquet(f"{base}/table").drop("_batch")
+
+
 def late_counts(rates: DataFrame) -> DataFrame:
     """ST5: late points per object, from the output of ``stream_flux_rate``."""
     return rates.groupBy("object_id").agg(F.count_if("late").alias("n_late"))

@@ -71,3 +71,69 @@ def test_slices_with_few_rows_have_their_number_of_files(spark, monkeypatch, tmp
     assert len(list((tmp_path / "few").glob("part-*"))) == 3 * files == 93
     got = st.run_to_table(st.stream_bucket_means(st.read_observation_stream(spark, path, files)), "few", "update", key=["object_id", "w", "passband"])
     assert got.agg(F.sum("n")).first()[0] == len(rows)
+
+
+def carried(spark, tmp, batches, path=None):
+    for rows in batches:
+        st.stage_observations(spark.createDataFrame(rows, LC), 1, path=f"{tmp}/landing")
+    return st.run_flux_rates(st.read_observation_stream(spark, f"{tmp}/landing"), path=path)
+
+
+def in_order(rows):
+    return sorted(rows, key=lambda r: [(v is not None, v or 0) for v in r])
+
+
+def cells(df):
+    return in_order((r.object_id, r.passband, r.mjd, r.late, r.mjddiff, r.fluxdiff) for r in df.collect())
+
+
+def expected(batches):
+    """Point by point: the last point of every series, batches in order."""
+    last, out = {}, []
+    for rows in batches:
+        before = dict(last)
+        for k, t, b, f, *_ in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[1], r[3])):
+            if (k, b) in before and t < before[k, b][0]:
+                out.append((k, b, t, True, None, None))
+                continue
+            if (k, b) in last:
+                t0, f0 = last[k, b]
+                out.append((k, b, t, False, t - t0, (f - f0) / (t - t0) if t != t0 else None))
+            last[k, b] = (t, f)
+    return out
+
+
+@pytest.mark.parametrize("cut", [None, 7])
+def test_carried_rates_equal_a_point_by_point_run(spark, tmp_path, cut):
+    """Late points, equal times, a point without a time, a huge series, restart between batches; one slice and many."""
+    rnd = random.Random(8)
+    batches = [[point(60000 + 20 * b + rnd.randint(-25, 20), rnd.randint(-9, 9), rnd.choice([1, 1, 1, 2, 3]), rnd.randint(0, 1))
+                for _ in range(40)] for b in range(4)]
+    batches = [list({(r[0], r[1], r[2]): r for r in rows}.values()) for rows in batches]   # one point a time and batch
+    batches[2].append((1, None, 0, 1.0, 1.0, 1))
+    if cut:
+        spark.conf.set("kilonova.sliceRows", cut)
+    try:
+        path = f"{ensure_checkpoint_dir(spark)}/carried-{tmp_path.name}"
+        carried(spark, tmp_path, batches[:2], path)
+        got = cells(carried(spark, tmp_path, batches[2:], path))
+    finally:
+        spark.conf.unset("kilonova.sliceRows")
+    want = in_order(expected(batches))
+    assert [g[:5] for g in got] == [w[:5] for w in want] and any(w[3] for w in want) and any(w[4] == 0 for w in want)
+    assert [g[5] for g in got] == pytest.approx([w[5] for w in want])
+
+
+def test_a_replayed_batch_gives_its_rows_once(spark, tmp_path):
+    """The commit of the last batch is lost: the batch runs again from the last points before it."""
+    batches = [[point(60000 + 10 * b + i, i * b, k) for i in range(4) for k in (1, 2)] for b in range(3)]
+    path = tmp_path / "job"
+    first = cells(carried(spark, tmp_path, batches, str(path)))
+    for f in [path / "checkpoint/commits/2", path / "checkpoint/commits/.2.crc"]:
+        f.unlink(missing_ok=True)
+    assert cells(carried(spark, tmp_path, [], str(path))) == first == in_order(expected(batches))
+    assert sorted(p.name for p in (path / "last").iterdir() if not p.name.startswith(".")) == ["-1", "1", "2"]   # -1: no points
+
+
+def test_carried_rates_of_no_rows(spark, tmp_path):
+    assert cells(carried(spark, tmp_path, [[]])) == []
