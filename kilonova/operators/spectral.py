@@ -15,6 +15,7 @@ the slices, so no pair of points is ever materialised.
 """
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -145,16 +146,21 @@ REPLICATES, LEAST_R, PERCENTILE = 100, 0.2, 0.841344746
 FLAT = 1e-9
 
 
-def bootstrap_weights(key: str, replicates: int) -> str:
-    """SQL text: array of Poisson(1) weights of a row, one per replicate, from 16-bit pieces of MD5 digests of its key."""
+def _poisson_limits() -> list[int]:
+    """Pieces below the k-th limit have a weight of at most k."""
     limits, p, upto = [], math.exp(-1), 0.0
     for k in range(8):
         upto += p
         limits.append(math.floor(upto * 65536))
         p /= k + 1
+    return limits
+
+
+def bootstrap_weights(key: str, replicates: int) -> str:
+    """SQL text: array of Poisson(1) weights of a row, one per replicate, from 16-bit pieces of MD5 digests of its key."""
     digest = f"md5(concat({key}, ':', i))"
     piece = f"CAST(conv(substring({digest}, 1 + 4 * j, 4), 16, 10) AS INT)"
-    weight = " + ".join(f"CAST({piece} >= {x} AS INT)" for x in limits)
+    weight = " + ".join(f"CAST({piece} >= {x} AS INT)" for x in _poisson_limits())
     pieces = f"transform(sequence(0, 7), j -> {weight.replace(piece, 'h[j]')})"
     many = f"transform(sequence(0, {-(-replicates // 8) - 1}), i -> transform(sequence(0, 7), j -> {piece}))"
     return f"slice(flatten(transform({many}, h -> {pieces})), 1, {replicates})"
@@ -192,26 +198,107 @@ def cross_correlation(lc: DataFrame, ids: DataFrame | None = None, band1: int =
     out = peak.selectExpr("object_id", "peak_lag", "peak_r", "centroid_lag",
                           *[f"get(filter(_all, x -> x.lag = {float(v)!r}D), 0).r AS r_lag_{i}" for i, v in enumerate(lags)])
     if replicates:
-        out = out.join(_resampled(pairs, centroid_frac, replicates), "object_id", "left")
+        out = out.join(_resampled(pairs, lags, centroid_frac, replicates), "object_id", "left")
     return restore_objects(out, ids)
 
 
-def _resampled(pairs: DataFrame, centroid_frac: float, replicates: int) -> DataFrame:
-    """Medians and errors of centroid and peak lag over bootstrap replicates, one row per object of ``pairs``."""
-    drawn = pairs.selectExpr("object_id", "lag", "y1", "y2", f"posexplode({bootstrap_weights('point', replicates)}) AS (rep, k)").filter("k > 0")
-    # shifted by the lag's means, so that sums of squares lose nothing
-    means = pairs.groupBy("object_id", "lag").agg(F.avg("y1").alias("m1"), F.avg("y2").alias("m2"))
-    drawn = join_back(drawn, means, ["object_id", "lag"]).selectExpr("object_id", "lag", "rep", "k", "y1 - m1 AS x", "y2 - m2 AS y")
-    sums = drawn.groupBy("object_id", "lag", "rep").agg(*[F.expr(f"sum(k * {x}) / sum(k) AS {n}") for n, x in (
-        ("mx", "x"), ("my", "y"), ("xx", "x * x"), ("yy", "y * y"), ("xy", "x * y"))])
-    r = sums.selectExpr("object_id", "lag", "rep", f"CASE WHEN xx - mx * mx > {FLAT!r}D * xx AND yy - my * my > {FLAT!r}D * yy THEN "
-                        "(xy - mx * my) / sqrt((xx - mx * mx) * (yy - my * my)) END AS r").filter("r IS NOT NULL")
-    good = _peaks_of(r, ["object_id", "rep"], centroid_frac).filter(F.col("peak_r") > LEAST_R)
-    qs = f"array({1 - PERCENTILE!r}D, 0.5D, {PERCENTILE!r}D)"
-    got = good.groupBy("object_id").agg(F.expr(f"percentile(centroid_lag, {qs}) AS c"), F.expr(f"percentile(peak_lag, {qs}) AS p"), F.count(F.lit(1)).alias("n"))
-    got = pairs.select("object_id").distinct().join(got, "object_id", "left")
-    return got.selectExpr("object_id", "c[1] AS centau", "c[2] - c[1] AS centau_uperr", "c[1] - c[0] AS centau_loerr", "p[1] AS peaktau",
-                          "p[2] - c[1] AS peaktau_uperr", "c[1] - p[0] AS peaktau_loerr", f"coalesce(n, 0) / {replicates}D AS success_ratio")
+#: pairs of an object that one task resamples; a larger object's points are dealt over parts, whose sums are added
+PART_PAIRS = 100_000
+RESAMPLED = ("centau double, centau_uperr double, centau_loerr double, peaktau double, peaktau_uperr double, peaktau_loerr double, "
+             "success_ratio double")
+
+
+def point_weights(points: list[str], replicates: int) -> np.ndarray:
+    """The weights of ``bootstrap_weights``, one row a point."""
+    n = -(-replicates // 8)
+    digests = b"".join(hashlib.md5(f"{p}:{i}".encode()).digest() for p in points for i in range(n))
+    pieces = np.frombuffer(digests, dtype=">u2").reshape(len(points), 8 * n)[:, :replicates]
+    return np.searchsorted(_poisson_limits(), pieces, side="right").astype(np.float64)
+
+
+def _replicate_sums(part: pa.Table, lags: list[float], replicates: int) -> np.ndarray:
+    """Sums of k, kx, ky, kxx, kyy, kxy per lag and replicate (lags, 6, replicates) over one object's pairs; columns m1 and m2,
+    if there, are the lags' means, else those of ``part``."""
+    points = part.column("point").dictionary_encode().combine_chunks()
+    weights, at = point_weights(points.dictionary.to_pylist(), replicates), points.indices.to_numpy()
+    lag, y2 = part.column("lag").to_numpy(), part.column("y2").to_numpy()
+    known = part.column("y1").is_valid().to_numpy()
+    y1 = part.column("y1").fill_null(0.0).to_numpy()
+    at_lag = np.searchsorted(lags, lag)
+    if "m1" in part.column_names:
+        m1, m2 = (part.column(c).fill_null(0.0).to_numpy() for c in ("m1", "m2"))
+    else:
+        n1, n2 = (np.maximum(np.bincount(at_lag, w, len(lags)), 1) for w in (known, np.ones(len(lag))))
+        m1, m2 = (np.bincount(at_lag, np.where(known, y1, 0.0), len(lags)) / n1)[at_lag], (np.bincount(at_lag, y2, len(lags)) / n2)[at_lag]
+    x, y = np.where(known, y1 - m1, 0.0), y2 - m2   # a pair without y1 counts in sum(k), as in SQL
+    out, order = np.zeros((len(lags), 6, replicates)), np.argsort(at_lag, kind="stable")
+    for lo in range(0, len(order), 10_000):
+        rows = order[lo:lo + 10_000]
+        here, starts = np.unique(at_lag[rows], return_index=True)
+        k, a, b = weights[at[rows]], x[rows, None], y[rows, None]
+        for j, f in enumerate((1.0, a, b, a * a, b * b, a * b)):
+            out[here, j] += np.add.reduceat(k * f, starts)
+    return out
+
+
+def _replicate_errors(sums: np.ndarray, lags: list[float], centroid_frac: float) -> list[float | None]:
+    """Values of ``RESAMPLED`` from the sums of an object."""
+    with np.errstate(all="ignore"):
+        mx, my, xx, yy, xy = (sums[:, j] / sums[:, 0] for j in range(1, 6))
+        vx, vy = xx - mx * mx, yy - my * my
+        r = np.where((sums[:, 0] > 0) & (vx > FLAT * xx) & (vy > FLAT * yy), (xy - mx * my) / np.sqrt(vx * vy), -np.inf)
+    top, grid = r.max(axis=0), np.asarray(lags)
+    good = top > LEAST_R
+    share = good.mean()
+    if not good.any():
+        return [None] * 6 + [float(share)]
+    r, top = r[:, good], top[good]
+    snapped = np.where(np.isfinite(r), frequency._snapped(np.where(np.isfinite(r), r, 0.0)), -np.inf)
+    peak = grid[snapped.argmax(axis=0)]   # the smallest lag on ties
+    high = r >= top * centroid_frac
+    centroid = (high * grid[:, None]).sum(axis=0) / high.sum(axis=0)
+    q = [1 - PERCENTILE, 0.5, PERCENTILE]
+    c, p = np.quantile(centroid, q), np.quantile(peak, q)
+    return [float(v) for v in (c[1], c[2] - c[1], c[1] - c[0], p[1], p[2] - c[1], c[1] - p[0], share)]
+
+
+def _resampled(pairs: DataFrame, lags: list[float], centroid_frac: float, replicates: int, part_pairs: int = PART_PAIRS) -> DataFrame:
+    """Medians and errors of centroid and peak lag over bootstrap replicates, one row per object of ``pairs``.
+
+    A task holds an object's pairs as matrices, weights of its points against the pairs' moments: no row per pair and
+    replicate.  An object of more than ``part_pairs`` pairs is dealt by its points, and the sums of its parts are added."""
+    of = pairs.schema["object_id"].dataType.simpleString()
+    size = pairs.groupBy("object_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > part_pairs)
+    size = size.select("object_id", F.ceil(F.col("_n") / part_pairs).cast("int").alias("_parts"))
+    rows = join_back(pairs.filter("point IS NOT NULL"), size, ["object_id"])
+
+    def key(part: pa.Table) -> pa.Array:
+        return part.column("object_id").slice(0, 1).combine_chunks()
+
+    def record(first: pa.Array, sums: np.ndarray) -> pa.Table:
+        names = [c.split()[0] for c in RESAMPLED.split(", ")]
+        values = _replicate_errors(sums, lags, centroid_frac)
+        return pa.table([first, *[pa.array([v], pa.float64()) for v in values]], names=["object_id", *names])
+
+    def whole(part: pa.Table) -> pa.Table:
+        return record(key(part), _replicate_sums(part, lags, replicates))
+
+    def piece(part: pa.Table) -> pa.Table:
+        sums = _replicate_sums(part, lags, replicates)
+        return pa.table([key(part), pa.array([sums.tobytes()], pa.binary())], names=["object_id", "sums"])
+
+    def added(part: pa.Table) -> pa.Table:
+        sums = sum(np.frombuffer(b.as_py()) for b in part.column("sums"))
+        return record(key(part), sums.reshape(len(lags), 6, replicates))
+
+    small = rows.filter("_parts IS NULL").select("object_id", "lag", "y1", "y2", "point")
+    out = frequency._by(small, "object_id").applyInArrow(whole, f"object_id {of}, {RESAMPLED}")
+    large = rows.filter("_parts IS NOT NULL").withColumn("_part", F.expr("pmod(xxhash64(point), _parts)"))
+    # parts of one object are about its common means
+    means = large.groupBy("object_id", "lag").agg(F.avg("y1").alias("m1"), F.avg("y2").alias("m2"))
+    large = join_back(large, means, ["object_id", "lag"]).select("object_id", "_part", "lag", "y1", "y2", "point", "m1", "m2")
+    parts = frequency._by(large, "object_id", "_part").applyInArrow(piece, f"object_id {of}, sums binary")
+    return out.unionByName(parts.groupBy("object_id").applyInArrow(added, f"object_id {of}, {RESAMPLED}"))
 
 
 #: half width of a gaussian lag slot in units of its kernel's width h = dt / 4: pairs beyond it fall under the threshold

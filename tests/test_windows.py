@@ -2,6 +2,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from kilonova.functions.core import round_all
 from kilonova.functions.windows import join_back, lag_columns
@@ -121,6 +122,21 @@ def test_bootstrap_weights_are_poisson(spark):
         assert share[k] == pytest.approx(p, abs=0.012)
 
 
+def test_resampling_by_points(spark, lc):
+    """No row per pair and replicate; the weights are the SQL's, and an object dealt over parts gives the same."""
+    from kilonova.operators import spectral
+
+    ids = spark.createDataFrame([(f"{i}:5",) for i in range(50)], "p string").selectExpr("p", f"{spectral.bootstrap_weights('p', 100)} AS w").collect()
+    assert spectral.point_weights([r.p for r in ids], 100).tolist() == [r.w for r in ids]
+    lags = [-4.0, 0.0, 4.0]
+    point = "concat(object_id, ':', CAST(round(mjd * 86400000) AS BIGINT))"
+    pairs = spectral.interpolated_pairs(lc.withColumn("point", F.expr(point)), 0, 1, lags, ("point",)).checkpoint()
+    got = [sorted(map(tuple, round_all(spectral._resampled(pairs, lags, 0.8, 16, n)).collect())) for n in (10 ** 6, 100)]
+    assert got[0] == got[1] and got[0][0][-1] is not None
+    plan = spectral._resampled(pairs, lags, 0.8, 16)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "Generate" not in plan
+
+
 def test_gaussian_slots_equal_pairs(spark, lc):
     from math import exp
 
