@@ -9,7 +9,7 @@ task.  Here the range of the values is cut into slices (``functions.slices``):
    ranks around (n - 1) q;
 3. only in those slices the values are ranked, each by its running count.
 
-A table of one slice is small enough for one ``percentile`` per key.  Both give
+A table of one slice, or one of small keys only, takes one ``percentile`` per key.  Both give
 the same numbers: the interpolation is Spark's own formula.
 """
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .slices import cut_points, one_slice, slice_sql
+from .slices import cut_points, one_slice, slice_rows, slice_sql, small_files, whole_keys
 from .windows import join_back
 
 
@@ -29,7 +29,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence
     keys without a value have no row."""
     keys = list(keys)
     vals = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
-    cuts = cut_points(vals, "_v", rows)
+    cuts = cut_points(vals, "_v", rows, keys)
     if not cuts:
         got = vals.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(float(q)) for q in qs])).alias("_a"))
         return got.select(*keys, *[F.col("_a")[i].alias(f"{prefix}{i}") for i in range(len(qs))])
@@ -75,7 +75,7 @@ def aggregate_with_medians(df: DataFrame, keys: Sequence[str], aggs: list, media
     them go through ``exact_quantiles`` at once as (key, name, value) rows."""
     keys = list(keys)
     cond = {n: v if c is None else f"CASE WHEN {c} THEN {v} END" for n, (v, c) in medians.items()}
-    if not medians or one_slice(df):
+    if not medians or small_files(df, slice_rows(df)) or whole_keys(df, keys) or one_slice(df):
         out = df.groupBy(*keys).agg(*aggs, *[F.expr(f"median({x}) AS `{n}`") for n, x in cond.items()])
     else:
         long = df.select(*keys, F.inline(F.array(*[F.struct(F.lit(i).alias("_name"), F.expr(f"CAST({x} AS DOUBLE)").alias("_x"))

@@ -9,6 +9,11 @@ no per-key threshold); a table below ``SLICE_ROWS`` rows is one slice.
 
 The number of slices follows the number of rows without a limit; the cut points
 are one row of numbers (8 bytes a slice).
+
+Many small keys need no slices, however long the table: where no key has more
+rows than a task may hold (``whole_keys``, measured), keys stay whole.  The
+adapters measure it once and leave it in the metadata of ``object_id``
+(``sized``), so the steps of a query don't run their input to count it again.
 """
 from __future__ import annotations
 
@@ -19,6 +24,9 @@ SLICE_ROWS = 4_000_000
 SLICE_ROWS_CONF = "kilonova.sliceRows"
 #: bytes of a stored row at least; tables whose files hold less than a slice's worth aren't counted
 LEAST_ROW_BYTES = 4
+#: rows of a key that a task may hold at once, as a map of its values
+KEY_ROWS = 20_000
+MOST_ROWS = "kilonova.mostRows"
 #: up to so many cut points a slice is found by a tree of comparisons in generated code
 TREE = 256
 
@@ -31,15 +39,47 @@ def slice_rows(df: DataFrame) -> int:
 def one_slice(df: DataFrame, rows: int | None = None) -> bool:
     """Whether ``df`` is certainly small: by the bytes of its largest source, without a job, or else by its rows."""
     rows = rows or slice_rows(df)
+    return small_files(df, rows) or df.count() <= rows
+
+
+def small_files(df: DataFrame, rows: int) -> bool:
+    """Whether ``df`` is certainly below ``rows`` rows by the bytes of its largest source, without a job."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     largest = max((int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())), default=0)
-    return largest <= rows * LEAST_ROW_BYTES or df.count() <= rows
+    return largest <= rows * LEAST_ROW_BYTES
+
+
+def sized(df: DataFrame, key: str) -> tuple[DataFrame, int | None]:
+    """``df`` with the rows of its largest ``key`` in that column's metadata, and their number; tables of small files stay
+    as they are (None).  Steps that keep or drop rows, but add none, keep the bound."""
+    if small_files(df, slice_rows(df)):
+        return df, None
+    most = _most_rows(df, [key])
+    return df.withMetadata(key, {MOST_ROWS: most}), most
+
+
+def _most_rows(df: DataFrame, keys: list[str]) -> int:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def whole_keys(df: DataFrame, keys: list[str], rows: int | None = None) -> bool:
+    """Whether every key of ``df`` has at most ``KEY_ROWS`` (or ``rows``, if fewer) rows: known from ``sized``, else counted
+    unless ``df`` is a single slice."""
+    rows = rows or slice_rows(df)
+    limit = min(rows, KEY_ROWS)
+    known = [m for k in keys if k in df.columns and (m := df.schema[k].metadata.get(MOST_ROWS)) is not None]
+    if known and min(known) <= limit:
+        return True
+    if small_files(df, rows):
+        return False   # one slice of any keys
+    return _most_rows(df, keys) <= limit
 
 
-def cut_points(df: DataFrame, order: str, rows: int | None = None) -> list[float]:
-    """Values that cut the range of ``order`` into slices of about ``rows`` rows (empty: one slice)."""
+def cut_points(df: DataFrame, order: str, rows: int | None = None, keys: list[str] | None = None) -> list[float]:
+    """Values that cut the range of ``order`` into slices of about ``rows`` rows (empty: one slice).  With ``keys``, keys
+    that are all small need none."""
     rows = rows or slice_rows(df)
-    if one_slice(df, rows):
+    if small_files(df, rows) or keys and whole_keys(df, keys, rows) or df.count() <= rows:
         return []
     slices = -(-df.count() // rows)
     probs = ", ".join(f"{i / slices!r}D" for i in range(1, slices))

@@ -8,10 +8,10 @@ NULLs and are nobody's predecessor.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .slices import cut_points, slice_sql
+from .slices import MOST_ROWS, cut_points, slice_sql, whole_keys
 
 
 def lag_columns(df: DataFrame, keys: list[str], order: str, cols: list[str], prefix: str = "prev_",
@@ -19,7 +19,7 @@ def lag_columns(df: DataFrame, keys: list[str], order: str, cols: list[str], pre
     """Adds ``<prefix><c>`` = value of ``c`` on the previous row of the series (NULL first).
     ``ties``: further columns that order rows of equal ``order``.  ``number``: a column with the row's place in the series,
     from 1 (NULL where ``order`` is)."""
-    cuts = cut_points(df, order, rows)
+    cuts = cut_points(df, order, rows, keys)
     named = {f"{prefix}{c}": c for c in cols}
     df = df.withColumn("_slice", F.expr(slice_sql(f"`{order}`", cuts)))
     w = Window.partitionBy(*keys, "_slice").orderBy(order, *ties)
@@ -45,8 +45,15 @@ def circular_lag_columns(df: DataFrame, keys: list[str], order: str, cols: list[
     """``lag_columns`` on a circle: the first row of a series takes the series' last row (a single row: itself).
     NULL order values and NULL keys are as there."""
     out = lag_columns(df.withColumn("_here", F.lit(True)), keys, order, [*cols, "_here"], prefix, ties, rows).drop("_here")
+    if keeps_whole(df, keys, rows):
+        last = F.max_by(F.struct(*cols), F.when(F.col(order).isNotNull(), F.struct(order, *ties)))
+        out = out.withColumn("_end", last.over(Window.partitionBy(*keys)))
+        return _close_circle(out, order, cols, prefix)
     end = df.filter(F.col(order).isNotNull()).groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(order, *ties)).alias("_end"))
-    out = join_back(out, end, keys)
+    return _close_circle(join_back(out, end, keys), order, cols, prefix)
+
+
+def _close_circle(out: DataFrame, order: str, cols: list[str], prefix: str) -> DataFrame:
     first = F.col(order).isNotNull() & F.col(f"{prefix}_here").isNull()
     out = out.withColumns({f"{prefix}{c}": F.when(first, F.col("_end").getField(c)).otherwise(F.col(f"{prefix}{c}")) for c in cols})
     return out.drop("_end", f"{prefix}_here")
@@ -56,7 +63,7 @@ def nearest_columns(df: DataFrame, keys: list[str], order: str, tie: str, value:
     """Adds ``before`` and ``after``: ``value`` of the last row with one at or before a row, and of the first at or after it,
     in order of (``order``, ``tie``); rows of one ``order`` and a smaller ``tie`` count on both sides.  Slices without such a
     row take it from the series' nearest slice that has one."""
-    cuts = cut_points(df, order, rows)
+    cuts = cut_points(df, order, rows, keys)
     df = df.withColumn("_slice", F.expr(slice_sql(f"`{order}`", cuts)))
     upto = (Window.unboundedPreceding, Window.currentRow)
     w = Window.partitionBy(*keys, "_slice")
@@ -76,7 +83,7 @@ def nearest_columns(df: DataFrame, keys: list[str], order: str, tie: str, value:
 def running_sums(df: DataFrame, keys: list[str], order: str, tie: str, sums: dict[str, str], rows: int | None = None) -> DataFrame:
     """Adds, per name of ``sums``, the running sum of its SQL value (NULL counts as 0) up to and with a row, in order of
     (``order``, ``tie``): sums within the slice and the total of the series' slices before it."""
-    cuts = cut_points(df, order, rows)
+    cuts = cut_points(df, order, rows, keys)
     df = df.withColumn("_slice", F.expr(slice_sql(f"`{order}`", cuts)))
     w = Window.partitionBy(*keys, "_slice").orderBy(order, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = df.withColumns({n: F.coalesce(F.sum(F.expr(x)).over(w), F.lit(0.0)) for n, x in sums.items()})
@@ -89,6 +96,20 @@ def running_sums(df: DataFrame, keys: list[str], order: str, tie: str, sums: dic
     return out.drop("_slice")
 
 
+def keeps_whole(df: DataFrame, keys: list[str], rows: int | None = None) -> bool:
+    """Whether ``df`` is a long table of small keys, known from ``slices.sized`` (no job)."""
+    return any(MOST_ROWS in df.schema[k].metadata for k in keys) and whole_keys(df, keys, rows)
+
+
+def key_values(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """Rows of ``df`` with aggregates of their key: over a window where all keys are small (it shares their exchange), else
+    by ``join_back``."""
+    if keeps_whole(df, keys):
+        w = Window.partitionBy(*keys)
+        return df.withColumns({n: v.over(w) for n, v in values.items()})
+    return join_back(df, df.groupBy(*keys).agg(*[v.alias(n) for n, v in values.items()]), keys)
+
+
 def join_back(df: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``df`` with the values of their key (NULL is a key, too).  ``per_key`` is a mergeable aggregate, one row
     per key; a plain join lets AQE broadcast it by its measured size or split the rows of a huge key."""

@@ -5,11 +5,11 @@ Peaks, segments and anchors are mergeable aggregates joined back on their key; s
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import pure_magnitude, snap
-from ..functions.windows import join_back, lag_columns, running_sums
+from ..functions.windows import join_back, keeps_whole, key_values, lag_columns, running_sums
 from . import scaling, stats
 
 
@@ -20,6 +20,8 @@ def segment_by_gap(lc: DataFrame, gap: float = 100.0, keep: str = "peak") -> Dat
 
     ``keep="all"`` returns every row with its ``segment`` number instead.
     """
+    if keeps_whole(lc, ["object_id"]):
+        return _segments_of_whole(lc, gap, keep)
     steps = lag_columns(lc.select("object_id", "mjd", "passband"), ["object_id"], "mjd", ["mjd"], "_prev_", ties=("passband",))
     # a break needs more than ``gap`` days, so an object has fewer breaks than its time span has gaps
     breaks = steps.filter(F.col("mjd") - F.col("_prev_mjd") > gap).groupBy("object_id").agg(
@@ -33,6 +35,20 @@ def segment_by_gap(lc: DataFrame, gap: float = 100.0, keep: str = "peak") -> Dat
     return join_back(seg, best, ["object_id"]).filter(F.col("segment") == F.col("_best")).drop("_best", "segment")
 
 
+def _segments_of_whole(lc: DataFrame, gap: float, keep: str) -> DataFrame:
+    """``segment_by_gap`` for small objects only: windows over the object, which share one exchange and sort."""
+    by, time = Window.partitionBy("object_id"), Window.partitionBy("object_id").orderBy("mjd", "passband")
+    seg = lc.withColumn("_new", (F.col("mjd") - F.lag("mjd").over(time) > gap).cast("int"))
+    seg = seg.withColumn("segment", F.coalesce(F.sum("_new").over(time.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)).cast("int"))
+    seg = seg.drop("_new")
+    if keep == "all":
+        return seg
+    # a segment's largest flux, the earliest segment on ties: a segment without flux counts 0
+    seg = seg.withColumn("_max", F.coalesce(F.max("flux").over(Window.partitionBy("object_id", "segment")), F.lit(0.0)))
+    best = F.max_by("segment", F.struct("_max", -F.col("segment"))).over(by)
+    return seg.withColumn("_best", best).filter(F.col("segment") == F.col("_best")).drop("_best", "_max", "segment")
+
+
 def peak_mjd_expr() -> F.Column:
     """mjd of the maximum flux of an object (earliest mjd on ties)."""
     return F.max_by("mjd", F.struct(F.col("flux"), -F.col("mjd")))
@@ -40,7 +56,7 @@ def peak_mjd_expr() -> F.Column:
 
 def window_around_peak(lc: DataFrame, half_width: float = 100.0) -> DataFrame:
     """Rows with peak - w <= mjd < peak + w (lower bound in, upper bound out)."""
-    with_peak = join_back(lc, lc.groupBy("object_id").agg(peak_mjd_expr().alias("_peak")), ["object_id"])
+    with_peak = key_values(lc, ["object_id"], {"_peak": peak_mjd_expr()})
     return (with_peak
             .filter((F.col("mjd") >= F.col("_peak") - half_width) & (F.col("mjd") < F.col("_peak") + half_width))
             .drop("_peak"))

@@ -131,7 +131,7 @@ def interpolated_pairs(lc: DataFrame, band1: int, band2: int, lags: list[float],
     point = F.struct(F.col("mjd").alias("t"), F.col("flux").alias("y"))
     probes = probes.select("object_id", (F.col("t1") + F.col("lag")).alias("t"), F.lit(1).alias("kind"), "lag", "own")
     pts = b2.select("object_id", F.col("mjd").alias("t"), F.lit(0).alias("kind"), point.alias("p"))
-    u = probes.unionByName(pts, allowMissingColumns=True)
+    u = probes.unionByName(pts, allowMissingColumns=True).withMetadata("object_id", {})   # more rows than the table's bound
     # the latest point at or before a probe and the earliest at or after it (kind 0 before kind 1: a point at a probe's own
     # time counts on both sides); a huge object is worked on in slices of time
     u = nearest_columns(u, ["object_id"], "t", "kind", "p", "a", "b")
@@ -344,7 +344,8 @@ def discrete_correlation(lc: DataFrame, ids: DataFrame | None = None, band1: int
                      for e, kind, sign in ((a, low, -1), (b, high, 1)))
     probes = b1.selectExpr("object_id", "struct(t1, x, ex, k) AS own", "t1", f"inline(array({ends}))")
     probes = probes.selectExpr("object_id", "t1 + edge AS t", "kind", "own", "bin", "sign")
-    u = running_sums(probes.unionByName(b2, allowMissingColumns=True), ["object_id"], "t", "kind",
+    u = probes.unionByName(b2, allowMissingColumns=True).withMetadata("object_id", {})   # more rows than the table's bound
+    u = running_sums(u, ["object_id"], "t", "kind",
                      {"c0": "CASE WHEN kind = 1 THEN 1D END", "c1": "y", "c2": "y * y", "ce": "ey"})
     # G over the range = running sums at its end less those at its beginning
     g = u.filter("kind != 1").groupBy("object_id", "bin", "own").agg(*[F.sum(F.col("sign") * F.col(c)).alias(n) for c, n in (
