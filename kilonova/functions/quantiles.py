@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .slices import cut_points, one_slice, slice_rows, slice_sql, small_files, whole_keys
-from .windows import join_back
+from .windows import join_back, keeps_whole
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], prefix: str = "_q",
@@ -75,7 +75,12 @@ def aggregate_with_medians(df: DataFrame, keys: Sequence[str], aggs: list, media
     them go through ``exact_quantiles`` at once as (key, name, value) rows."""
     keys = list(keys)
     cond = {n: v if c is None else f"CASE WHEN {c} THEN {v} END" for n, (v, c) in medians.items()}
-    if not medians or small_files(df, slice_rows(df)) or whole_keys(df, keys) or one_slice(df):
+    if medians and keeps_whole(df, keys):
+        # medians over windows, so that the other aggregates run in generated code and no map is sorted or merged
+        w = Window.partitionBy(*keys)
+        df = df.withColumns({f"_{n}_of_key": F.expr(f"median({x})").over(w) for n, x in cond.items()})
+        out = df.groupBy(*keys).agg(*aggs, *[F.max(f"_{n}_of_key").alias(n) for n in cond])
+    elif not medians or small_files(df, slice_rows(df)) or whole_keys(df, keys) or one_slice(df):
         out = df.groupBy(*keys).agg(*aggs, *[F.expr(f"median({x}) AS `{n}`") for n, x in cond.items()])
     else:
         long = df.select(*keys, F.inline(F.array(*[F.struct(F.lit(i).alias("_name"), F.expr(f"CAST({x} AS DOUBLE)").alias("_x"))

@@ -39,3 +39,8 @@ def test_one_exchange_and_the_same_results(spark, adapter, make):
         assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     finally:
         spark.conf.unset("kilonova.sliceRows")
+
+
+def test_medians_of_whole_keys_need_no_object_aggregate(spark, long_table):
+    plan = stats.basic_ts(lc_lineitem(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan
