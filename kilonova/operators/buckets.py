@@ -13,8 +13,10 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.aggspec import compile_aggs
+from ..functions.aggspec import compile_aggs, split_spec
 from ..functions.core import BANDS, safe_div
+from ..functions.quantiles import aggregate_with_medians
+from ..functions.windows import keeps_whole
 from .stats import restore_objects
 
 # (base, target) band pairs, base < target, in itertools order.
@@ -69,27 +71,32 @@ def timegrouper(lc: DataFrame, ids: DataFrame | None = None, width_days: float =
     """Per object, {min,max,mean,median,std,skew,sum} of the 60 bucket
     pair columns plus diff, dif2, w_mean, dif3 per pair (480 columns)."""
     pivot = bucket_pivot(lc, width_days, origin)
-    long = bucket_band_diff_long(pivot)
+    # a pair with no value in a bucket adds to no aggregate; a pair without any is NULL below, as one of NULLs would be
+    long = bucket_band_diff_long(pivot).filter("flux IS NOT NULL OR flux_err IS NOT NULL")
     # cells, not observations: an object has at most its time span / width of them
     spec = {c: BUCKET_AGGS for c in PAIR_COLS}
-    per_pair = long.groupBy("object_id", "pair").agg(*compile_aggs(spec))
+    if keeps_whole(long, ["object_id"]):
+        per_pair = aggregate_with_medians(long, ["object_id", "pair"], *split_spec(spec))
+    else:
+        per_pair = long.groupBy("object_id", "pair").agg(*compile_aggs(spec))
     mx, mn, mean = F.col("flux_max"), F.col("flux_min"), F.col("flux_mean")
     w_mean = safe_div("flux_by_flux_ratio_sq_sum", "flux_ratio_sq_sum")
     per_pair = per_pair.withColumns({"diff": mx - mn, "dif2": safe_div(mx - mn, mean), "w_mean": w_mean,
                                      "dif3": safe_div(mx - mn, w_mean)})
     value_cols = [f"{c}_{a}" for c in PAIR_COLS for a in BUCKET_AGGS] + ["diff", "dif2", "w_mean", "dif3"]
-    # pivot last: one small collect (15 pairs per object) instead of 480 conditional aggregates
-    packed = per_pair.groupBy("object_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("pair", F.struct(*value_cols)))).alias("_m"))
+    # pivot last: 15 aggregates of a struct (at most 15 rows an object) instead of 480 conditional ones
+    struct = f"struct({', '.join(value_cols)})"
+    packed = per_pair.groupBy("object_id").agg(*[F.expr(f"first(CASE WHEN pair = '{p}' THEN {struct} END, true) AS _{p}") for p in PAIR_NAMES])
     outs = ["object_id"]
     for p in PAIR_NAMES:
         for c in PAIR_COLS:
             for a in BUCKET_AGGS:
-                outs.append(f"_m['{p}'].{c}_{a} AS {c}_{p}_{a}")
+                outs.append(f"_{p}.{c}_{a} AS {c}_{p}_{a}")
         for d in ("diff", "dif2", "w_mean", "dif3"):
-            outs.append(f"_m['{p}'].{d} AS flux_{d}_{p}")
+            outs.append(f"_{p}.{d} AS flux_{d}_{p}")
     wide = packed.selectExpr(*outs)
-    return restore_objects(wide, ids)
+    # objects without any value have no pair left
+    return restore_objects(wide, lc.select("object_id").distinct() if ids is None else ids)
 
 
 def bucket_coverage(lc: DataFrame, widths=(0.25, 1, 3, 5, 7, 14, 30, 60, 90, 120), origin: float = 0.0) -> DataFrame:

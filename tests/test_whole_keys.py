@@ -44,3 +44,14 @@ def test_one_exchange_and_the_same_results(spark, adapter, make):
 def test_medians_of_whole_keys_need_no_object_aggregate(spark, long_table):
     plan = stats.basic_ts(lc_lineitem(spark, SF))._jdf.queryExecution().executedPlan().toString()
     assert "ObjectHashAggregate" not in plan
+
+
+def test_pairs_without_values_are_left_out(spark, make_lc):
+    from kilonova.operators.buckets import timegrouper
+
+    lc = make_lc([(1, 1.0, 0, 2.0, 1.0, 1), (1, 2.0, 5, 5.0, 1.0, 1), (2, 1.0, 3, 1.0, 1.0, 1)])
+    got = {r.object_id: r for r in timegrouper(lc).collect()}
+    assert set(got) == {1, 2}   # an object of one band has no pair, and stays
+    assert got[1].flux_5_0_median == 3.0 and got[1].flux_2_1_median is None
+    assert all(v is None for k, v in got[2].asDict().items() if k != "object_id")
+    assert "IS NOT NULL" in timegrouper(lc)._jdf.queryExecution().analyzed().toString().upper().replace("ISNOTNULL", "IS NOT NULL")
