@@ -16,11 +16,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .slices import cut_points, one_slice, slice_rows, slice_sql, small_files, whole_keys
-from .windows import join_back, keeps_whole
+from .windows import join_back, keeps_whole, key_values
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], prefix: str = "_q",
@@ -29,6 +29,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence
     keys without a value have no row."""
     keys = list(keys)
     vals = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    if keeps_whole(vals, keys, rows):
+        found = F.percentile("_v", F.array(*[F.lit(float(q)) for q in qs])).over(Window.partitionBy(*keys))
+        return vals.withColumn("_a", found).groupBy(*keys).agg(*[F.max(F.col("_a")[i]).alias(f"{prefix}{i}") for i in range(len(qs))])
     cuts = cut_points(vals, "_v", rows, keys)
     if not cuts:
         got = vals.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(float(q)) for q in qs])).alias("_a"))
@@ -58,6 +61,16 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence
     return near.groupBy(*keys).agg(*picked)
 
 
+def key_values_with_medians(df: DataFrame, keys: Sequence[str], values: dict[str, Column], medians: dict[str, str]) -> DataFrame:
+    """Rows of ``df`` with aggregates and exact medians (name -> SQL value) of their key: over windows where all keys are
+    small, so that one exchange and one sort serve them and later steps, else by ``join_back``."""
+    keys = list(keys)
+    if keeps_whole(df, keys):
+        return key_values(df, keys, values | {n: F.expr(f"median({x})") for n, x in medians.items()})
+    per = aggregate_with_medians(df, keys, [v.alias(n) for n, v in values.items()], {n: (x, None) for n, x in medians.items()})
+    return join_back(df, per, keys)
+
+
 def median_by_key(df: DataFrame, key: str, value: str, rows: int | None = None) -> DataFrame:
     """Exact per-key median."""
     return exact_quantiles(df, [key], value, [0.5], rows=rows).withColumnRenamed("_q0", "median")

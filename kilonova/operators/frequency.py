@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import BAND_LETTERS, BANDS, safe_div
 from ..functions.quantiles import aggregate_with_medians, exact_quantiles
-from ..functions.windows import circular_lag_columns, join_back, lag_columns
+from ..functions.windows import circular_lag_columns, join_back, keeps_whole, lag_columns
 from ..session import ensure_checkpoint_dir
 from .series import SERIES
 from .stats import restore_objects
@@ -96,6 +96,44 @@ def _direct(cells: np.ndarray, w: np.ndarray, y: np.ndarray, size: int, freqs: n
 FEW = 200
 
 
+#: up to so many points, a series' sums are products of two short tables of waves; more points are put into cells
+FEW_POINTS = 2000
+
+
+def _point_sums(t: np.ndarray, w: np.ndarray, y: np.ndarray, df: float, first: int, n_freq: int) -> list[np.ndarray]:
+    """The sums of ``_transforms`` from points: the wave of frequency (first + block * i + j) df is that of (first + block * i) df
+    times that of j df, so all frequencies are one matrix product."""
+    block = math.isqrt(n_freq - 1) + 1
+    turn = 2j * np.pi * df * t
+    low, high = np.exp(np.outer(np.arange(block), turn)).T, np.exp(np.outer(first + block * np.arange(-(-n_freq // block)), turn))
+    return [x.ravel()[:n_freq] for x in ((high * w) @ low, (high * high * w) @ (low * low), (high * (w * y)) @ low)]
+
+
+def _point_power(t: np.ndarray, w: np.ndarray, y: np.ndarray, grid: tuple[float, float, int]) -> np.ndarray:
+    """``_power`` of a series given by its points; weights and values need not be scaled."""
+    f_min, df, n_freq = grid
+    total, first = w.sum(), round(f_min / df)
+    if len(t) < 3 or not total > 0:
+        return np.full(n_freq, np.nan)
+    w = w / total
+    if len(t) <= FEW_POINTS:
+        one, two, val = _point_sums(t, w, y, df, first, n_freq)
+    else:
+        size, width, _ = _grid_sizes(f_min + (n_freq - 1) * df, df, f_min)
+        cells = np.floor(t / width).astype(np.int64)
+        u, freqs = t / width - cells - 0.5, first + np.arange(n_freq)
+        (one, two), (val,) = (_transforms(cells, _moments_of(m, u, k), size, at) for m, k, at in (
+            (w, W_MOMENTS, [freqs, 2 * freqs]), (w * y, Y_MOMENTS, [freqs])))
+    return _power_of_sums(one, two, val, (w * y).sum(), (w * y * y).sum())
+
+
+def _moments_of(m: np.ndarray, u: np.ndarray, k: int):
+    """``m`` times the powers of ``u`` below the ``k``-th, one at a time."""
+    for _ in range(k):
+        yield m
+        m = m * u
+
+
 def _power(part: pa.Table, size: int, first: int, n_freq: int) -> np.ndarray:
     """Generalised Lomb-Scargle power of one series at the grid's frequencies (NaN: undefined)."""
     get = lambda c: part.column(c).to_numpy()
@@ -111,13 +149,17 @@ def _power(part: pa.Table, size: int, first: int, n_freq: int) -> np.ndarray:
         one, two, val = _direct(cells, w, y, size, freqs)
     else:
         (one, two), (val,) = _transforms(cells, w, size, [freqs, 2 * freqs]), _transforms(cells, y, size, [freqs])
-    mean = y[0].sum()
+    return _power_of_sums(one, two, val, y[0].sum(), yy0 / total)
+
+
+def _power_of_sums(one: np.ndarray, two: np.ndarray, val: np.ndarray, mean: float, square: float) -> np.ndarray:
+    """Power from the sums of a series of total weight 1, its mean and mean square."""
     c, s = one.real, one.imag
     yc, ys = val.real - mean * c, val.imag - mean * s
     cc, ss, cs = (1 + two.real) / 2 - c * c, (1 - two.real) / 2 - s * s, two.imag / 2 - c * s
-    var, det = yy0 / total - mean * mean, cc * ss - cs * cs
-    if not var > FLAT * yy0 / total:
-        return np.full(n_freq, np.nan)
+    var, det = square - mean * mean, cc * ss - cs * cs
+    if not var > FLAT * square:
+        return np.full(len(one), np.nan)
     with np.errstate(divide="ignore", invalid="ignore"):
         return np.where(det > SINGULAR, (ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / (var * det), np.nan)
 
@@ -151,7 +193,10 @@ def weighted_rows(lc: DataFrame, origin: float) -> DataFrame:
 
 
 def series_peaks(rows: DataFrame, grid: tuple[float, float, int]) -> DataFrame:
-    """object_id, passband, freq_best, power_max, n of every series with a defined power."""
+    """object_id, passband, freq_best, power_max, n of every series with a defined power.  Small objects hand their points to
+    one call each; else cells are summed before the exchange."""
+    if keeps_whole(rows, ["object_id"]):
+        return _whole_peaks(rows, grid)
     f_min, df, n_freq = grid
     size, width, first = _grid_sizes(f_min + (n_freq - 1) * df, df, f_min)
 
@@ -166,8 +211,30 @@ def series_peaks(rows: DataFrame, grid: tuple[float, float, int]) -> DataFrame:
         peak, "object_id long, passband int, freq_best double, power_max double, n long")
 
 
+def _whole_peaks(rows: DataFrame, grid: tuple[float, float, int]) -> DataFrame:
+    """``series_peaks`` of small objects: all bands of an object in one call."""
+    f_min, df, _ = grid
+
+    def peaks(part: pa.Table) -> pa.Table:
+        band = part.column("passband").combine_chunks().dictionary_encode(null_encoding="encode")
+        code, (t, w, y) = band.indices.to_numpy(), (part.column(c).to_numpy() for c in "twy")
+        found = []
+        for b in range(len(band.dictionary)):
+            at = np.flatnonzero(code == b)
+            if best := _best(_point_power(t[at], w[at], y[at], grid), f_min, df):
+                found.append((at[0], *best, len(at)))
+        first, freq, power, n = zip(*found) if found else ((), (), (), ())
+        keys = part.select(SERIES).take(pa.array(first, pa.int64()))
+        return pa.table([*keys.columns, pa.array(freq, pa.float64()), pa.array(power, pa.float64()), pa.array(n, pa.int64())],
+                        names=[*SERIES, "freq_best", "power_max", "n"])
+
+    points = rows.filter("t IS NOT NULL AND y IS NOT NULL AND w IS NOT NULL").select(*SERIES, "t", "y", "w")
+    return _by(points, "object_id").applyInArrow(peaks, "object_id long, passband int, freq_best double, power_max double, n long")
+
+
 def _keyed(lc: DataFrame) -> DataFrame:
-    return lc.withColumns({"object_id": F.col("object_id").cast("long"), "passband": F.col("passband").cast("int")})
+    types = {"object_id": "bigint", "passband": "int"}   # a cast column loses what is known of its keys
+    return lc.withColumns({k: F.col(k).cast(t) for k, t in types.items() if t != dict(lc.dtypes)[k]})
 
 
 def _origin(lc: DataFrame) -> float:

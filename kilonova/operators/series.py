@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import BAND_LETTERS, BANDS, safe_div
-from ..functions.quantiles import aggregate_with_medians, exact_quantiles
+from ..functions.quantiles import aggregate_with_medians, exact_quantiles, key_values_with_medians
 from ..functions.windows import join_back, lag_columns
 from .stats import restore_objects
 from .walk import walk_fit
@@ -40,9 +40,10 @@ CADENCE = (["avg_double_to_single_step", "avg_err", "avgt"] + [f"cad_probs_{m}"
 
 def _pivot_bands(long: DataFrame, names: list[str]) -> DataFrame:
     """(object_id, passband, f1..fn) -> object_id, f1_u .. fn_y (one aggregate of at most six rows an object)."""
-    aggs = [F.expr(f"first(CASE WHEN passband = {b} THEN {n} END, true) AS {n}_{letter}")
-            for n in names for b, letter in zip(BANDS, BAND_LETTERS)]
-    return long.groupBy("object_id").agg(*aggs)
+    # six aggregates of a struct of features, not one for each column
+    by_band = long.select("object_id", "passband", F.struct(*names).alias("s")).groupBy("object_id").agg(
+        *[F.expr(f"first(CASE WHEN passband = {b} THEN s END, true) AS s{b}") for b in BANDS])
+    return by_band.select("object_id", *[F.col(f"s{b}")[n].alias(f"{n}_{letter}") for n in names for b, letter in zip(BANDS, BAND_LETTERS)])
 
 
 SERIES = ["object_id", "passband"]
@@ -59,10 +60,10 @@ def series_general_long(lc: DataFrame, log_scaled: bool = False) -> DataFrame:
 
     rows = _series_rows(lc, log_scaled)
     inv = "try_divide(1D, pow(flux_err, 2))"
-    per = aggregate_with_medians(rows, SERIES, [
-        F.expr(f"try_divide(sum(flux * {inv}), sum({inv})) AS _wmean"), F.stddev_pop("flux").alias("_std"),
-        (F.max("flux") - F.min("flux")).alias("_rng"), F.count("flux").cast("double").alias("_n")], {"_med": ("flux", None)})
-    rows = join_back(rows, per, SERIES)
+    sums = key_values_with_medians(rows.withColumn("_inv", F.expr(inv)), SERIES, {
+        "_wx": F.sum(F.expr("flux * _inv")), "_w": F.sum("_inv"), "_std": F.stddev_pop("flux"), "_max": F.max("flux"), "_min": F.min("flux"),
+        "_n": F.count("flux")}, {"_med": "flux"})
+    rows = sums.withColumns({"_wmean": safe_div("_wx", "_w"), "_rng": F.col("_max") - F.col("_min"), "_n": F.col("_n").cast("double")})
     rows = rows.withColumn("_delta", F.sqrt(safe_div(F.col("_n"), F.col("_n") - 1)) * safe_div(F.col("flux") - F.col("_wmean"), F.col("flux_err")))
     rows = lag_columns(rows, SERIES, "mjd", ["mjd", "flux", "_delta"], "_prev_")
     rows = rows.withColumns({

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.slices import cut_points, slice_rows, slice_sql
-from ..functions.windows import join_back, lag_columns
+from ..functions.windows import join_back, key_values, lag_columns
 
 SERIES = ["object_id", "passband"]
 TAU = 100.0  # days
@@ -29,12 +29,11 @@ def walk_fit(lc: DataFrame, tau: float = TAU) -> DataFrame:
     """Per (object, band) of at least two points and some variance: qso_log_chi2_qsonu = ln(chi2 / (n - 1)) and
     qso_log_chi2nuNULL_chi2nu = ln(chi2 of the constant weighted mean / chi2)."""
     rows = lc.select(*SERIES, "mjd", "flux", "flux_err").filter("mjd IS NOT NULL AND flux IS NOT NULL AND flux_err != 0")
-    per = rows.groupBy(*SERIES).agg(F.expr("sum(flux / pow(flux_err, 2)) / sum(1 / pow(flux_err, 2)) AS _m"), F.var_pop("flux").alias("V"),
-                                    F.count(F.lit(1)).alias("_n"))
-    rows = join_back(rows, per.filter("V > 0"), SERIES).filter("V IS NOT NULL")
+    rows = key_values(rows, SERIES, {"_wx": F.expr("sum(flux / pow(flux_err, 2))"), "_w": F.expr("sum(1 / pow(flux_err, 2))"), "V": F.var_pop("flux")})
+    rows = rows.filter("V > 0").withColumn("_m", F.expr("_wx / _w")).drop("_wx", "_w")
     limit = min(SLICE, slice_rows(lc))
     rows = lag_columns(rows, SERIES, "mjd", ["mjd"], "_p_", ties=("flux", "flux_err"))
-    cuts = cut_points(rows, "mjd", limit)
+    cuts = cut_points(rows, "mjd", limit, SERIES)   # small series are one slice each
     rows = rows.withColumns({"_s": F.expr(slice_sql("mjd", cuts)), "x": F.expr("flux - _m"), "e": F.expr("pow(flux_err, 2)"),
                              "a": F.expr(f"coalesce(exp((_p_mjd - mjd) / {tau!r}D), 0D)")})   # nothing carries into the first point
     parts = rows.groupBy(*SERIES, "_s").agg(F.first("V").alias("V"), F.expr("sum(x * x / e) AS flat"), F.count(F.lit(1)).alias("n"),
