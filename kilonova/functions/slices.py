@@ -27,6 +27,8 @@ LEAST_ROW_BYTES = 4
 #: rows of a key that a task may hold at once, as a map of its values
 KEY_ROWS = 20_000
 MOST_ROWS = "kilonova.mostRows"
+#: rows of whole keys that one task works on
+PART_ROWS = 1_000_000
 #: up to so many cut points a slice is found by a tree of comparisons in generated code
 TREE = 256
 
@@ -49,17 +51,22 @@ def small_files(df: DataFrame, rows: int) -> bool:
     return largest <= rows * LEAST_ROW_BYTES
 
 
-def sized(df: DataFrame, key: str) -> tuple[DataFrame, int | None]:
-    """``df`` with the rows of its largest ``key`` in that column's metadata, and their number; tables of small files stay
-    as they are (None).  Steps that keep or drop rows, but add none, keep the bound."""
-    if small_files(df, slice_rows(df)):
-        return df, None
-    most = _most_rows(df, [key])
-    return df.withMetadata(key, {MOST_ROWS: most}), most
+def sized(df: DataFrame, key: str) -> tuple[int, int] | None:
+    """The rows of the largest ``key`` and of the whole table, for the adapters to leave the first in the key's metadata
+    (steps that keep or drop rows, but add none, keep that bound); None for tables of small files, which aren't counted."""
+    return None if small_files(df, slice_rows(df)) else _rows_of(df, [key])
 
 
-def _most_rows(df: DataFrame, keys: list[str]) -> int:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+def _rows_of(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    most, rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    return most or 0, rows or 0
+
+
+def deal(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """``df`` of ``rows`` rows dealt by ``key``; where the session's number of partitions would give a task more than
+    ``PART_ROWS`` rows, by as many as that takes."""
+    parts = -(-rows // PART_ROWS)
+    return df.repartition(parts, key) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(key)
 
 
 def whole_keys(df: DataFrame, keys: list[str], rows: int | None = None) -> bool:
@@ -72,7 +79,7 @@ def whole_keys(df: DataFrame, keys: list[str], rows: int | None = None) -> bool:
         return True
     if small_files(df, rows):
         return False   # one slice of any keys
-    return _most_rows(df, keys) <= limit
+    return _rows_of(df, keys)[0] <= limit
 
 
 def cut_points(df: DataFrame, order: str, rows: int | None = None, keys: list[str] | None = None) -> list[float]:

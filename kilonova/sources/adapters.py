@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.core import timestamp_to_mjd
-from ..functions.slices import MOST_ROWS, sized, whole_keys
+from ..functions.slices import MOST_ROWS, deal, sized, whole_keys
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +25,7 @@ def lc_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     The GROUP BY is needed because raw lineitem repeats (order, line) pairs.
     """
     li = table(spark, sf_dir, "lineitem")
-    _, most = sized(li, "l_partkey")
+    size = sized(li, "l_partkey")
     rows = (
         li.select(
             F.col("l_partkey").alias("object_id"),
@@ -37,25 +37,26 @@ def lc_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     return (
-        _by_object(rows, most)
+        _by_object(rows, size)
         .groupBy("object_id", "mjd", "passband")
         .agg(F.avg("_flux").alias("flux"), F.avg("_err").alias("flux_err"),
              F.max("_det").cast("int").alias("detected"))
     )
 
 
-def _by_object(rows: DataFrame, most: int | None) -> DataFrame:
+def _by_object(rows: DataFrame, size: tuple[int, int] | None) -> DataFrame:
     """A long table of small objects is dealt by object once: all steps per object or series share that exchange."""
-    if most is None:
+    if size is None:
         return rows
+    most, n = size
     rows = rows.withMetadata("object_id", {MOST_ROWS: most})
-    return rows.repartition("object_id") if whole_keys(rows, ["object_id"]) else rows
+    return deal(rows, "object_id", n) if whole_keys(rows, ["object_id"]) else rows
 
 
 def lc_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """150 users as objects over 30 days; ``ts`` is unique, no aggregation needed."""
     ev = table(spark, sf_dir, "events")
-    _, most = sized(ev, "user_id")
+    size = sized(ev, "user_id")
     k = F.get_json_object("props", "$.k").cast("int")
     passband = (
         F.when(F.col("event_type") == "click", 0)
@@ -72,7 +73,7 @@ def lc_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         (1 + F.col("event_id") % 10).cast("double").alias("flux_err"),
         F.when(F.col("value") >= 50, 1).otherwise(0).cast("int").alias("detected"),
     )
-    return _by_object(rows, most)
+    return _by_object(rows, size)
 
 
 def lc_event_groups(spark: SparkSession, sf_dir: str, groups: int = 5) -> DataFrame:

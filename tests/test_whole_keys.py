@@ -55,3 +55,12 @@ def test_pairs_without_values_are_left_out(spark, make_lc):
     assert got[1].flux_5_0_median == 3.0 and got[1].flux_2_1_median is None
     assert all(v is None for k, v in got[2].asDict().items() if k != "object_id")
     assert "IS NOT NULL" in timegrouper(lc)._jdf.queryExecution().analyzed().toString().upper().replace("ISNOTNULL", "IS NOT NULL")
+
+
+def test_a_task_gets_a_bounded_part_of_a_long_table(spark, long_table, monkeypatch):
+    from kilonova.functions import slices
+
+    monkeypatch.setattr(slices, "PART_ROWS", 100)   # the session has four partitions
+    lc = lc_lineitem(spark, SF)
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert lc.rdd.getNumPartitions() == -(-rows // 100)
