@@ -124,7 +124,9 @@ def predict_redshift(df: DataFrame, features: list[str], folds: DataFrame, targe
                      id_col: str = "object_id") -> DataFrame:
     """Out-of-fold random-forest regression of a redshift column (rows with a
     known target train; every row gets an out-of-fold prediction)."""
-    data = _assemble(df.join(folds.select(id_col, "fold"), id_col, "inner"), features).checkpoint(eager=True)
+    data = _assemble(df.join(folds.select(id_col, "fold"), id_col, "inner"), features)
+    # read twice a fold: only what is read
+    data = data.select(id_col, "fold", F.col(target).cast("double").alias(target), "features").checkpoint(eager=True)
     k = data.agg(F.max("fold")).first()[0] + 1
     outs = []
     for f in range(k):
