@@ -55,3 +55,13 @@ def test_power_of_points_is_the_power_of_cells(n):
         flat = v - np.sqrt(w) * (w @ y / w.sum())
         assert np.isnan(got[k]) or abs(got[k] - (1 - rest @ rest / (flat @ flat))) < 1e-6
     assert np.isfinite(got).sum() > 1400
+
+
+def test_frequency_set_of_small_objects(spark):
+    plain = _rows(frequency.series_frequency_long(lc_events(spark, SF), f_max=2.0))
+    spark.conf.set("kilonova.sliceRows", "900")
+    try:
+        _same(_rows(frequency.series_frequency_long(lc_events(spark, SF), f_max=2.0)), plain)
+        assert plain
+    finally:
+        spark.conf.unset("kilonova.sliceRows")
