@@ -3,7 +3,8 @@ import pytest
 
 from kilonova.functions.core import round_all
 from kilonova.functions.slices import MOST_ROWS, cut_points, whole_keys
-from kilonova.operators import peaks, rates, stats
+from kilonova.functions import slices
+from kilonova.operators import peaks, rates, series, stats
 from kilonova.sources.adapters import lc_events, lc_lineitem
 
 SF = "/root/testdata/sf0.001"
@@ -64,3 +65,10 @@ def test_a_task_gets_a_bounded_part_of_a_long_table(spark, long_table, monkeypat
     lc = lc_lineitem(spark, SF)
     rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     assert lc.rdd.getNumPartitions() == -(-rows // 100)
+
+
+@pytest.mark.parametrize("make", [rates.fluxdiffdiff, series.series_cadence, peaks.segment_two_means])
+def test_steps_of_small_objects_never_run_their_input(spark, long_table, make, monkeypatch):
+    lc = lc_events(spark, SF)
+    monkeypatch.setattr(slices, "_rows_of", lambda *_: pytest.fail("a step counted its input"))
+    make(lc)
