@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .slices import cut_points, one_slice, slice_rows, slice_sql, small_files, whole_keys
+from .slices import cut_points, one_slice, slice_rows, slice_sql, small_files, times_rows, whole_keys
 from .windows import join_back, keeps_whole, key_values
 
 
@@ -98,7 +98,7 @@ def aggregate_with_medians(df: DataFrame, keys: Sequence[str], aggs: list, media
     else:
         long = df.select(*keys, F.inline(F.array(*[F.struct(F.lit(i).alias("_name"), F.expr(f"CAST({x} AS DOUBLE)").alias("_x"))
                                                    for i, x in enumerate(cond.values())])))
-        got = exact_quantiles(long, [*keys, "_name"], "_x", [0.5])
+        got = exact_quantiles(times_rows(long, keys[0], len(cond)), [*keys, "_name"], "_x", [0.5])
         wide = got.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == i, F.col("_q0"))).alias(n) for i, n in enumerate(cond)])
         base = df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
         out = join_back(base, wide, keys)

@@ -14,6 +14,8 @@ Many small keys need no slices, however long the table: where no key has more
 rows than a task may hold (``whole_keys``, measured), keys stay whole.  The
 adapters measure it once and leave it in the metadata of ``object_id``
 (``sized``), so the steps of a query don't run their input to count it again.
+Chains of steps on tables of large keys start at a stored table that is counted
+once (``measured``) and store what the next steps read (``stored``).
 """
 from __future__ import annotations
 
@@ -27,6 +29,9 @@ LEAST_ROW_BYTES = 4
 #: rows of a key that a task may hold at once, as a map of its values
 KEY_ROWS = 20_000
 MOST_ROWS = "kilonova.mostRows"
+#: metadata of a key of a table that ``measured`` counted: its rows at most, and either that its keys are cut without asking
+#: again, or the keys that were counted (their largest has ``MOST_OF`` rows)
+ROWS, CUT, COUNTED, MOST_OF = "kilonova.rows", "kilonova.cut", "kilonova.counted", "kilonova.mostOf"
 #: rows of whole keys that one task works on
 PART_ROWS = 1_000_000
 #: up to so many cut points a slice is found by a tree of comparisons in generated code
@@ -41,7 +46,35 @@ def slice_rows(df: DataFrame) -> int:
 def one_slice(df: DataFrame, rows: int | None = None) -> bool:
     """Whether ``df`` is certainly small: by the bytes of its largest source, without a job, or else by its rows."""
     rows = rows or slice_rows(df)
-    return small_files(df, rows) or df.count() <= rows
+    return small_files(df, rows) or _rows_at_most(df) <= rows
+
+
+def _rows_at_most(df: DataFrame) -> int:
+    """The rows of ``df``: a bound left by ``measured``, else counted."""
+    known = [f.metadata[ROWS] for f in df.schema if ROWS in f.metadata]
+    return min(known) if known else df.count()
+
+
+def measured(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df``, a stored table, counted once for all steps per ``keys`` (or more columns) that keep or drop rows, but add none:
+    the first key's metadata says whether some key is too large to stay whole and how many rows there are."""
+    if any(MOST_ROWS in df.schema[k].metadata for k in keys) or small_files(df, slice_rows(df)):
+        return df
+    most, rows = _rows_of(df, keys)
+    known = {COUNTED: keys, MOST_OF: most} if most <= min(slice_rows(df), KEY_ROWS) else {CUT: True}
+    return df.withMetadata(keys[0], df.schema[keys[0]].metadata | known | {ROWS: rows})
+
+
+def times_rows(df: DataFrame, key: str, times: int) -> DataFrame:
+    """``df`` after a step that made ``times`` rows of one, with the bound of ``measured`` corrected."""
+    known = df.schema[key].metadata
+    return df.withMetadata(key, known | {ROWS: known[ROWS] * times}) if ROWS in known else df
+
+
+def stored(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` checkpointed where its keys are known to be cut: every later step runs its input for cut points, carries and
+    rows, and steps upon steps would run the first ones again each time."""
+    return df.checkpoint() if any(CUT in df.schema[k].metadata for k in keys) else df
 
 
 def small_files(df: DataFrame, rows: int) -> bool:
@@ -77,6 +110,11 @@ def whole_keys(df: DataFrame, keys: list[str], rows: int | None = None) -> bool:
     known = [m for k in keys if k in df.columns and (m := df.schema[k].metadata.get(MOST_ROWS)) is not None]
     if known and min(known) <= limit:
         return True
+    named = [df.schema[k].metadata for k in keys if k in df.columns]
+    if any(CUT in m for m in named):
+        return False
+    if any(set(m.get(COUNTED, ["?"])) <= set(keys) and m[MOST_OF] <= limit for m in named):
+        return True
     if small_files(df, rows):
         return False   # one slice of any keys
     return _rows_of(df, keys)[0] <= limit
@@ -86,9 +124,9 @@ def cut_points(df: DataFrame, order: str, rows: int | None = None, keys: list[st
     """Values that cut the range of ``order`` into slices of about ``rows`` rows (empty: one slice).  With ``keys``, keys
     that are all small need none."""
     rows = rows or slice_rows(df)
-    if small_files(df, rows) or keys and whole_keys(df, keys, rows) or df.count() <= rows:
+    if small_files(df, rows) or keys and whole_keys(df, keys, rows) or (n := _rows_at_most(df)) <= rows:
         return []
-    slices = -(-df.count() // rows)
+    slices = -(-n // rows)
     probs = ", ".join(f"{i / slices!r}D" for i in range(1, slices))
     accuracy = max(20 * TREE, 4 * slices)
     got = df.agg(F.expr(f"percentile_approx(CAST(`{order}` AS DOUBLE), array({probs}), {accuracy})").alias("c")).first()["c"]

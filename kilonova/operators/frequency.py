@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import BAND_LETTERS, BANDS, safe_div
 from ..functions.quantiles import aggregate_with_medians, exact_quantiles
+from ..functions.slices import measured, stored
 from ..functions.windows import circular_lag_columns, join_back, keeps_whole, lag_columns
 from ..session import ensure_checkpoint_dir
 from .series import SERIES
@@ -391,6 +392,7 @@ def series_frequency_long(lc: DataFrame, f_max: float = 10.0, oversampling: int
     lc = _keyed(lc)
     grid = span_grid(lc, f_max, oversampling)
     raw = weighted_rows(lc, _origin(lc)).filter("t IS NOT NULL AND y IS NOT NULL AND w IS NOT NULL").checkpoint()
+    raw = measured(raw, SERIES)
     trend = line_fit(raw).filter("slope IS NOT NULL").checkpoint()
     rows = join_back(raw, trend, SERIES).filter("slope IS NOT NULL").selectExpr(*SERIES, "t", "y - intercept - slope * t AS y", "w").checkpoint()
     flat, fits, squares = rows, [], []
@@ -428,10 +430,10 @@ def _folded(raw: DataFrame, flat: DataFrame, fit: DataFrame, left: DataFrame) ->
     """C26, C27 of the fitted series: steps in time and in folded order, and the residuals of the fits at P and 2P."""
     freq = fit.selectExpr(*SERIES, "freq AS f")
     rows = join_back(raw, freq, SERIES).filter("f IS NOT NULL").selectExpr(*SERIES, "t", "y", "f", "pmod(t * f, 1D) AS ph1", "pmod(t * f / 2, 1D) AS ph2")
-    steps = lag_columns(rows, SERIES, "t", ["y"], "_t_")
-    steps = circular_lag_columns(steps, SERIES, "ph1", ["y"], "_p_", ties=("t",))
-    steps = circular_lag_columns(steps, SERIES, "ph2", ["y", "ph2"], "_d_", ties=("t",))
-    middle = aggregate_with_medians(rows, SERIES, [F.var_pop("y").alias("_var"), F.count(F.lit(1)).alias("_n")], {"_med": ("y", None)})
+    steps = stored(lag_columns(rows, SERIES, "t", ["y"], "_t_"), SERIES)
+    steps = stored(circular_lag_columns(steps, SERIES, "ph1", ["y"], "_p_", ties=("t",)), SERIES)
+    steps = stored(circular_lag_columns(steps, SERIES, "ph2", ["y", "ph2"], "_d_", ties=("t",)), SERIES)
+    middle = stored(aggregate_with_medians(rows, SERIES, [F.var_pop("y").alias("_var"), F.count(F.lit(1)).alias("_n")], {"_med": ("y", None)}), SERIES)
     steps = join_back(steps, middle, SERIES).withColumns({
         "d0": F.expr("y - _t_y"), "d1": F.expr("y - _p_y"), "d2": F.expr("y - _d_y"),
         "slope": F.expr("try_divide(y - _d_y, pmod(ph2 - _d_ph2, 1D) * 2 / f)")})
@@ -441,10 +443,10 @@ def _folded(raw: DataFrame, flat: DataFrame, fit: DataFrame, left: DataFrame) ->
         {"_m0": ("abs(d0)", None), "_m1": ("abs(d1)", None), "_mad": ("abs(y - _med)", None)})
     slopes = exact_quantiles(steps, SERIES, "slope", [0.1, 0.9], "_s")
     # the fit at 2P, on the same detrended rows
-    double = harmonic_fit(flat, fit.selectExpr(*SERIES, "freq / 2 AS half"), "half")
+    double = stored(harmonic_fit(flat, fit.selectExpr(*SERIES, "freq / 2 AS half"), "half"), SERIES)
     far = exact_quantiles(subtract_fit(flat, double).withColumn("r", F.abs("y")), SERIES, "r", [0.9], "_two")
     near = exact_quantiles(left.withColumn("r", F.abs("y")), SERIES, "r", [0.9], "_p")
-    rest = join_back(left, aggregate_with_medians(left, SERIES, [], {"_rm": ("y", None)}), SERIES)
+    rest = join_back(left, stored(aggregate_with_medians(left, SERIES, [], {"_rm": ("y", None)}), SERIES), SERIES)
     rest = aggregate_with_medians(rest, SERIES, [], {"_rmad": ("abs(y - _rm)", None)})
     for more in (slopes, far, near, rest):
         sums = join_back(sums, more, SERIES)

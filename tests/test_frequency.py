@@ -96,3 +96,16 @@ def test_circular_order(spark, rows):
     df = spark.createDataFrame(pts, "k long, p double, v string")
     got = {r.v: r.prev_v for r in circular_lag_columns(df, ["k"], "p", ["v"], rows=rows).collect()}
     assert got == {"a": "d", "b": "a", "c": "b", "d": "c", "x": "x", "n": None, "m": None}
+
+
+def test_large_series_are_counted_once(spark, lc, monkeypatch):
+    from kilonova.functions import slices
+
+    counted, old = [], slices._rows_of
+    monkeypatch.setattr(slices, "_rows_of", lambda df, keys: counted.append(keys) or old(df, keys))
+    spark.conf.set("kilonova.sliceRows", "100")
+    try:
+        assert len(fr.series_frequency_long(lc).collect()) == 4
+    finally:
+        spark.conf.unset("kilonova.sliceRows")
+    assert counted == [["object_id", "passband"]]
