@@ -11,15 +11,20 @@ from __future__ import annotations
 import itertools
 import random
 
+import numpy as np
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from . import evaluation
+from . import dense, evaluation
+
+_ROW = StructType([StructField("zfeatures", VectorUDT()), StructField("_label", DoubleType())])
 
 
 def _assemble(df: DataFrame, features: list[str]) -> DataFrame:
@@ -199,21 +204,45 @@ class WeightedLogLoss(Evaluator):
 
 
 def train_dense(df: DataFrame, features: list[str], label: str = "target", hidden: tuple[int, ...] = (32,),
-                classes: list[int] | None = None, seed: int = 71, max_iter: int = 100):
-    """M18 (re-aimed dense head): multilayer perceptron on standardised features.
-
-    The estimator has no weight column, so classes are balanced by resampling
-    each class to the size of the largest (M5 by replication, seeded)."""
+                classes: list[int] | None = None, seed: int = 71, max_iter: int = 100, fold: str | None = None):
+    """M18 (re-aimed dense head): multilayer perceptron on standardised features; (scaler, network), or with a column
+    ``fold`` a dictionary of them, each trained on the rows of the other folds.
+
+    Classes are balanced by as many copies of a row as bring its class to the size of the largest (M5 by replication).
+    The scalers are fitted on the copies; the passes count a row once, with its copies as its weight, and serve the
+    networks of all folds (``dense``), which is the same loss.  The first weights are those of Spark's estimator for the
+    seed, the fitted network is Spark's."""
     from pyspark.ml.classification import MultilayerPerceptronClassifier
     from pyspark.ml.feature import StandardScaler
 
+    spark = df.sparkSession
     classes = classes or [r[0] for r in df.select(label).distinct().collect()]   # <= number of classes
-    data = _assemble(df, features).withColumn("_label", class_index(label, classes))
-    counts = data.groupBy("_label").agg(F.count(F.lit(1)).alias("_n"))
-    biggest = counts.agg(F.max("_n")).scalar()
-    reps = data.join(F.broadcast(counts), "_label").withColumn(
-        "_rep", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(biggest / F.col("_n")).cast("int")))))
-    scaled = StandardScaler(inputCol="features", outputCol="zfeatures", withMean=True, withStd=True).fit(reps)
-    mlp = MultilayerPerceptronClassifier(featuresCol="zfeatures", labelCol="_label", seed=seed, maxIter=max_iter,
-                                         layers=[len(features), *hidden, len(classes)])
-    return scaled, mlp.fit(scaled.transform(reps))
+    sizes = [len(features), *hidden, len(classes)]
+    own = F.lit(-1) if fold is None else F.col(fold)
+    data = _assemble(df, features).select("features", class_index(label, classes).alias("_label"), own.cast("long").alias("_fold")) \
+        .filter(F.col("_label").isNotNull())
+    n = {(r["_fold"], int(r["_label"])): r["count"] for r in data.groupBy("_fold", "_label").count().collect()}   # folds x classes
+    scalers, scales, copies = {}, {}, {}
+    for f in [None] if fold is None else sorted({k for k, _ in n}):
+        rows = [sum(c for (k, j), c in n.items() if j == i and k != f) for i in range(len(classes))]
+        copies[f] = np.array([max(1, -(-max(rows) // r)) if r else 1 for r in rows])
+        times = F.get(F.array(*[F.lit(int(c)) for c in copies[f]]), F.col("_label").cast("int"))
+        reps = (data if f is None else data.filter(F.col("_fold") != f)).withColumn("_rep", F.explode(F.sequence(F.lit(1), times)))
+        scalers[f] = StandardScaler(inputCol="features", outputCol="zfeatures", withMean=True, withStd=True).fit(reps)
+        std = scalers[f].std.toArray()
+        scales[f] = scalers[f].mean.toArray(), np.divide(1, std, out=np.zeros_like(std), where=std != 0)
+
+    def network(**weights):
+        """Spark's model before its first round; the row only gives the columns their types."""
+        row = spark.createDataFrame([(Vectors.zeros(len(features)), 0.0)], _ROW)
+        return MultilayerPerceptronClassifier(featuresCol="zfeatures", labelCol="_label", seed=seed, maxIter=0, layers=sizes,
+                                              **weights).fit(row)
+
+    blocks = dense.row_blocks(data.select(vector_to_array("features").alias("x"), F.col("_label").cast("long").alias("label"),
+                                          F.col("_fold").alias("fold")), sum(n.values()))
+    try:
+        best = dense.minimise(dense.mean_losses(blocks, sizes, scales, copies), dict.fromkeys(copies, network().weights.toArray()), max_iter)
+    finally:
+        blocks.unpersist()
+    out = {f: (scalers[f], network(initialWeights=Vectors.dense(w))) for f, (w, _) in best.items()}
+    return out[None] if fold is None else out

@@ -74,8 +74,7 @@ def q_dense_classifier(spark, sf_dir):
     m, feats, folds, _ = _matrix(spark, sf_dir)
     data = m.join(folds.select("object_id", "fold"), "object_id").checkpoint(eager=True)
     out = []
-    for f in range(K):
-        scaler, mlp = models.train_dense(data.filter(F.col("fold") != f), feats, classes=ALL_CLASSES)
+    for f, (scaler, mlp) in sorted(models.train_dense(data, feats, classes=ALL_CLASSES, fold="fold").items()):
         held = scaler.transform(models._assemble(data.filter(F.col("fold") == f), feats))
         pr = mlp.transform(held).select("object_id", models.vector_to_array("probability").alias("_p"))
         out.append(pr.select("object_id", F.inline(F.array(*[
