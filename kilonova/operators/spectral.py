@@ -20,7 +20,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import safe_div, snap
@@ -166,6 +166,13 @@ def bootstrap_weights(key: str, replicates: int) -> str:
     return f"slice(flatten(transform({many}, h -> {pieces})), 1, {replicates})"
 
 
+def pearson(x: str, y: str) -> Column:
+    """Pearson r over the rows that hold both columns; NULL where one of them has no spread (``corr`` divides by zero there,
+    an error in ANSI mode)."""
+    sx, sy = (F.stddev_pop(F.when(F.col(other).isNotNull(), F.col(c))) for c, other in ((x, y), (y, x)))
+    return safe_div(F.covar_pop(x, y), sx * sy)
+
+
 def _peaks_of(r: DataFrame, keys: list[str], centroid_frac: float) -> DataFrame:
     """Peak lag, its r, and the mean of the lags whose r is at least a share of it, per key."""
     peak = r.groupBy(*keys).agg(F.max_by("lag", F.struct(snap("r", TIE_BITS), -F.col("lag"))).alias("peak_lag"), F.max("r").alias("peak_r"),
@@ -192,7 +199,7 @@ def cross_correlation(lc: DataFrame, ids: DataFrame | None = None, band1: int =
         pairs = interpolated_pairs(lc.withColumn("point", F.expr(key)), band1, band2, lags, ("point",)).checkpoint()
     else:
         pairs = interpolated_pairs(lc, band1, band2, lags)
-    r = pairs.groupBy("object_id", "lag").agg(F.corr("y1", "y2").alias("r"), F.count(F.lit(1)).alias("n_pairs"))
+    r = pairs.groupBy("object_id", "lag").agg(pearson("y1", "y2").alias("r"), F.count(F.lit(1)).alias("n_pairs"))
     r = r.filter(F.col("r").isNotNull() & ~F.isnan("r"))
     peak = _peaks_of(r, ["object_id"], centroid_frac)
     out = peak.selectExpr("object_id", "peak_lag", "peak_r", "centroid_lag",

@@ -140,6 +140,41 @@ def test_cross_correlation_shift(make_lc):
     assert r["peak_lag"] == 20.0
 
 
+def test_cross_correlation_without_spread(make_lc, spark):
+    """A lag at which a band is constant has no correlation (an error before); other lags and objects keep theirs."""
+    b1, b5 = [(0.0, 3.0), (0.5, None), (1.0, 3.0), (2.0, 7.0)], [1.0, 4.0, 2.0, 8.0, 5.0]
+    two = lambda i, first, other: [(i, t, 1, y, 1.0, 0) for t, y in first] + [(i, float(t), 5, y, 1.0, 0) for t, y in enumerate(other)]
+    flat1, flat5 = [(t, 0.1) for t, _ in b1], [0.3] * 5
+    lc = make_lc(two(1, b1, b5) + two(2, flat1, b5) + two(3, b1, flat5))
+    ids = spark.createDataFrame([(1,), (2,), (3,), (4,)], "object_id long")
+    for replicates in (0, 16):
+        got = {r["object_id"]: r.asDict() for r in spectral.cross_correlation(lc, ids, 1, 5, 0.0, 4.0, 1.0, replicates=replicates).collect()}
+        assert set(got) == {1, 2, 3, 4}
+        for lag in range(3):
+            want = np.corrcoef([3.0, 3.0, 7.0], b5[lag:lag + 3])[0, 1]
+            assert got[1][f"r_lag_{lag}"] == pytest.approx(want, rel=1e-12)
+        assert got[1]["r_lag_3"] is None and got[1]["r_lag_4"] is None   # 3, 3 against 8, 5; one pair
+        for i in (2, 3, 4):
+            assert all(v is None for c, v in got[i].items() if c != "object_id")
+        assert not replicates or got[1]["success_ratio"] > 0
+
+
+def test_cross_correlation_of_repeated_points(spark, tmp_path):
+    """Six copies of every event: lags at which a user has one point and its copies are without spread."""
+    import duckdb
+
+    from kilonova.plans import catalog
+    from tools.oracle_check import compare
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").crossJoin(spark.range(6).withColumnRenamed("id", "_copy"))
+    events.withColumn("event_id", F.expr("event_id + 1000000 * _copy")).drop("_copy").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got = catalog.queries()["cross_correlation"](spark, str(tmp_path))
+    res = compare(got.toPandas(), con.execute(catalog.oracles()["cross_correlation"]).df(), dict(got.dtypes))
+    assert res["columns_match"] and res["ok"], res
+
+
 def test_missing_meta_inner_drops_restore_keeps(make_lc, spark):
     from kilonova.operators import scaling
     lc = make_lc([(1, 1.0, 0, 2.0, 1.0, 0), (3, 1.0, 0, 2.0, 1.0, 0)])
